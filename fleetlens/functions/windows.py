@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def hour_slice(ts: Column) -> Column:
+    """Number of the clock hour of a zone-less time; independent of the session zone."""
+    return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")) * 24 + F.hour(ts)
+
+
+def month_slice(ts: Column) -> Column:
+    return F.year(ts) * 12 + F.month(ts)
+
+
 def sliced_lag(
     df: DataFrame,
     keys: Sequence[str],

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import DEFAULT_INSTANCE, apply_filters, as_col, idiv, like_ci, ts_lit
-from fleetlens.functions.windows import sliced_lag
+from fleetlens.functions.windows import hour_slice, month_slice, sliced_lag
 
 BS = "\\"
 
@@ -114,7 +116,8 @@ def _header_number(text: Column) -> Column:
 
 def extract_errors(
     lines: DataFrame, exclude: tuple[str, ...] = ERRORS_TO_SKIP,
-    keys: tuple[str, ...] = ("SQLInstanceID",), order: tuple[str, ...] = ("LogDate", "LineNo"), slice_unit: str = "hour",
+    keys: tuple[str, ...] = ("SQLInstanceID",), order: tuple[str, ...] = ("LogDate", "LineNo"), slice_of: Callable[[Column], Column] = hour_slice,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Reportable messages: a kept error header joined with its next line, and stand-alone lines.
 
@@ -122,12 +125,13 @@ def extract_errors(
     same line may be a header or a stand-alone message itself.  A header never counts
     as stand-alone.  Pairing looks back one row with a lag that is sliced by
     time, so a machine that writes a third of all lines is spread over many tasks.
+    ``keep`` names further columns of the current line to pass through.
     """
     text = F.col("Text")
     is_header = F.rlike(text, F.lit(ERROR_HEADER))
     kept = is_header & ~_header_number(text).isin(*exclude)
     rows = sliced_lag(
-        lines, list(keys), list(order), F.date_trunc(slice_unit, F.col(order[0])),
+        lines, list(keys), list(order), slice_of(F.col(order[0])),
         {"_header": F.when(kept, text)})
     alone = F.lit(False)
     for pattern in STANDALONE_PATTERNS:
@@ -135,7 +139,7 @@ def extract_errors(
     messages = F.array_compact(F.array(
         F.when(F.col("_header").isNotNull(), F.concat(F.col("_header"), F.lit(" | "), text)),
         F.when(~is_header & alone, text)))
-    return rows.select(*keys, F.col(order[0]).alias("DateTimeCaptured"), F.explode(messages).alias("Message"))
+    return rows.select(*keys, *keep, F.col(order[0]).alias("DateTimeCaptured"), F.explode(messages).alias("Message"))
 
 
 def select_log_archives(
@@ -143,7 +147,7 @@ def select_log_archives(
 ) -> DataFrame:
     """Archive files whose life from the previous file's end to their own overlaps the window."""
     rows = sliced_lag(
-        files, list(keys), ["LastModified", "ArchiveNo"], F.date_trunc("month", F.col("LastModified")),
+        files, list(keys), ["LastModified", "ArchiveNo"], month_slice(F.col("LastModified")),
         {"CreationDate": F.col("LastModified")})
     return rows.filter(
         F.col("CreationDate").isNotNull() & (F.col("LastModified") >= ts_lit(start)) & (F.col("CreationDate") <= ts_lit(end))

@@ -12,6 +12,8 @@ from fleetlens.oracle.sql import D, EV, SIZE_DAY, edition, growth, trimmed
 from fleetlens.plans import reports, snapshot
 from fleetlens.sources import seeds
 from fleetlens.sources.fleet import AS_OF, EVENTS_AS_OF, SIZE_AS_OF, Fleet
+from fleetlens.sources.shared import shared_dir
+from fleetlens.streaming import incremental
 
 TREND_DAY = "2001-10-01"
 TREND_AS_OF = "2001-01-15"
@@ -52,7 +54,7 @@ def _stored_services(t):
     return feeds.classify_services(t.service_feed).select(
         "ServerID", "ServiceName", "InstanceName", "DisplayName", "FilePath", "ServiceType", "StartMode", "ServiceAccount",
         F.lit(0).alias("ServiceVersion"), F.lit("0.0").alias("ServiceBuild"), "Status", F.lit("1999-01-01").cast("date").alias("DiscoveryOn"),
-        F.date_sub(F.lit(AS_OF).cast("date"), (F.col("ServerID") % 3).cast("int")).alias("LastUpdated"))
+        F.date_sub(F.lit(AS_OF).cast("date"), (F.col("ServerID") % 2 * 3).cast("int")).alias("LastUpdated"))
 
 
 def _property_names(t):
@@ -72,6 +74,18 @@ def _build_parts(t):
     return feeds.version_label(t.build_feed)
 
 
+class _Bulk:
+    """The fleet with the bulk size fact in place of the plain one."""
+
+    def __init__(self, t):
+        self._t = t
+        self.databases = t.databases_bulk
+        self.database_size = t.database_size_bulk
+
+    def __getattr__(self, name):
+        return getattr(self._t, name)
+
+
 def _expired(t, **kw):
     return lifecycle.expired_objects(t, AS_OF, **kw)
 
@@ -826,7 +840,7 @@ def _(t):
 
 @query("a9_size_change_category", "SELECT * FROM size_change")
 def _(t):
-    return rollup.size_change_category(_iv(t), t.databases, t.database_size, SIZE_AS_OF)
+    return rollup.size_change_category(_iv(t), t.databases_bulk, t.database_size_bulk, SIZE_AS_OF)
 
 
 # ---- staleness and retention ----------------------------------------------------------
@@ -1071,9 +1085,9 @@ def _(t):
     return reports.report_property_values(t, _property_names(t), _property_values(t))
 
 
-@query("q20_large_size_change", "SELECT * FROM size_change WHERE VolumeOfChangeCategory = 'Less Than 5GB Change'")
+@query("q20_large_size_change", "SELECT * FROM size_change WHERE VolumeOfChangeCategory = '25GB to 50GB Change'")
 def _(t):
-    return reports.report_size_change(t, as_of=SIZE_AS_OF, category="Less Than 5GB Change")
+    return reports.report_size_change(_Bulk(t), as_of=SIZE_AS_OF, category="25GB to 50GB Change")
 
 
 _TREND_FROM = "200001"
@@ -1415,7 +1429,7 @@ def _(t):
     SELECT VolumeOfChangeCategory, CASE VolumeOfChangeCategory WHEN '50GB+ Change' THEN 1 WHEN '25GB to 50GB Change' THEN 2 WHEN '15GB to 25GB Change' THEN 3
         WHEN '10GB to 15GB Change' THEN 4 WHEN '5GB to 10GB Change' THEN 5 ELSE 6 END AS SortKey, count(*) AS TotalInstances FROM size_change GROUP BY 1, 2""")
 def _(t):
-    return snapshot.snapshot_size_change(t, SIZE_AS_OF)
+    return snapshot.snapshot_size_change(_Bulk(t), SIZE_AS_OF)
 
 
 @query("d7_top_volumes", "SELECT * FROM volume_forecast ORDER BY DaysUntil_OutOfSpace, DiskVolumeID LIMIT 15")
@@ -1462,3 +1476,46 @@ def _(t):
 @query("b4_size_summary_by_family", _size_summary_sql(trimmed("v.SQLVersion")))
 def _(t):
     return reports.report_database_size_summary(t, as_of=SIZE_AS_OF, seen_as_of=AS_OF, family=True)
+
+
+# ---- incremental processing ------------------------------------------------------------------------
+
+def _event_stream(t):
+    """The raw events as a file stream."""
+    raw = t.raw("events")
+    return t.spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+
+
+def _line_stream(t):
+    """The stream form of the log-line table: the same derivation over the streamed events."""
+    from fleetlens.sources.fleet import FLEET_SQL
+
+    return t.spark.sql(FLEET_SQL["log_lines"].replace("FROM events", "FROM {events}"), events=_event_stream(t))
+
+
+@query("i1_incremental_errors", "SELECT * FROM extracted_errors")
+def _(t):
+    root = shared_dir(t.spark, "errors")
+    incremental.incremental_errors(_line_stream(t), root).awaitTermination()
+    return t.spark.read.parquet(f"{root}/errors").select("SQLInstanceID", "DateTimeCaptured", "Message")
+
+
+@query("i1_hourly_counts", """
+    SELECT SQLInstanceID, date_trunc('hour', LogDate) AS HourStart, date_trunc('hour', LogDate) + INTERVAL 1 HOUR AS HourEnd, count(*) AS LineCount
+    FROM log_lines WHERE date_trunc('hour', LogDate) + INTERVAL 1 HOUR <= (SELECT max(LogDate) FROM log_lines) - INTERVAL 30 HOUR GROUP BY 1, 2, 3""")
+def _(t):
+    root = shared_dir(t.spark, "hours")
+    incremental.write_hourly_counts(_line_stream(t), root).awaitTermination()
+    return t.spark.read.parquet(f"{root}/hours")
+
+
+@query("i2_incremental_jobs", """
+    SELECT j.SQLJobID, f.ExecutionDateTime, (max((f.Duration, f.JobStatus)))[1] AS Duration, max(f.JobStatus) AS JobStatus
+    FROM staged_jobs f JOIN sql_jobs j ON j.SQLInstanceID = f.SQLInstanceID AND j.SQLJobName = f.JobName GROUP BY 1, 2""")
+def _(t):
+    from fleetlens.sources.fleet import FLEET_SQL
+
+    root = shared_dir(t.spark, "jobs")
+    runs = t.spark.sql(FLEET_SQL["staged_jobs"].replace("FROM events", "FROM {events}"), events=_event_stream(t))
+    incremental.incremental_jobs(runs, root, t.sql_jobs).awaitTermination()
+    return t.spark.read.parquet(f"{root}/job_history").select("SQLJobID", "ExecutionDateTime", "Duration", "JobStatus")

@@ -135,6 +135,13 @@ FLEET_SQL: dict[str, str] = {
         SELECT l_partkey AS DatabaseID, CASE WHEN l_linestatus = 'F' THEN 'Data' ELSE 'Log' END AS FileType,
                CAST(l_shipdate AS DATE) AS DateCaptured, CAST(floor(sum(l_quantity)) AS BIGINT) AS FileSize_mb
         FROM lineitem GROUP BY 1, 2, 3""",
+    # The same shape with more bytes and coarser owners, so day-over-day changes fall into every band.
+    "database_size_bulk": """
+        SELECT l_partkey AS DatabaseID, CASE WHEN l_linestatus = 'F' THEN 'Data' ELSE 'Log' END AS FileType,
+               CAST(l_shipdate AS DATE) AS DateCaptured, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS FileSize_mb
+        FROM lineitem GROUP BY 1, 2, 3""",
+    "databases_bulk": """
+        SELECT p_partkey AS DatabaseID, CAST(p_size AS BIGINT) AS SQLInstanceID FROM part""",
     "disk_volume_space": """
         SELECT l_suppkey AS DiskVolumeID, CAST(l_shipdate AS DATE) AS DateCaptured,
                CAST(floor(sum(l_quantity)) AS BIGINT) + 1000 AS SpaceUsed_mb, CAST(5000 AS BIGINT) AS TotalSpace_mb
@@ -147,19 +154,18 @@ FLEET_SQL: dict[str, str] = {
     "log_lines": """
         SELECT user_id AS SQLInstanceID, event_id AS LineNo, ts AS LogDate,
                CASE event_type
-                    WHEN 'error' THEN concat('Error: ', CASE WHEN value < 100 THEN '17187' ELSE substring(props, 7, length(props) - 7) END,
+                    WHEN 'error' THEN concat('Error: ', CASE WHEN value < 10 THEN '17187' ELSE substring(props, 7, length(props) - 7) END,
                                              ', Severity: 16, State: 1.')
                     WHEN 'purchase' THEN 'Process ID 51 was killed by hostname APP1' ELSE event_type END AS Text
         FROM events""",
     "log_archives": """
         SELECT user_id AS SQLInstanceID, event_id AS ArchiveNo, ts AS LastModified
         FROM events WHERE event_type = 'signup'""",
-    "sql_job_categories": """
-        SELECT DISTINCT event_type AS SQLJobCategoryName,
-               CAST(length(event_type) * 2 AS BIGINT) AS SQLJobCategoryID FROM events""",
+    "sql_job_categories": f"""
+        SELECT DISTINCT event_type AS SQLJobCategoryName, CAST(({_JOB_NO}) * 2 AS BIGINT) AS SQLJobCategoryID FROM events""",
     "sql_jobs": f"""
         SELECT DISTINCT user_id * 10 + {_JOB_NO} AS SQLJobID, user_id AS SQLInstanceID,
-               CAST(length(event_type) * 2 AS BIGINT) AS SQLJobCategoryID, event_type AS SQLJobName
+               CAST(({_JOB_NO}) * 2 AS BIGINT) AS SQLJobCategoryID, event_type AS SQLJobName
         FROM events""",
     "sql_job_history": f"""
         SELECT user_id * 10 + {_JOB_NO} AS SQLJobID, ts AS ExecutionDateTime,
@@ -252,7 +258,7 @@ FLEET_SQL: dict[str, str] = {
     "policy_history": """
         SELECT event_id AS PolicyHistoryID, concat('srv', CAST(user_id AS VARCHAR(20))) AS EvaluatedServer,
                ts AS EvaluationDateTime, event_type AS EvaluatedPolicy,
-               CASE WHEN value < 60 THEN
+               CASE WHEN value < 10 THEN
                     concat('<R><ServerInstance>srv', CAST(user_id AS VARCHAR(20)), '</ServerInstance><Result>',
                            CASE WHEN event_id % 3 = 0 THEN 'FALSE' ELSE 'TRUE' END, '</Result><Exception>',
                            CASE WHEN event_id % 6 = 0 THEN 'timeout' ELSE '' END, '</Exception></R>')

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 from fleetlens.functions.columns import yyyymm
 
@@ -174,7 +174,7 @@ def read_batch(
 ) -> DataFrame:
     """One run's rows; the filter prunes to its directory."""
     typed = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    typed = StructType(list(typed.fields)).add("run_id", "bigint")
+    typed = StructType(list(typed.fields)).add("run_id", LongType())
     rows = spark.read.schema(typed).parquet(staging_path(root, dataset, schema_version))
     return rows.filter(F.col("run_id") == run_id).drop("run_id")
 
