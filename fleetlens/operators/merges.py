@@ -333,7 +333,13 @@ def attribute_volumes(feed: DataFrame, volumes: DataFrame, nodes: DataFrame, fol
         .when(cluster, "keep_cluster")
         .when(server, F.when(folder, "reparent").otherwise("keep_server"))
         .otherwise(F.when(folder, "insert_cluster").otherwise("insert_server")))
-    return rows.select(*[c for c in feed.columns if c != "Name"], "DiskVolumeName", action.alias("Action"))
+    # Of several nodes that report the same shared volume only the first hands its row over; the
+    # others drop theirs.  The window spans the nodes of one cluster that share a volume name.
+    shared = Window.partitionBy("DiskVolumeName", "SQLClusterID")
+    rows = rows.withColumn("Action", action)
+    first = F.min(F.when(F.col("Action") == "reparent", F.col("ServerID"))).over(shared)
+    final = F.when((F.col("Action") == "reparent") & (F.col("ServerID") != first), "drop_server_copy").otherwise(F.col("Action"))
+    return rows.select(*[c for c in feed.columns if c != "Name"], "DiskVolumeName", final.alias("Action"))
 
 
 def dropped_volumes(volumes: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -349,30 +355,40 @@ def drop_volume_rows(df: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def apply_volume_decisions(volumes: DataFrame, decisions: DataFrame, as_of: str) -> DataFrame:
-    """The volume dimension after drops, re-parenting, inserts and touches."""
+    """The volume dimension after drops, re-parenting, inserts and touches.
+
+    Each decision becomes one effect on the row it names, (volume, server) or (volume, cluster);
+    the effects meet the dimension in a single join.
+    """
     day = date_lit(as_of)
-    kept = drop_volume_rows(volumes, dropped_volumes(volumes, decisions))
-    moved = decisions.filter(F.col("Action") == "reparent").groupBy(
-        F.col("DiskVolumeName").alias("_vol"), "ServerID").agg(F.min("SQLClusterID").alias("_to_cluster"))
-    kept = kept.withColumn("_vol", F.lower("DiskVolumeName")).join(moved, ["_vol", "ServerID"], "left").select(
-        *[c for c in volumes.columns if c not in ("ServerID", "SQLClusterID")],
-        F.when(F.col("_to_cluster").isNull(), F.col("ServerID")).alias("ServerID"),
-        F.coalesce("_to_cluster", "SQLClusterID").alias("SQLClusterID"))
-
-    to_server = F.col("Action").isin("insert_server", "keep_server")
-    to_cluster = F.col("Action").isin("insert_cluster", "keep_cluster", "reparent")
-    seen = decisions.filter(to_server).select("DiskVolumeName", "ServerID", F.lit(None).cast("int").alias("SQLClusterID")).unionByName(
-        decisions.filter(to_cluster).select("DiskVolumeName", F.lit(None).cast("bigint").alias("ServerID"), "SQLClusterID"))
-    keyed = kept.withColumn("_vol", F.lower("DiskVolumeName")).withColumn(
-        "_srv", F.coalesce("ServerID", F.lit(-1))).withColumn("_clu", F.coalesce("SQLClusterID", F.lit(-1)))
-    source = seen.withColumn("_vol", F.lower("DiskVolumeName")).withColumn(
-        "_srv", F.coalesce("ServerID", F.lit(-1))).withColumn("_clu", F.coalesce("SQLClusterID", F.lit(-1)))
-    merged = upsert(keyed, source, ["_vol", "_srv", "_clu"], (), _new_row(as_of))
-    # Only monitored volumes that were seen are touched.
-    marks = source.select("_vol", "_srv", "_clu").distinct().withColumn("_seen", F.lit(True))
-    return merged.join(marks, ["_vol", "_srv", "_clu"], "left").withColumn(
-        "LastUpdated", F.when(F.col("_seen").isNotNull() & F.col("IsMonitored"), day).otherwise(F.col("LastUpdated"))
-    ).select(*volumes.columns)
+    action, none = F.col("Action"), F.lit(-1).cast("bigint")
+    on_cluster = action.isin("keep_cluster", "insert_cluster")
+    effects = decisions.filter(action != "skip").groupBy(
+        F.col("DiskVolumeName").alias("_vol"),
+        F.when(on_cluster, none).otherwise(F.col("ServerID").cast("bigint")).alias("_srv"),
+        F.when(on_cluster, F.col("SQLClusterID").cast("bigint")).otherwise(none).alias("_clu"),
+    ).agg(
+        F.max(action.isin("keep_server", "insert_server") | on_cluster).alias("_seen"),
+        F.max(action == "drop_server_copy").alias("_drop"),
+        F.min(F.when(action == "reparent", F.col("SQLClusterID"))).alias("_to_cluster"))
+    keyed = volumes.withColumns({
+        "_vol": F.lower("DiskVolumeName"), "_srv": F.coalesce(F.col("ServerID").cast("bigint"), none),
+        "_clu": F.coalesce(F.col("SQLClusterID").cast("bigint"), none), "_old": F.lit(True)})
+    rows = keyed.join(effects, ["_vol", "_srv", "_clu"], "full_outer")
+    is_new, moved = F.col("_old").isNull(), F.col("_to_cluster").isNotNull()
+    rows = rows.filter(~F.coalesce("_drop", F.lit(False)) & (F.col("_old").isNotNull() | F.coalesce("_seen", F.lit(False))))
+    monitored = F.coalesce("IsMonitored", F.lit(True))
+    touched = (F.coalesce("_seen", F.lit(False)) | moved) & monitored
+    values = {
+        "DiskVolumeName": F.coalesce("DiskVolumeName", "_vol"),
+        "ServerID": F.when(is_new & (F.col("_srv") != none), F.col("_srv")).when(~moved, F.col("ServerID")),
+        "SQLClusterID": F.when(is_new & (F.col("_clu") != none), F.col("_clu")).otherwise(F.coalesce("_to_cluster", "SQLClusterID")),
+        "IsMonitored": monitored,
+        "DiscoveryOn": F.coalesce("DiscoveryOn", day),
+        "LastUpdated": F.when(touched, day).otherwise(F.col("LastUpdated")),
+    }
+    types = {f.name: f.dataType for f in volumes.schema.fields}
+    return rows.select(*[values.get(c, F.col(c)).cast(types[c]).alias(c) for c in volumes.columns])
 
 
 MB = 1024.0 * 1024.0

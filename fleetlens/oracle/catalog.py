@@ -713,10 +713,12 @@ _VOLUMES = """
             WHERE n.SQLNodeID = f.ServerID AND lower(d.DiskVolumeName) = f.v AND d.SQLClusterID <> f.SQLClusterID) AS o,
         f.SQLClusterID <> 0 AND EXISTS (SELECT 1 FROM cluster_folder_feed x WHERE x.SQLClusterID = f.SQLClusterID AND contains(lower(x.FolderName), f.v)) AS h
         FROM f),
-    decided AS (SELECT ServerID, SQLClusterID, Capacity, FreeSpace, v AS DiskVolumeName,
+    chosen AS (SELECT ServerID, SQLClusterID, Capacity, FreeSpace, v AS DiskVolumeName,
         CASE WHEN v IN ('c:', 'd:') THEN CASE WHEN s THEN 'keep_server' ELSE 'insert_server' END WHEN o THEN 'skip' WHEN s AND c THEN 'drop_server_copy'
              WHEN c THEN 'keep_cluster' WHEN s THEN CASE WHEN h THEN 'reparent' ELSE 'keep_server' END WHEN h THEN 'insert_cluster' ELSE 'insert_server' END AS Action
-        FROM k)"""
+        FROM k),
+    decided AS (SELECT * REPLACE (CASE WHEN Action = 'reparent' AND EXISTS (SELECT 1 FROM chosen o WHERE o.Action = 'reparent' AND o.DiskVolumeName = c.DiskVolumeName
+        AND o.SQLClusterID = c.SQLClusterID AND o.ServerID < c.ServerID) THEN 'drop_server_copy' ELSE Action END AS Action) FROM chosen c)"""
 
 
 def _decisions(t):
@@ -1153,9 +1155,9 @@ def _size_summary_sql(version: str) -> str:
     return f"""
     SELECT i.SQLInstanceEnviornment, {version} AS SQLVersion, CAST(sum(z.mb) AS BIGINT) / 1024.0::DOUBLE / 1024.0::DOUBLE AS DBSize_tb
     FROM sql_instances i JOIN (SELECT d.SQLInstanceID, d.DatabaseID, sum(s.FileSize_mb) AS mb FROM databases d JOIN database_size s ON s.DatabaseID = d.DatabaseID
-        WHERE d.LastUpdated >= {D} - 1 AND s.DateCaptured = {SIZE_DAY} AND {_NO_COPY} GROUP BY 1, 2) z ON z.SQLInstanceID = i.SQLInstanceID
+        WHERE d.LastUpdated >= DATE '2001-07-19' AND s.DateCaptured = {SIZE_DAY} AND {_NO_COPY} GROUP BY 1, 2) z ON z.SQLInstanceID = i.SQLInstanceID
     LEFT JOIN sql_versions v ON v.SQLVersionID = i.SQLInstanceVersionID
-    WHERE i.SQLInstanceEdition NOT LIKE 'Express Edition%' AND i.LastUpdated >= {D} - 1 GROUP BY 1, 2"""
+    WHERE i.SQLInstanceEdition NOT LIKE 'Express Edition%' AND i.LastUpdated >= DATE '2001-07-19' GROUP BY 1, 2"""
 
 
 @query("q26_database_summary", _database_summary_sql("v.SQLVersionShortName"))
@@ -1165,7 +1167,7 @@ def _(t):
 
 @query("q27_database_size_summary", _size_summary_sql("v.SQLVersionShortName"))
 def _(t):
-    return reports.report_database_size_summary(t, as_of=SIZE_AS_OF, seen_as_of=AS_OF)
+    return reports.report_database_size_summary(t, as_of=SIZE_AS_OF, seen_as_of="2001-07-20")
 
 
 @query("q28_server_summary", """
@@ -1475,7 +1477,7 @@ def _(t):
 
 @query("b4_size_summary_by_family", _size_summary_sql(trimmed("v.SQLVersion")))
 def _(t):
-    return reports.report_database_size_summary(t, as_of=SIZE_AS_OF, seen_as_of=AS_OF, family=True)
+    return reports.report_database_size_summary(t, as_of=SIZE_AS_OF, seen_as_of="2001-07-20", family=True)
 
 
 # ---- incremental processing ------------------------------------------------------------------------
@@ -1488,9 +1490,9 @@ def _event_stream(t):
 
 def _line_stream(t):
     """The stream form of the log-line table: the same derivation over the streamed events."""
-    from fleetlens.sources.fleet import FLEET_SQL
+    from fleetlens.sources.fleet import spark_sql
 
-    return t.spark.sql(FLEET_SQL["log_lines"].replace("FROM events", "FROM {events}"), events=_event_stream(t))
+    return t.spark.sql(spark_sql("log_lines").replace("FROM events", "FROM {events}"), events=_event_stream(t))
 
 
 @query("i1_incremental_errors", "SELECT * FROM extracted_errors")
@@ -1513,9 +1515,9 @@ def _(t):
     SELECT j.SQLJobID, f.ExecutionDateTime, (max((f.Duration, f.JobStatus)))[1] AS Duration, max(f.JobStatus) AS JobStatus
     FROM staged_jobs f JOIN sql_jobs j ON j.SQLInstanceID = f.SQLInstanceID AND j.SQLJobName = f.JobName GROUP BY 1, 2""")
 def _(t):
-    from fleetlens.sources.fleet import FLEET_SQL
+    from fleetlens.sources.fleet import spark_sql
 
     root = shared_dir(t.spark, "jobs")
-    runs = t.spark.sql(FLEET_SQL["staged_jobs"].replace("FROM events", "FROM {events}"), events=_event_stream(t))
+    runs = t.spark.sql(spark_sql("staged_jobs").replace("FROM events", "FROM {events}"), events=_event_stream(t))
     incremental.incremental_jobs(runs, root, t.sql_jobs).awaitTermination()
     return t.spark.read.parquet(f"{root}/job_history").select("SQLJobID", "ExecutionDateTime", "Duration", "JobStatus")

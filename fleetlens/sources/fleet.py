@@ -24,9 +24,12 @@ RAW_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
 )
 
-_N_CUSTOMER = "(SELECT count(*) FROM customer)"
-_N_SUPPLIER = "(SELECT count(*) FROM supplier)"
-_N_PART = "(SELECT count(*) FROM part)"
+# Key mappings that follow the fixed proportions of the tables (10 orders and 4/3 parts per
+# customer, 15 customers per supplier), so no table has to be counted first.
+_PART_CUSTOMER = "CAST(floor(p_partkey * 3 / 4) AS BIGINT)"
+_CUSTOMER_SUPPLIER = "CAST(floor(c_custkey / 15) AS BIGINT)"
+_ORDER_CUSTOMER = "CAST(floor(o_orderkey / 10) AS BIGINT)"
+_ORDER_PART = "CAST(floor(o_orderkey * 2 / 15) AS BIGINT)"
 _JOB_NO = (
     "CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 "
     "WHEN 'signup' THEN 4 ELSE 5 END"
@@ -94,7 +97,7 @@ FLEET_SQL: dict[str, str] = {
         FROM nation""",
     "sql_instances": f"""
         SELECT c_custkey AS SQLInstanceID,
-               CASE WHEN c_custkey % 6 <> 0 THEN c_custkey % {_N_SUPPLIER} END AS ServerID,
+               CASE WHEN c_custkey % 6 <> 0 THEN {_CUSTOMER_SUPPLIER} END AS ServerID,
                CASE WHEN c_custkey % 6 = 0 THEN CAST(c_custkey % 5 AS INT) END AS SQLClusterID,
                CASE WHEN c_custkey % 3 = 0 THEN 'MSSQLServer' ELSE c_name END AS SQLInstanceName,
                c_nationkey + 1 AS SQLInstanceVersionID,
@@ -112,7 +115,7 @@ FLEET_SQL: dict[str, str] = {
                p_brand AS ApplicationName, concat('Team ', p_brand) AS ApplicationOwner
         FROM part""",
     "databases": f"""
-        SELECT p_partkey AS DatabaseID, p_partkey % {_N_CUSTOMER} AS SQLInstanceID,
+        SELECT p_partkey AS DatabaseID, {_PART_CUSTOMER} AS SQLInstanceID,
                concat('db_', CAST(p_partkey AS VARCHAR(20))) AS DatabaseName,
                CASE WHEN p_size % 10 = 0 THEN 'OFFLINE' ELSE 'ONLINE' END AS DatabaseState,
                CAST(substring(p_brand, 7) AS INT) + 1 AS ApplicationID,
@@ -120,7 +123,7 @@ FLEET_SQL: dict[str, str] = {
                DATE '2001-10-15' - CAST(p_partkey % 100 AS INT) AS LastUpdated
         FROM part""",
     "databases_exclusions": f"""
-        SELECT p_partkey AS DatabaseID, p_partkey % {_N_CUSTOMER} AS SQLInstanceID,
+        SELECT p_partkey AS DatabaseID, {_PART_CUSTOMER} AS SQLInstanceID,
                concat('db_', CAST(p_partkey AS VARCHAR(20))) AS DatabaseName
         FROM part WHERE p_size = 40""",
     "disk_volumes": """
@@ -192,7 +195,7 @@ FLEET_SQL: dict[str, str] = {
     "ag_databases": f"""
         SELECT c_custkey AS AGInstanceID, p_partkey AS DatabaseID,
                DATE '1999-01-01' AS DiscoveryOn, DATE '2001-10-01' AS LastUpdated
-        FROM (SELECT p_partkey, p_type, p_partkey % {_N_CUSTOMER} AS inst FROM part) p
+        FROM (SELECT p_partkey, p_type, {_PART_CUSTOMER} AS inst FROM part) p
         JOIN customer ON c_custkey = inst
         WHERE c_acctbal < 0 AND p_type <> 'PROMO'""",
     # ---- security -------------------------------------------------------------
@@ -202,12 +205,12 @@ FLEET_SQL: dict[str, str] = {
         UNION ALL
         SELECT DISTINCT {_ROLE_ID}, o_orderpriority, 'SERVER_ROLE' FROM orders""",
     "server_principal_membership": f"""
-        SELECT o_orderkey AS MembershipID, o_orderkey % {_N_CUSTOMER} AS SQLInstanceID, {_ROLE_ID} AS ServerRoleID,
+        SELECT o_orderkey AS MembershipID, {_ORDER_CUSTOMER} AS SQLInstanceID, {_ROLE_ID} AS ServerRoleID,
                o_custkey + 10 AS ServerLoginID, (o_orderstatus = 'F') AS IsArchived,
                DATE '1995-01-01' AS DiscoveryOn, CAST(o_orderdate AS DATE) AS LastUpdated
         FROM orders""",
     "server_permission": f"""
-        SELECT o_orderkey AS PermissionID, o_orderkey % {_N_CUSTOMER} AS SQLInstanceID, o_custkey + 10 AS GranteeID,
+        SELECT o_orderkey AS PermissionID, {_ORDER_CUSTOMER} AS SQLInstanceID, o_custkey + 10 AS GranteeID,
                o_custkey % 10 + 10 AS GrantorID, 'SERVER' AS ObjectType, {_ROLE_ID} AS ObjectID,
                {_ACCESS} AS Access, {_PERMISSION} AS PermissionName, (o_orderstatus = 'F') AS IsArchived,
                DATE '1995-01-01' AS DiscoveryOn, CAST(o_orderdate AS DATE) AS LastUpdated
@@ -218,13 +221,13 @@ FLEET_SQL: dict[str, str] = {
         UNION ALL
         SELECT DISTINCT {_ROLE_ID}, o_orderpriority, 'DATABASE_ROLE' FROM orders""",
     "database_principal_membership": f"""
-        SELECT o_orderkey AS MembershipID, o_orderkey % {_N_PART} AS DatabaseID, {_ROLE_ID} AS DatabaseRoleID,
+        SELECT o_orderkey AS MembershipID, {_ORDER_PART} AS DatabaseID, {_ROLE_ID} AS DatabaseRoleID,
                o_custkey + 10 AS DatabaseUserID, (o_orderkey % 9 = 0) AS IsOrphaned,
                (o_orderstatus = 'F') AS IsArchived, DATE '1995-01-01' AS DiscoveryOn,
                CAST(o_orderdate AS DATE) AS LastUpdated
         FROM orders""",
     "database_permission": f"""
-        SELECT o_orderkey AS PermissionID, o_orderkey % {_N_PART} AS DatabaseID, o_custkey + 10 AS GranteeID,
+        SELECT o_orderkey AS PermissionID, {_ORDER_PART} AS DatabaseID, o_custkey + 10 AS GranteeID,
                o_custkey % 10 + 10 AS GrantorID, 'OBJECT_OR_COLUMN' AS ObjectType, o_orderpriority AS ObjectName,
                {_ACCESS} AS Access, {_PERMISSION} AS PermissionName, (o_orderstatus = 'F') AS IsArchived,
                DATE '1995-01-01' AS DiscoveryOn, CAST(o_orderdate AS DATE) AS LastUpdated
@@ -320,19 +323,16 @@ FLEET_SQL: dict[str, str] = {
                CASE s_suppkey % 3 WHEN 0 THEN 'Running' WHEN 1 THEN 'Stopped' END AS Status,
                CASE s_suppkey % 2 WHEN 0 THEN 'Auto' ELSE 'Manual' END AS StartMode,
                concat('svc', CAST(s_suppkey % 5 AS VARCHAR(5))) AS ServiceAccount
-        FROM supplier, (SELECT 'MSSQLServer' AS n
-            UNION ALL SELECT 'MSSQL$INST1' UNION ALL SELECT 'SQLServerAgent' UNION ALL SELECT 'SQLAgent$INST1'
-            UNION ALL SELECT 'MSSQLServerOLAPService' UNION ALL SELECT 'ReportServer'
-            UNION ALL SELECT 'ReportServer$INST1' UNION ALL SELECT 'MsDtsServer150'
-            UNION ALL SELECT 'MSSQLFDLauncher' UNION ALL SELECT 'SQLWriter') s""",
+        FROM supplier, (SELECT unnest([
+            'MSSQLServer', 'MSSQL$INST1', 'SQLServerAgent', 'SQLAgent$INST1', 'MSSQLServerOLAPService',
+            'ReportServer', 'ReportServer$INST1', 'MsDtsServer150', 'MSSQLFDLauncher', 'SQLWriter']) AS n) s""",
     "property_feed": f"""
         SELECT c_custkey AS SQLInstanceID, k.n AS PropertyName,
                CASE k.n WHEN 'EnvironmentType' THEN {_ENV}
                     WHEN 'MachineType' THEN CASE WHEN c_custkey % 2 = 0 THEN 'Physical' ELSE 'Virtual' END
                     ELSE concat(lower(k.n), CAST(c_custkey % 7 AS VARCHAR(5)), CASE WHEN c_custkey % 3 = 0 THEN '.corp.local' ELSE '' END) END AS PropertyValue
-        FROM customer, (SELECT 'EnvironmentType' AS n
-            UNION ALL SELECT 'MachineType' UNION ALL SELECT 'ServerType' UNION ALL SELECT 'ActiveNode'
-            UNION ALL SELECT 'PassiveNode' UNION ALL SELECT 'PassiveNode02' UNION ALL SELECT 'CostCenter') k""",
+        FROM customer, (SELECT unnest([
+            'EnvironmentType', 'MachineType', 'ServerType', 'ActiveNode', 'PassiveNode', 'PassiveNode02', 'CostCenter']) AS n) k""",
     "replica_feed": f"""
         SELECT c_custkey AS ReplicaID, concat('guid-', CAST(CAST(floor(c_custkey / 50) AS BIGINT) AS VARCHAR(20))) AS AGGuid,
                concat('ag', CAST(CAST(floor(c_custkey / 50) AS BIGINT) AS VARCHAR(20))) AS AGName, {_HOST} AS ReplicaServerName
@@ -385,12 +385,12 @@ FLEET_SQL: dict[str, str] = {
         UNION ALL
         SELECT concat('New ', p_type), 'New owner' FROM part""",
     "staged_databases": f"""
-        SELECT p_partkey % {_N_CUSTOMER} AS SQLInstanceID, concat('guid-', CAST(CAST(floor(p_partkey % {_N_CUSTOMER} / 50) AS BIGINT) AS VARCHAR(20))) AS AGGuid,
+        SELECT {_PART_CUSTOMER} AS SQLInstanceID, concat('guid-', CAST(CAST(floor({_PART_CUSTOMER} / 50) AS BIGINT) AS VARCHAR(20))) AS AGGuid,
                p_brand AS ApplicationName,
                concat(CASE WHEN p_type = 'PROMO' THEN 'new_' ELSE 'db_' END, CAST(p_partkey AS VARCHAR(20))) AS DatabaseName,
                CASE WHEN p_size > 45 THEN 'RESTORING' ELSE 'ONLINE' END AS DatabaseState,
-               f.t AS FileType, CAST(p_size * 100 + f.k AS BIGINT) AS FileSize_mb
-        FROM part, (SELECT 'Data' AS t, 1 AS k UNION ALL SELECT 'Log', 2) f
+               f.t AS FileType, CAST(p_size * 100 + length(f.t) AS BIGINT) AS FileSize_mb
+        FROM part, (SELECT unnest(['Data', 'Log']) AS t) f
         WHERE p_size > 10""",
     "staged_jobs": """
         SELECT user_id AS SQLInstanceID, event_type AS JobName,
@@ -398,22 +398,22 @@ FLEET_SQL: dict[str, str] = {
                CAST(floor(value) AS INT) AS Duration, 'Successful' AS JobStatus
         FROM events""",
     "staged_server_membership": f"""
-        SELECT o_orderkey % {_N_CUSTOMER} AS SQLInstanceID, o_orderpriority AS RoleName,
+        SELECT {_ORDER_CUSTOMER} AS SQLInstanceID, o_orderpriority AS RoleName,
                concat('login', CAST(o_custkey AS VARCHAR(20))) AS LoginName,
                CASE WHEN o_totalprice > 250000 THEN 'SQL_LOGIN' ELSE 'WINDOWS_LOGIN' END AS LoginType
         FROM orders WHERE o_orderdate >= DATE '1998-01-01'""",
     "staged_database_membership": f"""
-        SELECT o_orderkey % {_N_PART} AS DatabaseID, o_orderpriority AS RoleName,
+        SELECT {_ORDER_PART} AS DatabaseID, o_orderpriority AS RoleName,
                concat('user', CAST(o_custkey AS VARCHAR(20))) AS UserName,
                CASE WHEN o_totalprice > 250000 THEN 'SQL_USER' ELSE 'WINDOWS_USER' END AS UserType,
                (o_totalprice > 400000) AS IsOrphaned
         FROM orders WHERE o_orderdate >= DATE '1998-01-01'""",
     "staged_server_permission": f"""
-        SELECT o_orderkey % {_N_CUSTOMER} AS SQLInstanceID, o_custkey + 10 AS GranteeID, o_custkey % 10 + 10 AS GrantorID,
+        SELECT {_ORDER_CUSTOMER} AS SQLInstanceID, o_custkey + 10 AS GranteeID, o_custkey % 10 + 10 AS GrantorID,
                'SERVER' AS ObjectType, {_ROLE_ID} AS ObjectID, 'GRANT' AS Access, {_PERMISSION} AS PermissionName
         FROM orders WHERE o_orderdate >= DATE '1998-01-01'""",
     "staged_database_permission": f"""
-        SELECT o_orderkey % {_N_PART} AS DatabaseID, o_custkey + 10 AS GranteeID, o_custkey % 10 + 10 AS GrantorID,
+        SELECT {_ORDER_PART} AS DatabaseID, o_custkey + 10 AS GranteeID, o_custkey % 10 + 10 AS GrantorID,
                'OBJECT_OR_COLUMN' AS ObjectType, o_orderpriority AS ObjectName, 'GRANT' AS Access, {_PERMISSION} AS PermissionName
         FROM orders WHERE o_orderdate >= DATE '1998-01-01'""",
     "staged_servers": """
@@ -427,7 +427,7 @@ FLEET_SQL: dict[str, str] = {
                CASE WHEN v.k = 0 THEN 'C:' ELSE concat('v', CAST(s_suppkey + v.k - 1 AS VARCHAR(20)), ':', chr(92)) END AS Name,
                CAST(1000000 + s_suppkey AS BIGINT) * 1048576 AS Capacity,
                CAST(500000 + s_suppkey * v.k AS BIGINT) * 1048576 AS FreeSpace
-        FROM supplier, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) v""",
+        FROM supplier, (SELECT unnest([0, 1, 2]) AS k) v""",
     "cluster_folder_feed": """
         SELECT CAST(s_suppkey % 5 AS INT) AS SQLClusterID,
                concat('V', CAST(s_suppkey + 1 AS VARCHAR(20)), ':', chr(92), 'Data') AS FolderName
@@ -448,9 +448,16 @@ FLEET_SQL: dict[str, str] = {
         FROM orders GROUP BY 1, 2, 3""",
 }
 
+# A literal list crossed with every row; Spark generates it in place, without a join.
+_EACH = re.compile(r", \(SELECT unnest\(\[(.*?)\]\) AS (\w+)\) (\w+)", re.S)
 _RAW_REF = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(RAW_TABLES) + r")\b")
 
 
+def spark_sql(name: str) -> str:
+    """The Spark form of one statement."""
+    return _EACH.sub(r" LATERAL VIEW explode(array(\1)) \3 AS \2", FLEET_SQL[name])
+
+
 class Fleet:
     """Lazy access to raw and derived tables of one scale-factor directory.
 
@@ -473,7 +480,7 @@ class Fleet:
         if name.startswith("_") or name not in FLEET_SQL:
             raise AttributeError(name)
         if name not in self._derived:
-            template = _RAW_REF.sub(r"\1 {\2}", FLEET_SQL[name])
+            template = _RAW_REF.sub(r"\1 {\2}", spark_sql(name))
             used = {t: self.raw(t) for t in RAW_TABLES if "{" + t + "}" in template}
             self._derived[name] = self.spark.sql(template, **used)
         return self._derived[name]
