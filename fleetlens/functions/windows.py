@@ -51,7 +51,10 @@ def sliced_lag(
     return joined.select(*df.columns, *[prev[name].alias(name) for name in carry])
 
 
-def latest_by(df: DataFrame, keys: Sequence[str], order: Column, values: Sequence[str]) -> DataFrame:
-    """One row per key: the values at the largest ``order``; combines on the map side."""
-    best = F.max_by(F.struct(*values), order).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_best")[v].alias(v) for v in values])
+def latest_by(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
+    """One row per key: the values at the largest ``order``; combines on the map side.
+
+    ``order`` is unique per key (one capture a day), so separate picks agree, and fixed-width
+    values stay in a hash aggregation.
+    """
+    return df.groupBy(*keys).agg(*[F.max_by(v, order).alias(v) for v in values])

@@ -334,9 +334,11 @@ def attribute_volumes(feed: DataFrame, volumes: DataFrame, nodes: DataFrame, fol
         .when(server, F.when(folder, "reparent").otherwise("keep_server"))
         .otherwise(F.when(folder, "insert_cluster").otherwise("insert_server")))
     # Of several nodes that report the same shared volume only the first hands its row over; the
-    # others drop theirs.  The window spans the nodes of one cluster that share a volume name.
-    shared = Window.partitionBy("DiskVolumeName", "SQLClusterID")
+    # others drop theirs.  Rows with another action get a group of their own, so a window group is
+    # at most the nodes of one cluster, never all servers that have a C: volume.
     rows = rows.withColumn("Action", action)
+    alone = F.when(F.col("Action") != "reparent", F.col("ServerID"))
+    shared = Window.partitionBy("DiskVolumeName", "SQLClusterID", alone)
     first = F.min(F.when(F.col("Action") == "reparent", F.col("ServerID"))).over(shared)
     final = F.when((F.col("Action") == "reparent") & (F.col("ServerID") != first), "drop_server_copy").otherwise(F.col("Action"))
     return rows.select(*[c for c in feed.columns if c != "Name"], "DiskVolumeName", final.alias("Action"))

@@ -10,25 +10,39 @@ from fleetlens.functions.columns import apply_filters
 NO_TARGET = "No Targets Found"
 RESULT_SOURCE = "Policy evaluation framework"
 _DETAIL = "EvaluationDetail"
-_FIELDS = "ServerInstance string, TargetQueryExpression string, Result string, Exception string, ResultDetail string"
+_PREFIX = r"(?:[\w.-]++:)?+"  # an optional namespace prefix, matched without backtracking
 
 
-def plain_xml(xml: Column) -> Column:
-    """The document with namespace prefixes and attributes removed from its tags."""
-    return F.regexp_replace(xml, r"<(/?)(?:[\w.-]+:)?([\w.-]+)(?:\s[^<>]*?)?(/?)>", "<$1$2$3>")
+def _open(tag: str) -> str:
+    return rf"<{_PREFIX}{tag}(?:\s[^<>]*)?>"
+
+
+def _element(tag: str) -> str:
+    """Pattern of an element with text, in any namespace; group 1 is its content."""
+    return rf"(?s){_open(tag)}(.*?)</{_PREFIX}{tag}\s*>"
 
 
 def _fragments(doc: Column, tag: str) -> Column:
-    return F.regexp_extract_all(doc, F.lit(f"(?s)<{tag}>.*?</{tag}>"), F.lit(0))
+    return F.regexp_extract_all(doc, F.lit(_element(tag)), F.lit(1))
 
 
-def _text(fragment: Column, tag: str) -> Column:
-    """Unescaped text of the first ``tag`` element; ``''`` when empty, null when absent."""
-    body = F.regexp_extract(fragment, f"(?s)<{tag}>(.*?)</{tag}>", 1)
-    plain = body
+def _unescape(text: Column) -> Column:
+    plain = text
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.when(fragment.contains(f"<{tag}>") | fragment.contains(f"<{tag}/>"), plain)
+    return F.when(text.contains("&"), plain).otherwise(text)
+
+
+def _with_texts(df: DataFrame, fragment: str, **tags: str) -> DataFrame:
+    """Add the unescaped text of the first element of each tag: ``''`` when empty, null when absent.
+
+    The raw text is its own projection, so each pattern runs once per row.
+    """
+    raw = df.withColumns({f"_raw_{c}": F.regexp_extract(fragment, _element(tag), 1) for c, tag in tags.items()})
+    done = raw.withColumns({
+        c: F.when(F.col(f"_raw_{c}") != "", _unescape(F.col(f"_raw_{c}"))).when(F.rlike(fragment, F.lit(_open(tag))), F.lit(""))
+        for c, tag in tags.items()})
+    return done.drop(*[f"_raw_{c}" for c in tags])
 
 
 def policy_result(result: Column, exception: Column) -> Column:
@@ -44,7 +58,7 @@ def _documents(history: DataFrame, policies: DataFrame, category: str | None) ->
     """Documents of known policies; ``policies`` carries its category name."""
     known = policies.select(F.col("PolicyName").alias("EvaluatedPolicy"), F.col("policy_id").alias("Policy_id"), "CategoryName")
     known = apply_filters(known, F.col("CategoryName") == category if category else None)
-    return history.join(known, "EvaluatedPolicy").withColumn("_doc", plain_xml(F.col("EvaluationResults")))
+    return history.join(known, "EvaluatedPolicy")
 
 
 def _shape(rows: DataFrame) -> DataFrame:
@@ -66,19 +80,20 @@ def shred_policy_results(
     if loaded is not None:
         done = loaded.filter(F.col("ResultDetail").isNotNull()).select("PolicyHistoryID").distinct()
         docs = docs.join(done, "PolicyHistoryID", "left_anti")
-    parts = F.transform(_fragments(F.col("_doc"), _DETAIL), lambda f, i: F.struct(
-        _text(f, "TargetQueryExpression").alias("EvaluatedObject"), i.alias("pos"), _text(f, "Result").alias("Result"),
-        _text(f, "Exception").alias("ExceptionMessage"), _text(f, "ResultDetail").alias("ResultDetail")))
-    # Keep the first fragment per object inside the document; no shuffle is needed.
-    first = F.filter(parts, lambda d: ~F.exists(
-        parts, lambda e: (e["EvaluatedObject"] == d["EvaluatedObject"]) & (e["pos"] < d["pos"])))
-    rows = docs.withColumn("_part", F.explode(F.filter(first, lambda d: d["EvaluatedObject"].isNotNull())))
-    return _shape(rows.select("*", "_part.EvaluatedObject", "_part.ExceptionMessage", "_part.ResultDetail",
-                              policy_result(F.col("_part.Result"), F.col("_part.ExceptionMessage")).alias("PolicyResult")))
+    parsed = docs.withColumn("_parts", _fragments(F.col("EvaluationResults"), _DETAIL)).drop("EvaluationResults")
+    # Within a document keep the first fragment per object name; no shuffle is needed.
+    parsed = parsed.withColumn("_names", F.when(
+        F.size("_parts") > 1, F.transform("_parts", lambda f: F.regexp_extract(f, _element("TargetQueryExpression"), 1))))
+    first = F.filter("_parts", lambda f, i: F.array_position("_names", F.get("_names", i)) == i + 1)
+    rows = parsed.withColumn("_part", F.explode(F.when(F.size("_parts") > 1, first).otherwise(F.col("_parts"))))
+    rows = _with_texts(
+        rows.filter(F.rlike("_part", F.lit(_open("TargetQueryExpression")))), "_part", EvaluatedObject="TargetQueryExpression",
+        Result="Result", ExceptionMessage="Exception", ResultDetail="ResultDetail")
+    return _shape(rows.withColumn("PolicyResult", policy_result(F.col("Result"), F.col("ExceptionMessage"))))
 
 
 def _has_detail(doc: Column) -> Column:
-    return doc.contains(f"<{_DETAIL}>") | doc.contains(f"<{_DETAIL}/>")
+    return F.rlike(doc, F.lit(_open(_DETAIL)))
 
 
 def shred_no_target_results(
@@ -89,12 +104,13 @@ def shred_no_target_results(
     if loaded is not None:
         done = loaded.filter(F.col("ResultDetail").isNull()).select("PolicyHistoryID").distinct()
         docs = docs.join(done, "PolicyHistoryID", "left_anti")
-    rows = docs.filter(~_has_detail(F.col("_doc")) & F.col("_doc").contains("<ServerInstance>"))
-    exception = _text(F.col("_doc"), "Exception")
-    return _shape(rows.select(
-        "*", F.lit(NO_TARGET).alias("EvaluatedObject"), exception.alias("ExceptionMessage"),
-        F.lit(None).cast("string").alias("ResultDetail"),
-        policy_result(_text(F.col("_doc"), "Result"), exception).alias("PolicyResult")))
+    doc = F.col("EvaluationResults")
+    rows = _with_texts(
+        docs.filter(~_has_detail(doc) & F.rlike(doc, F.lit(_open("ServerInstance")))), "EvaluationResults",
+        Result="Result", ExceptionMessage="Exception")
+    return _shape(rows.withColumns({
+        "EvaluatedObject": F.lit(NO_TARGET), "ResultDetail": F.lit(None).cast("string"),
+        "PolicyResult": policy_result(F.col("Result"), F.col("ExceptionMessage"))}))
 
 
 def shred_policy_errors(
@@ -105,11 +121,12 @@ def shred_policy_errors(
     keys = ["EvaluatedServer", "EvaluationDateTime", "EvaluatedPolicy"]
     if errors is not None:
         docs = docs.join(errors.select(*keys).distinct(), keys, "left_anti")
-    doc = F.col("_doc")
+    doc = F.col("EvaluationResults")
     blocks = F.when(_has_detail(doc), _fragments(doc, _DETAIL)).otherwise(F.array(doc))
-    rows = docs.select(*keys, F.explode(blocks).alias("_block")).filter(F.col("_block").contains("<ServerInstance>"))
-    return rows.withColumn("EvaluationResults", _text(F.col("_block"), "Exception")).filter(
-        F.col("EvaluationResults") != "").select(*keys, "EvaluationResults")
+    rows = docs.select(*keys, F.explode(blocks).alias("_block")).filter(F.rlike(F.col("_block"), F.lit(_open("ServerInstance"))))
+    # A message needs a character between the tags, so most rows are dropped by one test.
+    rows = rows.filter(F.rlike("_block", F.lit(_open("Exception") + "[^<]")))
+    return _with_texts(rows, "_block", EvaluationResults="Exception").select(*keys, "EvaluationResults")
 
 
 def load_policy_history(

@@ -87,7 +87,7 @@ def first_replicas(ag_instances: DataFrame) -> DataFrame:
 def latest_database_total(size: DataFrame) -> DataFrame:
     """Total size of each database on its own last captured day, in two partial aggregations."""
     per_day = size.groupBy("DatabaseID", "DateCaptured").agg(F.sum("FileSize_mb").alias("TotalSize"))
-    return latest_by(per_day, ["DatabaseID"], F.col("DateCaptured"), ["TotalSize"])
+    return latest_by(per_day, ["DatabaseID"], "DateCaptured", ["TotalSize"])
 
 
 def trend_databases(

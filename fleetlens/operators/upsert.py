@@ -19,6 +19,8 @@ def one_per_key(source: DataFrame, keys: Sequence[str]) -> DataFrame:
     payload = [c for c in source.columns if c not in keys]
     if not payload:
         return source.select(*keys).distinct()
+    if len(payload) == 1:
+        return source.groupBy(*keys).agg(F.max(payload[0]).alias(payload[0]))
     return source.groupBy(*keys).agg(F.max(F.struct(*payload)).alias("_p")).select(*keys, "_p.*")
 
 

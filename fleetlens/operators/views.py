@@ -50,10 +50,11 @@ def volume_forecast(space: DataFrame, volumes: DataFrame, servers: DataFrame, cl
     One aggregation pass over the daily fact replaces two self-joins; the joins
     to the dimensions run on one row per volume.
     """
-    point = F.struct("SpaceUsed_mb", "TotalSpace_mb")
+    # Fixed-width buffers keep this a hash aggregation; a struct or text value would need a sort.
     span = space.groupBy("DiskVolumeID").agg(
-        F.min_by(point, F.col("DateCaptured")).alias("first"),
-        F.max_by(point, F.col("DateCaptured")).alias("last"),
+        F.min_by("SpaceUsed_mb", "DateCaptured").alias("first_used"),
+        F.max_by("SpaceUsed_mb", "DateCaptured").alias("last_used"),
+        F.max_by("TotalSpace_mb", "DateCaptured").alias("last_total"),
         F.min("DateCaptured").alias("first_date"),
         F.max("DateCaptured").alias("last_date"),
         F.count(F.lit(1)).alias("DaysHistory"),
@@ -61,9 +62,9 @@ def volume_forecast(space: DataFrame, volumes: DataFrame, servers: DataFrame, cl
     monitored = volumes.filter("IsMonitored").select("DiskVolumeID", "DiskVolumeName", "ServerID", "SQLClusterID")
     rows = with_owner(monitored.join(span, "DiskVolumeID"), servers, clusters, "IsPhysical")
 
-    used, total = F.col("last.SpaceUsed_mb"), F.col("last.TotalSpace_mb")
+    used, total = F.col("last_used"), F.col("last_total")
     days = F.datediff("last_date", "first_date") + 1
-    change = (used - F.col("first.SpaceUsed_mb") + 1).cast("double") / days
+    change = (used - F.col("first_used") + 1).cast("double") / days
     gb = F.lit(1024.0)
     return rows.withColumn("Daily_AvgChange_mb", change).select(
         "ComputerName", "ServerID", "SQLClusterID", "DiskVolumeID", "IsPhysical", "DiskVolumeName",

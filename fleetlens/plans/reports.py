@@ -595,7 +595,7 @@ def _visible(name: Column | str = "DiskVolumeName") -> Column:
 def report_server_volumes(t, *, computer: str | None = None) -> DataFrame:
     """Latest space of the volumes a server owns; mount points are hidden."""
     servers = apply_filters(t.servers.select("ServerID", "ServerName"), ci_eq("ServerName", computer) if computer else None)
-    last = latest_by(t.disk_volume_space, ["DiskVolumeID"], F.col("DateCaptured"), ["SpaceUsed_mb", "TotalSpace_mb"])
+    last = latest_by(t.disk_volume_space, ["DiskVolumeID"], "DateCaptured", ["SpaceUsed_mb", "TotalSpace_mb"])
     return t.disk_volumes.filter(_visible()).join(servers, "ServerID").join(last, "DiskVolumeID").select(
         "ServerName", "DiskVolumeID", "DiskVolumeName", "SpaceUsed_mb", "TotalSpace_mb", "DiscoveryOn", "LastUpdated")
 

@@ -126,19 +126,15 @@ class Warehouse:
 def write_partitioned(df: DataFrame, path: str, keys: Sequence[str] = ("yyyymm",), date_col: str = "DateCaptured") -> None:
     """Overwrite only the partitions that ``df`` contains.
 
-    ``yyyymm`` is derived from ``date_col`` when it is a key.  Rows are clustered by
-    the partition keys and a hash of the rest, so a big month is written by many
-    tasks and no task opens a file in every partition.
+    ``yyyymm`` is derived from ``date_col`` when it is a key.  The rebalance hint
+    clusters rows by partition key, yet lets adaptive execution split a big month over
+    many tasks and merge small ones.
     """
     out = df.withColumn("yyyymm", yyyymm(date_col)) if "yyyymm" in keys and "yyyymm" not in df.columns else df
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(WRITE_SPREAD))
-    out.repartition(*[F.col(k) for k in keys], spread).write.mode("overwrite").option(
+    out.hint("rebalance", *[F.col(k) for k in keys]).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-WRITE_SPREAD = 16  # writers per partition value; adaptive execution merges small ones
-
-
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
     """Write a new generation beside the old one and point ``CURRENT`` at it.
 
@@ -197,5 +193,8 @@ def append_run_log(spark: SparkSession, path: str, run_id: int, messages: Sequen
 
 
 def settings_map(settings: DataFrame) -> Mapping[str, str]:
-    """The settings table as a dict; it holds one row per setting name, a few dozen in all."""
-    return {r["SettingName"]: r["SettingValue"] for r in settings.limit(1000).collect()}
+    """The known settings as a dict: at most one row per known name reaches the driver."""
+    from fleetlens.sources.seeds import SETTINGS
+
+    known = settings.filter(F.col("SettingName").isin(*SETTINGS)).groupBy("SettingName").agg(F.max("SettingValue").alias("v"))
+    return {r["SettingName"]: r["v"] for r in known.collect()}
