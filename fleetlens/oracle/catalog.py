@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from fleetlens.operators import feeds, licence, lifecycle, merges, policy, rollup, upsert, views
 from fleetlens.oracle.sql import D, EV, SIZE_DAY, edition, growth, trimmed
 from fleetlens.plans import reports, snapshot
-from fleetlens.sources import seeds
-from fleetlens.sources.fleet import AS_OF, EVENTS_AS_OF, SIZE_AS_OF, Fleet
+from fleetlens.sources import seeds, tables
+from fleetlens.sources.fleet import AS_OF, EVENTS_AS_OF, SIZE_AS_OF, Fleet, spark_sql
 from fleetlens.sources.shared import shared_dir
 from fleetlens.streaming import incremental
 
@@ -107,9 +107,7 @@ def _error_marks(t):
 @query("s1_read_table", """
     SELECT DatabaseID, coalesce(FileType, '') AS FileType, DateCaptured, FileSize_mb FROM database_size""")
 def _(t):
-    from fleetlens.sources.tables import conform
-
-    return conform(t.database_size, "database_size").select("DatabaseID", "FileType", "DateCaptured", "FileSize_mb")
+    return tables.conform(t.database_size, "database_size").select("DatabaseID", "FileType", "DateCaptured", "FileSize_mb")
 
 
 @query("s4_seed_dimension", """
@@ -1490,8 +1488,6 @@ def _event_stream(t):
 
 def _line_stream(t):
     """The stream form of the log-line table: the same derivation over the streamed events."""
-    from fleetlens.sources.fleet import spark_sql
-
     return t.spark.sql(spark_sql("log_lines").replace("FROM events", "FROM {events}"), events=_event_stream(t))
 
 
@@ -1515,9 +1511,45 @@ def _(t):
     SELECT j.SQLJobID, f.ExecutionDateTime, (max((f.Duration, f.JobStatus)))[1] AS Duration, max(f.JobStatus) AS JobStatus
     FROM staged_jobs f JOIN sql_jobs j ON j.SQLInstanceID = f.SQLInstanceID AND j.SQLJobName = f.JobName GROUP BY 1, 2""")
 def _(t):
-    from fleetlens.sources.fleet import spark_sql
-
     root = shared_dir(t.spark, "jobs")
     runs = t.spark.sql(spark_sql("staged_jobs").replace("FROM events", "FROM {events}"), events=_event_stream(t))
     incremental.incremental_jobs(runs, root, t.sql_jobs).awaitTermination()
     return t.spark.read.parquet(f"{root}/job_history").select("SQLJobID", "ExecutionDateTime", "Duration", "JobStatus")
+
+
+# ---- stored batches and tables ------------------------------------------------------------------------
+
+_STAGED_JOBS = "SQLInstanceID bigint, JobName string, CategoryName string, ExecutionDateTime timestamp_ntz, Duration int, JobStatus string"
+
+
+@query("s2_land_batch", "SELECT * FROM staged_jobs")
+def _(t):
+    root = shared_dir(t.spark, "staging")
+    tables.land_batch(t.staged_jobs, root, "jobs", 7)
+    return tables.read_batch(t.spark, root, "jobs", 7, _STAGED_JOBS)
+
+
+@query("s3_clear_batch", "SELECT * FROM staged_jobs WHERE JobStatus <> 'Failed' AND Duration >= 100")
+def _(t):
+    root = shared_dir(t.spark, "staging")
+    tables.land_batch(t.staged_jobs.filter("Duration < 100"), root, "jobs", 1)
+    tables.land_batch(t.staged_jobs.filter("Duration >= 100"), root, "jobs", 2)
+    tables.clear_batch(t.spark, root, "jobs", 1)
+    return tables.read_batch(t.spark, root, "jobs", 1, _STAGED_JOBS).unionByName(tables.read_batch(t.spark, root, "jobs", 2, _STAGED_JOBS))
+
+
+@query("s5_append_run_log", """
+    SELECT DateTimeCaptured, ProcessID, Description FROM run_log UNION ALL SELECT TIMESTAMP '2024-02-01 00:00:00', 7, 'Collection End'""")
+def _(t):
+    path = shared_dir(t.spark, "run_log")
+    t.run_log.write.parquet(path)
+    tables.append_run_log(t.spark, path, 7, [("2024-02-01 00:00:00", "Collection End")])
+    return tables.read_table(t.spark, "run_log", path).select("DateTimeCaptured", "ProcessID", "Description")
+
+
+@query("s6_write_partitioned", """
+    SELECT *, CAST(strftime(DateCaptured, '%Y%m') AS INTEGER) AS yyyymm FROM disk_volume_space""")
+def _(t):
+    path = shared_dir(t.spark, "space")
+    tables.write_partitioned(t.disk_volume_space, path)
+    return t.spark.read.parquet(path)

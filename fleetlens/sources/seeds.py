@@ -88,6 +88,59 @@ SETTINGS = {
     "Default_DomainName": "example.local",
 }
 
+# fixed values: short names of the published policies
+POLICY_SHORT_NAMES = (
+    ("Advanced Options Turned On", "Server Options"),
+    ("All Data Files are Same Size in TempDB", "TempDB"),
+    ("Allow Updates Turned On", "Database Options"),
+    ("Auto Create Statistics is Disabled", "Database Options"),
+    ("Auto Update Statistics Is Disabled", "Database Options"),
+    ("Backup and Data File Location", "File Location"),
+    ("CmdExec Rights Secured", "Server Options"),
+    ("Current Size for TempDB Is Configured Size", "TempDB"),
+    ("Data and Log File Location", "File Location"),
+    ("Database Auto Close", "Database Options"),
+    ("Database Auto Shrink", "Database Options"),
+    ("Database Collation", "Database Options"),
+    ("Database Consistency Check Completed", "Database Consistency Check"),
+    ("Database Data File Growth Setting is Not 1MB", "Database File Size"),
+    ("Database Data File Growth Settings is Not Percent", "Database File Size"),
+    ("Database Log File Growth Setting is Less than 1024MB", "Database File Size"),
+    ("Database Log File Growth Setting is Not 1MB", "Database File Size"),
+    ("Database Log File Growth Setting is Not Percent", "Database File Size"),
+    ("Database Page Status", "Database Options"),
+    ("Database Page Verification", "Database Options"),
+    ("Database Recovery Model Is Simple", "Database Options"),
+    ("Databases Found with Disabled Indexes", "Indexes"),
+    ("Fill Factor Configured", "Server Options"),
+    ("Guest Permissions", "Guest"),
+    ("Large Number of Virtual Log Files", "VLF"),
+    ("Last Successful Backup Date", "Backups"),
+    ("Last Successful Log Backup Date", "Backups"),
+    ("Login 'sa' is Enabled", "Server Security"),
+    ("Max Degree of Parallelism Configured", "MAXDOP"),
+    ("Max Memory Not Set to Default Value", "Memory"),
+    ("Max Server Memory is at least 1GB", "Memory"),
+    ("Max Worker Thread Not Set to Default", "Server Options"),
+    ("Min Memory Does Not Equal Max Server Memory", "Memory"),
+    ("Min Memory Not Set to Default Value", "Memory"),
+    ("Min Server Memory at Least 25% Of Max Memory", "Memory"),
+    ("Number of TempDB Files", "TempDB"),
+    ("Optimize for Ad Hoc Workload Truned Off", "Server Options"),
+    ("Orphaned Windows NT Logins Found", "Server Security"),
+    ("Public Database Role Has No Access", "Database Security"),
+    ("Read-only Database Recovery Model", "Database Options"),
+    ("Recovery Interval Setting Changed from Default", "Database Options"),
+    ("Remote Dedicated Admin Connection is Enabled", "Server Options"),
+    ("SQL Server Affinity Mask", "Server Options"),
+    ("SQL Server Blocked Process Threshold", "Server Options"),
+    ("SQL Server Default Trace", "Server Options"),
+    ("SQL Server Dynamic Locks", "Server Options"),
+    ("SQL Server Login Mode", "Server Options"),
+    ("SQL Server System Tables Updatable", "Server Options"),
+    ("Transaction Log Bigger then Data Files Size", "Database File Size"),
+)
+
 
 def seed_dimension(
     target: DataFrame, seed: DataFrame, key: str | Sequence[str], update_cols: Sequence[str] = (), unknown_row: dict | None = None,
@@ -137,8 +190,9 @@ def seed_settings(target: DataFrame) -> DataFrame:
     return seed_dimension(target, seed, "SettingName")
 
 
-def seed_policy_short_names(target: DataFrame, names: DataFrame, policies: DataFrame) -> DataFrame:
-    """Short names (PolicyName, Policy_ShortName) joined to the policy ids of this installation."""
+def seed_policy_short_names(target: DataFrame, policies: DataFrame) -> DataFrame:
+    """Short names joined to the policy ids of this installation; policies it lacks are left out."""
+    names = target.sparkSession.createDataFrame(list(POLICY_SHORT_NAMES), "PolicyName string, Policy_ShortName string")
     rows = names.join(policies.select("PolicyName", F.col("policy_id").alias("Policy_ID")), "PolicyName")
     return seed_dimension(target, rows.select("Policy_ID", "Policy_ShortName"), "Policy_ID", ["Policy_ShortName"])
 

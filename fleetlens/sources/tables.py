@@ -13,16 +13,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from fleetlens.functions.columns import yyyymm
+from fleetlens.sources.shared import delete_path, list_names, path_exists
 
 # table -> (namespace, schema, defaults of missing or null columns)
 SCHEMAS: dict[str, tuple[str, str, dict[str, object]]] = {
     "settings": ("dbo", "SettingName string, SettingValue string", {}),
     "operating_systems": ("dbo", "OperatingSystemID int, OperatingSystemName string, OperatingSystemShortName string", {}),
     "sql_versions": ("dbo", "SQLVersionID int, SQLVersion string, SQLVersionShortName string, SQLMajorVersion int, SQLMinorVersion int, SQLBuild int, SQLVersionSupportEndDate date", {}),
-    "application": ("dbo", "ApplicationID int, ApplicationName string, ApplicationOwner string", {}),
+    "application": ("dbo", "ApplicationID bigint, ApplicationName string, ApplicationOwner string", {}),
     "run_log": ("dbo", "LogID bigint, DateTimeCaptured timestamp_ntz, ProcessID int, Description string", {}),
     "servers": ("dbo", "ServerID bigint, ServerName string, OperatingSystemID int, ProcessorName string, NumberOfCores int, NumberOfLogicalCores int, Memory_mb bigint, PageFile_mb bigint, IsPhysical boolean, IsMonitored boolean, DiscoveryOn date, LastUpdated date",
                 {"ProcessorName": "Unknown", "NumberOfCores": 0, "NumberOfLogicalCores": 0, "IsPhysical": True, "IsMonitored": True}),
@@ -33,7 +34,7 @@ SCHEMAS: dict[str, tuple[str, str, dict[str, object]]] = {
     "disk_volume_space": ("dbo", "DiskVolumeID bigint, DateCaptured date, SpaceUsed_mb bigint, TotalSpace_mb bigint", {}),
     "sql_instances": ("dbo", "SQLInstanceID bigint, ServerID bigint, SQLClusterID int, SQLInstanceName string, SQLInstanceVersionID int, SQLInstanceBuild string, SQLInstanceEdition string, SQLInstanceType string, SQLInstanceEnviornment string, IsMonitored boolean, DiscoveryOn date, LastUpdated date",
                       {"SQLInstanceVersionID": 1, "IsMonitored": True}),
-    "databases": ("dbo", "DatabaseID bigint, SQLInstanceID bigint, DatabaseName string, DatabaseState string, ApplicationID int, IsMonitored boolean, DiscoveryOn date, LastUpdated date", {"ApplicationID": 1, "IsMonitored": True}),
+    "databases": ("dbo", "DatabaseID bigint, SQLInstanceID bigint, DatabaseName string, DatabaseState string, ApplicationID bigint, IsMonitored boolean, DiscoveryOn date, LastUpdated date", {"ApplicationID": 1, "IsMonitored": True}),
     "database_size": ("dbo", "DatabaseID bigint, FileType string, DateCaptured date, FileSize_mb bigint", {"FileType": "", "FileSize_mb": 0}),
     "sql_error_log": ("dbo", "ErrorLogID bigint, SQLInstanceID bigint, DateTime timestamp_ntz, ErrorMsg string", {}),
     "sql_job_categories": ("dbo", "SQLJobCategoryID bigint, SQLJobCategoryName string", {}),
@@ -105,20 +106,73 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet",
     return conform(reader.schema(schema_of(name)).load(path), name)
 
 
+# facts and roll-ups stored by period: table -> (partition column, date column it derives from)
+PARTITIONED: dict[str, tuple[str, str | None]] = {
+    "database_size": ("yyyymm", "DateCaptured"),
+    "disk_volume_space": ("yyyymm", "DateCaptured"),
+    "sql_error_log": ("yyyymm", "DateTime"),
+    "sql_job_history": ("yyyymm", "ExecutionDateTime"),
+    "database_monthly": ("YearMonth", None),
+    "volume_monthly": ("YearMonth", None),
+    "trending_servers": ("YearMonth", None),
+    "trending_instances": ("YearMonth", None),
+    "trending_databases": ("YearMonth", None),
+}
+
+
 class Warehouse:
-    """Stored tables as attributes, the form every report and merge accepts."""
+    """Stored tables as attributes, the form every report and merge accepts.
+
+    Period facts are partitioned and rewritten one period at a time; all other tables are
+    replaced as a whole, generation by generation.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
 
+    def path(self, name: str) -> str:
+        return table_path(self.root, name)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in SCHEMAS:
+            raise KeyError(name)
+        path = self.path(name)
+        if name not in PARTITIONED:
+            return conform(read_current(self.spark, path), name)
+        typed = StructType(list(schema_of(name).fields))
+        if PARTITIONED[name][0] not in typed.names:
+            typed = typed.add(PARTITIONED[name][0], IntegerType())
+        if not path_exists(self.spark, path):
+            return self.spark.createDataFrame([], typed)
+        # The partition column stays visible to the scan, so a filter on the period prunes directories.
+        rows = self.spark.read.schema(typed).parquet(path)
+        return rows.select(*typed.names)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in SCHEMAS:
             raise AttributeError(name)
-        return read_table(self.spark, name, table_path(self.root, name))
+        return self[name]
 
-    def __getitem__(self, name: str) -> DataFrame:
-        return read_table(self.spark, name, table_path(self.root, name))
+    def save(self, name: str, df: DataFrame) -> None:
+        """Store a table; of a partitioned one only the periods that ``df`` contains."""
+        rows = conform(df, name)
+        if name in PARTITIONED:
+            key, date_col = PARTITIONED[name]
+            write_partitioned(rows, self.path(name), (key,), date_col or key)
+        else:
+            replace_table(rows, self.path(name))
+
+    def periods(self, name: str) -> list[int]:
+        """Stored periods, from the directory names; a few dozen per table."""
+        key = PARTITIONED[name][0] + "="
+        path = self.path(name)
+        if not path_exists(self.spark, path):
+            return []
+        return sorted(int(d.removeprefix(key)) for d in list_names(self.spark, path) if d.startswith(key))
+
+    def drop_period(self, name: str, period: int) -> None:
+        delete_path(self.spark, os.path.join(self.path(name), f"{PARTITIONED[name][0]}={int(period)}"))
 
 
 # ---- writes ----------------------------------------------------------------------
@@ -177,11 +231,7 @@ def read_batch(
 
 def clear_batch(spark: SparkSession, root: str, dataset: str, run_id: int, schema_version: int = 1) -> bool:
     """Drop one run's staged rows; other runs are untouched.  Returns whether there was something to drop."""
-    target = os.path.join(staging_path(root, dataset, schema_version), f"run_id={int(run_id)}")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.delete(path, True))
+    return delete_path(spark, os.path.join(staging_path(root, dataset, schema_version), f"run_id={int(run_id)}"))
 
 
 def append_run_log(spark: SparkSession, path: str, run_id: int, messages: Sequence[tuple[str, str]]) -> None:

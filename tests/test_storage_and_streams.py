@@ -6,7 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.operators import feeds
+from fleetlens.operators import feeds, rollup
+from fleetlens.plans import daily, reports
 from fleetlens.sources import seeds, tables
 from fleetlens.streaming import incremental
 
@@ -47,9 +48,12 @@ def test_replace_table_reads_its_own_source(spark, make, tmp_path):
 def test_warehouse_reads_typed_tables(spark, fleet, tmp_path):
     root = str(tmp_path)
     fleet.servers.drop("ProcessorName").write.parquet(tables.table_path(root, "servers"))
-    store = tables.Warehouse(spark, root)
-    assert store.servers.schema == tables.schema_of("servers") or store.servers.columns == tables.schema_of("servers").names
-    assert store["servers"].select("ProcessorName").distinct().first()[0] == "Unknown"
+    direct = tables.read_table(spark, "servers", tables.table_path(root, "servers"))
+    assert direct.columns == tables.schema_of("servers").names
+    assert direct.select("ProcessorName").distinct().first()[0] == "Unknown"
+    store = tables.Warehouse(spark, root + "/w")
+    store.save("servers", direct)
+    assert store.servers.exceptAll(direct).count() == 0 and store["servers"].count() == direct.count()
     with pytest.raises(AttributeError):
         store.nothing
 
@@ -132,3 +136,63 @@ def test_hourly_counts_of_closed_hours(spark, make, tmp_path):
     _land(make(rows, LINES), src, "p0")
     incremental.write_hourly_counts(_stream(spark, src + "/*", make([], LINES).schema), root).awaitTermination()
     assert [(r.HourStart, r.LineCount) for r in spark.read.parquet(root + "/hours").collect()] == [(TS(2024, 1, 1), 5)]
+
+
+@pytest.fixture(scope="module")
+def store(spark, fleet, tmp_path_factory):
+    """A stored warehouse filled from the driver's tables."""
+    out = tables.Warehouse(spark, str(tmp_path_factory.mktemp("warehouse")))
+    for name in ("servers", "operating_systems", "sql_clusters", "sql_versions", "sql_instances", "application", "databases",
+                 "ag_instances", "ag_databases", "database_size", "disk_volume_space", "disk_volumes"):
+        out.save(name, getattr(fleet, name))
+    return out
+
+
+def test_warehouse_round_trip_and_report(store, fleet, rows):
+    assert store.database_size.drop("yyyymm").exceptAll(fleet.database_size.select("DatabaseID", "FileType", "DateCaptured", "FileSize_mb")).count() == 0
+    a, b = reports.report_volumes(store), reports.report_volumes(fleet)
+    assert a.columns == b.columns and rows(a, "DiskVolumeID", "DaysLabel") == rows(b, "DiskVolumeID", "DaysLabel")
+
+
+def test_first_of_month_run_is_idempotent(store, fleet):
+    settings = {**seeds.SETTINGS, "RawData_CleanUp_Retention_Days": "40"}
+    want = rollup.monthly_database_size(fleet.database_size, 1998, 5)
+    daily.daily_maintenance(store, settings, "1998-06-01")
+    assert store.database_monthly.exceptAll(want.select(store.database_monthly.columns)).count() == 0
+    assert store.periods("database_monthly") == [199805]
+    kept = store.database_size.filter("DateCaptured <= date '1998-04-22'").count()
+    after = store.database_size.count()
+    daily.daily_maintenance(store, settings, "1998-06-01")
+    assert kept == 0 and store.database_size.count() == after
+    assert after == fleet.database_size.filter("DateCaptured > date '1998-04-22'").count()
+
+
+def test_trends_are_published_once(store, fleet):
+    for _ in range(2):
+        daily.publish_trends(store, "2001-09-30")
+    want = rollup.trend_servers(fleet.servers, fleet.operating_systems, "2001-09-30")
+    got = store.trending_servers.filter("YearMonth = 200109")
+    assert got.count() == want.count() > 0 and store.periods("trending_databases") == [200109]
+
+
+def test_daily_collection_merges_one_batch(store, fleet):
+    batch = fleet.staged_databases
+    daily.collect_databases(store, batch, "1998-06-20")
+    day = store.database_size.filter("DateCaptured = date '1998-06-20'")
+    assert day.count() >= batch.select("DatabaseName", "FileType").distinct().count()
+    assert store.databases.filter("DatabaseID is null").count() == 0
+    before = store.database_size.count()
+    daily.collect_databases(store, batch, "1998-06-20")
+    assert store.database_size.count() == before
+
+
+def test_error_collection_is_idempotent(store, fleet):
+    daily.collect_errors(store, fleet.log_lines)
+    daily.collect_errors(store, fleet.log_lines)
+    assert store.sql_error_log.count() == feeds.extract_errors(fleet.log_lines).count()
+
+
+def test_policy_short_names(spark, make):
+    target = seeds.empty_table(spark, tables.SCHEMAS["policy_short_names"][1])
+    policies = make([("Guest Permissions", 4), ("Home grown", 5)], "PolicyName string, policy_id int")
+    assert [tuple(r) for r in seeds.seed_policy_short_names(target, policies).collect()] == [(4, "Guest")]
