@@ -65,19 +65,19 @@ def expired_objects(
         "Servers": lambda: shape(old("servers"), "Servers", F.col("ServerName"), "ServerName"),
         "SQL Clusters": lambda: shape(old("sql_clusters"), "SQL Clusters", F.col("SQLClusterName"), "SQLClusterName"),
         "SQL Instances": lambda: shape(
-            with_owner(old("sql_instances").select("SQLInstanceName", "ServerID", "SQLClusterID", "LastUpdated"), servers, clusters),
+            with_owner(old("sql_instances").select("SQLInstanceID", "SQLInstanceName", "ServerID", "SQLClusterID", "LastUpdated"), servers, clusters, entity="SQLInstanceID"),
             "SQL Instances", F.col("ComputerName"), "SQLInstanceName"),
         "Disk Volumes": lambda: shape(
-            with_owner(old("disk_volumes").select("DiskVolumeName", "ServerID", "SQLClusterID", "LastUpdated"), servers, clusters),
+            with_owner(old("disk_volumes").select("DiskVolumeID", "DiskVolumeName", "ServerID", "SQLClusterID", "LastUpdated"), servers, clusters, entity="DiskVolumeID"),
             "Disk Volumes", F.col("ComputerName"), "DiskVolumeName"),
         "Databases": lambda: shape(
-            with_owner(old("databases").select("SQLInstanceID", "DatabaseName", "LastUpdated").join(inst(), "SQLInstanceID"), servers, clusters),
+            with_owner(old("databases").select("DatabaseID", "SQLInstanceID", "DatabaseName", "LastUpdated").join(inst(), "SQLInstanceID"), servers, clusters, entity="DatabaseID"),
             "Databases", inst_location(), "DatabaseName"),
         "Availability Groups": lambda: shape(
             with_owner(
                 old("availability_groups").select("AGID", "AGName", "LastUpdated")
                 .join(tables["ag_instances"].select("AGID", "SQLInstanceID"), "AGID").join(inst(), "SQLInstanceID"),
-                servers, clusters),
+                servers, clusters, entity="SQLInstanceID"),
             "Availability Groups", inst_location(), "AGName"),
     }
     wanted = [k for k in builders if kind in (None, "<ALL>", k)]

@@ -18,10 +18,15 @@ def _open(tag: str) -> str:
 
 
 def _element(tag: str) -> str:
-    """Pattern of an element with text, in any namespace; group 1 is its content."""
+    """Pattern of an element with children, in any namespace; group 1 is its content."""
     return rf"(?s){_open(tag)}(.*?)</{_PREFIX}{tag}\s*>"
 
 
+def _leaf(tag: str) -> str:
+    """Pattern of an element with text only; group 1 is the text, which may contain CDATA sections."""
+    return rf"(?s){_open(tag)}([^<]*+(?:<!\[CDATA\[.*?\]\]>[^<]*+)*+)</"
+
+
 def _fragments(doc: Column, tag: str) -> Column:
     return F.regexp_extract_all(doc, F.lit(_element(tag)), F.lit(1))
 
@@ -30,7 +35,9 @@ def _unescape(text: Column) -> Column:
     plain = text
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.when(text.contains("&"), plain).otherwise(text)
+    return (
+        F.when(text.contains("<![CDATA["), F.regexp_replace(text, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))
+        .when(text.contains("&"), plain).otherwise(text))
 
 
 def _with_texts(df: DataFrame, fragment: str, **tags: str) -> DataFrame:
@@ -38,7 +45,7 @@ def _with_texts(df: DataFrame, fragment: str, **tags: str) -> DataFrame:
 
     The raw text is its own projection, so each pattern runs once per row.
     """
-    raw = df.withColumns({f"_raw_{c}": F.regexp_extract(fragment, _element(tag), 1) for c, tag in tags.items()})
+    raw = df.withColumns({f"_raw_{c}": F.regexp_extract(fragment, _leaf(tag), 1) for c, tag in tags.items()})
     done = raw.withColumns({
         c: F.when(F.col(f"_raw_{c}") != "", _unescape(F.col(f"_raw_{c}"))).when(F.rlike(fragment, F.lit(_open(tag))), F.lit(""))
         for c, tag in tags.items()})
@@ -61,56 +68,63 @@ def _documents(history: DataFrame, policies: DataFrame, category: str | None) ->
     return history.join(known, "EvaluatedPolicy")
 
 
-def _shape(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        "PolicyHistoryID", "EvaluatedServer", "EvaluationDateTime", "EvaluatedPolicy", "EvaluatedObject", "PolicyResult",
-        "ExceptionMessage", "ResultDetail", "Policy_id", "CategoryName",
-        F.date_format("EvaluationDateTime", "MMMM yyyy").alias("MonthYear"), F.lit(RESULT_SOURCE).alias("PolicyHistorySource"))
+def _has_detail(doc: Column) -> Column:
+    return F.rlike(doc, F.lit(_open(_DETAIL)))
 
 
-def shred_policy_results(
+def shred_documents(
     history: DataFrame, policies: DataFrame, loaded: DataFrame | None = None, category: str | None = None,
+    targets: bool = True, no_targets: bool = True,
 ) -> DataFrame:
-    """One row per target of each document, one per object name within a document.
+    """One row per target of each document, and one row for a document without targets, in one pass.
 
     A document lists its own targets only, so the explode is bounded by one policy
-    evaluation.  The duplicate kept is the first in document order.
+    evaluation.  Of several results for one object the first in document order is kept.
+    ``loaded`` holds rows of earlier loads: a document with targets counts as loaded when it has a row with
+    a result detail, one without targets when it has a row without.
     """
+    doc = F.col("EvaluationResults")
     docs = _documents(history, policies, category)
     if loaded is not None:
-        done = loaded.filter(F.col("ResultDetail").isNotNull()).select("PolicyHistoryID").distinct()
-        docs = docs.join(done, "PolicyHistoryID", "left_anti")
-    parsed = docs.withColumn("_parts", _fragments(F.col("EvaluationResults"), _DETAIL)).drop("EvaluationResults")
-    # Within a document keep the first fragment per object name; no shuffle is needed.
-    parsed = parsed.withColumn("_names", F.when(
-        F.size("_parts") > 1, F.transform("_parts", lambda f: F.regexp_extract(f, _element("TargetQueryExpression"), 1))))
+        has = F.col("ResultDetail").isNotNull()
+        flags = loaded.groupBy("PolicyHistoryID").agg(F.max(has).alias("_done_targets"), F.max(~has).alias("_done_none"))
+        docs = docs.join(flags, "PolicyHistoryID", "left")
+    else:
+        docs = docs.withColumns({"_done_targets": F.lit(False), "_done_none": F.lit(False)})
+    docs = docs.withColumn("_parts", _fragments(doc, _DETAIL))
+
+    # Names are compared inside the document only, so dropping repeats needs no shuffle.
+    many, some = F.size("_parts") > 1, F.size("_parts") > 0
+    docs = docs.withColumn("_names", F.when(
+        many, F.transform("_parts", lambda f: F.regexp_extract(f, _leaf("TargetQueryExpression"), 1))))
     first = F.filter("_parts", lambda f, i: F.array_position("_names", F.get("_names", i)) == i + 1)
-    rows = parsed.withColumn("_part", F.explode(F.when(F.size("_parts") > 1, first).otherwise(F.col("_parts"))))
+    wanted_targets = F.lit(targets) & ~F.coalesce("_done_targets", F.lit(False))
+    wanted_none = F.lit(no_targets) & ~F.coalesce("_done_none", F.lit(False)) & ~_has_detail(doc) & F.rlike(doc, F.lit(_open("ServerInstance")))
+    blocks = F.when(many & wanted_targets, first).when(some & wanted_targets, F.col("_parts")).when(~some & wanted_none, F.array(doc))
+    rows = docs.withColumn("_target", some).withColumn("_block", F.explode(blocks)).drop("EvaluationResults", "_parts", "_names")
+    rows = rows.filter(~F.col("_target") | F.rlike("_block", F.lit(_open("TargetQueryExpression"))))
     rows = _with_texts(
-        rows.filter(F.rlike("_part", F.lit(_open("TargetQueryExpression")))), "_part", EvaluatedObject="TargetQueryExpression",
-        Result="Result", ExceptionMessage="Exception", ResultDetail="ResultDetail")
-    return _shape(rows.withColumn("PolicyResult", policy_result(F.col("Result"), F.col("ExceptionMessage"))))
+        rows, "_block", _object="TargetQueryExpression", Result="Result", ExceptionMessage="Exception", _detail="ResultDetail")
+    return rows.select(
+        "PolicyHistoryID", "EvaluatedServer", "EvaluationDateTime", "EvaluatedPolicy",
+        F.when(F.col("_target"), F.col("_object")).otherwise(F.lit(NO_TARGET)).alias("EvaluatedObject"),
+        policy_result(F.col("Result"), F.col("ExceptionMessage")).alias("PolicyResult"), "ExceptionMessage",
+        F.when(F.col("_target"), F.col("_detail")).alias("ResultDetail"), "Policy_id", "CategoryName",
+        F.date_format("EvaluationDateTime", "MMMM yyyy").alias("MonthYear"), F.lit(RESULT_SOURCE).alias("PolicyHistorySource"))
 
 
-def _has_detail(doc: Column) -> Column:
-    return F.rlike(doc, F.lit(_open(_DETAIL)))
+def shred_policy_results(
+    history: DataFrame, policies: DataFrame, loaded: DataFrame | None = None, category: str | None = None,
+) -> DataFrame:
+    """Rows of documents with targets only."""
+    return shred_documents(history, policies, loaded, category, no_targets=False)
 
 
 def shred_no_target_results(
     history: DataFrame, policies: DataFrame, loaded: DataFrame | None = None, category: str | None = None,
 ) -> DataFrame:
-    """Documents without any evaluation detail, reported under a fixed object name."""
-    docs = _documents(history, policies, category)
-    if loaded is not None:
-        done = loaded.filter(F.col("ResultDetail").isNull()).select("PolicyHistoryID").distinct()
-        docs = docs.join(done, "PolicyHistoryID", "left_anti")
-    doc = F.col("EvaluationResults")
-    rows = _with_texts(
-        docs.filter(~_has_detail(doc) & F.rlike(doc, F.lit(_open("ServerInstance")))), "EvaluationResults",
-        Result="Result", ExceptionMessage="Exception")
-    return _shape(rows.withColumns({
-        "EvaluatedObject": F.lit(NO_TARGET), "ResultDetail": F.lit(None).cast("string"),
-        "PolicyResult": policy_result(F.col("Result"), F.col("ExceptionMessage"))}))
+    """Rows of documents without any evaluation detail, under a fixed object name."""
+    return shred_documents(history, policies, loaded, category, targets=False)
 
 
 def shred_policy_errors(
@@ -134,8 +148,7 @@ def load_policy_history(
     category: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """New detail rows (with and without targets) and new error rows of one load."""
-    detail = shred_policy_results(history, policies, loaded, category).unionByName(
-        shred_no_target_results(history, policies, loaded, category))
+    detail = shred_documents(history, policies, loaded, category)
     return detail, shred_policy_errors(history, policies, errors, category)
 
 

@@ -13,18 +13,24 @@ NEVER_FULL = 99999.0  # fixed value: days-until-full of a volume that does not g
 GROUP_PATH_CHARS = 75  # fixed value: stored length of a group path
 
 
-def with_owner(df: DataFrame, servers: DataFrame, clusters: DataFrame, *extra: str) -> DataFrame:
+def with_owner(df: DataFrame, servers: DataFrame, clusters: DataFrame, *extra: str, entity: str) -> DataFrame:
     """Add ``ComputerName`` (and ``extra`` server columns) of the server or cluster that owns each row.
 
     Exactly one of ``ServerID`` / ``SQLClusterID`` is expected; a row with both or neither
-    gets a null owner.
+    gets a null owner.  Rows that cannot match get a join key from ``entity``, a column that
+    varies by row: null keys would all meet in one task when the dimension is too big to broadcast.
     """
     s = servers.select(
         F.col("ServerID").alias("_server_id"), F.col("ServerName").alias("_server_name"), *extra)
     c = clusters.select(F.col("SQLClusterID").alias("_cluster_id"), F.col("SQLClusterName").alias("_cluster_name"))
+    on_server = F.col("ServerID").isNotNull() & F.col("SQLClusterID").isNull()
+    on_cluster = F.col("SQLClusterID").isNotNull() & F.col("ServerID").isNull()
+    spread = F.hash(entity)
+    server_key = F.when(on_server, F.col("ServerID")).otherwise(spread.cast("bigint"))
+    cluster_key = F.when(on_cluster, F.col("SQLClusterID")).otherwise(spread)
     return (
-        df.join(s, (F.col("ServerID") == F.col("_server_id")) & F.col("SQLClusterID").isNull(), "left")
-        .join(c, (F.col("SQLClusterID") == F.col("_cluster_id")) & F.col("ServerID").isNull(), "left")
+        df.join(s, (server_key == F.col("_server_id")) & on_server, "left")
+        .join(c, (cluster_key == F.col("_cluster_id")) & on_cluster, "left")
         .withColumn("ComputerName", F.coalesce("_server_name", "_cluster_name"))
         .drop("_server_id", "_server_name", "_cluster_id", "_cluster_name")
     )
@@ -34,7 +40,7 @@ def instance_view(instances: DataFrame, versions: DataFrame, servers: DataFrame,
     """Instances with version attributes, owner and the ``Computer\\Instance`` label."""
     v = versions.select(
         F.col("SQLVersionID").alias("SQLInstanceVersionID"), "SQLVersion", "SQLMajorVersion", "SQLMinorVersion")
-    owned = with_owner(instances.join(v, "SQLInstanceVersionID"), servers, clusters)
+    owned = with_owner(instances.join(v, "SQLInstanceVersionID"), servers, clusters, entity="SQLInstanceID")
     return owned.select(
         "SQLInstanceID",
         instance_label("ComputerName", "SQLInstanceName").alias("ServerInstance"),
@@ -60,7 +66,7 @@ def volume_forecast(space: DataFrame, volumes: DataFrame, servers: DataFrame, cl
         F.count(F.lit(1)).alias("DaysHistory"),
     )
     monitored = volumes.filter("IsMonitored").select("DiskVolumeID", "DiskVolumeName", "ServerID", "SQLClusterID")
-    rows = with_owner(monitored.join(span, "DiskVolumeID"), servers, clusters, "IsPhysical")
+    rows = with_owner(monitored.join(span, "DiskVolumeID"), servers, clusters, "IsPhysical", entity="DiskVolumeID")
 
     used, total = F.col("last_used"), F.col("last_total")
     days = F.datediff("last_date", "first_date") + 1

@@ -610,7 +610,7 @@ def _(t):
 
 
 @query("u17_policy_history_load", """
-    SELECT * FROM policy_detail WHERE EvaluationDateTime >= TIMESTAMP '2024-01-16 00:00:00' OR (ResultDetail IS NULL AND CategoryName = 'nothing')""")
+    SELECT * FROM policy_detail WHERE EvaluationDateTime >= TIMESTAMP '2024-01-16 00:00:00'""")
 def _(t):
     # Documents before the 16th are already loaded; the load must add the rest only.
     before = t.policy_history.filter(F.col("EvaluationDateTime") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"))

@@ -137,7 +137,7 @@ def _volume_growth(t, facts: DataFrame, period: str, volume_id: int | None) -> D
     facts = apply_filters(facts, unless_all("DiskVolumeID", volume_id))
     grown = rollup.growth_percent(facts, ["DiskVolumeID"], period, "SpaceUsed_mb", change_name="UsedSpaceChange_mb")
     names = views.with_owner(
-        t.disk_volumes.select("DiskVolumeID", "DiskVolumeName", "ServerID", "SQLClusterID"), t.servers, t.sql_clusters)
+        t.disk_volumes.select("DiskVolumeID", "DiskVolumeName", "ServerID", "SQLClusterID"), t.servers, t.sql_clusters, entity="DiskVolumeID")
     return grown.join(names.select("DiskVolumeID", "DiskVolumeName", "ComputerName"), "DiskVolumeID").select(
         "DiskVolumeID", "ComputerName", "DiskVolumeName", period, "SpaceUsed_mb", "TotalSpace_mb", "UsedSpaceChange_mb",
         "GrowthInPercent", (F.col("TotalSpace_mb") - F.col("SpaceUsed_mb")).alias("FreeSpace_mb"))
@@ -155,7 +155,7 @@ def report_volume_info(t, *, volume_id: int | None = None) -> DataFrame:
     rows = apply_filters(
         t.disk_volumes.select("DiskVolumeID", "DiskVolumeName", "ServerID", "SQLClusterID", "DiscoveryOn", "LastUpdated"),
         unless_all("DiskVolumeID", volume_id))
-    return views.with_owner(rows, t.servers, t.sql_clusters).select(
+    return views.with_owner(rows, t.servers, t.sql_clusters, entity="DiskVolumeID").select(
         "ComputerName", "DiskVolumeID", "DiskVolumeName", "DiscoveryOn", "LastUpdated",
         F.concat(F.lit("Computer: "), "ComputerName", F.lit(" Volume: "), "DiskVolumeName").alias("ReportTitle"))
 
@@ -633,13 +633,14 @@ def report_volumes(t, *, computer: str | None = None, volume_id: int | None = No
 
 def report_computer_choices(t) -> DataFrame:
     """Computers that host an instance, with the catch-all entry."""
-    names = views.with_owner(t.sql_instances.select("ServerID", "SQLClusterID"), t.servers, t.sql_clusters)
+    names = views.with_owner(t.sql_instances.select("SQLInstanceID", "ServerID", "SQLClusterID"), t.servers, t.sql_clusters, entity="SQLInstanceID")
     return report_value_list(names, "ComputerName", "<ALL>")
 
 
 def report_volume_choices(t, *, computer: str | None = None) -> DataFrame:
     names = views.with_owner(
-        t.disk_volumes.filter(_visible()).select("DiskVolumeID", "DiskVolumeName", "ServerID", "SQLClusterID"), t.servers, t.sql_clusters)
+        t.disk_volumes.filter(_visible()).select("DiskVolumeID", "DiskVolumeName", "ServerID", "SQLClusterID"), t.servers, t.sql_clusters,
+        entity="DiskVolumeID")
     names = apply_filters(names, unless_all("ComputerName", computer, "<ALL>"))
     return _union_all_value(names.select("ComputerName", "DiskVolumeID", "DiskVolumeName"), ("Default", 0, "<ALL>"))
 

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens.operators import feeds, merges
-from fleetlens.sources.shared import path_exists
+from fleetlens.sources.shared import delete_path, path_exists
 
 LATE_AFTER = "30 hours"  # fixed value: older lines are never fetched
 SLICE = "1 hour"
+STATES_KEPT = 20
 
 
 def event_time(ts_col: str) -> Column:
@@ -44,6 +45,18 @@ def hourly_counts(events: DataFrame, ts_col: str = "LogDate", key: str = "SQLIns
     return hours.select(key, "HourStart", (F.col("HourStart") + F.expr("interval 1 hour")).alias("HourEnd"), "LineCount")
 
 
+def _once(work):
+    """Run one batch's writes over a kept copy, so its source is computed a single time."""
+    def run(df: DataFrame, batch_id: int) -> None:
+        df.persist()
+        try:
+            work(df, batch_id)
+        finally:
+            df.unpersist()
+
+    return run
+
+
 def _write_batch(df: DataFrame, path: str, batch_id: int, *partition_by: str) -> None:
     df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("batch_id", *partition_by).parquet(path)
@@ -55,7 +68,11 @@ def _state(spark: SparkSession, root: str, name: str, batch_id: int) -> DataFram
 
 
 def _save_state(df: DataFrame, root: str, name: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(os.path.join(root, "state", name, f"batch={batch_id}"))
+    """Write this batch's state; older ones stay long enough for any batch that may be repeated."""
+    folder = os.path.join(root, "state", name)
+    df.write.mode("overwrite").parquet(os.path.join(folder, f"batch={batch_id}"))
+    if batch_id >= STATES_KEPT:
+        delete_path(df.sparkSession, os.path.join(folder, f"batch={batch_id - STATES_KEPT}"))
 
 
 def error_batch(batch: DataFrame, batch_id: int, root: str) -> None:
@@ -80,15 +97,8 @@ def error_batch(batch: DataFrame, batch_id: int, root: str) -> None:
 
 def incremental_errors(lines: DataFrame, root: str) -> StreamingQuery:
     """Continuous error extraction from a stream of log lines into ``<root>/errors``."""
-    def run(df: DataFrame, batch_id: int) -> None:
-        df.persist()
-        try:
-            error_batch(df, batch_id, root)
-        finally:
-            df.unpersist()
-
     return (
-        drop_late(lines).writeStream.foreachBatch(run)
+        drop_late(lines).writeStream.foreachBatch(_once(lambda df, i: error_batch(df, i, root)))
         .option("checkpointLocation", os.path.join(root, "checkpoint-errors")).trigger(availableNow=True).start())
 
 
@@ -118,7 +128,7 @@ def job_batch(batch: DataFrame, batch_id: int, root: str, jobs: DataFrame) -> No
 def incremental_jobs(runs: DataFrame, root: str, jobs: DataFrame) -> StreamingQuery:
     """Continuous load of job runs into ``<root>/job_history``."""
     return (
-        runs.writeStream.foreachBatch(lambda df, i: job_batch(df, i, root, jobs))
+        runs.writeStream.foreachBatch(_once(lambda df, i: job_batch(df, i, root, jobs)))
         .option("checkpointLocation", os.path.join(root, "checkpoint-jobs")).trigger(availableNow=True).start())
 
 

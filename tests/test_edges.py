@@ -260,7 +260,7 @@ def _detail(obj, result, exc="", extra=""):
 
 def test_policy_documents(make, rows):
     ns = 'xmlns:DMF="urn:x"'
-    many = f"<DMF:R {ns}>" + _detail("A", "TRUE") + _detail("B", "FALSE") + _detail("C &amp; D", "FALSE", "boom") + _detail("B", "TRUE") + "</DMF:R>"
+    many = f"<DMF:R {ns}>" + _detail("<![CDATA[A]]>", "TRUE") + _detail("B", "FALSE") + _detail("C &amp; D", "FALSE", "boom") + _detail("B", "TRUE") + "</DMF:R>"
     none = f"<DMF:R {ns}><DMF:ServerInstance>s</DMF:ServerInstance><DMF:Result>FALSE</DMF:Result><DMF:Exception>bad</DMF:Exception></DMF:R>"
     history, policies = _policy(make, many, none)
     assert rows(policy.shred_policy_results(history, policies), "EvaluatedObject", "PolicyResult", "MonthYear") == [

@@ -196,3 +196,17 @@ def test_policy_short_names(spark, make):
     target = seeds.empty_table(spark, tables.SCHEMAS["policy_short_names"][1])
     policies = make([("Guest Permissions", 4), ("Home grown", 5)], "PolicyName string, policy_id int")
     assert [tuple(r) for r in seeds.seed_policy_short_names(target, policies).collect()] == [(4, "Guest")]
+
+
+def test_daily_snapshot_tables(fleet):
+    from fleetlens.oracle import catalog
+
+    class Store:
+        sql_services = catalog._stored_services(fleet)
+
+        def __getattr__(self, name):
+            return getattr(fleet, name)
+
+    out = daily.daily_snapshot(Store(), "2001-10-15", catalog._health(fleet))
+    assert sorted(out) == ["databases", "errors", "jobs", "policy", "services", "size_change", "top_volumes"]
+    assert out["services"].count() > 0 and out["top_volumes"].count() == min(15, out["top_volumes"].count())
