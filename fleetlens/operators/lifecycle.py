@@ -112,9 +112,13 @@ def expired_bucket_list(spark: SparkSession) -> DataFrame:
 
 # ---- retention -----------------------------------------------------------------
 
-def _keep(df: DataFrame, expired: Column) -> DataFrame:
-    """Rows for which ``expired`` is not true; a null date is never purged."""
-    return df.filter(~F.coalesce(expired, F.lit(False)))
+def _keep(df: DataFrame, column: str, limit: Column, inclusive: bool = True) -> DataFrame:
+    """Rows after ``limit``, or from it on when only earlier ones go (``inclusive=False``); nulls are never purged.
+
+    Written as a range test so that the scan can skip row groups.
+    """
+    value = F.col(column)
+    return df.filter((value > limit if inclusive else value >= limit) | value.isNull())
 
 
 def _cutoff(as_of: Column, n: int, unit: str) -> Column:
@@ -128,7 +132,7 @@ def _cutoff(as_of: Column, n: int, unit: str) -> Column:
 def purge_raw(df: DataFrame, as_of: str, n: int = 45, unit: str = "days", date_col: str = "DateCaptured") -> DataFrame:
     """Daily size and space rows at or before the cut-off day go."""
     cut = F.date_sub(date_lit(as_of), n) if unit == "days" else F.add_months(date_lit(as_of), -n)
-    return _keep(df, F.col(date_col) <= cut)
+    return _keep(df, date_col, cut)
 
 
 def purge_events(df: DataFrame, as_of: str, n: int, unit: str = "months", ts_col: str = "DateTime") -> DataFrame:
@@ -137,7 +141,7 @@ def purge_events(df: DataFrame, as_of: str, n: int, unit: str = "months", ts_col
     The unit defaults to months for parity: the stored settings read 90 and 180
     "days", yet the published behaviour subtracts that many months.
     """
-    return _keep(df, F.col(ts_col) <= _cutoff(ts_lit(as_of), n, unit))
+    return _keep(df, ts_col, _cutoff(ts_lit(as_of), n, unit))
 
 
 def purge_error_log(df: DataFrame, as_of: str, n: int = 90, unit: str = "months") -> DataFrame:
@@ -155,7 +159,8 @@ def purge_run_log(df: DataFrame, as_of: str, n: int = 180, unit: str = "days", m
     """
     old_marker = F.col("Description").endswith(marker) & (F.col("DateTimeCaptured") <= _cutoff(ts_lit(as_of), n, unit))
     limit = df.filter(old_marker).agg(F.max("DateTimeCaptured").cast("date").cast("timestamp_ntz").alias("limit"))
-    return _keep(df, F.col("DateTimeCaptured") <= limit.scalar())
+    # Without a marker the limit is a time before all rows.
+    return _keep(df, "DateTimeCaptured", F.coalesce(limit.scalar(), ts_lit("0001-01-01")))
 
 
 def purge_policy_results(df: DataFrame, as_of: str, n: int = 7, unit: str = "days") -> DataFrame:
@@ -165,13 +170,13 @@ def purge_policy_results(df: DataFrame, as_of: str, n: int = 7, unit: str = "day
 def purge_months(df: DataFrame, as_of: str, n: int = 60, unit: str = "months") -> DataFrame:
     """Monthly aggregates and trends before the cut-off month go."""
     cut = F.add_months(date_lit(as_of), -n) if unit == "months" else F.date_sub(date_lit(as_of), n)
-    return _keep(df, F.col("YearMonth") < yyyymm(cut))
+    return _keep(df, "YearMonth", yyyymm(cut), inclusive=False)
 
 
 def purge_expired(df: DataFrame, as_of: str, n: int = 91, unit: str = "days") -> DataFrame:
     """Entities not refreshed for more than ``n`` days go (inferred rule)."""
     cut = F.date_sub(date_lit(as_of), n) if unit == "days" else F.add_months(date_lit(as_of), -n)
-    return _keep(df, F.col("LastUpdated") < cut)
+    return _keep(df, "LastUpdated", cut, inclusive=False)
 
 
 # dataset -> (rule, enable setting, window setting, unit)

@@ -67,7 +67,7 @@ def insert_missing(
     """Add keys the target lacks and change nothing else (anti join plus union)."""
     defaults = dict(insert_defaults or {})
     new = one_per_key(source.select(*[c for c in target.columns if c in source.columns]), keys).join(
-        target.select(*keys).distinct(), list(keys), "left_anti")
+        target.select(*keys), list(keys), "left_anti")
     types = dict((f.name, f.dataType) for f in target.schema.fields)
     rows = new.select(*[
         (F.col(c) if c in new.columns else defaults.get(c, F.lit(None))).cast(types[c]).alias(c) for c in target.columns])
