@@ -1385,6 +1385,37 @@ def _(t):
     return reports.lookup(t, "cluster_node")
 
 
+class _Stored:
+    """The fleet with the tables that a stored warehouse adds."""
+
+    def __init__(self, t):
+        self._t = t
+        self.sql_services = _stored_services(t)
+        self.extended_properties = _property_names(t)
+        self.extended_property_values = _property_values(t)
+
+    def __getattr__(self, name):
+        return getattr(self._t, name)
+
+
+@query("q53_lookup_service", "SELECT x.*, s.ServerName FROM stored_services x JOIN servers s ON s.ServerID = x.ServerID")
+def _(t):
+    return reports.lookup(_Stored(t), "service")
+
+
+@query("q53_lookup_property", """
+    SELECT v.SQLInstanceID, i.ServerInstance, n.ExtendedPropertyID, n.ExtendedPropertyName, v.ExtendedPropertyValue, v.DiscoveryOn, v.LastUpdated
+    FROM property_names n JOIN property_values v ON v.ExtendedPropertyID = n.ExtendedPropertyID JOIN instance_view i ON i.SQLInstanceID = v.SQLInstanceID
+    WHERE lower(n.ExtendedPropertyName) = 'machinetype'""")
+def _(t):
+    return reports.lookup(_Stored(t), "property", ExtendedPropertyName="machinetype")
+
+
+@query("q53_lookup_error_mark", "SELECT SQLInstanceID, max(DateTime) AS LastDateTimeCaptured FROM sql_error_log GROUP BY 1")
+def _(t):
+    return reports.lookup(t, "error_log_mark")
+
+
 @query("q53_lookup_job_mark", """
     SELECT j.SQLInstanceID, max(h.ExecutionDateTime) AS LastDateTimeCaptured FROM sql_job_history h JOIN sql_jobs j ON j.SQLJobID = h.SQLJobID GROUP BY 1""")
 def _(t):

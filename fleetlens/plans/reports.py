@@ -676,6 +676,9 @@ LOOKUPS = {
         t.servers.select(F.col("ServerID").alias("SQLNodeID"), F.col("ServerName").alias("NodeName")), "SQLNodeID"),
     "instance": instance_view,
     "operating_system": lambda t: t.operating_systems,
+    "service": lambda t: t.sql_services.join(t.servers.select("ServerID", "ServerName"), "ServerID"),
+    "property": lambda t: report_property_values(t, t.extended_properties, t.extended_property_values),
+    "setting": lambda t: t.settings,
     "error_log_mark": lambda t: _marks(t.sql_error_log, "DateTime"),
     "job_mark": lambda t: _marks(t.sql_job_history.join(t.sql_jobs.select("SQLJobID", "SQLInstanceID"), "SQLJobID"), "ExecutionDateTime"),
 }

@@ -403,9 +403,31 @@ def test_ties_of_latest_run_are_kept(make, fleet):
     assert reports.report_job_history(T, as_of="2024-01-31 00:00:00").count() == 2
 
 
+class WithStored:
+    """The fleet plus tables that only a stored warehouse has."""
+
+    def __init__(self, fleet):
+        from fleetlens.oracle import catalog
+
+        self._fleet = fleet
+        self.sql_services = catalog._stored_services(fleet)
+        self.extended_properties = catalog._property_names(fleet)
+        self.extended_property_values = catalog._property_values(fleet)
+        self.settings = fleet.spark.createDataFrame(list(seeds.SETTINGS.items()), "SettingName string, SettingValue string")
+
+    def __getattr__(self, name):
+        return getattr(self._fleet, name)
+
+
 @pytest.mark.parametrize("entity", sorted(reports.LOOKUPS))
 def test_lookups(fleet, entity):
-    assert reports.lookup(fleet, entity).columns
+    assert reports.lookup(WithStored(fleet), entity).count() > 0
+
+
+def test_lookup_filters_ignore_case(fleet):
+    out = reports.lookup(WithStored(fleet), "setting", SettingName="rawdata_cleanup_enabled")
+    assert [r.SettingValue for r in out.collect()] == ["1"]
+    assert reports.lookup(WithStored(fleet), "service", ServiceType="engine", ServerID=1).count() == 2
 
 
 def test_unknown_kind_is_an_error(fleet):
