@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm.bpe import encode_decode
+from fleetlens.llm.decontaminate import find_leaks
 from fleetlens.llm.line_dedup import dedup_lines
 from fleetlens.llm.quality_rules import quality_rules
 from fleetlens.llm.token_count import count_tokens
@@ -29,6 +30,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), TOKENIZER, digests=True)
 
@@ -41,6 +46,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_line_dedup": op4_line_dedup,
+    "op5_decontaminate": op5_decontaminate,
     "op6_bpe": op6_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
