@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.bpe import encode_decode
 from fleetlens.llm.decontaminate import find_leaks
 from fleetlens.llm.line_dedup import dedup_lines
+from fleetlens.llm.ngram_join import ngram_join
 from fleetlens.llm.quality_rules import quality_rules
 from fleetlens.llm.token_count import count_tokens
 
@@ -38,6 +39,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), TOKENIZER, digests=True)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     return quality_rules(table(spark, sf_dir, "documents"), trusted)
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_bpe": op6_bpe,
+    "op7_ngram_join": op7_ngram_join,
     "op8_quality_rules": op8_quality_rules,
 }
 
