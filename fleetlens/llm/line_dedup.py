@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.native import stored, trimmed
+from fleetlens.llm.native import keyed, stored, trimmed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
@@ -22,7 +22,7 @@ KEY = ["h1", "h2"]
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """``doc_id, text_hash, pos, h1, h2`` of every line whose key has at least ``min_chars`` code points."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     keyed = lines.withColumn("key", F.translate(trimmed(F.col("line")), UPPER, LOWER)).filter(F.length("key") >= min_chars)
     return keyed.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"))
 
@@ -64,15 +64,14 @@ class Runs:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fan: int = 2) -> DataFrame:
-    """Adds ``n_lines, n_dropped, kept_text`` to each row of ``docs``; all columns of ``docs`` stay.
+    """Adds ``n_lines, n_dropped, kept_text`` to each row of ``docs``; other columns stay, those of the same name are replaced.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least ``min_chars`` code
     points in at least ``min_docs`` documents lose all lines but those in the largest id that holds the key. Null or empty text
     is one empty line. Rows that repeat an id count as one document. A row without id keeps all its lines and counts
     for no key. ``batches`` divides the id range; the result does not depend on it.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keys = stored(line_keys(source.filter("doc_id is not null"), min_chars), "line-keys")
+    keys = stored(line_keys(keyed(docs).filter("doc_id is not null"), min_chars), "line-keys")
     cuts = keys.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
     runs, above = Runs(fan), None
     for low in [*sorted(set(cuts), reverse=True), None]:
@@ -80,22 +79,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         runs.add(batch if low is None else batch.filter(F.col("doc_id") > low))
         above = low
     drops = keys.join(runs.frequent(min_docs), KEY).filter("doc_id < last_doc")
-    drops = drops.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("_drops"))
+    drops = drops.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drops"))
     return _without(docs, drops)
 
 
 def _without(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64(text)})
-    joined = rows.join(drops.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), ["_id", "_hash"], "left").drop("_id", "_hash")
-    lines = F.split(text, "\n")
-
-    def kept() -> Column:
-        at = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drops"))
-        return F.array_join(F.transform(at, lambda i: F.col("_lines")[i]), "\n")
-
-    out = joined.withColumn("_lines", lines).withColumns({
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dropped": F.when(F.col("_drops").isNull(), 0).otherwise(F.size("_drops")).cast("long"),
-        "kept_text": F.when(F.col("_drops").isNull(), text).otherwise(kept())})
-    return out.select(*docs.columns, "n_lines", "n_dropped", "kept_text")
+    rows = keyed(docs)
+    joined = rows.join(drops, ["doc_id", "text_hash"], "left").withColumn("lines", F.split("text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
+    out = joined.select(
+        "row",
+        F.size("lines").cast("long").alias("n_lines"),
+        F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long").alias("n_dropped"),
+        F.when(F.col("drops").isNull(), F.col("text")).otherwise(
+            F.array_join(F.transform(left, lambda i: F.col("lines")[i]), "\n")).alias("kept_text"))
+    added = ["n_lines", "n_dropped", "kept_text"]
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in added), *added)

@@ -35,3 +35,10 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(spark, f"llm-{purpose}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns as one struct, so that no name can clash), ``doc_id``, ``text`` (null: empty) and ``text_hash``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+                       text.alias("text"), F.xxhash64(text).alias("text_hash"))

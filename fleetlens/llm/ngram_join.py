@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.components import components
-from fleetlens.llm.native import stored
+from fleetlens.llm.native import keyed, stored
 from fleetlens.llm.texts import MIX, MIX2, ascii_lower, byte_blocks, scramble, span_hashes, word_spans
 
 GROUPS = 64
@@ -122,7 +122,7 @@ def slice_keys(keys: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> tuple[np.
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, s1, s2, keys``: set size, 128-bit name of the set and first-level join keys of each row."""
+    """``doc_id, text_hash, n, s1, s2, keys``: set size, 128-bit name of the set and first-level join keys of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,10 +133,10 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                 offsets = np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, rows), pa.array(sizes), pa.array(names[0]), pa.array(names[1]), lists],
-                    ["doc_id", "n", "s1", "s2", "keys"])
+                    [batch.column(0).slice(first, rows), batch.column(2).slice(first, rows), pa.array(sizes), pa.array(names[0]), pa.array(names[1]), lists],
+                    ["doc_id", "text_hash", "n", "s1", "s2", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, s1 long, s2 long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -229,7 +229,7 @@ def tree_links(points: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], ro
 
 
 def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = 2048) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row: links are sets with ``100 * common >= percent * union``.
+    """``doc_id, text_hash, n_shingles, component_id`` of every row: links are sets with ``100 * common >= percent * union``.
 
     Words are runs without ASCII white space, A-Z lower-cased; a text of fewer than ``width`` words is one shingle. Null, empty
     and blank texts have no shingles and are alone; their ``component_id`` is their own id. Repeated rows share a set and
@@ -238,7 +238,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = 2
     """
     if percent < 90:
         raise ValueError("percent must be at least 90")
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    docs = keyed(docs).select("doc_id", "text", "text_hash")
     rows = stored(profiles(docs, width), "profiles")
     name = ["s1", "s2", "n"]
     classes = stored(rows.filter("n > 0").groupBy(*name).agg(F.min("doc_id").alias("rep")), "classes")
@@ -260,8 +260,8 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = 2
     ids = ids.withColumn("root", F.coalesce("root", "uid"))
     least = ids.groupBy("root").agg(F.min("rep").alias("component_id"))
     member = stored(ids.select(*name, "root").join(least, "root").drop("root"), "components")
-    out = rows.select("doc_id", *name).join(member, name, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = rows.select("doc_id", "text_hash", *name).join(member, name, "left")
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.native import let, stored, trimmed, words_of
+from fleetlens.llm.native import keyed, let, stored, trimmed, words_of
 
 #: Runs of letters, of digits, of one kind of other characters.
 TOKEN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
@@ -86,12 +86,12 @@ def gram_model(docs: DataFrame, trusted: DataFrame, buckets: int, trusted_limit:
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.3, buckets: int = 1 << 14,
                   trusted_limit: int = 100_000, smoothing: float = 1.0) -> DataFrame:
-    """Base counts, score and verdict per row: ``doc_id``, the columns of ``base_rules``, ``score``, ``kept``.
+    """Base counts, score and verdict per row: ``doc_id, text_hash``, the columns of ``base_rules``, ``score``, ``kept``.
 
     Rows pass through one by one, so null and repeated ids stay. Null or empty text has no words, fails the base rules and
     scores 0. Without trusted documents every score is 0 and the base rules alone decide. Further columns are ignored.
     """
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    docs = keyed(docs).drop("row")
     model = stored(gram_model(docs, trusted.selectExpr("cast(doc_id as long) doc_id"), buckets, trusted_limit, smoothing), "gram-model")
     rules = base_rules(docs.withColumn("_row", F.monotonically_increasing_id()))
     keep = [c for c in rules.columns if c not in ("text", "_row")]
