@@ -46,7 +46,7 @@ def scramble(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-_BYTE = scramble(np.arange(1, 257, dtype=np.uint64) * MIX)
+BYTE_CODES = scramble(np.arange(1, 257, dtype=np.uint64) * MIX)
 
 
 def ascii_lower(data: np.ndarray) -> np.ndarray:
@@ -77,5 +77,5 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     powers = np.full(int(lengths.max()) + 1, MIX2, np.uint64)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
-    sums = np.add.reduceat(_BYTE[data[at]] * powers[within], np.cumsum(lengths) - lengths)
+    sums = np.add.reduceat(BYTE_CODES[data[at]] * powers[within], np.cumsum(lengths) - lengths)
     return scramble(sums + lengths.astype(np.uint64) * MIX)
