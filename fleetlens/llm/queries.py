@@ -12,9 +12,11 @@ from fleetlens.llm.bpe import encode_decode
 from fleetlens.llm.decontaminate import find_leaks
 from fleetlens.llm.line_dedup import dedup_lines
 from fleetlens.llm.ngram_join import ngram_join
+from fleetlens.llm.quality_qda import classify
 from fleetlens.llm.quality_rules import quality_rules
 from fleetlens.llm.suffix_dedup import remove_repeats
 from fleetlens.llm.token_count import count_tokens
+from fleetlens.llm.url_filter import filter_urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -32,6 +34,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -54,14 +61,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), trusted).drop("text_hash")
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_quality_qda": op3_quality_qda,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_bpe": op6_bpe,
     "op7_ngram_join": op7_ngram_join,
     "op8_quality_rules": op8_quality_rules,
+    "op10_url_filter": op10_url_filter,
 }
 
 OP4_SQL = r"""
