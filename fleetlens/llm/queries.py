@@ -12,6 +12,7 @@ from fleetlens.llm.bpe import encode_decode
 from fleetlens.llm.decontaminate import find_leaks
 from fleetlens.llm.line_dedup import dedup_lines
 from fleetlens.llm.ngram_join import ngram_join
+from fleetlens.llm.pii import find_pii
 from fleetlens.llm.quality_qda import classify
 from fleetlens.llm.quality_rules import quality_rules
 from fleetlens.llm.suffix_dedup import remove_repeats
@@ -61,6 +62,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), trusted).drop("text_hash")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_ngram_join": op7_ngram_join,
     "op8_quality_rules": op8_quality_rules,
+    "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
 }
 
