@@ -14,12 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.native import let, stored
+from fleetlens.llm.native import stored
 
 WINDOW, SPAN = 13, 8
 MASKS = ("11001111", "11101011")
 #: How far the aligned context of a seed reaches before it.
 BEFORE = WINDOW - SPAN
+REACH = BEFORE + WINDOW
 
 
 def word_hashes(text: Column) -> Column:
@@ -29,31 +30,33 @@ def word_hashes(text: Column) -> Column:
 
 
 def seeds(rows: DataFrame) -> DataFrame:
-    """One row per mask and position of the word hashes ``h``: adds ``seed`` and ``at`` (0-based)."""
-    count = F.size("h") - SPAN + 1
-    used = [k for k in range(SPAN) if any(mask[k] == "1" for mask in MASKS)]
-    parts = [F.slice("h", F.lit(k + 1), count).alias(f"w{k}") for k in used] + [F.sequence(F.lit(0), count - 1).alias("at")]
-    spread = rows.filter(F.size("h") >= SPAN).select("*", F.inline(F.arrays_zip(*parts)).alias(*(f"w{k}" for k in used), "at"))
-    keys = F.array(*(F.xxhash64(F.lit(i), *(f"w{k}" for k in range(SPAN) if mask[k] == "1")) for i, mask in enumerate(MASKS)))
-    return spread.select(*rows.columns, "at", F.explode(keys).alias("seed"))
-
+    """One row per mask and position of the word hashes ``h``: ``seed``, ``at`` (0-based) and the words around as ``c0, c1, ...``.
 
-def context(h: Column, at: Column) -> Column:
-    """Hashes at ``at - BEFORE .. at + WINDOW - 1``, null outside the text."""
-    return F.transform(F.sequence(F.lit(-BEFORE), F.lit(WINDOW - 1)), lambda k: F.when(at + k >= 0, F.get(h, at + k)))
+    The context reaches from ``BEFORE`` words before the seed to ``WINDOW`` words after its start, null outside the text. It
+    travels as plain columns, so that a row has a fixed size whatever the length of its text.
+    """
+    count = F.size("h") - SPAN + 1
+    pad = F.array_repeat(F.lit(None).cast("long"), BEFORE)
+    padded = rows.filter(F.size("h") >= SPAN).withColumn("p", F.concat(pad, "h", pad))
+    parts = [F.slice("p", F.lit(k + 1), count).alias(f"c{k}") for k in range(REACH)] + [F.sequence(F.lit(0), count - 1).alias("at")]
+    names = [f"c{k}" for k in range(REACH)]
+    own = [c for c in rows.columns if c != "h"]
+    spread = padded.select(*own, F.inline(F.arrays_zip(*parts)).alias(*names, "at"))
+    keys = F.array(*(F.xxhash64(F.lit(i), *(f"c{BEFORE + k}" for k in range(SPAN) if mask[k] == "1")) for i, mask in enumerate(MASKS)))
+    return spread.select(*own, "at", *names, F.explode(keys).alias("seed"))
 
 
 def postings(benchmark: DataFrame) -> DataFrame:
+    """Seeds of the items; the context columns are ``i0, i1, ...``."""
     items = benchmark.select(F.col("item_id"), word_hashes(F.col("text")).alias("h")).filter("item_id is not null")
-    return seeds(items).select("seed", "item_id", F.col("at").alias("item_at"), F.least(F.size("h"), F.lit(WINDOW)).alias("width"),
-                               context(F.col("h"), F.col("at")).alias("item_words")).distinct()
+    found = seeds(items.withColumn("width", F.least(F.size("h"), F.lit(WINDOW))))
+    return found.select("seed", "item_id", "width", *(F.col(f"c{k}").alias(f"i{k}") for k in range(REACH))).distinct()
 
 
-def agreement(doc_words: Column, item_words: Column, width: Column) -> Column:
-    """Most agreeing positions in any ``width`` consecutive ones of the aligned contexts."""
-    equal = F.zip_with(doc_words, item_words, lambda a, b: F.when(a == b, 1).otherwise(0))
-    return let(equal, lambda e: F.array_max(F.transform(
-        F.sequence(F.lit(1), F.size(e) - width + 1), lambda i: F.aggregate(F.slice(e, i, width), F.lit(0), lambda s, x: s + x))))
+def agreement() -> Column:
+    """Most agreeing positions in ``WINDOW`` consecutive ones; those outside a short item agree with nothing."""
+    windows = [reduce(Column.__add__, (F.col(f"e{k}") for k in range(start, start + WINDOW))) for start in range(BEFORE + 1)]
+    return F.greatest(*windows)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, block_seeds: int = 200_000) -> DataFrame:
@@ -69,13 +72,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, block_
     total = items.count()
     blocks = max(1, -(-total // block_seeds))
     found = [_verified(docs, items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i), share) for i in range(blocks)]
-    best = F.max_by(F.struct("agreeing", "width", "at"), F.struct(F.col("agreeing") / F.col("width"), -F.col("at")))
-    return reduce(DataFrame.unionAll, found).groupBy("doc_id", "item_id").agg(best.alias("b")).select(
-        "doc_id", "item_id", F.col("b.agreeing").alias("agreeing"), F.col("b.width").alias("width"), F.col("b.at").alias("first_word"))
+    return reduce(DataFrame.unionAll, found).groupBy("doc_id", "item_id").agg(
+        F.max("agreeing").alias("agreeing"), F.max("width").alias("width"), F.min("at").cast("long").alias("first_word"))
 
 
 def _verified(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
     hits = seeds(docs).join(F.broadcast(items), "seed")
-    hits = hits.select("doc_id", "item_id", F.col("at").cast("long").alias("at"), "width", "item_words", context(F.col("h"), F.col("at")).alias("doc_words"))
-    judged = hits.withColumn("agreeing", agreement(F.col("doc_words"), F.col("item_words"), F.col("width")))
+    equal = [F.when(F.col(f"c{k}") == F.col(f"i{k}"), 1).otherwise(0).alias(f"e{k}") for k in range(REACH)]
+    judged = hits.select("doc_id", "item_id", "at", "width", *equal).withColumn("agreeing", agreement())
     return judged.filter(F.col("agreeing") >= F.ceil(F.col("width") * F.lit(share))).select("doc_id", "item_id", "at", "width", "agreeing")
