@@ -78,7 +78,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         batch = keys if above is None else keys.filter(F.col("doc_id") <= above)
         runs.add(batch if low is None else batch.filter(F.col("doc_id") > low))
         above = low
-    drops = keys.join(runs.frequent(min_docs), KEY).filter("doc_id < last_doc")
+    drops = keys.join(stored(runs.frequent(min_docs), "frequent-lines"), KEY).filter("doc_id < last_doc")
     drops = drops.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drops"))
     return _without(docs, drops)
 
