@@ -29,12 +29,27 @@ def words_of(text: Column) -> Column:
         F.split(trimmed(text), BLANK_CLASS + "+"))
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives the loss of executors."""
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """Write to the shared folder and read again: cuts lineage and survives the loss of executors. Also returns the folder.
+
+    The shuffle files of the write are not needed once it is done; Spark is told to remove them with the execution.
+    """
     spark: SparkSession = df.sparkSession
     path = shared_dir(spark, f"llm-{purpose}")
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    return stored_at(df, purpose)[0]
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -8,23 +8,27 @@ instead of byte order: equal strings are neighbours all the same, and an entry t
 Documents come in batches of ascending ids. A batch gets its own suffix array, which is merge-scanned against the levels
 stored so far; what no level holds becomes a new array of level 0, and two arrays of one level are merged into one of the
 next. A unit found before is removed with all its bytes. Where an anchor stands in different units, a match begins or ends
-inside a unit; these units are compared window by window in the same way.
+inside a unit; the windows of these units are sorted and compared on their own: within one task for the units of an anchor,
+or, where an anchor has more than ``GROUP`` different units, spread over all tasks by the names of the windows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.native import keyed, stored
+from fleetlens.llm.native import keyed, stored, stored_at
 from fleetlens.llm.texts import BYTE_CODES, MIX, MIX2, Block, byte_blocks, scramble
+from fleetlens.sources.shared import delete_path
 
 ANCHOR = 24
+GROUP = 5_000
 U = np.uint64
 NAME = ["anchor", "name"]
 #: Place of a unit in one long: start, number of windows, row of an id.
@@ -124,7 +128,7 @@ class Levels:
     """The index family: at most one suffix array per level, each ``anchor, name, first, repeated`` sorted by names."""
 
     def __init__(self) -> None:
-        self.arrays: dict[int, DataFrame] = {}
+        self.arrays: dict[int, tuple[DataFrame, str]] = {}
 
     def add(self, batch: DataFrame) -> None:
         """``batch`` has units whose ids are all greater than those added before."""
@@ -135,10 +139,12 @@ class Levels:
             own = own.join(known.distinct(), NAME, "left").select(
                 *NAME, F.when(F.col("known").isNull(), F.col("first")).alias("first"),
                 (F.col("repeated") | F.col("known").isNotNull()).alias("repeated"))
-        array, level = stored(own.sortWithinPartitions(*NAME), "suffixes"), 0
+        array, level = stored_at(own.sortWithinPartitions(*NAME), "suffixes"), 0
         while level in self.arrays:
-            older = self.arrays.pop(level)
-            array, level = stored(self.merged(older.unionAll(array)).sortWithinPartitions(*NAME), "suffixes"), level + 1
+            pair = (self.arrays.pop(level), array)
+            array, level = stored_at(self.merged(pair[0][0].unionAll(pair[1][0])).sortWithinPartitions(*NAME), "suffixes"), level + 1
+            for _, path in pair:
+                delete_path(own.sparkSession, path)
         self.arrays[level] = array
 
     @staticmethod
@@ -146,10 +152,10 @@ class Levels:
         return arrays.groupBy(*NAME).agg(F.min("first").alias("first"), F.max("repeated").alias("repeated"))
 
     def all(self) -> DataFrame:
-        return reduce(DataFrame.unionAll, self.arrays.values())
+        return reduce(DataFrame.unionAll, [array for array, _ in self.arrays.values()])
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 4) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 4, group: int = GROUP) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, spans, kept`` per row of ``docs``.
 
     Every byte goes that a ``length``-byte string covers which also starts earlier: in a document of a smaller id, or before in
@@ -177,16 +183,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 4) -> Data
         levels.add(batch if high is None else batch.filter(F.col("doc_id") <= high))
         below = high
     index = levels.merged(levels.all())
-    several = index.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor", F.lit(True).alias("partial"))
-    found = stored(index.join(several, "anchor", "left").filter("repeated or partial").select(
-        *NAME, "first", F.coalesce("partial", F.lit(False)).alias("partial")), "repeats")
-    hits = stored(once.join(found, NAME).filter("first < doc_id or partial").select("doc_id", "place", (F.col("first") < F.col("doc_id")).alias("whole")), "hits")
-    whole = hits.filter("whole").select("doc_id", "place").unionAll(table.filter("again").select("doc_id", "place"))
-    windows = stored(_window_names(rows, hits.filter("not whole"), length), "windows")
-    key = ["w1", "w2"]
-    earliest = windows.filter("not again").groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    late = windows.filter("not again").join(earliest.select(*key, "first"), key).filter("first < doc_id").select("doc_id", "place")
-    late = late.unionAll(windows.filter("again").select("doc_id", "place"))
+    several = index.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1")
+    found = stored(index.join(several, "anchor", "left").filter("repeated or k is not null").select(*NAME, "first", "k"), "repeats")
+    hits = stored(once.join(found, NAME).filter("first < doc_id or k is not null").select(
+        "anchor", "doc_id", "place", F.when(F.col("first") == F.col("doc_id"), F.col("k")).alias("k")), "hits")
+    whole = hits.filter("k is null").select("doc_id", "place").unionAll(table.filter("again").select("doc_id", "place"))
+    late = _late_in_groups(_contexts(rows, hits.filter(F.col("k") <= group).drop("k"), length), length)
+    large = hits.filter(F.col("k") > group)
+    if not large.isEmpty():
+        late = late.unionAll(_late_windows(_contexts(rows, large.drop("k"), length), length))
     return _cut(rows, _by_row(whole.unionAll(late), "spans"), length)
 
 
@@ -200,34 +205,128 @@ def _unpack(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places >> WINDOW_BITS, places & ((1 << WINDOW_BITS) - 1)
 
 
-def _window_names(rows: DataFrame, partial: DataFrame, length: int) -> DataFrame:
-    """``w1, w2, doc_id, place, again`` of every window of the units whose anchor also stands in other units."""
+def _contexts(rows: DataFrame, units_: DataFrame, length: int) -> DataFrame:
+    """``anchor, doc_id, place, bytes``: what the windows of each unit cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
             for block in byte_blocks(batch.column(2)):
                 own = lists.slice(block.first, len(block.starts))
-                start, windows = _unpack(np.asarray(own.flatten()))
+                flat = own.flatten()
+                place = np.asarray(flat.field("place"))
+                start, windows = _unpack(place >> ROW_BITS)
                 row = np.repeat(np.arange(len(own)), np.asarray(own.value_lengths()))
-                total = int(windows.sum())
-                at = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(start, windows)
-                row = np.repeat(row, windows)
-                begin = at + block.starts[row]
-                names = [RangeHash(block.data, base)(begin, begin + length) for base in (MIX, MIX2)]
-                order = np.lexsort((at, names[1], names[0], row))
-                again = np.zeros(total, bool)
-                a, b = order[1:], order[:-1]
-                again[a] = (row[a] == row[b]) & (names[0][a] == names[0][b]) & (names[1][a] == names[1][b])
-                where = pa.array(row + block.first)
-                sub = np.asarray(batch.column(1).take(where)).astype(np.int64)
-                place = (at << (ROW_BITS + WINDOW_BITS)) | (1 << ROW_BITS) | sub
+                first, size = start + block.starts[row], windows + length - 1
+                offsets = np.concatenate(([0], np.cumsum(size)))
+                at = np.arange(int(offsets[-1])) - np.repeat(offsets[:-1] - first, size)
+                covered = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(block.data[at])])
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(n.view(np.int64)) for n in names), batch.column(0).take(where), pa.array(place), pa.array(again)],
-                    ["w1", "w2", "doc_id", "place", "again"])
+                    [flat.field("anchor"), batch.column(0).take(pa.array(row + block.first)), pa.array(place), covered], ["anchor", "doc_id", "place", "bytes"])
+
+    sub = F.pmod("place", F.lit(1 << ROW_BITS)).cast("int")
+    grouped = units_.groupBy("doc_id", sub.alias("sub")).agg(F.collect_list(F.struct("anchor", "place")).alias("units"))
+    joined = rows.join(grouped, ["doc_id", "sub"]).select("doc_id", "sub", "text", "units")
+    return joined.mapInArrow(run, "anchor long, doc_id long, place long, bytes binary")
+
+
+class Windows(NamedTuple):
+    """All windows of a table of contexts, with two names each."""
+
+    unit: np.ndarray
+    offset: np.ndarray
+    names: tuple[np.ndarray, np.ndarray]
+
+    @staticmethod
+    def of(contexts: pa.Array, length: int) -> Windows:
+        (block,) = byte_blocks(contexts, 1 << 40)
+        count = block.ends - block.starts - length + 1
+        unit = np.repeat(np.arange(len(count)), count)
+        offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        begin = offset + block.starts[unit]
+        return Windows(unit, offset, tuple(RangeHash(block.data, base)(begin, begin + length) for base in (MIX, MIX2)))
+
+
+def _runs(batch: pa.RecordBatch, unit: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:
+    """``doc_id, place`` of the runs of chosen windows, which are sorted by unit and offset."""
+    opens = np.ones(len(unit), bool)
+    opens[1:] = (unit[1:] != unit[:-1]) | (offset[1:] != offset[:-1] + 1)
+    first = np.flatnonzero(opens)
+    count = np.diff(np.append(first, len(unit)))
+    place = np.asarray(batch.column("place"))[unit[first]]
+    start = (place >> (ROW_BITS + WINDOW_BITS)) + offset[first]
+    packed = (start << (ROW_BITS + WINDOW_BITS)) | (count << ROW_BITS) | (place & ((1 << ROW_BITS) - 1))
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(unit[first])), pa.array(packed)], ["doc_id", "place"])
+
+
+def _late_in_groups(contexts: DataFrame, length: int) -> DataFrame:
+    """``doc_id, place`` of the windows that an earlier unit of the same anchor has; whole groups are compared at once."""
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        windows = Windows.of(batch.column("bytes").cast(pa.large_binary()), length)
+        doc, place = (np.asarray(batch.column(c))[windows.unit] for c in ("doc_id", "place"))
+        row, at = place & ((1 << ROW_BITS) - 1), (place >> (ROW_BITS + WINDOW_BITS)) + windows.offset
+        order = np.lexsort((at, row, doc, windows.names[1], windows.names[0]))
+        one, two, d, r = (v[order] for v in (*windows.names, doc, row))
+        same = np.zeros(len(order), bool)
+        same[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+        lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        late = d[lead] < d if len(order) else same
+        late[1:] |= same[1:] & (d[1:] == d[:-1]) & (r[1:] == r[:-1])
+        chosen = np.sort(order[late])
+        return _runs(batch, windows.unit[chosen], windows.offset[chosen])
 
-    joined = rows.join(_by_row(partial, "units"), ["doc_id", "sub"]).select("doc_id", "sub", "text", "units")
-    return joined.mapInArrow(run, "w1 long, w2 long, doc_id long, place long, again boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            anchors = np.asarray(batch.column("anchor"))
+            turns = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
+            cut = 0 if not len(turns) else int(turns[-1])
+            if held and len(anchors) and held[-1].column("anchor")[-1].as_py() != anchors[0]:
+                yield from map(judge, _slices(held))
+                held = []
+            if cut:
+                yield from map(judge, _slices([*held, batch.slice(0, cut)]))
+                held = []
+            if len(anchors):
+                held.append(batch.slice(cut))
+        if held:
+            yield from map(judge, _slices(held))
+
+    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, place long")
+
+
+def _slices(batches: list[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """The rows of some batches in slices of whole anchors of at least ``rows`` rows."""
+    whole = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    anchors = np.asarray(whole.column("anchor"))
+    ends = np.append(np.flatnonzero(anchors[1:] != anchors[:-1]) + 1, len(anchors))
+    first = 0
+    while first < len(anchors):
+        stop = int(ends[min(np.searchsorted(ends, first + rows), len(ends) - 1)])
+        yield whole.slice(first, stop - first)
+        first = stop
+
+
+def _late_windows(contexts: DataFrame, length: int) -> DataFrame:
+    """The same for any number of units per anchor: one row per window, joined by name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = Windows.of(batch.column("bytes").cast(pa.large_binary()), length)
+            place = np.asarray(batch.column("place"))[windows.unit]
+            at = (place >> (ROW_BITS + WINDOW_BITS)) + windows.offset
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(n.view(np.int64)) for n in windows.names), batch.column("doc_id").take(pa.array(windows.unit)),
+                 pa.array(place & ((1 << ROW_BITS) - 1)), pa.array(at)], ["w1", "w2", "doc_id", "sub", "at"])
+
+    key = ["w1", "w2"]
+    windows = stored(contexts.mapInArrow(run, "w1 long, w2 long, doc_id long, sub long, at long").groupBy(*key, "doc_id", "sub").agg(
+        F.collect_list("at").alias("at")), "windows")
+    firsts = windows.groupBy(*key).agg(F.min("doc_id").alias("first"))
+    judged = windows.join(firsts, key).select("doc_id", "sub", F.explode(F.when(F.col("first") < F.col("doc_id"), F.col("at")).otherwise(
+        F.array_except("at", F.array(F.array_min("at"))))).alias("at"))
+    return judged.select("doc_id", (F.shiftleft("at", ROW_BITS + WINDOW_BITS) + (1 << ROW_BITS) + F.col("sub")).alias("place"))
 
 
 def _cut(rows: DataFrame, spans: DataFrame, length: int) -> DataFrame:

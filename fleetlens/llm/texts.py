@@ -27,7 +27,7 @@ class Block(NamedTuple):
 
 def byte_blocks(column: pa.Array, limit: int = 4 << 20) -> Iterator[Block]:
     """Cut a text column into blocks of whole rows of about ``limit`` bytes (a longer row is a block of its own); null is empty."""
-    array = pc.fill_null(column, "").cast(pa.large_string())
+    array = column if pa.types.is_large_binary(column.type) else pc.fill_null(column, "").cast(pa.large_string())
     _, offsets, data = array.buffers()
     offsets = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
