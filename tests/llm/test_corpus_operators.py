@@ -101,15 +101,15 @@ def repeats(df, **kw):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.h) for r in remove_repeats(df, **kw).withColumn("h", F.sha2("kept", 256)).collect()}
 
 
-@pytest.mark.parametrize("batches", [1, 5])
-def test_repeats_equal_brute_force(spark, batches):
+@pytest.mark.parametrize(("batches", "group"), [(1, 5000), (5, 5000), (3, 1)])
+def test_repeats_equal_brute_force(spark, batches, group):
     rng = random.Random(5)
     letters = "abcdefghij é"
     word = lambda n: "".join(rng.choice(letters) for _ in range(n))
     pool = [word(n) for n in (50, 99, 100, 101, 150, 300, 700)]
     rows = [(d, "".join(rng.choice([rng.choice(pool), word(rng.randint(0, 60)), rng.choice(pool)[rng.randint(0, 30) :]]) for _ in range(rng.randint(0, 6)))) for d in range(150)]
     rows += [(300, "a" * 500), (301, "a" * 120 + "b" + "a" * 150), (302, None), (303, ""), (304, "ab" * 300)]
-    assert repeats(docs_of(spark, rows), batches=batches) == brute_repeats(rows, 100)
+    assert repeats(docs_of(spark, rows), batches=batches, group=group) == brute_repeats(rows, 100)
 
 
 def test_repeats_of_real_texts_and_edges(spark, documents, texts):
