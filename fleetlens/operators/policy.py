@@ -1,116 +1,99 @@
-"""Policy results: shredding of landed XML documents and the current-state summary."""
+"""Policy results: shredding of landed XML documents and the current-state summary.
+
+A document is cut into its evaluation details, each of which Spark's XML reader parses; namespaces, entities, CDATA
+sections, self-closing tags and comments are its business. Documents are shredded before anything is joined, so no XML is
+ever shuffled.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.columns import apply_filters
+from fleetlens.functions.columns import apply_filters, ci, ci_eq, let
 
 NO_TARGET = "No Targets Found"
 RESULT_SOURCE = "Policy evaluation framework"
-_DETAIL = "EvaluationDetail"
-_PREFIX = r"(?:[\w.-]++:)?+"  # an optional namespace prefix, matched without backtracking
-
-
-def _open(tag: str) -> str:
-    return rf"<{_PREFIX}{tag}(?:\s[^<>]*)?>"
-
-
-def _element(tag: str) -> str:
-    """Pattern of an element with children, in any namespace; group 1 is its content."""
-    return rf"(?s){_open(tag)}(.*?)</{_PREFIX}{tag}\s*>"
-
-
-def _leaf(tag: str) -> str:
-    """Pattern of an element with text only; group 1 is the text, which may contain CDATA sections."""
-    return rf"(?s){_open(tag)}([^<]*+(?:<!\[CDATA\[.*?\]\]>[^<]*+)*+)</"
-
-
-def _fragments(doc: Column, tag: str) -> Column:
-    return F.regexp_extract_all(doc, F.lit(_element(tag)), F.lit(1))
-
-
-def _unescape(text: Column) -> Column:
-    plain = text
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return (
-        F.when(text.contains("<![CDATA["), F.regexp_replace(text, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))
-        .when(text.contains("&"), plain).otherwise(text))
-
-
-def _with_texts(df: DataFrame, fragment: str, **tags: str) -> DataFrame:
-    """Add the unescaped text of the first element of each tag: ``''`` when empty, null when absent.
-
-    The raw text is its own projection, so each pattern runs once per row.
-    """
-    raw = df.withColumns({f"_raw_{c}": F.regexp_extract(fragment, _leaf(tag), 1) for c, tag in tags.items()})
-    done = raw.withColumns({
-        c: F.when(F.col(f"_raw_{c}") != "", _unescape(F.col(f"_raw_{c}"))).when(F.rlike(fragment, F.lit(_open(tag))), F.lit(""))
-        for c, tag in tags.items()})
-    return done.drop(*[f"_raw_{c}" for c in tags])
+RESULTS = ("PASS", "FAIL", "ERROR")
+FIELDS = ("ServerInstance", "TargetQueryExpression", "Result", "Exception", "ResultDetail")
+#: Arrays, because the first of several elements counts; an empty element is '', an absent one null.
+_SCHEMA = ", ".join(f"{f} array<string>" for f in FIELDS)
+_OPTIONS = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "nullValue": "\u0000"}
+_NAME = r"(?:[\w.-]++:)?+EvaluationDetail"
+_DETAIL = rf"(?s)<{_NAME}(?:\s[^<>]*?)?(?:/>|>.*?</{_NAME}\s*>)"
+_COMMENT = r"(?s)(<!\[CDATA\[.*?\]\]>)|<!--.*?-->"
 
 
 def policy_result(result: Column, exception: Column) -> Column:
     """FALSE without exception text fails, FALSE with it is an error, all else passes."""
-    failed = F.coalesce(result == "FALSE", F.lit(False))
+    failed = F.coalesce(ci_eq(result, "FALSE"), F.lit(False))
     return (
         F.when(failed & (exception == ""), F.lit("FAIL"))
         .when(failed & (exception != ""), F.lit("ERROR"))
         .otherwise(F.lit("PASS")))
 
 
-def _documents(history: DataFrame, policies: DataFrame, category: str | None) -> DataFrame:
-    """Documents of known policies; ``policies`` carries its category name."""
-    known = policies.select(F.col("PolicyName").alias("EvaluatedPolicy"), F.col("policy_id").alias("Policy_id"), "CategoryName")
-    known = apply_filters(known, F.col("CategoryName") == category if category else None)
-    return history.join(known, "EvaluatedPolicy")
+def _bare(doc: Column) -> Column:
+    """The one row of a document without details: the elements beside its server instance."""
+    beside = "//*[local-name()='ServerInstance']/../*[local-name()='{}']"
+
+    def value(field: str) -> Column:
+        path = beside.format(field)
+        return F.when(F.xpath_boolean(doc, F.lit(path)), F.array(F.xpath_string(doc, F.lit(f"({path})[1]")))).alias(field)
 
+    return F.struct(*(value(f) for f in FIELDS))
 
-def _has_detail(doc: Column) -> Column:
-    return F.rlike(doc, F.lit(_open(_DETAIL)))
+
+def _first_of_name(details: Column) -> Column:
+    """Flags, in document order: no earlier detail has the same object; sorts inside the row."""
+    named = F.sort_array(F.transform(details, lambda d, i: F.struct(F.get(d["TargetQueryExpression"], F.lit(0)).alias("n"), i.alias("i"))))
+    flags = let(named, lambda s: F.transform(s, lambda x, j: F.struct(x["i"].alias("i"), (~F.get(s, j - 1)["n"].eqNullSafe(x["n"]) | (j == 0)).alias("f"))))
+    return F.transform(F.sort_array(flags), lambda y: y["f"])
+
+
+def details(history: DataFrame) -> DataFrame:
+    """One narrow row per evaluation detail of each document, and one for a document without details."""
+    doc = F.col("EvaluationResults")
+    clean = F.when(doc.contains("<!--"), F.regexp_replace(doc, _COMMENT, "$1")).otherwise(doc)
+    cut = history.withColumn("_parts", F.regexp_extract_all(clean, F.lit(_DETAIL), F.lit(0)))
+    some = F.size("_parts") > 0
+    read = F.when(some, F.transform("_parts", lambda p: F.from_xml(p, _SCHEMA, _OPTIONS))).otherwise(F.array(_bare(doc)))
+    rows = cut.select("PolicyHistoryID", "EvaluatedServer", "EvaluationDateTime", "EvaluatedPolicy", some.alias("_target"), read.alias("_details"))
+    rows = rows.withColumn("_detail", F.explode(F.arrays_zip(F.col("_details").alias("d"), _first_of_name(F.col("_details")).alias("first"))))
+    return rows.select(
+        *rows.columns[:5], F.col("_detail.first").alias("_first"), F.col("_detail.d.ServerInstance").isNotNull().alias("_instance"),
+        *(F.get(F.col(f"_detail.d.{f}"), F.lit(0)).alias(f) for f in FIELDS[1:]))
+
+
+def _of_known(rows: DataFrame, policies: DataFrame, category: str | None) -> DataFrame:
+    """Rows of known policies; ``policies`` carries its category name."""
+    known = policies.select(ci("PolicyName").alias("_policy"), F.col("policy_id").alias("Policy_id"), "CategoryName")
+    known = apply_filters(known, ci_eq(F.col("CategoryName"), category) if category else None)
+    return rows.withColumn("_policy", ci("EvaluatedPolicy")).join(known, "_policy").drop("_policy")
 
 
 def shred_documents(
     history: DataFrame, policies: DataFrame, loaded: DataFrame | None = None, category: str | None = None,
-    targets: bool = True, no_targets: bool = True,
+    targets: bool = True, no_targets: bool = True, source: str = RESULT_SOURCE,
 ) -> DataFrame:
-    """One row per target of each document, and one row for a document without targets, in one pass.
+    """One row per target of each document, and one row for a document without details, in one pass.
 
-    A document lists its own targets only, so the explode is bounded by one policy
-    evaluation.  Of several results for one object the first in document order is kept.
-    ``loaded`` holds rows of earlier loads: a document with targets counts as loaded when it has a row with
-    a result detail, one without targets when it has a row without.
+    Of several results for one object the first in document order is kept. ``loaded`` holds rows of earlier loads: a
+    document with targets counts as loaded when it has a row with a result detail, one without when it has a row without.
+    ``source`` is stored with every row.
     """
-    doc = F.col("EvaluationResults")
-    docs = _documents(history, policies, category)
+    wanted = (F.lit(targets) & F.col("_target") & F.col("TargetQueryExpression").isNotNull() & F.col("_first")) | (
+        F.lit(no_targets) & ~F.col("_target") & F.col("_instance"))
+    rows = _of_known(details(history).filter(wanted), policies, category)
     if loaded is not None:
-        has = F.col("ResultDetail").isNotNull()
-        flags = loaded.groupBy("PolicyHistoryID").agg(F.max(has).alias("_done_targets"), F.max(~has).alias("_done_none"))
-        docs = docs.join(flags, "PolicyHistoryID", "left")
-    else:
-        docs = docs.withColumns({"_done_targets": F.lit(False), "_done_none": F.lit(False)})
-    docs = docs.withColumn("_parts", _fragments(doc, _DETAIL))
-
-    # Names are compared inside the document only, so dropping repeats needs no shuffle.
-    many, some = F.size("_parts") > 1, F.size("_parts") > 0
-    docs = docs.withColumn("_names", F.when(
-        many, F.transform("_parts", lambda f: F.regexp_extract(f, _leaf("TargetQueryExpression"), 1))))
-    first = F.filter("_parts", lambda f, i: F.array_position("_names", F.get("_names", i)) == i + 1)
-    wanted_targets = F.lit(targets) & ~F.coalesce("_done_targets", F.lit(False))
-    wanted_none = F.lit(no_targets) & ~F.coalesce("_done_none", F.lit(False)) & ~_has_detail(doc) & F.rlike(doc, F.lit(_open("ServerInstance")))
-    blocks = F.when(many & wanted_targets, first).when(some & wanted_targets, F.col("_parts")).when(~some & wanted_none, F.array(doc))
-    rows = docs.withColumn("_target", some).withColumn("_block", F.explode(blocks)).drop("EvaluationResults", "_parts", "_names")
-    rows = rows.filter(~F.col("_target") | F.rlike("_block", F.lit(_open("TargetQueryExpression"))))
-    rows = _with_texts(
-        rows, "_block", _object="TargetQueryExpression", Result="Result", ExceptionMessage="Exception", _detail="ResultDetail")
+        done = loaded.select("PolicyHistoryID", F.col("ResultDetail").isNotNull().alias("_target")).distinct()
+        rows = rows.join(done, ["PolicyHistoryID", "_target"], "left_anti")
     return rows.select(
         "PolicyHistoryID", "EvaluatedServer", "EvaluationDateTime", "EvaluatedPolicy",
-        F.when(F.col("_target"), F.col("_object")).otherwise(F.lit(NO_TARGET)).alias("EvaluatedObject"),
-        policy_result(F.col("Result"), F.col("ExceptionMessage")).alias("PolicyResult"), "ExceptionMessage",
-        F.when(F.col("_target"), F.col("_detail")).alias("ResultDetail"), "Policy_id", "CategoryName",
-        F.date_format("EvaluationDateTime", "MMMM yyyy").alias("MonthYear"), F.lit(RESULT_SOURCE).alias("PolicyHistorySource"))
+        F.when(F.col("_target"), F.col("TargetQueryExpression")).otherwise(F.lit(NO_TARGET)).alias("EvaluatedObject"),
+        policy_result(F.col("Result"), F.col("Exception")).alias("PolicyResult"), F.col("Exception").alias("ExceptionMessage"),
+        F.when(F.col("_target"), F.col("ResultDetail")).alias("ResultDetail"), "Policy_id", "CategoryName",
+        F.date_format("EvaluationDateTime", "MMMM yyyy").alias("MonthYear"), F.lit(source).alias("PolicyHistorySource"))
 
 
 def shred_policy_results(
@@ -131,16 +114,11 @@ def shred_policy_errors(
     history: DataFrame, policies: DataFrame, errors: DataFrame | None = None, category: str | None = None,
 ) -> DataFrame:
     """Exception texts of documents whose (server, time, policy) is not in the error history yet."""
-    docs = _documents(history, policies, category)
     keys = ["EvaluatedServer", "EvaluationDateTime", "EvaluatedPolicy"]
+    rows = _of_known(details(history).filter(F.col("_instance") & (F.col("Exception") != "")), policies, category)
     if errors is not None:
-        docs = docs.join(errors.select(*keys).distinct(), keys, "left_anti")
-    doc = F.col("EvaluationResults")
-    blocks = F.when(_has_detail(doc), _fragments(doc, _DETAIL)).otherwise(F.array(doc))
-    rows = docs.select(*keys, F.explode(blocks).alias("_block")).filter(F.rlike(F.col("_block"), F.lit(_open("ServerInstance"))))
-    # A message needs a character between the tags, so most rows are dropped by one test.
-    rows = rows.filter(F.rlike("_block", F.lit(_open("Exception") + "[^<]")))
-    return _with_texts(rows, "_block", EvaluationResults="Exception").select(*keys, "EvaluationResults")
+        rows = rows.join(errors.select(*keys).distinct(), keys, "left_anti")
+    return rows.select(*keys, F.col("Exception").alias("EvaluationResults"))
 
 
 def load_policy_history(
@@ -156,5 +134,8 @@ def policy_summary(detail: DataFrame) -> DataFrame:
     """Latest result per policy, server and object (inferred rule); combines on the map side."""
     keys = ["CategoryName", "Policy_id", "PolicyName", "EvaluatedServer", "ObjectName"]
     rows = detail.withColumnRenamed("EvaluatedPolicy", "PolicyName").withColumnRenamed("EvaluatedObject", "ObjectName")
-    latest = F.max_by("PolicyResult", F.struct("EvaluationDateTime", "PolicyHistoryID"))
-    return rows.groupBy(*keys).agg(F.max("EvaluationDateTime").alias("EvaluationDateTime"), latest.alias("PolicyResult"))
+    # Fixed-width values only, so that a hash aggregation combines them: time and id as one number, the result as its place.
+    order = F.unix_micros(F.col("EvaluationDateTime").cast("timestamp")).cast("decimal(18,0)") * F.lit(str(10**19)).cast("decimal(20,0)") + F.col("PolicyHistoryID")
+    place = F.array_position(F.array(*map(F.lit, RESULTS)), F.col("PolicyResult")).cast("int")
+    latest = F.max_by(place, order)
+    return rows.groupBy(*keys).agg(F.max("EvaluationDateTime").alias("EvaluationDateTime"), F.get(F.array(*map(F.lit, RESULTS)), latest - 1).alias("PolicyResult"))

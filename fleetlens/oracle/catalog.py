@@ -396,7 +396,8 @@ def _(t):
 
 
 @query("f22_shred_policy_errors", """
-    SELECT EvaluatedServer, EvaluationDateTime, EvaluatedPolicy, ExceptionMessage AS EvaluationResults FROM policy_detail WHERE ExceptionMessage <> ''""")
+    SELECT EvaluatedServer, EvaluationDateTime, EvaluatedPolicy, ExceptionMessage AS EvaluationResults FROM policy_detail WHERE ExceptionMessage <> ''
+    UNION ALL SELECT EvaluatedServer, EvaluationDateTime, EvaluatedPolicy, 'late' FROM policy_docs WHERE NOT bare AND PolicyHistoryID % 4 = 2""")
 def _(t):
     return policy.shred_policy_errors(t.policy_history, t.policies)
 

@@ -258,19 +258,23 @@ FLEET_SQL: dict[str, str] = {
         SELECT DISTINCT CAST(length(event_type) * 10 + ascii(event_type) % 10 AS INT) AS Policy_ID,
                'SRV1%' AS EvaluatedServer, 'Server/%' AS ObjectName
         FROM events WHERE event_type IN ('click', 'error')""",
+    # Prefixed and plain names, one to three details, repeats, CDATA, comments, self-closing and absent elements.
     "policy_history": """
-        SELECT event_id AS PolicyHistoryID, concat('srv', CAST(user_id AS VARCHAR(20))) AS EvaluatedServer,
-               ts AS EvaluationDateTime, event_type AS EvaluatedPolicy,
-               CASE WHEN value < 10 THEN
-                    concat('<R><ServerInstance>srv', CAST(user_id AS VARCHAR(20)), '</ServerInstance><Result>',
-                           CASE WHEN event_id % 3 = 0 THEN 'FALSE' ELSE 'TRUE' END, '</Result><Exception>',
-                           CASE WHEN event_id % 6 = 0 THEN 'timeout' ELSE '' END, '</Exception></R>')
-               ELSE concat('<R><EvaluationDetail><ServerInstance>srv', CAST(user_id AS VARCHAR(20)),
-                           '</ServerInstance><TargetQueryExpression>Server/', CAST(user_id AS VARCHAR(20)),
-                           '</TargetQueryExpression><Result>', CASE WHEN event_id % 3 = 0 THEN 'FALSE' ELSE 'TRUE' END,
-                           '</Result><Exception>', CASE WHEN event_id % 6 = 0 THEN 'timeout' ELSE '' END,
-                           '</Exception><ResultDetail>', event_type, '</ResultDetail></EvaluationDetail></R>') END AS EvaluationResults
-        FROM events""",
+        SELECT PolicyHistoryID, EvaluatedServer, EvaluationDateTime, EvaluatedPolicy,
+               CASE WHEN value < 10 THEN concat('<', p, 'R', ns, '><!-- <EvaluationDetail/> --><', p, 'ServerInstance>', EvaluatedServer, '</', p, 'ServerInstance>', result, fault, '</', p, 'R>')
+                    ELSE concat('<', p, 'R', ns, '>', detail, CASE WHEN PolicyHistoryID % 5 = 0 THEN concat('<![CDATA[', object, ']]>') ELSE object END, named, result, fault,
+                                '<!-- <', p, 'Exception>none</', p, 'Exception> --><', p, 'ResultDetail>', EvaluatedPolicy, '</', p, 'ResultDetail></', p, 'EvaluationDetail>',
+                                CASE PolicyHistoryID % 4 WHEN 1 THEN concat(detail, object, '&#47;db', named, '<', p, 'Result>FALSE</', p, 'Result></', p, 'EvaluationDetail>')
+                                                         WHEN 2 THEN concat(detail, object, named, '<', p, 'Result>FALSE</', p, 'Result><', p, 'Exception>late</', p, 'Exception></', p, 'EvaluationDetail>')
+                                                         ELSE '' END, '</', p, 'R>') END AS EvaluationResults
+        FROM (
+            SELECT *, concat('<', p, 'EvaluationDetail><', p, 'ServerInstance>', EvaluatedServer, '</', p, 'ServerInstance><', p, 'TargetQueryExpression>') AS detail,
+                   concat('</', p, 'TargetQueryExpression>') AS named, CASE WHEN p = '' THEN '' ELSE ' xmlns:p="urn:x"' END AS ns,
+                   concat('<', p, 'Result>', CASE WHEN PolicyHistoryID % 3 = 0 THEN 'FALSE' ELSE 'TRUE' END, '</', p, 'Result>') AS result,
+                   CASE PolicyHistoryID % 6 WHEN 0 THEN concat('<', p, 'Exception>timeout</', p, 'Exception>') WHEN 3 THEN concat('<', p, 'Exception/>')
+                                            ELSE concat('<', p, 'Exception></', p, 'Exception>') END AS fault
+            FROM (SELECT event_id AS PolicyHistoryID, concat('srv', CAST(user_id AS VARCHAR(20))) AS EvaluatedServer, ts AS EvaluationDateTime, event_type AS EvaluatedPolicy, value,
+                         concat('Server/', CAST(user_id AS VARCHAR(20))) AS object, CASE WHEN event_id % 2 = 0 THEN 'p:' ELSE '' END AS p FROM events) e) d""",
     # ---- raw feeds ------------------------------------------------------------
     "job_history_raw": """
         SELECT event_id AS instance_id, user_id AS job_id, CAST(event_id % 2 AS INT) AS step_id,

@@ -271,6 +271,28 @@ def test_policy_documents(make, rows):
     assert policy.shred_policy_results(history, policies, category="Other").count() == 0
 
 
+def test_policy_documents_as_xml_allows(make, rows):
+    detail = lambda name, exc: f"<EvaluationDetail><ServerInstance>s</ServerInstance><TargetQueryExpression>{name}</TargetQueryExpression><Result>False</Result>{exc}</EvaluationDetail>"
+    doc = "<R><X>" + "".join((
+        detail("self-closing", "<Exception/>"), detail("blank inside", "<Exception />"), detail("absent", ""), detail("empty", "<Exception></Exception>"),
+        detail("commented &amp; &#65;&#x42;<![CDATA[ <c> &amp;]]>", "<Exception></Exception><!-- <Exception>no</Exception> -->"),
+        detail("two", "<Exception>one</Exception><Exception>two</Exception>"), detail("numeric", "<Exception>a&#10;b</Exception>"),
+        detail("twice", "<Exception/>"), detail("twi<![CDATA[ce]]>", "<Exception>late</Exception>"),
+        "<!-- <EvaluationDetail><TargetQueryExpression>hidden</TargetQueryExpression></EvaluationDetail> -->")) + "</X></R>"
+    closed = "<R><EvaluationDetail/><ServerInstance>s</ServerInstance><Result>FALSE</Result><Exception/></R>"
+    bare = "<R><!-- <EvaluationDetail/> --><P><p:ServerInstance>s</p:ServerInstance><p:Result>FALSE</p:Result><p:Exception/></P></R>"
+    history, policies = _policy(make, doc, closed, bare)
+    assert rows(policy.shred_policy_results(history, policies), "EvaluatedObject", "PolicyResult", "ExceptionMessage") == sorted([
+        ("self-closing", "FAIL", ""), ("blank inside", "FAIL", ""), ("absent", "PASS", None), ("empty", "FAIL", ""),
+        ("commented & AB <c> &amp;", "FAIL", ""), ("two", "ERROR", "one"), ("numeric", "ERROR", "a\nb"), ("twice", "FAIL", "")],
+        key=lambda t: [(v is None, str(v)) for v in t])
+    assert rows(policy.shred_no_target_results(history, policies), "PolicyHistoryID", "PolicyResult") == [(2, "FAIL")]
+    assert rows(policy.shred_policy_errors(history, policies), "EvaluationResults") == [("a\nb",), ("late",), ("one",)]
+    plan = policy.shred_documents(history, policies)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert not any("EvaluationResults" in line for line in exchanges)
+
+
 def test_policy_load_is_idempotent(make):
     doc = "<R>" + _detail("A", "TRUE", extra="<DMF:ResultDetail>x</DMF:ResultDetail>") + "</R>"
     history, policies = _policy(make, doc)
