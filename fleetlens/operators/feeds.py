@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.columns import DEFAULT_INSTANCE, apply_filters, as_col, idiv, like_ci, ts_lit
+from fleetlens.functions.columns import DEFAULT_INSTANCE, apply_filters, as_col, ci, idiv, like_ci, ts_lit
 from fleetlens.functions.windows import hour_slice, month_slice, sliced_lag
 
 BS = "\\"
@@ -157,13 +157,13 @@ def select_log_archives(
 # ---- jobs ----------------------------------------------------------------------
 
 def duration_seconds(packed: Column) -> Column:
-    """Seconds of a ``DDHHMMSS`` number; digits beyond eight are cut from the left."""
-    digits = F.lpad(F.right(packed.cast("string"), F.lit(8)), 8, "0")
+    """Seconds of a ``DHHMMSS`` number with any number of digits for the days."""
+    value = packed.cast("bigint")
 
-    def part(i: int) -> Column:
-        return F.substring(digits, i, 2).cast("int")
+    def part(unit: int) -> Column:
+        return idiv(value, unit) % 100
 
-    return part(1) * 86400 + part(3) * 3600 + part(5) * 60 + part(7)
+    return (idiv(value, 1_000_000) * 86400 + part(10_000) * 3600 + part(100) * 60 + part(1)).cast("int")
 
 
 def decode_job_history(history: DataFrame, jobs: DataFrame, categories: DataFrame, after: str | None = None) -> DataFrame:
@@ -196,7 +196,7 @@ def rollup_database_files(
     kind = F.when(F.col("FileTypeCode") == 0, "Data").otherwise("Log")
     sizes = files.groupBy("DatabaseID", kind.alias("FileType")).agg(
         F.sum(idiv(F.col("SizePages"), 128)).alias("FileSize_mb"))
-    dbs = databases.filter(~F.col("DatabaseName").isin(*SYSTEM_DATABASES)).select("DatabaseID", "SQLInstanceID", "DatabaseName", "DatabaseState")
+    dbs = databases.filter(~ci("DatabaseName").isin(*map(str.lower, SYSTEM_DATABASES))).select("DatabaseID", "SQLInstanceID", "DatabaseName", "DatabaseState")
     rows = sizes.join(dbs, "DatabaseID").join(apps.select("DatabaseID", "ApplicationName", "ApplicationOwner"), "DatabaseID", "left")
     if ag is not None:
         rows = rows.join(ag.select("DatabaseID", "AGGuid"), "DatabaseID", "left")
@@ -249,18 +249,18 @@ def os_label(df: DataFrame, col: str = "OSCaption") -> DataFrame:
 
 
 def host_capacity(processors: DataFrame, memory: DataFrame, pagefiles: DataFrame) -> DataFrame:
-    """Cores over all sockets, memory and page-file size per server; hosts without a feed row get 0 / Unknown."""
+    """Cores over all sockets, memory and page-file size of every server in any feed; what is not reported is 0 / Unknown."""
     cpu = processors.groupBy("ServerID").agg(
         F.max("Name").alias("ProcessorName"), F.sum("NumberOfCores").alias("NumberOfCores"),
         F.sum("NumberOfLogicalProcessors").alias("NumberOfLogicalCores"))
     page = pagefiles.groupBy("ServerID").agg(F.sum("AllocatedBaseSize").alias("PageFile_mb"))
     ram = memory.select("ServerID", idiv(F.col("TotalPhysicalMemory"), 1024 * 1024).alias("Memory_mb"))
     zero = F.lit(0).cast("bigint")
-    return ram.join(cpu, "ServerID", "left").join(page, "ServerID", "left").select(
+    return ram.join(cpu, "ServerID", "full_outer").join(page, "ServerID", "full_outer").select(
         "ServerID", F.coalesce("ProcessorName", F.lit("Unknown")).alias("ProcessorName"),
         F.coalesce("NumberOfCores", zero).alias("NumberOfCores"),
         F.coalesce("NumberOfLogicalCores", zero).alias("NumberOfLogicalCores"),
-        "Memory_mb", F.coalesce("PageFile_mb", zero).alias("PageFile_mb"))
+        F.coalesce("Memory_mb", zero).alias("Memory_mb"), F.coalesce("PageFile_mb", zero).alias("PageFile_mb"))
 
 
 def classify_services(services: DataFrame) -> DataFrame:
@@ -383,7 +383,7 @@ def server_memberships(principals: DataFrame, role_members: DataFrame) -> DataFr
 def _unreadable_copies(states: DataFrame, seen: DataFrame, scope: list[str]) -> DataFrame:
     """Databases on a secondary replica that produced no row."""
     return (
-        states.filter((F.col("RoleDesc") == "SECONDARY") & ~F.col("DatabaseName").isin(*SYSTEM_DATABASES))
+        states.filter((F.col("RoleDesc") == "SECONDARY") & ~ci("DatabaseName").isin(*map(str.lower, SYSTEM_DATABASES)))
         .select(*scope).distinct().join(seen.select(*scope).distinct(), scope, "left_anti"))
 
 
@@ -406,7 +406,7 @@ def database_memberships(
         *scope, *[F.lit(None).cast("string").alias(c) for c in ("RoleName", "UserName", "UserType")],
         F.lit(None).cast("boolean").alias("IsOrphaned"))
     return rows.unionByName(gaps).filter(
-        (F.col("UserName").isNull() | ~_is_noise(F.col("UserName"), SYSTEM_USERS)) & ~F.col("DatabaseName").isin(*SYSTEM_DATABASES))
+        (F.col("UserName").isNull() | ~_is_noise(F.col("UserName"), SYSTEM_USERS)) & ~ci("DatabaseName").isin(*map(str.lower, SYSTEM_DATABASES)))
 
 
 def _grants(principals: DataFrame, grants: DataFrame, scope: list[str]) -> DataFrame:
@@ -450,7 +450,7 @@ def database_permissions(principals: DataFrame, grants: DataFrame, objects: Data
     )
     empty = [F.lit(None).cast("string").alias(c) for c in rows.columns if c not in scope]
     gaps = _unreadable_copies(ag_states, rows, scope).select(*scope, *empty)
-    return rows.unionByName(gaps).filter(~F.col("DatabaseName").isin(*SYSTEM_DATABASES))
+    return rows.unionByName(gaps).filter(~ci("DatabaseName").isin(*map(str.lower, SYSTEM_DATABASES)))
 
 
 def server_roles(principals: DataFrame) -> DataFrame:

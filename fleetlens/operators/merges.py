@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.columns import ci, date_lit
+from fleetlens.functions.columns import ci, ci_eq, date_lit
 from fleetlens.operators.rollup import UNKNOWN_ID
-from fleetlens.operators.upsert import archive_upsert, insert_missing, upsert
+from fleetlens.operators.upsert import archive_upsert, insert_missing, join_ci, missing_rows, upsert
 
 
 def _new_row(as_of: str, **extra: Column) -> dict[str, Column]:
@@ -17,23 +17,24 @@ def _new_row(as_of: str, **extra: Column) -> dict[str, Column]:
 # ---- applications and databases -------------------------------------------------
 
 def merge_applications(applications: DataFrame, feed: DataFrame) -> DataFrame:
-    return upsert(applications, feed, ["ApplicationName"], ["ApplicationOwner"])
+    return upsert(applications, feed, ["ApplicationName"], ["ApplicationOwner"], id_col="ApplicationID")
 
 
 def merge_databases(databases: DataFrame, feed: DataFrame, applications: DataFrame, as_of: str) -> DataFrame:
-    named = feed.select("SQLInstanceID", "DatabaseName", "DatabaseState", "ApplicationName").distinct().join(
-        applications.select("ApplicationName", "ApplicationID"), "ApplicationName")
+    named = join_ci(
+        feed.select("SQLInstanceID", "DatabaseName", "DatabaseState", "ApplicationName").distinct(),
+        applications.select("ApplicationName", "ApplicationID"), ["ApplicationName"])
     return upsert(
         databases, named, ["SQLInstanceID", "DatabaseName"], ["DatabaseState", "ApplicationID", "ApplicationName"],
-        _new_row(as_of), as_of)
+        _new_row(as_of), as_of, id_col="DatabaseID")
 
 
 def merge_database_size(size: DataFrame, feed: DataFrame, databases: DataFrame, as_of: str) -> DataFrame:
     """Sizes of monitored databases for the day; only that day's partition of the target is rewritten."""
     day = date_lit(as_of)
     known = databases.filter("IsMonitored").select("DatabaseID", "SQLInstanceID", "DatabaseName")
-    rows = feed.select("SQLInstanceID", "DatabaseName", "FileType", "FileSize_mb").join(
-        known, ["SQLInstanceID", "DatabaseName"]).withColumn("DateCaptured", day)
+    rows = join_ci(
+        feed.select("SQLInstanceID", "DatabaseName", "FileType", "FileSize_mb"), known, ["SQLInstanceID", "DatabaseName"]).withColumn("DateCaptured", day)
     today = size.filter(F.col("DateCaptured") == day)
     merged = upsert(today, rows, ["DatabaseID", "DateCaptured", "FileType"], ["FileSize_mb"])
     return size.filter(F.col("DateCaptured") != day).unionByName(merged)
@@ -43,10 +44,9 @@ def merge_ag_databases(
     links: DataFrame, feed: DataFrame, databases: DataFrame, groups: DataFrame, ag_instances: DataFrame, as_of: str,
 ) -> DataFrame:
     known = databases.filter("IsMonitored").select("DatabaseID", "SQLInstanceID", "DatabaseName")
+    data = feed.filter(ci_eq("FileType", "Data")).select("SQLInstanceID", "DatabaseName", "AGGuid")
     rows = (
-        feed.filter(F.col("FileType") == "Data").select("SQLInstanceID", "DatabaseName", "AGGuid")
-        .join(known, ["SQLInstanceID", "DatabaseName"])
-        .join(groups.select("AGGuid", "AGID"), "AGGuid")
+        join_ci(join_ci(data, known, ["SQLInstanceID", "DatabaseName"]), groups.select("AGGuid", "AGID"), ["AGGuid"])
         .join(ag_instances.select("AGID", "SQLInstanceID", "AGInstanceID"), ["AGID", "SQLInstanceID"])
         .select("AGInstanceID", "DatabaseID").distinct())
     return upsert(links, rows, ["AGInstanceID", "DatabaseID"], (), _new_row(as_of), as_of)
@@ -55,12 +55,12 @@ def merge_ag_databases(
 # ---- availability groups ---------------------------------------------------------
 
 def merge_availability_groups(groups: DataFrame, feed: DataFrame, as_of: str) -> DataFrame:
-    return upsert(groups, feed.select("AGName", "AGGuid").distinct(), ["AGName", "AGGuid"], (), _new_row(as_of), as_of)
+    return upsert(groups, feed.select("AGName", "AGGuid").distinct(), ["AGName", "AGGuid"], (), _new_row(as_of), as_of, id_col="AGID")
 
 
 def resolve_replicas(feed: DataFrame, groups: DataFrame, servers: DataFrame, instances: DataFrame) -> DataFrame:
     """Instance id of every replica: looked up by host and instance name, else the reporting instance."""
-    reported = F.when(F.col("InstanceName") == "mssqlserver", F.col("ComputerName")).otherwise(
+    reported = F.when(ci_eq("InstanceName", "mssqlserver"), F.col("ComputerName")).otherwise(
         F.concat("ComputerName", F.lit("\\"), "InstanceName"))
     hosts = servers.select("ServerID", ci("ServerName").alias("_host"))
     names = instances.filter(F.col("ServerID").isNotNull()).select(
@@ -69,7 +69,8 @@ def resolve_replicas(feed: DataFrame, groups: DataFrame, servers: DataFrame, ins
     is_other = ci("ServerInstance") != ci(reported)
     # Null out the key of the reporting replica itself so that it keeps its own id.
     keyed = feed.withColumn("_h", F.when(is_other, ci("ComputerName"))).withColumn("_i", F.when(is_other, ci("InstanceName")))
-    rows = keyed.join(others, (F.col("_h") == F.col("_host")) & (F.col("_i") == F.col("_inst")), "left").join(
+    rows = join_ci(
+        keyed.join(others, (F.col("_h") == F.col("_host")) & (F.col("_i") == F.col("_inst")), "left"),
         groups.select("AGGuid", "AGName", "AGID"), ["AGGuid", "AGName"], "left")
     return rows.select("AGID", F.coalesce("_other_id", "SQLInstanceID").alias("SQLInstanceID"), "ReplicaRole")
 
@@ -78,30 +79,36 @@ def merge_ag_replicas(
     ag_instances: DataFrame, feed: DataFrame, groups: DataFrame, servers: DataFrame, instances: DataFrame, as_of: str,
 ) -> DataFrame:
     rows = resolve_replicas(feed, groups, servers, instances)
-    return upsert(ag_instances, rows, ["AGID", "SQLInstanceID"], ["ReplicaRole"], _new_row(as_of), as_of)
+    return upsert(ag_instances, rows, ["AGID", "SQLInstanceID"], ["ReplicaRole"], _new_row(as_of), as_of, id_col="AGInstanceID")
 
 
 # ---- jobs, errors, services, properties ------------------------------------------
 
 def merge_job_categories(categories: DataFrame, feed: DataFrame) -> DataFrame:
-    return insert_missing(categories, feed.select(F.col("CategoryName").alias("SQLJobCategoryName")), ["SQLJobCategoryName"])
+    return insert_missing(categories, feed.select(F.col("CategoryName").alias("SQLJobCategoryName")), ["SQLJobCategoryName"], id_col="SQLJobCategoryID")
 
 
 def merge_jobs(jobs: DataFrame, feed: DataFrame, categories: DataFrame, as_of: str) -> DataFrame:
-    rows = feed.select("SQLInstanceID", "JobName", "CategoryName").distinct().join(
-        categories.select(F.col("SQLJobCategoryName").alias("CategoryName"), "SQLJobCategoryID"), "CategoryName")
+    rows = join_ci(
+        feed.select("SQLInstanceID", "JobName", "CategoryName").distinct(),
+        categories.select(F.col("SQLJobCategoryName").alias("CategoryName"), "SQLJobCategoryID"), ["CategoryName"])
     rows = rows.select("SQLInstanceID", F.col("JobName").alias("SQLJobName"), "SQLJobCategoryID")
-    return upsert(jobs, rows, ["SQLInstanceID", "SQLJobName"], ["SQLJobCategoryID"], _new_row(as_of), as_of)
+    return upsert(jobs, rows, ["SQLInstanceID", "SQLJobName"], ["SQLJobCategoryID"], _new_row(as_of), as_of, id_col="SQLJobID")
 
 
 def append_job_history(history: DataFrame, feed: DataFrame, jobs: DataFrame, dedupe: bool = True) -> DataFrame:
     """Runs of the feed joined to their job and added; a run already stored is not doubled."""
-    rows = feed.join(
-        jobs.select("SQLInstanceID", F.col("SQLJobName").alias("JobName"), "SQLJobID"), ["SQLInstanceID", "JobName"]
+    rows = join_ci(
+        feed, jobs.select("SQLInstanceID", F.col("SQLJobName").alias("JobName"), "SQLJobID"), ["SQLInstanceID", "JobName"]
     ).select("SQLJobID", "ExecutionDateTime", "Duration", "JobStatus")
-    if dedupe:
-        return insert_missing(history, rows, ["SQLJobID", "ExecutionDateTime"])
-    return history.unionByName(rows)
+    return history.unionByName(new_job_runs(history, rows) if dedupe else rows)
+
+
+def new_job_runs(history: DataFrame, rows: DataFrame) -> DataFrame:
+    """Runs that are not stored yet; only the days of the batch are compared, so stored partitions prune."""
+    days = rows.agg(F.min("ExecutionDateTime").alias("low"), F.max("ExecutionDateTime").alias("high")).first()
+    near = history.filter(F.col("ExecutionDateTime").between(F.lit(days["low"]), F.lit(days["high"])))
+    return missing_rows(near, rows, ["SQLJobID", "ExecutionDateTime"])
 
 
 def append_error_log(log: DataFrame, errors: DataFrame) -> DataFrame:
@@ -111,20 +118,20 @@ def append_error_log(log: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def merge_services(services: DataFrame, feed: DataFrame, servers: DataFrame, as_of: str) -> DataFrame:
-    rows = feed.drop("ServerID").join(servers.select("ServerName", "ServerID"), "ServerName")
+    rows = join_ci(feed.drop("ServerID"), servers.select("ServerName", "ServerID"), ["ServerName"])
     return upsert(
         services, rows, ["ServerID", "ServiceName"],
-        ["ServiceAccount", "ServiceVersion", "ServiceBuild", "Status", "StartMode"], _new_row(as_of), as_of)
+        ["ServiceAccount", "ServiceVersion", "ServiceBuild", "Status", "StartMode"], _new_row(as_of), as_of, id_col="SQLServiceID")
 
 
 def merge_property_names(properties: DataFrame, feed: DataFrame) -> DataFrame:
-    return insert_missing(properties, feed.select(F.col("PropertyName").alias("ExtendedPropertyName")), ["ExtendedPropertyName"])
+    return insert_missing(properties, feed.select(F.col("PropertyName").alias("ExtendedPropertyName")), ["ExtendedPropertyName"], id_col="ExtendedPropertyID")
 
 
 def merge_property_values(values: DataFrame, feed: DataFrame, properties: DataFrame, as_of: str) -> DataFrame:
-    rows = feed.select(
-        "SQLInstanceID", F.col("PropertyName").alias("ExtendedPropertyName"), F.col("PropertyValue").alias("ExtendedPropertyValue")
-    ).join(properties.select("ExtendedPropertyName", "ExtendedPropertyID"), "ExtendedPropertyName")
+    named = feed.select(
+        "SQLInstanceID", F.col("PropertyName").alias("ExtendedPropertyName"), F.col("PropertyValue").alias("ExtendedPropertyValue"))
+    rows = join_ci(named, properties.select("ExtendedPropertyName", "ExtendedPropertyID"), ["ExtendedPropertyName"])
     return upsert(
         values, rows, ["SQLInstanceID", "ExtendedPropertyID"], ["ExtendedPropertyValue"], _new_row(as_of), as_of)
 
@@ -135,14 +142,14 @@ def merge_principals(principals: DataFrame, feed: DataFrame, name_col: str, type
     """Insert-only by (name, type); used for roles and members, server and database level."""
     named = feed.select(F.col(name_col).alias("PrincipalName"), F.col(type_col).alias("PrincipalType")).filter(
         F.col("PrincipalName").isNotNull())
-    return insert_missing(principals, named, ["PrincipalName", "PrincipalType"])
+    return insert_missing(principals, named, ["PrincipalName", "PrincipalType"], id_col="PrincipalID")
 
 
 def resolve_principal(feed: DataFrame, principals: DataFrame, name: str, kind: Column, out: str) -> DataFrame:
     """Add the id of the principal called ``name`` of type ``kind`` (null when unknown)."""
-    ids = principals.groupBy(F.col("PrincipalName").alias("_pn"), F.col("PrincipalType").alias("_pt")).agg(
+    ids = principals.groupBy(ci("PrincipalName").alias("_pn"), ci("PrincipalType").alias("_pt")).agg(
         F.min("PrincipalID").alias(out))
-    return feed.join(ids, (F.col(name) == F.col("_pn")) & (kind == F.col("_pt")), "left").drop("_pn", "_pt")
+    return feed.join(ids, (ci(name) == F.col("_pn")) & (ci(kind) == F.col("_pt")), "left").drop("_pn", "_pt")
 
 
 def merge_server_memberships(
@@ -152,7 +159,7 @@ def merge_server_memberships(
     rows = resolve_principal(feed, principals, "RoleName", F.lit("SERVER_ROLE"), "ServerRoleID")
     rows = resolve_principal(rows, principals, "LoginName", F.col("LoginType"), "ServerLoginID")
     keys = ["SQLInstanceID", "ServerRoleID", "ServerLoginID"]
-    return archive_upsert(target, rows.select(*keys), keys, as_of, feed.select("SQLInstanceID") if scoped else None)
+    return archive_upsert(target, rows.select(*keys), keys, as_of, feed.select("SQLInstanceID") if scoped else None, id_col="MembershipID")
 
 
 def merge_database_memberships(target: DataFrame, feed: DataFrame, principals: DataFrame, as_of: str) -> DataFrame:
@@ -164,7 +171,7 @@ def merge_database_memberships(target: DataFrame, feed: DataFrame, principals: D
     rows = resolve_principal(read, principals, "RoleName", F.lit("DATABASE_ROLE"), "DatabaseRoleID")
     rows = resolve_principal(rows, principals, "UserName", F.col("UserType"), "DatabaseUserID")
     keys = ["DatabaseID", "DatabaseRoleID", "DatabaseUserID"]
-    return archive_upsert(target, rows.select(*keys, "IsOrphaned"), keys, as_of, read.select("DatabaseID"), ["IsOrphaned"])
+    return archive_upsert(target, rows.select(*keys, "IsOrphaned"), keys, as_of, read.select("DatabaseID"), ["IsOrphaned"], id_col="MembershipID")
 
 
 SERVER_GRANT_KEYS = ["SQLInstanceID", "GranteeID", "GrantorID", "ObjectType", "ObjectID", "Access", "PermissionName"]
@@ -180,11 +187,11 @@ def resolve_grants(feed: DataFrame, principals: DataFrame) -> DataFrame:
 def merge_server_permissions(target: DataFrame, feed: DataFrame, as_of: str, scoped: bool = True) -> DataFrame:
     """``feed`` has resolved ids (see :func:`resolve_grants`); seven-column match."""
     return archive_upsert(
-        target, feed.select(*SERVER_GRANT_KEYS), SERVER_GRANT_KEYS, as_of, feed.select("SQLInstanceID") if scoped else None)
+        target, feed.select(*SERVER_GRANT_KEYS), SERVER_GRANT_KEYS, as_of, feed.select("SQLInstanceID") if scoped else None, id_col="PermissionID")
 
 
 def merge_database_permissions(target: DataFrame, feed: DataFrame, as_of: str) -> DataFrame:
-    return archive_upsert(target, feed.select(*DATABASE_GRANT_KEYS), DATABASE_GRANT_KEYS, as_of, feed.select("DatabaseID"))
+    return archive_upsert(target, feed.select(*DATABASE_GRANT_KEYS), DATABASE_GRANT_KEYS, as_of, feed.select("DatabaseID"), id_col="PermissionID")
 
 
 # ---- groups, servers, clusters, instances ----------------------------------------
@@ -196,7 +203,7 @@ def merge_group_registry(registry: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def set_group_monitoring(registry: DataFrame, paths: DataFrame, group_name: str, monitored: bool) -> DataFrame:
-    chosen = paths.filter(F.col("GroupName") == group_name).select("GroupID", F.lit(monitored).alias("_flag"))
+    chosen = paths.filter(ci_eq("GroupName", group_name)).select("GroupID", F.lit(monitored).alias("_flag"))
     return registry.join(chosen, "GroupID", "left").select(
         "GroupID", F.coalesce("_flag", "IsMonitored").alias("IsMonitored"))
 
@@ -206,21 +213,21 @@ def add_operating_systems(os: DataFrame, feed: DataFrame) -> DataFrame:
     names = feed.filter(F.col("OperatingSystemName").isNotNull()).select(
         "OperatingSystemName",
         F.replace(F.col("OperatingSystemName"), F.lit("Windows Server "), F.lit("Windows ")).alias("OperatingSystemShortName"))
-    return insert_missing(os, names, ["OperatingSystemName"])
+    return insert_missing(os, names, ["OperatingSystemName"], id_col="OperatingSystemID")
 
 
 def merge_servers(servers: DataFrame, feed: DataFrame, os: DataFrame, as_of: str) -> DataFrame:
     """Name-keyed add or update; an unknown operating system maps to the Unknown member."""
-    rows = feed.join(os.select("OperatingSystemName", "OperatingSystemID"), "OperatingSystemName", "left").withColumn(
+    rows = join_ci(feed, os.select("OperatingSystemName", "OperatingSystemID"), ["OperatingSystemName"], "left").withColumn(
         "OperatingSystemID", F.coalesce("OperatingSystemID", F.lit(UNKNOWN_ID)))
     return upsert(
         servers, rows, ["ServerName"],
         ["OperatingSystemID", "ProcessorName", "NumberOfCores", "NumberOfLogicalCores", "Memory_mb", "PageFile_mb", "IsPhysical"],
-        _new_row(as_of), as_of)
+        _new_row(as_of), as_of, id_col="ServerID")
 
 
 def merge_clusters(clusters: DataFrame, feed: DataFrame, as_of: str) -> DataFrame:
-    return upsert(clusters, feed.select("SQLClusterName"), ["SQLClusterName"], (), _new_row(as_of), as_of)
+    return upsert(clusters, feed.select("SQLClusterName"), ["SQLClusterName"], (), _new_row(as_of), as_of, id_col="SQLClusterID")
 
 
 def merge_cluster_nodes(nodes: DataFrame, feed: DataFrame) -> DataFrame:
@@ -269,7 +276,7 @@ def merge_instances(instances: DataFrame, feed: DataFrame, as_of: str) -> DataFr
     return upsert(
         keyed(instances), keyed(feed), owner,
         ["SQLInstanceVersionID", "SQLInstanceBuild", "SQLInstanceEdition", "SQLInstanceType", "SQLInstanceEnviornment"],
-        _new_row(as_of), as_of).drop("_server", "_cluster")
+        _new_row(as_of), as_of, id_col="SQLInstanceID").drop("_server", "_cluster")
 
 
 def set_monitoring(df: DataFrame, key: str, value, monitored: bool) -> DataFrame:
@@ -382,6 +389,7 @@ def apply_volume_decisions(volumes: DataFrame, decisions: DataFrame, as_of: str)
     monitored = F.coalesce("IsMonitored", F.lit(True))
     touched = (F.coalesce("_seen", F.lit(False)) | moved) & monitored
     values = {
+        "DiskVolumeID": F.when(is_new, F.xxhash64("_vol", "_srv", "_clu")).otherwise(F.col("DiskVolumeID")) if "DiskVolumeID" in volumes.columns else None,
         "DiskVolumeName": F.coalesce("DiskVolumeName", "_vol"),
         "ServerID": F.when(is_new & (F.col("_srv") != none), F.col("_srv")).when(~moved, F.col("ServerID")),
         "SQLClusterID": F.when(is_new & (F.col("_clu") != none), F.col("_clu")).otherwise(F.coalesce("_to_cluster", "SQLClusterID")),

@@ -6,22 +6,53 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegerType, StringType
 
-from fleetlens.functions.columns import date_lit
+from fleetlens.functions.columns import ci, date_lit
 
 
-def one_per_key(source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key: the largest payload, so reruns pick the same row.
+def text_keys(df: DataFrame, keys: Sequence[str]) -> set[str]:
+    """Those of ``keys`` that hold text; they compare without case and padding."""
+    return {f.name for f in df.schema.fields if f.name in keys and isinstance(f.dataType, StringType)}
+
+
+def _key(name: str, text: set[str]) -> Column:
+    return ci(name) if name in text else F.col(name)
+
+
+def join_ci(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join in which text keys compare without case and padding; the left spelling stays."""
+    text = text_keys(left, keys) & text_keys(right, keys)
+    marked = right.select(*[_key(k, text).alias(f"_j_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [f"_j_{k}" for k in keys]
+    return left.withColumns({f"_j_{k}": _key(k, text) for k in keys}).join(marked, on, how).drop(*on)
+
+
+def new_id(df: DataFrame, keys: Sequence[str], kind: DataType) -> Column:
+    """Key of a new row, derived from its natural key, so that a rerun and every other table get the same one."""
+    text = text_keys(df, keys)
+    parts = [_key(k, text) for k in keys]
+    return (F.hash(*parts) if isinstance(kind, IntegerType) else F.xxhash64(*parts)).cast(kind)
+
+
+def one_per_key(source: DataFrame, keys: Sequence[str], latest_by: str | None = None) -> DataFrame:
+    """One row per key: the latest by ``latest_by``, else the largest payload, so reruns pick the same row.
 
     Aggregates on the map side first; a key repeated in much of a batch is one
-    row per task before the shuffle.
+    row per task before the shuffle.  Spellings of a text key that differ in case only are one key.
     """
-    payload = [c for c in source.columns if c not in keys]
+    text = text_keys(source, keys)
+    payload = [c for c in source.columns if c not in keys] + [k for k in keys if k in text]
     if not payload:
         return source.select(*keys).distinct()
-    if len(payload) == 1:
-        return source.groupBy(*keys).agg(F.max(payload[0]).alias(payload[0]))
-    return source.groupBy(*keys).agg(F.max(F.struct(*payload)).alias("_p")).select(*keys, "_p.*")
+    grouped = source.groupBy(*[_key(k, text).alias(f"_g_{k}" if k in text else k) for k in keys])
+    if latest_by is not None:
+        best = F.max_by(F.struct(*payload), F.struct(latest_by, *payload))
+    elif len(payload) == 1:
+        return grouped.agg(F.max(payload[0]).alias(payload[0])).select(*source.columns)
+    else:
+        best = F.max(F.struct(*payload))
+    return grouped.agg(best.alias("_p")).select(*[k for k in keys if k not in text], "_p.*").select(*source.columns)
 
 
 def upsert(
@@ -32,30 +63,37 @@ def upsert(
     insert_defaults: Mapping[str, Column] | None = None,
     as_of: str | None = None,
     touch: str = "LastUpdated",
+    id_col: str | None = None,
+    latest_by: str | None = None,
 ) -> DataFrame:
     """Matched rows take ``update_cols`` and the touch date; new keys are inserted; the rest stays.
 
-    ``insert_defaults`` gives values of target columns the source lacks.  Rows
-    whose key has a null never match, as in an equality merge.  After
-    ``one_per_key`` the join has at most one source row per key.
+    Text keys compare without case and padding, and the stored spelling stays.  ``insert_defaults`` gives values of target
+    columns the source lacks; ``id_col`` of a new row is derived from its key.  Rows whose key has a null never match, as in
+    an equality merge.  After ``one_per_key`` the join has at most one source row per key; ``latest_by`` (a source column)
+    says which.
     """
     defaults = dict(insert_defaults or {})
+    text = text_keys(target, keys)
     present = [c for c in target.columns if c in source.columns and c not in keys]
-    src = one_per_key(source.select(*keys, *present), keys)
-    src = src.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in present], F.lit(True).alias("_s"))
-    both = target.withColumn("_t", F.lit(True)).join(src, list(keys), "full_outer")
-    incoming, is_new = F.col("_s").isNotNull(), F.col("_t").isNull()
+    order = [latest_by] if latest_by and latest_by not in (*keys, *present) else []
+    src = one_per_key(source.select(*keys, *present, *order), keys, latest_by)
     types = dict((f.name, f.dataType) for f in target.schema.fields)
+    made = [new_id(src, keys, types[id_col]).alias("_s_new_id")] if id_col in types and id_col not in present else []
+    on = [f"_k_{k}" for k in keys]
+    src = src.select(*[_key(k, text).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(f"_s_{c}") for c in (*keys, *present)], *made, F.lit(True).alias("_s"))
+    both = target.withColumns({"_t": F.lit(True)} | {f"_k_{k}": _key(k, text) for k in keys}).join(src, on, "full_outer")
+    incoming, is_new = F.col("_s").isNotNull(), F.col("_t").isNull()
 
     def value(c: str) -> Column:
         if c in keys:
-            return F.col(c)
+            return F.when(is_new, F.col(f"_s_{c}")).otherwise(F.col(c)).cast(types[c]).alias(c)
         if c == touch and as_of is not None:
             return F.when(incoming, date_lit(as_of)).otherwise(F.col(c)).cast(types[c]).alias(c)
         if c in present:
             take = incoming if c in update_cols else is_new
             return F.when(take, F.col(f"_s_{c}")).otherwise(F.col(c)).cast(types[c]).alias(c)
-        default = defaults.get(c, F.lit(None))
+        default = F.col("_s_new_id") if c == id_col else defaults.get(c, F.lit(None))
         return F.when(is_new, default).otherwise(F.col(c)).cast(types[c]).alias(c)
 
     return both.select(*[value(c) for c in target.columns])
@@ -63,20 +101,30 @@ def upsert(
 
 def insert_missing(
     target: DataFrame, source: DataFrame, keys: Sequence[str], insert_defaults: Mapping[str, Column] | None = None,
+    id_col: str | None = None,
 ) -> DataFrame:
     """Add keys the target lacks and change nothing else (anti join plus union)."""
+    return target.unionByName(missing_rows(target, source, keys, insert_defaults, id_col))
+
+
+def missing_rows(
+    target: DataFrame, source: DataFrame, keys: Sequence[str], insert_defaults: Mapping[str, Column] | None = None,
+    id_col: str | None = None,
+) -> DataFrame:
+    """The rows of ``source``, one per key, whose key the target lacks, in the form of the target: what an append needs."""
     defaults = dict(insert_defaults or {})
-    new = one_per_key(source.select(*[c for c in target.columns if c in source.columns]), keys).join(
-        target.select(*keys), list(keys), "left_anti")
+    one = one_per_key(source.select(*[c for c in target.columns if c in source.columns]), keys)
+    new = join_ci(one, target.select(*keys), keys, "left_anti")
     types = dict((f.name, f.dataType) for f in target.schema.fields)
-    rows = new.select(*[
+    if id_col in types and id_col not in new.columns:
+        defaults[id_col] = new_id(new, keys, types[id_col])
+    return new.select(*[
         (F.col(c) if c in new.columns else defaults.get(c, F.lit(None))).cast(types[c]).alias(c) for c in target.columns])
-    return target.unionByName(rows)
 
 
 def archive_upsert(
     target: DataFrame, feed: DataFrame, keys: Sequence[str], as_of: str,
-    scope: DataFrame | None = None, update_cols: Sequence[str] = (),
+    scope: DataFrame | None = None, update_cols: Sequence[str] = (), id_col: str | None = None,
 ) -> DataFrame:
     """Upsert among active rows, then archive active rows of ``scope`` not seen on ``as_of``.
 
@@ -85,7 +133,7 @@ def archive_upsert(
     """
     merged = upsert(
         target.filter(~F.col("IsArchived")), feed, keys, update_cols,
-        {"IsArchived": F.lit(False), "DiscoveryOn": date_lit(as_of)}, as_of)
+        {"IsArchived": F.lit(False), "DiscoveryOn": date_lit(as_of)}, as_of, id_col=id_col)
     stale = F.col("LastUpdated") < date_lit(as_of)
     if scope is not None:
         marks = scope.distinct().withColumn("_in_scope", F.lit(True))

@@ -103,9 +103,13 @@ def _expand_groups(groups: DataFrame, root: list[Column], step: list[Column], na
     )
 
 
-def group_paths(groups: DataFrame) -> DataFrame:
-    """``Root\\Child\\...`` path of every group, cut to the stored path length."""
-    n = GROUP_PATH_CHARS
+def group_paths(groups: DataFrame, path_chars: int = GROUP_PATH_CHARS) -> DataFrame:
+    """``Root\\Child\\...`` path of every group, cut to ``path_chars``, by default the stored path length.
+
+    Two long paths can become equal by the cut; joins therefore go by ``GroupID``. The recursion is Spark's, which stops with an
+    error beyond 100 levels or 1,000,000 groups unless its limits are raised.
+    """
+    n = int(path_chars)
     return _expand_groups(
         groups,
         ["c.server_group_id", f"substring(c.name, 1, {n})"],

@@ -402,6 +402,12 @@ def _(t):
     return policy.shred_policy_errors(t.policy_history, t.policies)
 
 
+def _shown(df, id_col):
+    """Derived keys of new rows as null (the check SQL cannot derive them); a missing one is -1, so that it would not match."""
+    derived = F.abs(F.col(id_col).cast("bigint")) >= 1_000_000
+    return df.withColumn(id_col, F.when(F.col(id_col).isNull(), -1).when(~derived, F.col(id_col)).cast(df.schema[id_col].dataType))
+
+
 # ---- upserts ---------------------------------------------------------------------
 
 @query("u0_upsert", f"""
@@ -418,7 +424,7 @@ def _(t):
     SELECT t.ApplicationID, coalesce(t.ApplicationName, s.ApplicationName) AS ApplicationName, coalesce(s.o, t.ApplicationOwner) AS ApplicationOwner
     FROM application t FULL OUTER JOIN (SELECT ApplicationName, max(ApplicationOwner) AS o FROM application_feed GROUP BY 1) s ON s.ApplicationName = t.ApplicationName""")
 def _(t):
-    return merges.merge_applications(t.application, t.application_feed)
+    return _shown(merges.merge_applications(t.application, t.application_feed), "ApplicationID")
 
 
 @query("u2_databases", f"""
@@ -430,7 +436,7 @@ def _(t):
         FROM staged_databases f JOIN application a ON a.ApplicationName = f.ApplicationName) s
       ON s.SQLInstanceID = t.SQLInstanceID AND s.DatabaseName = t.DatabaseName""")
 def _(t):
-    return merges.merge_databases(t.databases, t.staged_databases, t.application, AS_OF)
+    return _shown(merges.merge_databases(t.databases, t.staged_databases, t.application, AS_OF), "DatabaseID")
 
 
 @query("u3_database_size", f"""
@@ -472,7 +478,7 @@ def _replica_batch(t):
     SELECT AGID, AGName, AGGuid, DiscoveryOn, CASE WHEN (AGName, AGGuid) IN (SELECT (AGName, AGGuid) FROM replica_feed) THEN {D} ELSE LastUpdated END AS LastUpdated
     FROM availability_groups""")
 def _(t):
-    return merges.merge_availability_groups(t.availability_groups, t.replica_feed, AS_OF)
+    return _shown(merges.merge_availability_groups(t.availability_groups, t.replica_feed, AS_OF), "AGID")
 
 
 @query("u6_ag_replicas", f"""
@@ -483,14 +489,14 @@ def _(t):
            CASE WHEN s.AGID IS NOT NULL THEN {D} ELSE t.LastUpdated END AS LastUpdated
     FROM ag_instances t FULL OUTER JOIN s ON s.AGID = t.AGID AND s.SQLInstanceID = t.SQLInstanceID""")
 def _(t):
-    return merges.merge_ag_replicas(t.ag_instances, _replica_batch(t), t.availability_groups, t.servers, t.sql_instances, AS_OF)
+    return _shown(merges.merge_ag_replicas(t.ag_instances, _replica_batch(t), t.availability_groups, t.servers, t.sql_instances, AS_OF), "AGInstanceID")
 
 
 @query("u7_job_categories", """
     SELECT SQLJobCategoryName, SQLJobCategoryID FROM sql_job_categories
     UNION ALL SELECT DISTINCT CategoryName, CAST(NULL AS BIGINT) FROM staged_jobs WHERE CategoryName NOT IN (SELECT SQLJobCategoryName FROM sql_job_categories)""")
 def _(t):
-    return merges.merge_job_categories(t.sql_job_categories, t.staged_jobs)
+    return _shown(merges.merge_job_categories(t.sql_job_categories, t.staged_jobs), "SQLJobCategoryID")
 
 
 @query("u7_jobs", """
@@ -498,7 +504,7 @@ def _(t):
     FROM sql_jobs j LEFT JOIN (SELECT f.SQLInstanceID, f.JobName, max(c.SQLJobCategoryID) AS c FROM staged_jobs f
         JOIN sql_job_categories c ON c.SQLJobCategoryName = f.CategoryName GROUP BY 1, 2) s ON s.SQLInstanceID = j.SQLInstanceID AND s.JobName = j.SQLJobName""")
 def _(t):
-    return merges.merge_jobs(t.sql_jobs, t.staged_jobs, t.sql_job_categories, AS_OF)
+    return _shown(merges.merge_jobs(t.sql_jobs, t.staged_jobs, t.sql_job_categories, AS_OF), "SQLJobID")
 
 
 @query("u8_job_history", """
@@ -531,7 +537,7 @@ def _(t):
 
 @query("u11_property_names", "SELECT ExtendedPropertyName, ExtendedPropertyID FROM property_names")
 def _(t):
-    return merges.merge_property_names(_property_names(t), t.property_feed)
+    return _shown(merges.merge_property_names(_property_names(t), t.property_feed), "ExtendedPropertyID")
 
 
 @query("u11_property_values", f"""
@@ -550,12 +556,12 @@ _NEW_PRINCIPALS = """
 
 @query("u12_server_principals", _NEW_PRINCIPALS.format(dim="server_principals", n="LoginName", k="LoginType", feed="staged_server_membership"))
 def _(t):
-    return merges.merge_principals(t.server_principals, t.staged_server_membership, "LoginName", "LoginType")
+    return _shown(merges.merge_principals(t.server_principals, t.staged_server_membership, "LoginName", "LoginType"), "PrincipalID")
 
 
 @query("u12_database_principals", _NEW_PRINCIPALS.format(dim="database_principals", n="UserName", k="UserType", feed="staged_database_membership"))
 def _(t):
-    return merges.merge_principals(t.database_principals, t.staged_database_membership, "UserName", "UserType")
+    return _shown(merges.merge_principals(t.database_principals, t.staged_database_membership, "UserName", "UserType"), "PrincipalID")
 
 
 def _archive_sql(table: str, id_col: str, keys: list[str], source: str, scope: str, extra: str = "") -> str:
@@ -586,7 +592,7 @@ def _pid(dim: str, name: str, kind: str) -> str:
         {_pid('server_principals', 'LoginName', 'f.LoginType')} AS ServerLoginID FROM staged_server_membership f""", "staged_server_membership").replace(
     "CASE WHEN s.ServerLoginID IS NOT NULL", "CASE WHEN s.SQLInstanceID IS NOT NULL"))
 def _(t):
-    return merges.merge_server_memberships(t.server_principal_membership, t.staged_server_membership, t.server_principals, AS_OF)
+    return _shown(merges.merge_server_memberships(t.server_principal_membership, t.staged_server_membership, t.server_principals, AS_OF), "MembershipID")
 
 
 @query("u14_database_memberships", _archive_sql(
@@ -595,19 +601,19 @@ def _(t):
         {_pid('database_principals', 'UserName', 'f.UserType')} AS DatabaseUserID, f.IsOrphaned FROM staged_database_membership f""",
     "staged_database_membership", "IsOrphaned").replace("CASE WHEN s.DatabaseUserID IS NOT NULL", "CASE WHEN s.DatabaseID IS NOT NULL"))
 def _(t):
-    return merges.merge_database_memberships(t.database_principal_membership, t.staged_database_membership, t.database_principals, AS_OF)
+    return _shown(merges.merge_database_memberships(t.database_principal_membership, t.staged_database_membership, t.database_principals, AS_OF), "MembershipID")
 
 
 @query("u15_server_permissions", _archive_sql(
     "server_permission", "PermissionID", merges.SERVER_GRANT_KEYS, "SELECT * FROM staged_server_permission", "staged_server_permission"))
 def _(t):
-    return merges.merge_server_permissions(t.server_permission, t.staged_server_permission, AS_OF)
+    return _shown(merges.merge_server_permissions(t.server_permission, t.staged_server_permission, AS_OF), "PermissionID")
 
 
 @query("u16_database_permissions", _archive_sql(
     "database_permission", "PermissionID", merges.DATABASE_GRANT_KEYS, "SELECT * FROM staged_database_permission", "staged_database_permission"))
 def _(t):
-    return merges.merge_database_permissions(t.database_permission, t.staged_database_permission, AS_OF)
+    return _shown(merges.merge_database_permissions(t.database_permission, t.staged_database_permission, AS_OF), "PermissionID")
 
 
 @query("u17_policy_history_load", """
@@ -640,7 +646,7 @@ def _(t):
            CASE WHEN s.ServerName IS NOT NULL THEN {D} ELSE t.LastUpdated END AS LastUpdated
     FROM servers t FULL OUTER JOIN s ON s.ServerName = t.ServerName""")
 def _(t):
-    return merges.merge_servers(t.servers, t.staged_servers, t.operating_systems, AS_OF)
+    return _shown(merges.merge_servers(t.servers, t.staged_servers, t.operating_systems, AS_OF), "ServerID")
 
 
 @query("u20_operating_systems", """
@@ -648,7 +654,7 @@ def _(t):
     UNION ALL SELECT DISTINCT CAST(NULL AS INTEGER), OperatingSystemName, replace(OperatingSystemName, 'Windows Server ', 'Windows ') FROM staged_servers
     WHERE OperatingSystemName NOT IN (SELECT OperatingSystemName FROM operating_systems)""")
 def _(t):
-    return merges.add_operating_systems(t.operating_systems, t.staged_servers)
+    return _shown(merges.add_operating_systems(t.operating_systems, t.staged_servers), "OperatingSystemID")
 
 
 @query("u20_clusters", f"""
@@ -657,7 +663,7 @@ def _(t):
     FROM s LEFT JOIN sql_clusters t ON t.SQLClusterName = s.n""")
 def _(t):
     names = t.staged_servers.select(F.col("OperatingSystemName").alias("SQLClusterName")).unionByName(t.sql_clusters.select("SQLClusterName"))
-    return merges.merge_clusters(t.sql_clusters, names, AS_OF)
+    return _shown(merges.merge_clusters(t.sql_clusters, names, AS_OF), "SQLClusterID")
 
 
 @query("u20_cluster_nodes", """
@@ -744,7 +750,7 @@ def _(t):
     FROM kept k FULL OUTER JOIN seen n ON lower(k.DiskVolumeName) = n.DiskVolumeName AND coalesce(k.ServerID, -1) = coalesce(n.ServerID, -1)
       AND coalesce(k.SQLClusterID, -1) = coalesce(n.SQLClusterID, -1)""")
 def _(t):
-    return merges.apply_volume_decisions(t.disk_volumes, _decisions(t), AS_OF)
+    return _shown(merges.apply_volume_decisions(t.disk_volumes, _decisions(t), AS_OF), "DiskVolumeID")
 
 
 @query("u24_volume_space_daily", f"""
@@ -1101,12 +1107,14 @@ def _(t):
     return reports.report_trend_servers(t, as_of=TREND_AS_OF)
 
 
-@query("q21_trend_servers_matrix", """
-    SELECT o.OperatingSystemName, CAST(sum(ServerCount) FILTER (YearMonth = 200001) AS BIGINT) AS "200001", CAST(sum(ServerCount) FILTER (YearMonth = 200002) AS BIGINT) AS "200002",
-           CAST(sum(ServerCount) FILTER (YearMonth = 200003) AS BIGINT) AS "200003"
+_MATRIX_MONTHS = reports.last_months(TREND_AS_OF)
+
+
+@query("q21_trend_servers_matrix", f"""
+    SELECT o.OperatingSystemName, {', '.join(f'CAST(sum(ServerCount) FILTER (YearMonth = {m}) AS BIGINT) AS "{m}"' for m in _MATRIX_MONTHS)}
     FROM trending_servers s JOIN operating_systems o ON o.OperatingSystemID = s.OperatingSystemID WHERE o.OperatingSystemName <> 'Unknown' GROUP BY 1""")
 def _(t):
-    return reports.report_trend_servers_matrix(reports.report_trend_servers(t, as_of=TREND_AS_OF), [200001, 200002, 200003])
+    return reports.report_trend_servers_matrix(reports.report_trend_servers(t, as_of=TREND_AS_OF), _MATRIX_MONTHS)
 
 
 @query("q22_trend_instances", f"""

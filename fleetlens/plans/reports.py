@@ -360,6 +360,13 @@ def report_trend_servers(t, *, as_of: str) -> DataFrame:
         "OperatingSystemName", "YearMonth", "ServerCount")
 
 
+def last_months(as_of: str, count: int = 12) -> list[int]:
+    """``yyyymm`` of the month of ``as_of`` and the ones before it, oldest first."""
+    year, month = int(as_of[:4]), int(as_of[5:7])
+    index = [year * 12 + month - 1 - back for back in range(count - 1, -1, -1)]
+    return [i // 12 * 100 + i % 12 + 1 for i in index]
+
+
 def report_trend_servers_matrix(trend: DataFrame, months: list[int]) -> DataFrame:
     """One column per month; the month list is given so no extra pass looks for it."""
     return trend.groupBy("OperatingSystemName").pivot("YearMonth", months).agg(F.sum("ServerCount"))
@@ -564,10 +571,10 @@ def report_services(
 # ---- run log ----------------------------------------------------------------------------------------
 
 def report_run_log(log: DataFrame, *, day: str, unless_like: str | None = None) -> DataFrame:
-    """Rows of one day, up to its last whole second, optionally without a description pattern."""
+    """Rows of one day, optionally without a description pattern."""
     start = ts_lit(day)
     rows = log.filter(
-        (F.col("DateTimeCaptured") >= start) & (F.col("DateTimeCaptured") <= start + F.make_dt_interval(F.lit(0), F.lit(23), F.lit(59), F.lit(59))))
+        (F.col("DateTimeCaptured") >= start) & (F.col("DateTimeCaptured") < start + F.make_dt_interval(F.lit(1))))
     return apply_filters(rows, ~like_ci("Description", unless_like) if unless_like else None)
 
 
@@ -602,7 +609,7 @@ def report_server_volumes(t, *, computer: str | None = None) -> DataFrame:
 
 def report_server_instances(t, *, computer: str | None = None) -> DataFrame:
     servers = apply_filters(t.servers.select("ServerName"), ci_eq("ServerName", computer) if computer else None)
-    return instance_view(t).join(servers, F.col("ComputerName") == F.col("ServerName")).select(
+    return instance_view(t).join(servers, ci_eq("ComputerName", F.col("ServerName"))).select(
         "ServerName", "SQLInstanceID", "SQLInstanceName", "SQLVersion", "SQLInstanceBuild", "SQLInstanceEdition", "SQLInstanceType",
         "SQLInstanceEnviornment", "DiscoveryOn", "LastUpdated")
 

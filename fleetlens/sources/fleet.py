@@ -346,7 +346,7 @@ FLEET_SQL: dict[str, str] = {
         FROM customer WHERE c_acctbal < 0 AND c_mktsegment <> 'BUILDING'""",
     "login_feed": f"""
         SELECT c_nationkey AS SQLInstanceID, c_custkey AS principal_id, {_LOGIN_NAME} AS name,
-               'S' AS type, {_LOGIN_TYPE} AS type_desc, c_custkey AS sid FROM customer WHERE c_acctbal > 0
+               'S' AS type, {_LOGIN_TYPE} AS type_desc, c_custkey AS sid FROM customer
         UNION ALL
         SELECT n_nationkey, CAST(-1 - n_nationkey AS BIGINT), concat('role_', n_name), 'R', 'SERVER_ROLE', CAST(NULL AS BIGINT)
         FROM nation""",
@@ -385,7 +385,7 @@ FLEET_SQL: dict[str, str] = {
         SELECT n_nationkey, concat('db_', CAST(n_nationkey AS VARCHAR(20))), 'SECONDARY' FROM nation""",
     # ---- staged batches for the upserts --------------------------------------
     "application_feed": """
-        SELECT p_brand AS ApplicationName, concat('Owner ', p_brand) AS ApplicationOwner FROM part WHERE p_size > 25
+        SELECT p_brand AS ApplicationName, concat('Owner ', p_brand) AS ApplicationOwner FROM part
         UNION ALL
         SELECT concat('New ', p_type), 'New owner' FROM part""",
     "staged_databases": f"""
@@ -394,8 +394,7 @@ FLEET_SQL: dict[str, str] = {
                concat(CASE WHEN p_type = 'PROMO' THEN 'new_' ELSE 'db_' END, CAST(p_partkey AS VARCHAR(20))) AS DatabaseName,
                CASE WHEN p_size > 45 THEN 'RESTORING' ELSE 'ONLINE' END AS DatabaseState,
                f.t AS FileType, CAST(p_size * 100 + length(f.t) AS BIGINT) AS FileSize_mb
-        FROM part, (SELECT unnest(['Data', 'Log']) AS t) f
-        WHERE p_size > 10""",
+        FROM part, (SELECT unnest(['Data', 'Log']) AS t) f""",
     "staged_jobs": """
         SELECT user_id AS SQLInstanceID, event_type AS JobName,
                CASE WHEN value > 400 THEN 'Nightly' ELSE event_type END AS CategoryName, ts AS ExecutionDateTime,
@@ -405,21 +404,21 @@ FLEET_SQL: dict[str, str] = {
         SELECT {_ORDER_CUSTOMER} AS SQLInstanceID, o_orderpriority AS RoleName,
                concat('login', CAST(o_custkey AS VARCHAR(20))) AS LoginName,
                CASE WHEN o_totalprice > 250000 THEN 'SQL_LOGIN' ELSE 'WINDOWS_LOGIN' END AS LoginType
-        FROM orders WHERE o_orderdate >= DATE '1998-01-01'""",
+        FROM orders""",
     "staged_database_membership": f"""
         SELECT {_ORDER_PART} AS DatabaseID, o_orderpriority AS RoleName,
                concat('user', CAST(o_custkey AS VARCHAR(20))) AS UserName,
                CASE WHEN o_totalprice > 250000 THEN 'SQL_USER' ELSE 'WINDOWS_USER' END AS UserType,
                (o_totalprice > 400000) AS IsOrphaned
-        FROM orders WHERE o_orderdate >= DATE '1998-01-01'""",
+        FROM orders""",
     "staged_server_permission": f"""
         SELECT {_ORDER_CUSTOMER} AS SQLInstanceID, o_custkey + 10 AS GranteeID, o_custkey % 10 + 10 AS GrantorID,
                'SERVER' AS ObjectType, {_ROLE_ID} AS ObjectID, 'GRANT' AS Access, {_PERMISSION} AS PermissionName
-        FROM orders WHERE o_orderdate >= DATE '1998-01-01'""",
+        FROM orders""",
     "staged_database_permission": f"""
         SELECT {_ORDER_PART} AS DatabaseID, o_custkey + 10 AS GranteeID, o_custkey % 10 + 10 AS GrantorID,
                'OBJECT_OR_COLUMN' AS ObjectType, o_orderpriority AS ObjectName, 'GRANT' AS Access, {_PERMISSION} AS PermissionName
-        FROM orders WHERE o_orderdate >= DATE '1998-01-01'""",
+        FROM orders""",
     "staged_servers": """
         SELECT concat(s_name, CASE WHEN s_acctbal < 0 THEN '-new' ELSE '' END) AS ServerName,
                CASE WHEN s_acctbal > 9000 THEN 'Windows Server 2031' ELSE concat('Windows Server ', CAST(2000 + s_nationkey AS VARCHAR(10))) END AS OperatingSystemName,

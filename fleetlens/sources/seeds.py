@@ -23,6 +23,7 @@ OPERATING_SYSTEMS = (
 
 # fixed values: product versions (name, short name, major, minor, build, support end)
 SQL_VERSIONS = (
+    ("Microsoft SQL Server 2000 RTM", "SQL 2000", 8, 0, 194, "2002-07-11"),
     ("Microsoft SQL Server 2000 Service Pack 1", "SQL 2000", 8, 0, 384, "2002-02-28"),
     ("Microsoft SQL Server 2000 Service Pack 2", "SQL 2000", 8, 0, 532, "2003-04-07"),
     ("Microsoft SQL Server 2000 Service Pack 3a", "SQL 2000", 8, 0, 760, "2007-07-10"),

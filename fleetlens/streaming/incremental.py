@@ -18,7 +18,7 @@ from fleetlens.sources.shared import delete_path, path_exists
 
 LATE_AFTER = "30 hours"  # fixed value: older lines are never fetched
 SLICE = "1 hour"
-STATES_KEPT = 20
+STATES_KEPT = 100  # like spark.sql.streaming.minBatchesToRetain: no older batch can be repeated from the checkpoint
 
 
 def event_time(ts_col: str) -> Column:
@@ -67,12 +67,13 @@ def _state(spark: SparkSession, root: str, name: str, batch_id: int) -> DataFram
     return spark.read.parquet(path) if path_exists(spark, path) else None
 
 
-def _save_state(df: DataFrame, root: str, name: str, batch_id: int) -> None:
+def _save_state(df: DataFrame, root: str, name: str, batch_id: int, kept: int = STATES_KEPT) -> None:
     """Write this batch's state; older ones stay long enough for any batch that may be repeated."""
     folder = os.path.join(root, "state", name)
     df.write.mode("overwrite").parquet(os.path.join(folder, f"batch={batch_id}"))
-    if batch_id >= STATES_KEPT:
-        delete_path(df.sparkSession, os.path.join(folder, f"batch={batch_id - STATES_KEPT}"))
+    kept = max(kept, int(df.sparkSession.conf.get("spark.sql.streaming.minBatchesToRetain", str(kept))))
+    if batch_id >= kept:
+        delete_path(df.sparkSession, os.path.join(folder, f"batch={batch_id - kept}"))
 
 
 def error_batch(batch: DataFrame, batch_id: int, root: str) -> None:

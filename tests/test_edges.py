@@ -301,6 +301,43 @@ def test_policy_load_is_idempotent(make):
     assert detail.count() == 1 and again.count() == 0
 
 
+# ---- names in any case, ids of new rows ----------------------------------------------------
+
+def test_text_keys_ignore_case_and_new_rows_get_ids(make, rows):
+    apps = make([(1, "APP", "old")], "ApplicationID bigint, ApplicationName string, ApplicationOwner string")
+    merged = merges.merge_applications(apps, make([("app", "new"), ("Other", "x"), ("OTHER ", "y")], "ApplicationName string, ApplicationOwner string"))
+    found = {r.ApplicationName.strip().lower(): r for r in merged.collect()}
+    assert len(found) == merged.count() == 2 and found["app"].ApplicationID == 1 and found["app"].ApplicationOwner == "new" and found["app"].ApplicationName == "APP"
+    assert found["other"].ApplicationID is not None and found["other"].ApplicationOwner == "y"
+    # A rerun in another case finds the new row again, and a child merge can join it.
+    again = merges.merge_applications(merged, make([("oTHER", "z")], "ApplicationName string, ApplicationOwner string"))
+    assert again.count() == 2 and {r.ApplicationID for r in again.collect()} == {r.ApplicationID for r in found.values()}
+    databases = make([], "DatabaseID bigint, SQLInstanceID bigint, DatabaseName string, DatabaseState string, ApplicationID bigint, ApplicationName string, IsMonitored boolean, DiscoveryOn date, LastUpdated date")
+    feed = make([(5, "Sales", "ONLINE", "other", "Data", 7), (5, "SALES", "ONLINE", "Other", "Data", 7)],
+                "SQLInstanceID bigint, DatabaseName string, DatabaseState string, ApplicationName string, FileType string, FileSize_mb bigint")
+    merged_dbs = merges.merge_databases(databases, feed, again, "2024-01-02")
+    (database,) = merged_dbs.collect()
+    assert database.DatabaseID is not None and database.ApplicationID == found["other"].ApplicationID
+    sizes = make([], "DatabaseID bigint, FileType string, DateCaptured date, FileSize_mb bigint")
+    assert rows(merges.merge_database_size(sizes, feed.limit(1), merged_dbs, "2024-01-02"), "DatabaseID", "FileSize_mb") == [(database.DatabaseID, 7)]
+    categories = merges.merge_job_categories(make([(1, "Nightly")], "SQLJobCategoryID bigint, SQLJobCategoryName string"), make([("nightly",), ("new",)], "CategoryName string"))
+    assert sorted(r.SQLJobCategoryName for r in categories.collect()) == ["Nightly", "new"] and all(r.SQLJobCategoryID is not None for r in categories.collect())
+
+
+def test_latest_state_wins_where_an_order_is_given(make):
+    target = make([], "k bigint, state string, LastUpdated date")
+    source = make([(1, "ZZ", 1), (1, "AA", 2)], "k bigint, state string, seq int")
+    assert upsert.upsert(target, source, ["k"], ["state"], latest_by="seq").first().state == "AA"
+
+
+def test_long_runs_and_hosts_of_any_feed(make, rows):
+    assert make([(123_020304,)], "d bigint").select(feeds.duration_seconds(F.col("d")).alias("s")).first().s == 123 * 86400 + 2 * 3600 + 3 * 60 + 4
+    cpu = make([(1, "X", 4, 8)], "ServerID bigint, Name string, NumberOfCores int, NumberOfLogicalProcessors int")
+    ram = make([(2, 1 << 30)], "ServerID bigint, TotalPhysicalMemory bigint")
+    page = make([(3, 5)], "ServerID bigint, AllocatedBaseSize bigint")
+    assert rows(feeds.host_capacity(cpu, ram, page), "ServerID", "NumberOfCores", "Memory_mb", "PageFile_mb") == [(1, 4, 0, 0), (2, 0, 1024, 0), (3, 0, 0, 5)]
+
+
 # ---- merges --------------------------------------------------------------------------------
 
 MEMBERS = "MembershipID bigint, SQLInstanceID bigint, ServerRoleID bigint, ServerLoginID bigint, IsArchived boolean, DiscoveryOn date, LastUpdated date"
