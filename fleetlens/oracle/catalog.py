@@ -1056,10 +1056,10 @@ def _(t):
 
 
 @query("q15_error_detail", """
-    WITH f AS (SELECT SQLInstanceID, ErrorMsg, min(DateTime) AS FirstOccurance, max(DateTime) AS LastOccurance, count(*) AS NumberOfErrors FROM sql_error_log GROUP BY 1, 2),
-    l AS (SELECT SQLInstanceID, ErrorMsg, count(*) AS n FROM sql_error_log WHERE DateTime >= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1, 2)
-    SELECT i.ServerInstance AS SQLInstanceName, f.*, l.n AS NumberOfErrorsLast30Hours
-    FROM f JOIN l ON l.SQLInstanceID = f.SQLInstanceID AND l.ErrorMsg = f.ErrorMsg JOIN instance_view i ON i.SQLInstanceID = f.SQLInstanceID""")
+    SELECT i.ServerInstance AS SQLInstanceName, e.SQLInstanceID, e.ErrorMsg, min(e.DateTime) AS FirstOccurance, max(e.DateTime) AS LastOccurance,
+           count(*) AS NumberOfErrors, count(*) FILTER (e.DateTime >= TIMESTAMP '2024-01-20 00:00:00') AS NumberOfErrorsLast30Hours
+    FROM sql_error_log e JOIN instance_view i USING (SQLInstanceID) GROUP BY i.ServerInstance, e.SQLInstanceID, e.ErrorMsg
+    HAVING max(e.DateTime) >= TIMESTAMP '2024-01-20 00:00:00'""")
 def _(t):
     return reports.report_error_detail(t, since="2024-01-20 00:00:00")
 
@@ -1184,14 +1184,12 @@ def _(t):
 
 
 @query("q29_instance_types", f"""
-    SELECT SQLInstanceType, CAST(sum(n) AS BIGINT) AS SQLInstanceCount FROM (
-        SELECT i.SQLInstanceType, count(*) AS n FROM sql_clusters c JOIN sql_instances i ON i.SQLClusterID = c.SQLClusterID
-        WHERE i.SQLInstanceType IN ('Microsoft Clustering', 'Veritas Clustering') AND i.LastUpdated >= {D} - 1 GROUP BY 1
-        UNION ALL SELECT 'Microsoft Clustering', 0 UNION ALL SELECT 'Veritas Clustering', 0
-        UNION ALL SELECT 'AlwaysOn Availiability Group', count(DISTINCT i.SQLInstanceID) FROM sql_instances i JOIN ag_instances a ON a.SQLInstanceID = i.SQLInstanceID
-            WHERE i.LastUpdated >= {D} - 1
-        UNION ALL SELECT 'Stand Alone', count(*) FROM sql_instances i WHERE i.SQLInstanceType NOT IN ('Microsoft Clustering', 'Veritas Clustering')
-            AND i.SQLInstanceID NOT IN (SELECT SQLInstanceID FROM ag_instances) AND i.LastUpdated >= {D} - 1) x GROUP BY 1""")
+    WITH seen AS (SELECT *, SQLInstanceType IN ('Microsoft Clustering', 'Veritas Clustering') AS failover, SQLInstanceID IN (SELECT SQLInstanceID FROM ag_instances) AS grouped
+        FROM sql_instances WHERE LastUpdated >= {D} - 1),
+    kinds AS (SELECT unnest([if(failover AND SQLClusterID IN (SELECT SQLClusterID FROM sql_clusters), SQLInstanceType, NULL), if(grouped, 'AlwaysOn Availiability Group', NULL),
+                             if(NOT failover AND NOT grouped, 'Stand Alone', NULL)]) AS kind FROM seen)
+    SELECT a.kind AS SQLInstanceType, count(k.kind) AS SQLInstanceCount
+    FROM (SELECT unnest(['Microsoft Clustering', 'Veritas Clustering', 'AlwaysOn Availiability Group', 'Stand Alone']) AS kind) a LEFT JOIN kinds k ON k.kind = a.kind GROUP BY 1""")
 def _(t):
     return reports.report_instance_types(t, as_of=AS_OF)
 
