@@ -20,7 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.native import keyed, stored, stored_at
@@ -28,7 +28,7 @@ from fleetlens.llm.texts import BYTE_CODES, MIX, MIX2, Block, byte_blocks, scram
 from fleetlens.sources.shared import delete_path
 
 ANCHOR = 24
-GROUP = 5_000
+GROUP = 20_000
 U = np.uint64
 NAME = ["anchor", "name"]
 #: Place of a unit in one long: start, number of windows, row of an id.
@@ -134,9 +134,9 @@ class Levels:
         """``batch`` has units whose ids are all greater than those added before."""
         own = batch.groupBy(*NAME).agg(F.min("doc_id").alias("first"), (F.count("*") > 1).alias("repeated"))
         if self.arrays:
-            known = self.all().select(*NAME, F.lit(True).alias("known"))
-            # Known names keep their first document; only their repetition is new.
-            own = own.join(known.distinct(), NAME, "left").select(
+            known = self.all().filter("first is not null").select(*NAME, F.lit(True).alias("known"))
+            # Known names keep their first document, in one array only; what is new is their repetition.
+            own = own.join(known, NAME, "left").select(
                 *NAME, F.when(F.col("known").isNull(), F.col("first")).alias("first"),
                 (F.col("repeated") | F.col("known").isNotNull()).alias("repeated"))
         array, level = stored_at(own.sortWithinPartitions(*NAME), "suffixes"), 0
@@ -154,8 +154,15 @@ class Levels:
     def all(self) -> DataFrame:
         return reduce(DataFrame.unionAll, [array for array, _ in self.arrays.values()])
 
+    def whole(self) -> DataFrame:
+        return self.merged(self.all()) if len(self.arrays) > 1 else self.all()
 
-def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 4, group: int = GROUP) -> DataFrame:
+    def discard(self, spark: SparkSession) -> None:
+        for _, path in self.arrays.values():
+            delete_path(spark, path)
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 4, group: int = GROUP, shards: int = 2) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, spans, kept`` per row of ``docs``.
 
     Every byte goes that a ``length``-byte string covers which also starts earlier: in a document of a smaller id, or before in
@@ -174,25 +181,34 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 4, group:
         subs = subs.withColumn("sub", F.when(F.col("sub") < (1 << ROW_BITS), F.col("sub")).otherwise(F.raise_error(F.lit("too many rows of one id"))))
         rows = rows.join(subs, ["doc_id", "text_hash"], "left").fillna(0, ["sub"])
     rows = rows.select("doc_id", "sub", "text")
-    table = stored(unit_table(rows.filter("doc_id is not null"), length), "units")
+    table, table_path = stored_at(unit_table(rows.filter("doc_id is not null"), length), "units")
     once = table.filter("not again").select(*NAME, "doc_id", "place")
     cuts = rows.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
+    # The index is built shard by shard, by anchors, so that only one shard's arrays and shuffles take room at a time.
+    hits = reduce(DataFrame.unionAll, [
+        _repeated_units(once.filter(F.pmod("anchor", F.lit(shards)) == shard), sorted(set(cuts))) for shard in range(shards)])
+    whole = stored(hits.filter("k is null").select("doc_id", "place").unionAll(table.filter("again").select("doc_id", "place")), "whole-units")
+    delete_path(docs.sparkSession, table_path)
+    late = _late_in_groups(_contexts(rows, hits.filter(F.col("k") <= group).drop("k"), length), length)
+    large = hits.filter(F.col("k") > group)
+    if not large.isEmpty():
+        late = late.unionAll(_late_windows(_contexts(rows, large.drop("k"), length), length))
+    return _cut(rows, _by_row(whole.unionAll(stored(late, "late-windows")), "spans"), length)
+
+
+def _repeated_units(once: DataFrame, cuts: list[int]) -> DataFrame:
+    """``anchor, doc_id, place, k``: units found before (``k`` null) and first units of an anchor that has ``k`` different ones."""
     levels, below = Levels(), None
-    for high in [*sorted(set(cuts)), None]:
+    for high in [*cuts, None]:
         batch = once if below is None else once.filter(F.col("doc_id") > below)
         levels.add(batch if high is None else batch.filter(F.col("doc_id") <= high))
         below = high
-    index = levels.merged(levels.all())
+    index = levels.whole()
     several = index.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1")
     found = stored(index.join(several, "anchor", "left").filter("repeated or k is not null").select(*NAME, "first", "k"), "repeats")
-    hits = stored(once.join(found, NAME).filter("first < doc_id or k is not null").select(
+    levels.discard(once.sparkSession)
+    return stored(once.join(found, NAME).filter("first < doc_id or k is not null").select(
         "anchor", "doc_id", "place", F.when(F.col("first") == F.col("doc_id"), F.col("k")).alias("k")), "hits")
-    whole = hits.filter("k is null").select("doc_id", "place").unionAll(table.filter("again").select("doc_id", "place"))
-    late = _late_in_groups(_contexts(rows, hits.filter(F.col("k") <= group).drop("k"), length), length)
-    large = hits.filter(F.col("k") > group)
-    if not large.isEmpty():
-        late = late.unionAll(_late_windows(_contexts(rows, large.drop("k"), length), length))
-    return _cut(rows, _by_row(whole.unionAll(late), "spans"), length)
 
 
 def _by_row(places: DataFrame, name: str) -> DataFrame:
