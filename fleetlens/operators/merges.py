@@ -98,10 +98,14 @@ def merge_jobs(jobs: DataFrame, feed: DataFrame, categories: DataFrame, as_of: s
 
 def append_job_history(history: DataFrame, feed: DataFrame, jobs: DataFrame, dedupe: bool = True) -> DataFrame:
     """Runs of the feed joined to their job and added; a run already stored is not doubled."""
-    rows = join_ci(
+    rows = job_runs(feed, jobs)
+    return history.unionByName(new_job_runs(history, rows) if dedupe else rows)
+
+
+def job_runs(feed: DataFrame, jobs: DataFrame) -> DataFrame:
+    return join_ci(
         feed, jobs.select("SQLInstanceID", F.col("SQLJobName").alias("JobName"), "SQLJobID"), ["SQLInstanceID", "JobName"]
     ).select("SQLJobID", "ExecutionDateTime", "Duration", "JobStatus")
-    return history.unionByName(new_job_runs(history, rows) if dedupe else rows)
 
 
 def new_job_runs(history: DataFrame, rows: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.columns import surrogate_id
-from fleetlens.operators import feeds, lifecycle, merges, rollup
+from fleetlens.functions.columns import date_lit, surrogate_id
+from fleetlens.operators import feeds, lifecycle, merges, policy, rollup
 from fleetlens.plans import snapshot
-from fleetlens.sources.tables import PARTITIONED, Warehouse
+from fleetlens.sources.tables import PARTITIONED, Warehouse, write_partitioned
 
 
 def previous_month(as_of: dt.date) -> tuple[int, int]:
@@ -25,25 +25,132 @@ def previous_month(as_of: dt.date) -> tuple[int, int]:
 
 def collect_databases(store: Warehouse, batch: DataFrame, as_of: str) -> None:
     """Merge one landed database batch: applications, databases, then sizes of the day."""
-    store.save("application", merges.merge_applications(store.application, batch).withColumn(
-        "ApplicationID", F.coalesce("ApplicationID", surrogate_id("ApplicationName"))))
-    dbs = merges.merge_databases(store.databases, batch, store.application, as_of)
-    store.save("databases", dbs.withColumn("DatabaseID", F.coalesce("DatabaseID", surrogate_id("SQLInstanceID", "DatabaseName"))))
-    month = int(as_of[:4]) * 100 + int(as_of[5:7])
-    # Only the month of the day is read and rewritten.
-    sizes = store.database_size.filter(F.col("yyyymm") == month).drop("yyyymm")
-    store.save("database_size", merges.merge_database_size(sizes, batch, store.databases, as_of))
+    store.save("application", merges.merge_applications(store.application, batch))
+    store.save("databases", merges.merge_databases(store.databases, batch, store.application, as_of))
+    store.save("database_size", merges.merge_database_size(_this_month(store, "database_size", as_of), batch, store.databases, as_of))
+
+
+def _this_month(store: Warehouse, name: str, as_of: str) -> DataFrame:
+    """The month of the day, which is all that a daily merge reads and rewrites."""
+    return store[name].filter(F.col("yyyymm") == int(as_of[:4]) * 100 + int(as_of[5:7])).drop("yyyymm")
+
+
+def collect_hosts(store: Warehouse, feed: Mapping[str, DataFrame], as_of: str) -> None:
+    """Operating systems, servers, clusters, nodes, instances with their version, then volumes and their space."""
+    if "servers" in feed:
+        store.save("operating_systems", merges.add_operating_systems(store.operating_systems, feed["servers"]))
+        store.save("servers", merges.merge_servers(store.servers, feed["servers"], store.operating_systems, as_of))
+    if "clusters" in feed:
+        store.save("sql_clusters", merges.merge_clusters(store.sql_clusters, feed["clusters"], as_of))
+    if "cluster_nodes" in feed:
+        store.save("sql_cluster_nodes", merges.merge_cluster_nodes(store.sql_cluster_nodes, feed["cluster_nodes"]))
+    if "instances" in feed:
+        versioned = merges.resolve_version(feed["instances"], store.sql_versions)
+        store.save("sql_instances", merges.merge_instances(store.sql_instances, versioned, as_of))
+    if "volumes" in feed:
+        decisions = merges.attribute_volumes(feed["volumes"], store.disk_volumes, store.sql_cluster_nodes, feed["folders"])
+        dropped = merges.dropped_volumes(store.disk_volumes, decisions)
+        for name in ("disk_volume_space", "volume_monthly"):
+            if store.periods(name) and not dropped.isEmpty():
+                store.save(name, merges.drop_volume_rows(store[name].drop("yyyymm"), dropped))
+        store.save("disk_volumes", merges.apply_volume_decisions(store.disk_volumes, decisions, as_of))
+    if "volume_space" in feed:
+        space = _this_month(store, "disk_volume_space", as_of)
+        store.save("disk_volume_space", merges.volume_space_daily(space, feed["volume_space"], as_of))
+
+
+def collect_groups(store: Warehouse, feed: Mapping[str, DataFrame], as_of: str) -> None:
+    """Availability groups, their replicas and their databases."""
+    if "replicas" in feed:
+        store.save("availability_groups", merges.merge_availability_groups(store.availability_groups, feed["replicas"], as_of))
+        store.save("ag_instances", merges.merge_ag_replicas(
+            store.ag_instances, feed["replicas"], store.availability_groups, store.servers, store.sql_instances, as_of))
+    if "databases" in feed:
+        store.save("ag_databases", merges.merge_ag_databases(
+            store.ag_databases, feed["databases"], store.databases, store.availability_groups, store.ag_instances, as_of))
+
+
+def collect_jobs(store: Warehouse, feed: DataFrame, as_of: str) -> None:
+    """Job categories and jobs, then the runs that are not stored yet are appended."""
+    store.save("sql_job_categories", merges.merge_job_categories(store.sql_job_categories, feed))
+    store.save("sql_jobs", merges.merge_jobs(store.sql_jobs, feed, store.sql_job_categories, as_of))
+    runs = merges.job_runs(feed, store.sql_jobs)
+    store.append("sql_job_history", merges.new_job_runs(store.sql_job_history.drop("yyyymm"), runs))
+
+
+def collect_security(store: Warehouse, feed: Mapping[str, DataFrame], as_of: str) -> None:
+    """Principals of every feed first, then memberships and grants with resolved ids."""
+    names = {
+        "server_principals": (("server_membership", "LoginName", "LoginType"), ("server_membership", "RoleName", "SERVER_ROLE"),
+                              ("server_permissions", "GranteeName", "GranteeType"), ("server_permissions", "GrantorName", "GrantorType")),
+        "database_principals": (("database_membership", "UserName", "UserType"), ("database_membership", "RoleName", "DATABASE_ROLE"),
+                                ("database_permissions", "GranteeName", "GranteeType"), ("database_permissions", "GrantorName", "GrantorType")),
+    }
+    for table, sources in names.items():
+        for name, column, kind in sources:
+            if name in feed:
+                rows = feed[name] if kind in feed[name].columns else feed[name].withColumn("_kind", F.lit(kind))
+                store.save(table, merges.merge_principals(store[table], rows, column, kind if kind in feed[name].columns else "_kind"))
+    if "server_membership" in feed:
+        store.save("server_principal_membership", merges.merge_server_memberships(
+            store.server_principal_membership, feed["server_membership"], store.server_principals, as_of))
+    if "database_membership" in feed:
+        store.save("database_principal_membership", merges.merge_database_memberships(
+            store.database_principal_membership, feed["database_membership"], store.database_principals, as_of))
+    if "server_permissions" in feed:
+        grants = merges.resolve_grants(feed["server_permissions"], store.server_principals)
+        store.save("server_permission", merges.merge_server_permissions(store.server_permission, grants, as_of))
+    if "database_permissions" in feed:
+        grants = merges.resolve_grants(feed["database_permissions"], store.database_principals)
+        store.save("database_permission", merges.merge_database_permissions(store.database_permission, grants, as_of))
+
+
+def collect_policies(store: Warehouse, policies: DataFrame) -> None:
+    """Shred documents that are not loaded yet, then renew the summary."""
+    history = store.policy_history.drop("yyyymm")
+    detail, errors = policy.load_policy_history(
+        history, policies, store.policy_history_detail.drop("yyyymm"), store.evaluation_errors.drop("yyyymm"))
+    store.append("policy_history_detail", detail)
+    store.append("evaluation_errors", errors)
+    store.save("policy_summary", policy.policy_summary(store.policy_history_detail.drop("yyyymm")))
+
+
+def run_day(store: Warehouse, feed: Mapping[str, DataFrame], as_of: str) -> None:
+    """All merges of one collected day in the order in which they need each other; feeds that are absent are skipped.
+
+    Keys of new rows derive from their names, and runs, log lines and policy documents are added only if they are not
+    stored yet, so the same day may be run again.
+    """
+    collect_hosts(store, feed, as_of)
+    if "databases" in feed:
+        collect_databases(store, feed["databases"], as_of)
+    collect_groups(store, feed, as_of)
+    if "jobs" in feed:
+        collect_jobs(store, feed["jobs"], as_of)
+    if "log_lines" in feed:
+        collect_errors(store, feed["log_lines"])
+    if "services" in feed:
+        store.save("sql_services", merges.merge_services(store.sql_services, feed["services"], store.servers, as_of))
+    if "properties" in feed:
+        store.save("extended_properties", merges.merge_property_names(store.extended_properties, feed["properties"]))
+        store.save("extended_property_values", merges.merge_property_values(
+            store.extended_property_values, feed["properties"], store.extended_properties, as_of))
+    collect_security(store, feed, as_of)
+    if "policies" in feed:
+        collect_policies(store, feed["policies"])
 
 
 def collect_errors(store: Warehouse, lines: DataFrame) -> None:
-    """Extract errors of a landed log batch and add those not stored yet to the months they fall in."""
+    """Extract errors of a landed log batch and append what is newer than the stored mark of its instance.
+
+    Marks make a repeated run harmless and keep real repeats of a message within a batch.
+    """
     new = feeds.extract_errors(lines).select(
         surrogate_id("SQLInstanceID", "DateTimeCaptured", "Message").alias("ErrorLogID"), "SQLInstanceID",
         F.col("DateTimeCaptured").alias("DateTime"), F.col("Message").alias("ErrorMsg"))
-    touched = new.select((F.year("DateTime") * 100 + F.month("DateTime")).alias("yyyymm")).distinct()
-    kept = store.sql_error_log.join(touched, "yyyymm", "left_semi").drop("yyyymm")
-    fresh = new.join(kept.select("SQLInstanceID", "DateTime", "ErrorMsg").distinct(), ["SQLInstanceID", "DateTime", "ErrorMsg"], "left_anti")
-    store.save("sql_error_log", kept.unionByName(fresh))
+    marks = merges.high_water_marks(store.sql_error_log, "DateTime")
+    known = F.col("DateTime") <= F.col("LastDateTimeCaptured")
+    store.append("sql_error_log", new.join(marks, "SQLInstanceID", "left").filter(~F.coalesce(known, F.lit(False))).drop("LastDateTimeCaptured"))
 
 
 def publish_month(store: Warehouse, year: int, month: int) -> None:
@@ -84,6 +191,15 @@ def daily_snapshot(store: Warehouse, as_of: str, health: DataFrame) -> dict[str,
     }
 
 
+def store_snapshot(store: Warehouse, as_of: str, health: DataFrame) -> dict[str, str]:
+    """Write the dashboard tables of a day below ``<root>/snapshot``, one folder per day; returns their paths."""
+    paths = {}
+    for name, df in daily_snapshot(store, as_of, health).items():
+        paths[name] = f"{store.root}/snapshot/{name}"
+        write_partitioned(df.withColumn("SnapshotDay", date_lit(as_of)), paths[name], ("SnapshotDay",), "SnapshotDay")
+    return paths
+
+
 def _month_of(day: dt.date) -> int:
     return day.year * 100 + day.month
 
@@ -121,11 +237,27 @@ def daily_maintenance(store: Warehouse, settings: Mapping[str, str], as_of: str)
     first = day.day == 1
     if first:
         publish_month(store, *previous_month(day))
-        publish_trends(store, (day - dt.timedelta(days=1)).isoformat())
+        if str(settings.get("Trend_Creation_Enabled", "1")) == "1":
+            publish_trends(store, (day - dt.timedelta(days=1)).isoformat())
     for name, dataset, monthly in (
         ("database_size", "raw_data", False), ("disk_volume_space", "raw_data", False), ("sql_error_log", "error_log", False),
-        ("sql_job_history", "job_history", False), ("database_monthly", "aggregate", True), ("volume_monthly", "aggregate", True),
+        ("sql_job_history", "job_history", False), ("policy_history_detail", "policy_results", False),
+        ("evaluation_errors", "policy_results", False), ("policy_history", "policy_results", False), ("database_monthly", "aggregate", True), ("volume_monthly", "aggregate", True),
         ("trending_servers", "trending", True), ("trending_instances", "trending", True), ("trending_databases", "trending", True),
     ):
         if first or not monthly:
             purge_partitioned(store, name, dataset, settings, as_of)
+    stored = store.periods("run_log")
+    if stored and str(settings.get("RunLog_CleanUp_Enabled", "0")) == "1":
+        # The cut is a midnight, so at most one month is rewritten; the ones before it go as folders.
+        survivors = lifecycle.apply_retention("run_log", store.run_log, settings, as_of)
+        first = survivors.agg(F.min("yyyymm")).first()[0]
+        store_first = survivors.filter(F.col("yyyymm") == first).drop("yyyymm")
+        if first is not None:
+            store.save("run_log", store_first)
+        for period in stored:
+            if first is None or period < first:
+                store.drop_period("run_log", period)
+    for name in ("databases", "disk_volumes", "sql_instances", "sql_clusters", "servers", "availability_groups"):
+        if str(settings.get("Expired_Objects_Enabled", "0")) == "1":
+            store.save(name, lifecycle.apply_retention("expired", store[name], settings, as_of))

@@ -117,6 +117,10 @@ PARTITIONED: dict[str, tuple[str, str | None]] = {
     "trending_servers": ("YearMonth", None),
     "trending_instances": ("YearMonth", None),
     "trending_databases": ("YearMonth", None),
+    "run_log": ("yyyymm", "DateTimeCaptured"),
+    "policy_history": ("yyyymm", "EvaluationDateTime"),
+    "policy_history_detail": ("yyyymm", "EvaluationDateTime"),
+    "evaluation_errors": ("yyyymm", "EvaluationDateTime"),
 }
 
 
@@ -139,6 +143,8 @@ class Warehouse:
             raise KeyError(name)
         path = self.path(name)
         if name not in PARTITIONED:
+            if not markers(self.spark, path):
+                return self.spark.createDataFrame([], schema_of(name))
             return conform(read_current(self.spark, path), name)
         typed = StructType(list(schema_of(name).fields))
         if PARTITIONED[name][0] not in typed.names:
@@ -163,6 +169,13 @@ class Warehouse:
         else:
             replace_table(rows, self.path(name))
 
+    def append(self, name: str, df: DataFrame) -> None:
+        """Add rows to a partitioned table without reading or rewriting what is stored."""
+        key, date_col = PARTITIONED[name]
+        rows = conform(df, name)
+        rows = rows.withColumn(key, yyyymm(date_col)) if date_col else rows
+        rows.write.mode("append").partitionBy(key).parquet(self.path(name))
+
     def periods(self, name: str) -> list[int]:
         """Stored periods, from the directory names; a few dozen per table."""
         key = PARTITIONED[name][0] + "="
@@ -189,22 +202,44 @@ def write_partitioned(df: DataFrame, path: str, keys: Sequence[str] = ("yyyymm",
         "partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    """Write a new generation beside the old one and point ``CURRENT`` at it.
+#: Generations of a table that stay readable, so that a reader that has just looked up the marker can finish.
+GENERATIONS_KEPT = 3
+
+
+def markers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Complete markers (number, folder), oldest first; one without its success file does not count."""
+    if not path_exists(spark, path):
+        return []
+    found = [(int(d.removeprefix("marker=")), os.path.join(path, d)) for d in list_names(spark, path) if d.startswith("marker=")]
+    return sorted((n, folder) for n, folder in found if path_exists(spark, os.path.join(folder, "_SUCCESS")))
+
+
+def _generation(spark: SparkSession, marker: str) -> str:
+    return spark.read.schema("generation string").parquet(marker).first()[0]
+
+
+def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), kept: int = GENERATIONS_KEPT) -> str:
+    """Write a new generation beside the old ones, then a new marker that names it.
 
-    A job cannot overwrite the files it reads, and a lost executor must not leave
-    half a table: readers see the old generation until the marker is rewritten.
+    A job cannot overwrite the files it reads, and a lost executor must not leave half a table. Markers are numbered and
+    never rewritten: the highest complete one counts, so a reader sees either the old or the new generation at any time.
+    Afterwards all but the last ``kept`` generations go.
     """
+    spark = df.sparkSession
     generation = f"gen={uuid.uuid4().hex}"
     df.write.mode("error").partitionBy(*partition_by).parquet(os.path.join(path, generation))
-    marker = df.sparkSession.createDataFrame([(generation,)], "generation string")
-    marker.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "CURRENT"))
+    older = markers(spark, path)
+    number = older[-1][0] + 1 if older else 1
+    marker = spark.createDataFrame([(generation,)], "generation string")
+    marker.coalesce(1).write.mode("error").parquet(os.path.join(path, f"marker={number:08d}"))
+    for _, folder in older[: max(0, len(older) + 1 - kept)]:
+        delete_path(spark, os.path.join(path, _generation(spark, folder)))
+        delete_path(spark, folder)
     return generation
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
-    generation = spark.read.schema("generation string").parquet(os.path.join(path, "CURRENT")).first()[0]
-    return spark.read.parquet(os.path.join(path, generation))
+    return spark.read.parquet(os.path.join(path, _generation(spark, markers(spark, path)[-1][1])))
 
 
 # ---- staging ---------------------------------------------------------------------

@@ -210,3 +210,52 @@ def test_daily_snapshot_tables(fleet):
     out = daily.daily_snapshot(Store(), "2001-10-15", catalog._health(fleet))
     assert sorted(out) == ["databases", "errors", "jobs", "policy", "services", "size_change", "top_volumes"]
     assert out["services"].count() > 0 and out["top_volumes"].count() == min(15, out["top_volumes"].count())
+
+
+def test_tables_never_stored_are_empty_and_generations_are_bounded(spark, make, tmp_path):
+    out = tables.Warehouse(spark, str(tmp_path))
+    assert out.servers.count() == 0 and out.servers.columns == tables.schema_of("servers").names
+    for n in range(5):
+        out.save("application", make([(n, f"a{n}", "o")], "ApplicationID bigint, ApplicationName string, ApplicationOwner string"))
+    assert out.application.first().ApplicationID == 4
+    folders = os.listdir(out.path("application"))
+    assert sum(f.startswith("gen=") for f in folders) == sum(f.startswith("marker=") for f in folders) == tables.GENERATIONS_KEPT
+    # A marker without its success file is no marker: readers keep the old generation.
+    os.makedirs(os.path.join(out.path("application"), "marker=00000099"))
+    assert out.application.first().ApplicationID == 4
+
+
+def _day_feed(fleet, make):
+    jobs = fleet.staged_jobs.limit(50)
+    members = make([(1, "sysadmin", "Alice", "SQL_LOGIN"), (1, "SYSADMIN", "alice", "SQL_LOGIN"), (2, "sysadmin", "bob", "SQL_LOGIN")],
+                   "SQLInstanceID bigint, RoleName string, LoginName string, LoginType string")
+    grants = make([(1, "Alice", "SQL_LOGIN", "bob", "SQL_LOGIN", "SERVER", 0, "GRANT", "CONNECT")],
+                  "SQLInstanceID bigint, GranteeName string, GranteeType string, GrantorName string, GrantorType string, ObjectType string, ObjectID bigint, Access string, PermissionName string")
+    return {"servers": fleet.staged_servers, "databases": fleet.staged_databases, "jobs": jobs, "log_lines": fleet.log_lines,
+            "server_membership": members, "server_permissions": grants, "properties": fleet.property_feed, "policies": fleet.policies}
+
+
+def test_two_days_over_a_fresh_warehouse(spark, fleet, make, tmp_path):
+    out = tables.Warehouse(spark, str(tmp_path))
+    out.append("policy_history", fleet.policy_history.limit(30))
+    feed = _day_feed(fleet, make)
+    daily.run_day(out, feed, "2001-10-14")
+    state = lambda: {n: (out[n].count(), out[n].agg(F.sum(F.xxhash64(*out[n].columns).cast("decimal(38,0)"))).first()[0]) for n in tables.SCHEMAS}
+    daily.run_day(out, feed, "2001-10-15")
+    second = state()
+    for table, key in (("servers", "ServerID"), ("operating_systems", "OperatingSystemID"), ("application", "ApplicationID"), ("databases", "DatabaseID"),
+                       ("sql_jobs", "SQLJobID"), ("server_principals", "PrincipalID"), ("server_permission", "PermissionID")):
+        ids = [r[key] for r in out[table].select(key).collect()]
+        assert ids and None not in ids and len(ids) == len(set(ids)), table
+    assert out.server_principals.count() == 3 and out.server_principal_membership.count() == 2
+    assert out.server_permission.join(out.server_principals, F.col("GranteeID") == F.col("PrincipalID")).count() == 1
+    assert out.sql_job_history.join(out.sql_jobs, "SQLJobID").count() == out.sql_job_history.count() > 0
+    assert out.policy_history_detail.count() > 0
+    daily.run_day(out, feed, "2001-10-15")
+    assert state() == second
+    paths = daily.store_snapshot(out, "2001-10-15", reports_health(out))
+    assert spark.read.parquet(paths["policy"]).columns[-1] == "SnapshotDay"
+
+
+def reports_health(out):
+    return reports.report_config_health(out.policy_summary, out.policy_summary.selectExpr("Policy_id policy_id", "PolicyName Policy_ShortName").distinct(), out.policy_exclusions)
