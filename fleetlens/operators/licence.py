@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import date_lit, idiv
@@ -28,64 +28,42 @@ def _rank(value: str, ranks: dict[str, int]) -> Column:
 
 
 def _hosts(servers: DataFrame, clusters: DataFrame, nodes: DataFrame, as_of: str) -> DataFrame:
-    """Live stand-alone servers, plus every node of a cluster that is some node's first cluster."""
-    cut = F.date_sub(date_lit(as_of), ALIVE_DAYS)
-    shape = ["ServerName", "SQLClusterName", "NumberOfCores", "IsPhysical"]
-    node_ids = nodes.select(F.col("SQLNodeID").alias("ServerID")).distinct()
-    alone = (
-        servers.filter(F.col("LastUpdated") >= cut).join(node_ids, "ServerID", "left_anti")
-        .withColumn("SQLClusterName", F.lit(None).cast("string")).select(*shape)
-    )
-    first_clusters = nodes.groupBy("SQLNodeID").agg(F.min("SQLClusterID").alias("SQLClusterID")).select(
-        "SQLClusterID").distinct()
-    clustered = (
-        nodes.join(first_clusters, "SQLClusterID", "left_semi")
-        .join(clusters.select("SQLClusterID", "SQLClusterName"), "SQLClusterID")
-        .join(servers.select(F.col("ServerID").alias("SQLNodeID"), "ServerName", "NumberOfCores", "IsPhysical"), "SQLNodeID")
-        .select(*shape)
-    )
-    return alone.unionByName(clustered)
-
+    """Live stand-alone servers, plus every node of a cluster that is some node's first cluster; one pass over each table.
 
-def _best_instance(instance_view: DataFrame) -> DataFrame:
-    """The instance that represents each computer; ties go to the lowest instance id."""
+    ``_cluster_active``: the name is the first in at least one of its clusters.
+    """
+    cut = F.date_sub(date_lit(as_of), ALIVE_DAYS)
+    member = nodes.select("SQLClusterID", F.col("SQLNodeID").alias("ServerID"), F.lit(True).alias("_node")).join(
+        clusters.select("SQLClusterID", "SQLClusterName"), "SQLClusterID", "left")
+    placed = servers.select("ServerID", "ServerName", "NumberOfCores", "IsPhysical", "LastUpdated").join(member, "ServerID", "left")
+    # Windows over one server, and over one cluster; servers outside clusters are groups of their own, never one large group.
+    own = Window.partitionBy("ServerID")
+    cluster = Window.partitionBy("SQLClusterID", F.when(F.col("SQLClusterID").isNull(), F.col("ServerID")))
+    named = Window.partitionBy("SQLClusterName", F.when(F.col("SQLClusterName").isNull(), F.col("ServerID")))
+    placed = placed.withColumn("_lowest", F.min("SQLClusterID").over(own) == F.col("SQLClusterID")).withColumn(
+        "_chosen", F.max("_lowest").over(cluster)).withColumn("_first", F.min("ServerName").over(named) == F.col("ServerName"))
+    in_cluster = F.col("SQLClusterName").isNotNull()
+    placed = placed.withColumn("_cluster_active", F.max(F.when(in_cluster, F.col("_first"))).over(Window.partitionBy("ServerName")))
+    kept = F.when(F.col("_node").isNotNull(), in_cluster & F.col("_chosen")).otherwise(F.col("LastUpdated") >= cut)
+    return placed.filter(kept).select("ServerName", "SQLClusterName", "NumberOfCores", "IsPhysical", "_cluster_active")
+
+
+def _computers(instance_view: DataFrame, ag_instances: DataFrame) -> DataFrame:
+    """Per computer: the instance that represents it (ties go to the lowest id), and whether it hosts the first replica of a group.
+
+    ``_group_active`` is null for a computer without replicas.
+    """
+    rows = instance_view.select(
+        "SQLInstanceID", "ComputerName", "SQLInstanceName", "SQLInstanceEdition", "SQLInstanceEnviornment", "SQLInstanceType").join(
+        ag_instances.select("AGID", "SQLInstanceID", F.lit(True).alias("_replica")), "SQLInstanceID", "left")
+    group = Window.partitionBy("AGID", F.when(F.col("AGID").isNull(), F.col("SQLInstanceID")))
+    head = F.min(F.when(F.col("_replica").isNotNull(), F.struct("ComputerName", "SQLInstanceName"))).over(group)
+    rows = rows.withColumn("_head", F.when(F.col("_replica").isNotNull(), F.coalesce(head["ComputerName"] == F.col("ComputerName"), F.lit(False))))
     order = F.struct(
         _rank("SQLInstanceEnviornment", ENVIRONMENT_RANK), _rank("SQLInstanceType", ROLE_RANK),
         _rank("SQLInstanceEdition", EDITION_RANK), F.col("SQLInstanceID"))
     pick = F.struct("SQLInstanceEdition", "SQLInstanceEnviornment", "SQLInstanceType")
-    return instance_view.groupBy("ComputerName").agg(F.min_by(pick, order).alias("b")).select(
-        "ComputerName", F.col("b.SQLInstanceEdition").alias("Edition"),
-        F.col("b.SQLInstanceEnviornment").alias("Enviornment"), F.col("b.SQLInstanceType").alias("InstanceType"))
-
-
-def _cluster_roles(clusters: DataFrame, nodes: DataFrame, servers: DataFrame) -> DataFrame:
-    """A node is active when its name is the first in at least one of its clusters."""
-    members = (
-        nodes.join(clusters.select("SQLClusterID", "SQLClusterName"), "SQLClusterID")
-        .join(servers.select(F.col("ServerID").alias("SQLNodeID"), "ServerName"), "SQLNodeID")
-    )
-    firsts = members.groupBy("SQLClusterName").agg(F.min("ServerName").alias("ServerName")).select(
-        "ServerName", F.lit(True).alias("_first"))
-    return _active_flag(members.select("ServerName"), firsts, "_cluster_active")
-
-
-def _group_roles(ag_instances: DataFrame, instance_view: DataFrame) -> DataFrame:
-    """A computer is active when it hosts the first replica of at least one of its groups."""
-    replicas = ag_instances.select("AGID", "SQLInstanceID").join(
-        instance_view.select("SQLInstanceID", "ComputerName", "SQLInstanceName"), "SQLInstanceID")
-    firsts = (
-        replicas.groupBy("AGID").agg(F.min(F.struct("ComputerName", "SQLInstanceName")).alias("r"))
-        .select(F.col("r.ComputerName").alias("ServerName"), F.lit(True).alias("_first"))
-    )
-    return _active_flag(replicas.select(F.col("ComputerName").alias("ServerName")), firsts, "_group_active")
-
-
-def _active_flag(members: DataFrame, firsts: DataFrame, name: str) -> DataFrame:
-    """One row per server: whether it is among ``firsts``.  Both inputs share one aggregation."""
-    return (
-        members.withColumn("_first", F.lit(False)).unionByName(firsts)
-        .groupBy("ServerName").agg(F.max("_first").alias(name)).filter(F.col("ServerName").isNotNull())
-    )
+    return rows.groupBy("ComputerName").agg(F.min_by(pick, order).alias("b"), F.max("_head").alias("_group_active"))
 
 
 def license_details(
@@ -93,13 +71,15 @@ def license_details(
     ag_instances: DataFrame, as_of: str,
 ) -> DataFrame:
     """Licence cores per host: cores times core factor, 0 for passive hosts and free editions."""
+    computers = _computers(instance_view, ag_instances)
+    best = computers.select(
+        "ComputerName", F.col("b.SQLInstanceEdition").alias("Edition"), F.col("b.SQLInstanceEnviornment").alias("Enviornment"),
+        F.col("b.SQLInstanceType").alias("InstanceType"))
+    roles = computers.select(F.col("ComputerName").alias("ServerName"), "_group_active").filter("_group_active is not null")
     rows = (
         _hosts(servers, clusters, nodes, as_of)
         .withColumn("ComputerName", F.coalesce("SQLClusterName", "ServerName"))
-        .join(_best_instance(instance_view), "ComputerName", "left")
-        .join(_cluster_roles(clusters, nodes, servers), "ServerName", "left")
-        .join(_group_roles(ag_instances, instance_view), "ServerName", "left")
-    )
+        .join(best, "ComputerName", "left").join(roles, "ServerName", "left"))
     active = F.coalesce("_group_active", "_cluster_active", F.lit(True)) | F.coalesce(
         F.col("InstanceType") == "Stand Alone", F.lit(False))
     no_cores = F.coalesce(F.col("NumberOfCores") == 0, F.lit(False))
