@@ -40,11 +40,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of the least id, and one row of it.
+    """One document of each group stays: the one of the least id, and one row of it. Groups link five-word shingle sets of Jaccard 0.8 or more.
 
     Documents without words belong to no group and stay, as does a group none of whose rows has an id.
     """
-    found = ngram_join(docs)
+    found = ngram_join(docs, width=5, percent=80)
     grouped = F.col("n_shingles") > 0
     first = found.filter(grouped & (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
     alone = found.filter(~grouped | F.col("component_id").isNull()).select("doc_id", "text_hash", F.lit(False).alias("grouped"))

@@ -29,7 +29,7 @@ from fleetlens.llm.native import keyed, stored
 from fleetlens.llm.texts import MIX, MIX2, ascii_lower, byte_blocks, scramble, span_hashes, word_spans
 
 GROUPS = 64
-#: Smallest size of each band; smaller sets link only if they are equal. Sizes of sets that link lie in one band or in neighbours.
+#: Smallest size of each band, for 90 % and more; smaller sets link only if they are equal. Sizes of sets that link lie in one band or in neighbours.
 FIRST, RATIO = 9, 1.25
 LIGHT = 2
 U = np.uint64
@@ -121,7 +121,26 @@ def slice_keys(keys: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> tuple[np.
     return np.concatenate(out)[order], owner[order]
 
 
-def profiles(docs: DataFrame, width: int) -> DataFrame:
+def window_length(percent: int) -> int:
+    """Shingles that two unequal sets which link hold one after the other, and so the smallest size of such a set."""
+    return -(-percent // (100 - percent))
+
+
+def window_keys(keys: np.ndarray, of: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of every window of ``window_length`` shingles, rings of sorted hashes, and the row each belongs to, sorted by row."""
+    length = window_length(percent)
+    inside = sizes[of] >= length
+    keys, owner = keys[inside], of[inside]
+    size = sizes[owner]
+    first = np.searchsorted(owner, owner)
+    within = np.arange(len(keys)) - first
+    out = np.zeros(len(keys), np.uint64)
+    for k in range(length):
+        out = scramble(out * MIX + keys[first + (within + k) % size])
+    return out, owner
+
+
+def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``doc_id, text_hash, n, s1, s2, keys``: set size, 128-bit name of the set and first-level join keys of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +148,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
             for first, rows, keys, of in shingle_sets(batch.column(1), width):
                 sizes = np.bincount(of, minlength=rows)
                 names = [row_sums(scramble(keys ^ SALTS[k]), of, rows).view(np.int64) for k in (5, 6)]
-                cells, owner = slice_keys(keys, of, sizes)
+                cells, owner = slice_keys(keys, of, sizes) if percent >= 90 else window_keys(keys, of, sizes, percent)
                 offsets = np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
@@ -234,12 +253,12 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = 2
     Words are runs without ASCII white space, A-Z lower-cased; a text of fewer than ``width`` words is one shingle. Null, empty
     and blank texts have no shingles and are alone; their ``component_id`` is their own id. Repeated rows share a set and
     so a component, whose id is the least id in it; rows without an id get the id of their component, or null if no row of it has one.
-    ``percent`` must be at least 90, which is what the first level of the tree is laid out for. Other columns are ignored.
+    Other columns are ignored.
     """
-    if percent < 90:
-        raise ValueError("percent must be at least 90")
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be above 0 and at most 100")
     docs = keyed(docs).select("doc_id", "text", "text_hash")
-    rows = stored(profiles(docs, width), "profiles")
+    rows = stored(profiles(docs, width, percent), "profiles")
     name = ["s1", "s2", "n"]
     classes = stored(rows.filter("n > 0").groupBy(*name).agg(F.min("doc_id").alias("rep")), "classes")
     cells = rows.select(F.explode("keys").alias("key"), F.col("s1").alias("cls"))

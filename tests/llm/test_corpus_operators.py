@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from fleetlens.llm import decontaminate, native, pii, queries, url_filter
 from fleetlens.llm.bpe import encode_decode
 from fleetlens.llm.components import components
 from fleetlens.llm.line_dedup import Runs, dedup_lines
-from fleetlens.llm.ngram_join import ngram_join
+from fleetlens.llm.ngram_join import ngram_join, window_keys
 from fleetlens.llm.quality_qda import classify
 from fleetlens.llm.quality_rules import base_rules, quality_rules
 from fleetlens.llm.suffix_dedup import remove_repeats
@@ -290,6 +291,58 @@ def test_components_equal_brute_force(spark, tile):
     assert found_components(docs_of(spark, rows), tile=tile) == brute_components(rows)
 
 
+def brute_links(rows, width, percent):
+    """Components by comparing all pairs of sets."""
+    sets = [shingles(t, width) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) and root[i] != root[j]:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    return sorted(((d, len(sets[i]), rows[root[i]][0]) for i, (d, _) in enumerate(rows)), key=str)
+
+
+@pytest.mark.parametrize(("width", "percent", "tile"), [(5, 80, 2048), (5, 80, 8), (3, 85, 2048), (2, 50, 2048)])
+def test_components_below_ninety_equal_brute_force(spark, width, percent, tile):
+    rng = random.Random(width * percent)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for n in [1, 4, 5, 8, 9, 10, 12, 15, 20, 30, 60, 120, 300]:
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        for _ in range(14):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, n // 40, n // 25])):
+                at = rng.randrange(len(words)) if words else 0
+                words[at : at + rng.choice((0, 1))] = [rng.choice(vocabulary)] * rng.choice((0, 1))
+            at = rng.randint(0, len(words))
+            words[at:at] = [rng.choice(vocabulary) for _ in range(rng.choice([0, 0, n // 8, n // 5, n // 4]))]
+            rows.append((len(rows), " ".join(words)))
+    assert found_components(docs_of(spark, rows), width=width, percent=percent, tile=tile) == brute_links(rows, width, percent)
+
+
+def test_windows_lose_no_link():
+    """Sets exactly at and around the bound share a window, whatever their hashes."""
+    rng = random.Random(8)
+    for percent in (50, 67, 80, 89):
+        for _ in range(1500):
+            common, apart = rng.randint(1, 60), rng.randint(1, 15)
+            if 100 * common < percent * (common + apart):
+                continue
+            pool = rng.sample(range(1, 1 << 62), common + apart)
+            split = common + rng.randint(0, apart)
+            sets = [sorted(pool[:split]), sorted(pool[:common] + pool[split:])]
+            one, two = (window_keys(np.array(s, np.uint64), np.zeros(len(s), np.int64), np.array([len(s)]), percent)[0].tolist() for s in sets)
+            assert {*one} & {*two}
+
+
+def test_pipeline_drops_near_copies_of_five_word_shingles(spark):
+    words = [f"w{i}" for i in range(100)]
+    longer = words[:40] + [f"x{i}" for i in range(18)] + words[40:]  # 92 of 118 five-word shingles are common: just under 0.8
+    copy = words[:40] + [f"y{i}" for i in range(15)] + words[40:]  # 92 of 115: 0.8
+    docs = docs_of(spark, [(i, " ".join(w)) for i, w in enumerate((words, longer, copy))])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [0, 1]
+
+
 def test_components_of_edges(spark):
     assert found_components(docs_of(spark, EDGES, True)) == brute_components(EDGES)
     assert found_components(docs_of(spark, [])) == []
