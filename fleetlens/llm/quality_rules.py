@@ -61,15 +61,15 @@ def grams(docs: DataFrame, buckets: int) -> DataFrame:
         "bucket", F.when(~F.col("_none"), F.pmod("_h", F.lit(buckets)).cast("int"))).drop("_h", "_none")
 
 
-def gram_model(docs: DataFrame, trusted: DataFrame, buckets: int, trusted_limit: int, smoothing: float) -> DataFrame:
+def gram_model(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float) -> DataFrame:
     """``bucket, weight``: the log ratio of each bucket, ``buckets`` rows whatever the corpus size.
 
-    ``trusted`` gives a ``doc_id`` per trusted document. At most ``trusted_limit`` of them (smallest hashes) are used, which
-    bounds what is broadcast; the raw counts cover every document.
+    ``trusted`` gives a ``doc_id`` per trusted document. All of them count, and the raw counts cover every document; Spark
+    chooses the join of documents and ids by their size.
     """
     spark = docs.sparkSession
-    ids = trusted.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_limit)
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids.withColumn("_trusted", F.lit(1))), "doc_id", "left")
+    ids = trusted.select("doc_id").filter("doc_id is not null").distinct()
+    marked = docs.select("doc_id", "text").join(ids.withColumn("_trusted", F.lit(1)), "doc_id", "left")
     counts = grams(marked.drop("doc_id"), buckets).filter("bucket is not null").groupBy("bucket").agg(
         F.count("*").alias("raw"), F.count("_trusted").alias("good"))
     every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))
@@ -85,14 +85,14 @@ def gram_model(docs: DataFrame, trusted: DataFrame, buckets: int, trusted_limit:
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.3, buckets: int = 1 << 14,
-                  trusted_limit: int = 100_000, smoothing: float = 1.0) -> DataFrame:
+                  smoothing: float = 1.0) -> DataFrame:
     """Base counts, score and verdict per row: ``doc_id, text_hash``, the columns of ``base_rules``, ``score``, ``kept``.
 
     Rows pass through one by one, so null and repeated ids stay. Null or empty text has no words, fails the base rules and
     scores 0. Without trusted documents every score is 0 and the base rules alone decide. Further columns are ignored.
     """
     docs = keyed(docs).drop("row")
-    model = stored(gram_model(docs, trusted.selectExpr("cast(doc_id as long) doc_id"), buckets, trusted_limit, smoothing), "gram-model")
+    model = stored(gram_model(docs, trusted.selectExpr("cast(doc_id as long) doc_id"), buckets, smoothing), "gram-model")
     rules = base_rules(docs.withColumn("_row", F.monotonically_increasing_id()))
     keep = [c for c in rules.columns if c not in ("text", "_row")]
     scored = grams(rules, buckets).join(F.broadcast(model), "bucket", "left").groupBy("_row").agg(
