@@ -1593,6 +1593,15 @@ def _(t):
     return t.spark.read.parquet(f"{root}/hours")
 
 
+@query("i1_hourly_counts_all", """
+    SELECT SQLInstanceID, date_trunc('hour', LogDate) AS HourStart, date_trunc('hour', LogDate) + INTERVAL 1 HOUR AS HourEnd, count(*) AS LineCount
+    FROM log_lines WHERE LogDate IS NOT NULL GROUP BY 1, 2, 3""")
+def _(t):
+    root = shared_dir(t.spark, "hours")
+    incremental.write_hourly_counts(_line_stream(t), root).awaitTermination()
+    return incremental.with_open_hours(t.spark.read.parquet(f"{root}/hours"), t.log_lines)
+
+
 @query("i2_incremental_jobs", """
     SELECT j.SQLJobID, f.ExecutionDateTime, (max((f.Duration, f.JobStatus)))[1] AS Duration, max(f.JobStatus) AS JobStatus
     FROM staged_jobs f JOIN sql_jobs j ON j.SQLInstanceID = f.SQLInstanceID AND j.SQLJobName = f.JobName GROUP BY 1, 2""")

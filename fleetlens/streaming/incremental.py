@@ -34,17 +34,31 @@ def drop_late(lines: DataFrame, ts_col: str = "LogDate", keys: tuple[str, ...] =
     return timed.dropDuplicates([*keys, "_event_time"]).drop("_event_time")
 
 
+def hour_start(ts: Column) -> Column:
+    return F.to_date(ts).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour(ts))
+
+
 def hourly_counts(events: DataFrame, ts_col: str = "LogDate", key: str = "SQLInstanceID") -> DataFrame:
-    """Rows per machine and tumbling hour; an hour is final once the watermark passes its end."""
+    """Rows per machine and tumbling hour; an hour is final once the watermark passes its end.
+
+    In append mode only final hours appear: those that end in the last ``LATE_AFTER`` of the stream do not. ``with_open_hours`` adds them.
+    """
     timed = events.withColumn("_event_time", event_time(ts_col)).withWatermark("_event_time", LATE_AFTER)
     hours = timed.groupBy(F.window("_event_time", SLICE), key).agg(
         F.min(ts_col).alias("_first"), F.count(F.lit(1)).alias("LineCount"))
-    first = F.col("_first")
-    start = F.to_date(first).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour(first))
-    hours = hours.withColumn("HourStart", start)
+    hours = hours.withColumn("HourStart", hour_start(F.col("_first")))
     return hours.select(key, "HourStart", (F.col("HourStart") + F.expr("interval 1 hour")).alias("HourEnd"), "LineCount")
 
 
+def with_open_hours(final: DataFrame, lines: DataFrame, ts_col: str = "LogDate", key: str = "SQLInstanceID") -> DataFrame:
+    """All hours: the stream's final ones as they are, every other one counted from the stored lines."""
+    counted = lines.filter(F.col(ts_col).isNotNull()).groupBy(key, hour_start(F.col(ts_col)).alias("HourStart")).agg(F.count(F.lit(1)).alias("LineCount"))
+    done = final.select(F.col(key).alias("_key"), F.col("HourStart").alias("_start"))
+    still_open = counted.join(done, F.col(key).eqNullSafe(F.col("_key")) & (F.col("HourStart") == F.col("_start")), "left_anti")
+    return final.select(key, "HourStart", "HourEnd", "LineCount").unionByName(
+        still_open.select(key, "HourStart", (F.col("HourStart") + F.expr("interval 1 hour")).alias("HourEnd"), "LineCount"))
+
+
 def _once(work):
     """Run one batch's writes over a kept copy, so its source is computed a single time."""
     def run(df: DataFrame, batch_id: int) -> None:
@@ -134,6 +148,7 @@ def incremental_jobs(runs: DataFrame, root: str, jobs: DataFrame) -> StreamingQu
 
 
 def write_hourly_counts(events: DataFrame, root: str, ts_col: str = "LogDate") -> StreamingQuery:
+    """Final hours into ``<root>/hours``."""
     return (
         hourly_counts(events, ts_col).writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", os.path.join(root, "checkpoint-hours")).option("path", os.path.join(root, "hours"))

@@ -138,6 +138,17 @@ def test_hourly_counts_of_closed_hours(spark, make, tmp_path):
     assert [(r.HourStart, r.LineCount) for r in spark.read.parquet(root + "/hours").collect()] == [(TS(2024, 1, 1), 5)]
 
 
+def test_open_hours_are_added_from_the_stored_lines(spark, make, tmp_path):
+    src, root = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(1, i, TS(2024, 1, 1, 0, i), "x") for i in range(5)] + [(1, 98, TS(2024, 1, 4, 22, 59), "x"), (1, 99, TS(2024, 1, 5), "x"), (None, 1, TS(2024, 1, 5), "x")]
+    lines = make(rows, LINES)
+    _land(lines, src, "p0")
+    incremental.write_hourly_counts(_stream(spark, src + "/*", lines.schema), root).awaitTermination()
+    out = incremental.with_open_hours(spark.read.schema("SQLInstanceID bigint, HourStart timestamp_ntz, HourEnd timestamp_ntz, LineCount bigint").parquet(root + "/hours"), lines)
+    assert {(r.SQLInstanceID, r.HourStart, r.HourEnd, r.LineCount) for r in out.collect()} == {
+        (1, TS(2024, 1, 1), TS(2024, 1, 1, 1), 5), (1, TS(2024, 1, 4, 22), TS(2024, 1, 4, 23), 1), (1, TS(2024, 1, 5), TS(2024, 1, 5, 1), 1), (None, TS(2024, 1, 5), TS(2024, 1, 5, 1), 1)}
+
+
 @pytest.fixture(scope="module")
 def store(spark, fleet, tmp_path_factory):
     """A stored warehouse filled from the driver's tables."""
