@@ -21,10 +21,13 @@ KEY = ["h1", "h2"]
 
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``doc_id, text_hash, pos, h1, h2`` of every line whose key has at least ``min_chars`` code points."""
+    """``doc_id, text_hash, pos, h1, h2`` of every line whose key has at least ``min_chars`` code points.
+
+    The hash of a first column seeds that of the next, so the salt of ``h2`` comes first: after the key it would make ``h2`` a function of ``h1``.
+    """
     lines = docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     keyed = lines.withColumn("key", F.translate(trimmed(F.col("line")), UPPER, LOWER)).filter(F.length("key") >= min_chars)
-    return keyed.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"))
+    return keyed.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
 class Runs:

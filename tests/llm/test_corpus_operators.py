@@ -196,6 +196,30 @@ def test_runs_are_compacted(spark):
     assert dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def colliding_lines():
+    """Two lines of 20 characters with the same ``xxhash64``: the second word of eight bytes makes up for the first."""
+    p1, p2, p4, p5, full = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, (1 << 64) - 1
+    rotl = lambda x, r: (x << r | x >> 64 - r) & full
+    mixed = lambda w: rotl(int.from_bytes(w, "little") * p2 & full, 31) * p1 & full
+    after = lambda w: (rotl((42 + p5 + 20 ^ mixed(w)) & full, 27) * p1 + p4) & full
+    back1, back2 = pow(p1, -1, 1 << 64), pow(p2, -1, 1 << 64)
+    first, second, rng = b"abcdefgh", b"ijklmnop", random.Random(6)
+    target = after(first) ^ mixed(second)
+    while True:
+        other = bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+        word = (rotl((target ^ after(other)) * back1 & full, 33) * back2 & full).to_bytes(8, "little")
+        if all(32 < c < 127 and not 65 <= c <= 90 for c in word) and other != first:
+            return (first + second + b"tail").decode(), (other + word + b"tail").decode()
+
+
+def test_lines_of_one_hash_stay_apart(spark):
+    one, two = colliding_lines()
+    assert spark.createDataFrame([(one,), (two,)], "s string").select(F.xxhash64("s")).distinct().count() == 1
+    rows = [(1, one), (2, one), (3, two), (4, "x")]
+    got = dedup_lines(docs_of(spark, rows))
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()), key=str) == brute_lines(rows)
+
+
 # 5 decontamination
 
 
