@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from fleetlens.llm.bpe import encode_decode
 from fleetlens.llm.decontaminate import find_leaks
 from fleetlens.llm.line_dedup import dedup_lines
+from fleetlens.llm.merkle import manifest, proof
 from fleetlens.llm.ngram_join import ngram_join
 from fleetlens.llm.pii import find_pii
 from fleetlens.llm.quality_qda import classify
 from fleetlens.llm.quality_rules import quality_rules
+from fleetlens.llm.simhash import hex_code, simhash_groups
+from fleetlens.llm.spelling import variants
 from fleetlens.llm.suffix_dedup import remove_repeats
 from fleetlens.llm.token_count import count_tokens
 from fleetlens.llm.url_filter import filter_urls
@@ -71,6 +74,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = manifest(table(spark, sf_dir, "documents")).withColumn("proof_sha256", F.sha2(proof(F.col("ups")), 256))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash_groups(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", hex_code(F.col("code")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -82,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_simhash": op13_simhash,
 }
 
 OP4_SQL = r"""
