@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +116,7 @@ def prefix_of(equal: np.ndarray) -> np.ndarray:
     return np.where(equal.all(1), equal.shape[1], equal.argmin(1))
 
 
-def block_near(words: np.ndarray, counts: np.ndarray, short: int, p: int, s: int, below: int, chunk: int = 512) -> pd.DataFrame:
+def block_near(words: np.ndarray, counts: np.ndarray, short: int, p: int, s: int, below: int, chunk: int = 512) -> tuple[np.ndarray, ...]:
     """``word, near, best_n, best`` of a block: words of ``short`` letters or one more; near pairs are counted where their key leads."""
     order = np.argsort(words)
     words, counts = words[order], counts[order]
@@ -142,51 +142,49 @@ def block_near(words: np.ndarray, counts: np.ndarray, short: int, p: int, s: int
             q, w = q[here], w[here]
             froms += [q, w] if shift else [q]
             tos += [w, q] if shift else [w]
-    if not froms:
-        return pd.DataFrame({"word": [], "near": [], "best_n": [], "best": []})
-    a, b = np.concatenate(froms), np.concatenate(tos)
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (froms, tos))
     order = np.lexsort((b, -counts[b], a))  # words ascend, so ties take the smaller one
     a, b = a[order], b[order]
     own, first, near = np.unique(a, return_index=True, return_counts=True)
-    return pd.DataFrame({"word": words[own], "near": near, "best_n": counts[b[first]], "best": words[b[first]]})
+    return words[own], near, counts[b[first]], words[b[first]]
 
 
 def near_counts(keys: DataFrame, tile: int) -> DataFrame:
     """``word, near, best_n, best``, one row for each block that holds near words of a word."""
+    schema = "word string, near long, best_n long, best string"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def solved(words: np.ndarray, counts: np.ndarray, shapes: np.ndarray) -> pa.RecordBatch:
+        short, p, s, below = shapes[0, :4].tolist()
+        found = block_near(words.astype(f"<U{short + 1}"), counts, short, p, s, below)
+        return pa.RecordBatch.from_arrays([pa.array(found[0].tolist(), pa.string()), pa.array(found[1], pa.int64()),
+                                           pa.array(found[2], pa.int64()), pa.array(found[3].tolist(), pa.string())], ["word", "near", "best_n", "best"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Whole keys of one shape are packed into blocks of about ``tile`` words; what a batch leaves open waits for the next one.
-        rest: pd.DataFrame | None = None
-        for frame in frames:
-            frame = frame if rest is None else pd.concat((rest, frame), ignore_index=True)
-            ends = list(_block_ends(frame, tile))
-            for a, b in zip([0, *ends[:-1]], ends, strict=False):
-                yield _solve(frame.iloc[a:b])
-            rest = frame.iloc[ends[-1] if ends else 0 :]
-        if rest is not None and len(rest):
-            ends = [*_block_ends(rest, tile), len(rest)]
-            for a, b in zip([0, *ends[:-1]], ends, strict=True):
-                if b > a:
-                    yield _solve(rest.iloc[a:b])
-
-    dealt = keys.repartition(*KEY).sortWithinPartitions(*KEY)
-    return dealt.mapInPandas(run, "word string, near long, best_n long, best string")
-
-
-def _solve(block: pd.DataFrame) -> pd.DataFrame:
-    short, p, s, below = (int(block[c].iloc[0]) for c in KEY[:4])
-    return block_near(block["word"].to_numpy(dtype=f"<U{short + 1}"), block["n"].to_numpy(np.int64), short, p, s, below)
-
-
-def _block_ends(frame: pd.DataFrame, tile: int) -> Iterator[int]:
-    """Ends of the blocks that are complete in sorted rows: at a new shape, or at a key that would exceed the size."""
-    values = frame[list(KEY)].to_numpy(np.int64)
-    starts = np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1
+        held = np.zeros(0, object), np.zeros(0, np.int64), np.zeros((0, len(KEY)), np.int64)
+        for batch in batches:
+            new = batch.column(0).to_numpy(False), batch.column(1).to_numpy(), np.stack([batch.column(2 + k).to_numpy() for k in range(len(KEY))], 1)
+            held = tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+            begin = 0
+            for end in block_ends(held[2], tile):
+                yield solved(*(x[begin:end] for x in held))
+                begin = end
+            held = tuple(x[begin:] for x in held)
+        if len(held[0]):
+            yield solved(*held)
+
+    dealt = keys.select("word", "n", *(F.col(c).cast("long").alias(c) for c in KEY)).repartition(*KEY).sortWithinPartitions(*KEY)
+    return dealt.mapInArrow(run, schema)
+
+
+def block_ends(shapes: np.ndarray, tile: int) -> Iterator[int]:
+    """Ends of the blocks that are complete in sorted keys: at a new shape, or at a key that would exceed the size."""
+    starts = np.flatnonzero((shapes[1:] != shapes[:-1]).any(1)) + 1
     begin = 0
-    for start, stop in zip(starts, [*starts[1:], len(values)], strict=True):
-        room = min(tile, max(1, LETTERS // int(values[begin, 0])))
-        if (values[start, :4] != values[begin, :4]).any() or stop - begin > room:
-            yield int(start)
+    for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(shapes)], strict=True):
+        room = min(tile, max(1, LETTERS // int(shapes[begin, 0])))
+        if (shapes[start, :4] != shapes[begin, :4]).any() or stop - begin > room:
+            yield start
             begin = start
 
 

@@ -172,12 +172,12 @@ def test_variants_of_real_texts(spark):
     assert len(want) > 100 and any(w[1] for w in want)
 
 
-@pytest.mark.parametrize("tile", [2, 7, 4096])
+@pytest.mark.parametrize("tile", [3, 4096])
 def test_variants_of_dense_words(spark, tile):
     """Words over two letters, so that keys are halved down to single open letters."""
     rng = random.Random(tile)
     made = ["".join(rng.choice("abÿ") for _ in range(rng.randint(4, 9))) for _ in range(400)]
-    rows = [(d, " ".join(rng.choices(made, weights=[1 + i % 50 for i in range(400)], k=60)).title()) for d in range(100)]
+    rows = [(d, " ".join(rng.choices(made, weights=[1 << i % 7 for i in range(400)], k=60)).title()) for d in range(100)]
     want = brute_variants(rows)
     assert variant_rows(with_clashes(spark, rows), tile=tile) == want
     assert any(w[2] != w[1] for w in want if w[1])
@@ -195,10 +195,9 @@ def test_block_counts_each_pair_once():
     counts = np.array([5, 9, 9, 1, 100])
     first = block_near(words[:4], counts[:4], 5, 2, 0, 1 << 30)
     rest = block_near(words[:4], counts[:4], 5, 0, 3, 2)
-    got = {w: (int(n), b) for f in (first, rest) for w, n, b in zip(f["word"], f["near"], f["best"], strict=True)}
-    assert {w: v for w, v in zip(first["word"], first["near"], strict=True)} == {"abcde": 2, "abcdf": 2, "abcdef": 2}
-    assert {w: v for w, v in zip(rest["word"], rest["near"], strict=True)} == {"abcde": 1, "xbcde": 1}
-    assert got["abcdf"] == (2, "abcdef")
+    assert dict(zip(first[0], first[1], strict=True)) == {"abcde": 2, "abcdf": 2, "abcdef": 2}
+    assert dict(zip(rest[0], rest[1], strict=True)) == {"abcde": 1, "xbcde": 1}
+    assert dict(zip(first[0], first[3], strict=True)) == {"abcde": "abcdef", "abcdf": "abcdef", "abcdef": "abcdf"}
 
 
 def test_chains_are_followed_to_their_ends(spark):
@@ -254,7 +253,7 @@ def test_groups_of_edge_rows(spark):
     assert simhash_groups(with_clashes(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize(("block", "limit"), [(4, 2), (64, 2), (50, 3), (1024, 0)])
+@pytest.mark.parametrize(("block", "limit"), [(4, 2), (50, 3)])
 def test_groups_of_dense_fingerprints(spark, monkeypatch, block, limit):
     """Fingerprints around a few centres and at random, through trees of several levels."""
     rng = random.Random(block)
