@@ -7,7 +7,6 @@ code generation and constant arguments are folded at planning time.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,11 +18,6 @@ def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once, also if ``body`` uses it inside lambdas."""
-    return F.transform(F.array(value), body)[0]
-
-
 def date_lit(value: str | dt.date | Column) -> Column:
     """A DATE constant from ``YYYY-MM-DD`` text or a ``date``."""
     if isinstance(value, Column):

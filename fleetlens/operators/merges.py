@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import ci, ci_eq, date_lit
+from fleetlens.functions.keys import allocate
 from fleetlens.operators.rollup import UNKNOWN_ID
 from fleetlens.operators.upsert import archive_upsert, insert_missing, join_ci, missing_rows, upsert
 
@@ -387,13 +388,18 @@ def apply_volume_decisions(volumes: DataFrame, decisions: DataFrame, as_of: str)
     keyed = volumes.withColumns({
         "_vol": F.lower("DiskVolumeName"), "_srv": F.coalesce(F.col("ServerID").cast("bigint"), none),
         "_clu": F.coalesce(F.col("SQLClusterID").cast("bigint"), none), "_old": F.lit(True)})
-    rows = keyed.join(effects, ["_vol", "_srv", "_clu"], "full_outer")
+    key = ["_vol", "_srv", "_clu"]
+    if "DiskVolumeID" in volumes.columns:
+        fresh = effects.filter("_seen and not _drop").join(keyed, key, "left_anti")
+        ids = allocate(fresh.select(*key), [F.col(k) for k in key], volumes, "DiskVolumeID").withColumnRenamed("DiskVolumeID", "_new_id")
+        effects = effects.join(ids, key, "left")
+    rows = keyed.join(effects, key, "full_outer")
     is_new, moved = F.col("_old").isNull(), F.col("_to_cluster").isNotNull()
     rows = rows.filter(~F.coalesce("_drop", F.lit(False)) & (F.col("_old").isNotNull() | F.coalesce("_seen", F.lit(False))))
     monitored = F.coalesce("IsMonitored", F.lit(True))
     touched = (F.coalesce("_seen", F.lit(False)) | moved) & monitored
     values = {
-        "DiskVolumeID": F.when(is_new, F.xxhash64("_vol", "_srv", "_clu")).otherwise(F.col("DiskVolumeID")) if "DiskVolumeID" in volumes.columns else None,
+        "DiskVolumeID": F.when(is_new, F.col("_new_id")).otherwise(F.col("DiskVolumeID")) if "DiskVolumeID" in volumes.columns else None,
         "DiskVolumeName": F.coalesce("DiskVolumeName", "_vol"),
         "ServerID": F.when(is_new & (F.col("_srv") != none), F.col("_srv")).when(~moved, F.col("ServerID")),
         "SQLClusterID": F.when(is_new & (F.col("_clu") != none), F.col("_clu")).otherwise(F.coalesce("_to_cluster", "SQLClusterID")),

@@ -1,27 +1,28 @@
 """Policy results: shredding of landed XML documents and the current-state summary.
 
-A document is cut into its evaluation details, each of which Spark's XML reader parses; namespaces, entities, CDATA
-sections, self-closing tags and comments are its business. Documents are shredded before anything is joined, so no XML is
-ever shuffled.
+Each document is parsed once, whole, by a streaming XML parser that runs over Arrow batches: details may lie at any depth, which
+a declared XML schema cannot say, and only a parser tells tags from CDATA sections, comments, quoted attributes and processing
+instructions. Documents are shredded before anything is joined, so no XML is ever shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.columns import apply_filters, ci, ci_eq, let
+from fleetlens.functions.columns import apply_filters, ci, ci_eq
 
 NO_TARGET = "No Targets Found"
 RESULT_SOURCE = "Policy evaluation framework"
 RESULTS = ("PASS", "FAIL", "ERROR")
 FIELDS = ("ServerInstance", "TargetQueryExpression", "Result", "Exception", "ResultDetail")
-#: Arrays, because the first of several elements counts; an empty element is '', an absent one null.
-_SCHEMA = ", ".join(f"{f} array<string>" for f in FIELDS)
-_OPTIONS = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "nullValue": "\u0000"}
-_NAME = r"(?:[\w.-]++:)?+EvaluationDetail"
-_DETAIL = rf"(?s)<{_NAME}(?:\s[^<>]*?)?(?:/>|>.*?</{_NAME}\s*>)"
-_COMMENT = r"(?s)(<!\[CDATA\[.*?\]\]>)|<!--.*?-->"
+DETAIL = "EvaluationDetail"
+#: What is kept of a document or of each of its details, in this order.
+READ = ("_target", "_first", "_instance", *FIELDS[1:])
 
 
 def policy_result(result: Column, exception: Column) -> Column:
@@ -33,36 +34,89 @@ def policy_result(result: Column, exception: Column) -> Column:
         .otherwise(F.lit("PASS")))
 
 
-def _bare(doc: Column) -> Column:
-    """The one row of a document without details: the elements beside its server instance."""
-    beside = "//*[local-name()='ServerInstance']/../*[local-name()='{}']"
-
-    def value(field: str) -> Column:
-        path = beside.format(field)
-        return F.when(F.xpath_boolean(doc, F.lit(path)), F.array(F.xpath_string(doc, F.lit(f"({path})[1]")))).alias(field)
-
-    return F.struct(*(value(f) for f in FIELDS))
-
-
-def _first_of_name(details: Column) -> Column:
-    """Flags, in document order: no earlier detail has the same object; sorts inside the row."""
-    named = F.sort_array(F.transform(details, lambda d, i: F.struct(F.get(d["TargetQueryExpression"], F.lit(0)).alias("n"), i.alias("i"))))
-    flags = let(named, lambda s: F.transform(s, lambda x, j: F.struct(x["i"].alias("i"), (~F.get(s, j - 1)["n"].eqNullSafe(x["n"]) | (j == 0)).alias("f"))))
-    return F.transform(F.sort_array(flags), lambda y: y["f"])
+class _Document:
+    """Values of one document, by local names: the first child of each name counts; '' is an empty element, None an absent one."""
+
+    def __init__(self, text: str):
+        self.open: list[dict[str, str]] = []  # the fields of every open element
+        self.names: list[str] = []
+        self.values: list[list[str]] = []  # pieces of every open field
+        self.details: list[dict[str, str]] = []
+        self.beside: dict[str, tuple[int, str]] = {}  # field -> its place in the document and text, beside a server instance
+        self.places: list[dict[str, int]] = []
+        self.seen = 0
+        parser = expat.ParserCreate("utf-8")
+        parser.buffer_text = True
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = self._start, self._end, self._text
+        parser.Parse(text.encode("utf-8"), True)
+
+    def _start(self, name: str, _: dict) -> None:
+        name = name.rpartition(":")[2]
+        fields: dict[str, str] = {}
+        self.names.append(name)
+        self.open.append(fields)
+        self.places.append({})
+        if name == DETAIL:
+            self.details.append(fields)
+        elif name in FIELDS:
+            self.values.append([])
+
+    def _text(self, data: str) -> None:
+        for pieces in self.values:
+            pieces.append(data)
+
+    def _end(self, _: str) -> None:
+        name, fields, places = self.names.pop(), self.open.pop(), self.places.pop()
+        if "ServerInstance" in fields:
+            for field, place in places.items():
+                self.beside[field] = min((place, fields[field]), self.beside.get(field, (place, fields[field])))
+        if name in FIELDS:
+            value = "".join(self.values.pop())
+            self.seen += 1
+            if self.open and name not in self.open[-1]:
+                self.open[-1][name] = value
+                self.places[-1][name] = self.seen
+
+
+def read_document(text: str | None) -> list[tuple]:
+    """One tuple of ``READ`` per detail of a document, or one for a document without details.
+
+    A text that is not well-formed counts as a failed result with the parser's message, so that it is seen.
+    """
+    if text is None:
+        return [(False, True, False, None, None, None, None)]
+    try:
+        document = _Document(text)
+    except expat.ExpatError as error:
+        return [(False, True, True, None, "FALSE", f"malformed document: {error}", None)]
+    if not document.details:
+        value = {field: text for field, (_, text) in document.beside.items()}
+        return [(False, True, "ServerInstance" in value, *map(value.get, FIELDS[1:]))]
+    out, objects = [], set()
+    for detail in document.details:
+        name = detail.get("TargetQueryExpression")
+        out.append((True, name not in objects, "ServerInstance" in detail, *map(detail.get, FIELDS[1:])))
+        objects.add(name)
+    return out
 
 
 def details(history: DataFrame) -> DataFrame:
     """One narrow row per evaluation detail of each document, and one for a document without details."""
-    doc = F.col("EvaluationResults")
-    clean = F.when(doc.contains("<!--"), F.regexp_replace(doc, _COMMENT, "$1")).otherwise(doc)
-    cut = history.withColumn("_parts", F.regexp_extract_all(clean, F.lit(_DETAIL), F.lit(0)))
-    some = F.size("_parts") > 0
-    read = F.when(some, F.transform("_parts", lambda p: F.from_xml(p, _SCHEMA, _OPTIONS))).otherwise(F.array(_bare(doc)))
-    rows = cut.select("PolicyHistoryID", "EvaluatedServer", "EvaluationDateTime", "EvaluatedPolicy", some.alias("_target"), read.alias("_details"))
-    rows = rows.withColumn("_detail", F.explode(F.arrays_zip(F.col("_details").alias("d"), _first_of_name(F.col("_details")).alias("first"))))
-    return rows.select(
-        *rows.columns[:5], F.col("_detail.first").alias("_first"), F.col("_detail.d.ServerInstance").isNotNull().alias("_instance"),
-        *(F.get(F.col(f"_detail.d.{f}"), F.lit(0)).alias(f) for f in FIELDS[1:]))
+    keys = ["PolicyHistoryID", "EvaluatedServer", "EvaluationDateTime", "EvaluatedPolicy"]
+    rows = history.select(*keys, "EvaluationResults")
+    schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys),
+                        *(f"{c} boolean" for c in READ[:3]), *(f"{c} string" for c in READ[3:])])
+    kinds = [pa.bool_()] * 3 + [pa.string()] * (len(READ) - 3)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [read_document(x.as_py()) for x in batch.column(len(keys))]
+            at = pa.array([i for i, own in enumerate(found) for _ in own], pa.int64())
+            columns = list(zip(*(row for own in found for row in own), strict=True)) or [()] * len(READ)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(at) for k in range(len(keys))), *map(pa.array, columns, kinds)], [*keys, *READ])
+
+    return rows.mapInArrow(run, schema)
 
 
 def _of_known(rows: DataFrame, policies: DataFrame, category: str | None) -> DataFrame:

@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegerType, StringType
+from pyspark.sql.types import StringType
 
 from fleetlens.functions.columns import ci, date_lit
+from fleetlens.functions.keys import allocate
 
 
 def text_keys(df: DataFrame, keys: Sequence[str]) -> set[str]:
@@ -28,11 +29,10 @@ def join_ci(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.withColumns({f"_j_{k}": _key(k, text) for k in keys}).join(marked, on, how).drop(*on)
 
 
-def new_id(df: DataFrame, keys: Sequence[str], kind: DataType) -> Column:
-    """Key of a new row, derived from its natural key, so that a rerun and every other table get the same one."""
-    text = text_keys(df, keys)
-    parts = [_key(k, text) for k in keys]
-    return (F.hash(*parts) if isinstance(kind, IntegerType) else F.xxhash64(*parts)).cast(kind)
+def with_ids(new: DataFrame, keys: Sequence[str], stored: DataFrame, id_col: str) -> DataFrame:
+    """``new`` rows with an id each that no stored row has; see :func:`allocate`."""
+    text = text_keys(new, keys)
+    return allocate(new, [_key(k, text) for k in keys], stored, id_col)
 
 
 def one_per_key(source: DataFrame, keys: Sequence[str], latest_by: str | None = None) -> DataFrame:
@@ -65,13 +65,14 @@ def upsert(
     touch: str = "LastUpdated",
     id_col: str | None = None,
     latest_by: str | None = None,
+    ids_of: DataFrame | None = None,
 ) -> DataFrame:
     """Matched rows take ``update_cols`` and the touch date; new keys are inserted; the rest stays.
 
     Text keys compare without case and padding, and the stored spelling stays.  ``insert_defaults`` gives values of target
-    columns the source lacks; ``id_col`` of a new row is derived from its key.  Rows whose key has a null never match, as in
-    an equality merge.  After ``one_per_key`` the join has at most one source row per key; ``latest_by`` (a source column)
-    says which.
+    columns the source lacks; ``id_col`` of a new row is the next free number after those of ``ids_of``, by default the target.
+    Rows whose key has a null never match, as in an equality merge.  After ``one_per_key`` the join has at most one source
+    row per key; ``latest_by`` (a source column) says which.
     """
     defaults = dict(insert_defaults or {})
     text = text_keys(target, keys)
@@ -79,7 +80,11 @@ def upsert(
     order = [latest_by] if latest_by and latest_by not in (*keys, *present) else []
     src = one_per_key(source.select(*keys, *present, *order), keys, latest_by)
     types = dict((f.name, f.dataType) for f in target.schema.fields)
-    made = [new_id(src, keys, types[id_col]).alias("_s_new_id")] if id_col in types and id_col not in present else []
+    made = [F.col(id_col).alias("_s_new_id")] if id_col in types and id_col not in present else []
+    if made:
+        known = target.select(*keys)
+        old = join_ci(src, known, keys, "left_semi").withColumn(id_col, F.lit(None).cast(types[id_col]))
+        src = old.unionByName(with_ids(join_ci(src, known, keys, "left_anti"), keys, ids_of or target, id_col))
     on = [f"_k_{k}" for k in keys]
     src = src.select(*[_key(k, text).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(f"_s_{c}") for c in (*keys, *present)], *made, F.lit(True).alias("_s"))
     both = target.withColumns({"_t": F.lit(True)} | {f"_k_{k}": _key(k, text) for k in keys}).join(src, on, "full_outer")
@@ -117,7 +122,7 @@ def missing_rows(
     new = join_ci(one, target.select(*keys), keys, "left_anti")
     types = dict((f.name, f.dataType) for f in target.schema.fields)
     if id_col in types and id_col not in new.columns:
-        defaults[id_col] = new_id(new, keys, types[id_col])
+        new = with_ids(new, keys, target, id_col)
     return new.select(*[
         (F.col(c) if c in new.columns else defaults.get(c, F.lit(None))).cast(types[c]).alias(c) for c in target.columns])
 
@@ -133,7 +138,7 @@ def archive_upsert(
     """
     merged = upsert(
         target.filter(~F.col("IsArchived")), feed, keys, update_cols,
-        {"IsArchived": F.lit(False), "DiscoveryOn": date_lit(as_of)}, as_of, id_col=id_col)
+        {"IsArchived": F.lit(False), "DiscoveryOn": date_lit(as_of)}, as_of, id_col=id_col, ids_of=target)
     stale = F.col("LastUpdated") < date_lit(as_of)
     if scope is not None:
         marks = scope.distinct().withColumn("_in_scope", F.lit(True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators import feeds, licence, lifecycle, merges, policy, rollup, upsert, views
@@ -110,17 +110,92 @@ def _(t):
     return tables.conform(t.database_size, "database_size").select("DatabaseID", "FileType", "DateCaptured", "FileSize_mb")
 
 
-@query("s4_seed_dimension", """
-    SELECT CAST(coalesce(o.OperatingSystemID, s.id) AS BIGINT) AS OperatingSystemID,
-           coalesce(o.OperatingSystemName, s.n) AS OperatingSystemName,
-           CASE WHEN s.n IS NOT NULL THEN s.sn ELSE o.OperatingSystemShortName END AS OperatingSystemShortName
-    FROM operating_systems o FULL OUTER JOIN (VALUES
-        (NULL::BIGINT, 'Windows Server 2000', 'Windows 2000'), (NULL, 'Windows Server 2003', 'Windows 2003'), (NULL, 'Windows Server 2008', 'Windows 2008'),
-        (NULL, 'Windows Server 2008 R2', 'Windows 2008 R2'), (NULL, 'Windows Server 2012', 'Windows 2012'), (NULL, 'Windows Server 2012 R2', 'Windows 2012 R2'),
-        (NULL, 'Windows Server 2016', 'Windows 2016'), (NULL, 'Windows Server 2019', 'Windows 2019'), (1, 'Unknown', 'Unknown')) s(id, n, sn)
-      ON s.n = o.OperatingSystemName""")
+def _values(rows) -> str:
+    """Rows as an SQL list."""
+    text = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(text, row)) + ")" for row in rows)
+
+
+def _own_ids(out: DataFrame, stored: DataFrame, id_col: str) -> DataFrame:
+    """A seeded table with what is owed of its ids: stored ones stay, each new row has one of its own above them."""
+    last = stored.agg(F.max(id_col)).scalar()
+    own = F.count(F.lit(1)).over(Window.partitionBy(id_col)) == 1
+    return out.withColumns({"IsOwn": own & F.col(id_col).isNotNull(), "IsNew": F.coalesce(F.col(id_col) > last, F.lit(False))}).withColumn(
+        id_col, F.when(~F.col("IsNew"), F.col(id_col)))
+
+
+@query("s4_seed_dimension", f"""
+    SELECT o.OperatingSystemID, coalesce(o.OperatingSystemName, s.n) AS OperatingSystemName,
+           CASE WHEN s.n IS NOT NULL THEN s.sn ELSE o.OperatingSystemShortName END AS OperatingSystemShortName, true AS IsOwn, o.OperatingSystemName IS NULL AS IsNew
+    FROM operating_systems o FULL OUTER JOIN (VALUES {_values(seeds.OPERATING_SYSTEMS)}) s(n, sn) ON s.n = o.OperatingSystemName""")
+def _(t):
+    return _own_ids(seeds.seed_operating_systems(t.operating_systems), t.operating_systems, "OperatingSystemID")
+
+
+@query("s4_seed_versions", f"""
+    SELECT o.SQLVersionID, coalesce(o.SQLVersion, s.n) AS SQLVersion, coalesce(s.sn, o.SQLVersionShortName) AS SQLVersionShortName, coalesce(o.SQLMajorVersion, s.a) AS SQLMajorVersion,
+           coalesce(o.SQLMinorVersion, s.b) AS SQLMinorVersion, coalesce(o.SQLBuild, s.c) AS SQLBuild, coalesce(CAST(s.e AS DATE), o.SQLVersionSupportEndDate) AS SQLVersionSupportEndDate,
+           true AS IsOwn, o.SQLVersion IS NULL AS IsNew
+    FROM (SELECT * FROM sql_versions UNION ALL SELECT 1, 'Unknown', 'Unknown', 0, 0, 0, DATE '1900-01-01' WHERE NOT EXISTS (SELECT 1 FROM sql_versions WHERE SQLVersion = 'Unknown')) o
+    FULL OUTER JOIN (VALUES {_values(seeds.SQL_VERSIONS)}) s(n, sn, a, b, c, e) ON s.n = o.SQLVersion""")
+def _(t):
+    # Stored ids start at 2, as id 1 is reserved.
+    stored = t.sql_versions.withColumn("SQLVersionID", F.col("SQLVersionID").cast("int"))
+    return _own_ids(seeds.seed_versions(stored), stored, "SQLVersionID")
+
+
+@query("s4_seed_applications", """
+    SELECT * FROM application UNION ALL SELECT 1, 'Unknown', 'Unknown' WHERE NOT EXISTS (SELECT 1 FROM application WHERE lower(ApplicationName) = 'unknown')""")
+def _(t):
+    return seeds.seed_applications(t.application)
+
+
+@query("s4_seed_settings", f"""
+    WITH mine AS (SELECT event_type AS SettingName, CAST(count(*) AS VARCHAR) AS SettingValue FROM events GROUP BY 1
+        UNION ALL SELECT 'RunLog_Enabled', CAST(count(*) AS VARCHAR) FROM events)
+    SELECT * FROM mine UNION ALL SELECT * FROM (VALUES {_values(seeds.SETTINGS.items())}) s(n, v) WHERE n NOT IN (SELECT SettingName FROM mine)""")
+def _(t):
+    events = t.raw("events")
+    count = F.count(F.lit(1)).cast("string").alias("SettingValue")
+    mine = events.groupBy(F.col("event_type").alias("SettingName")).agg(count).unionByName(
+        events.agg(count).select(F.lit("RunLog_Enabled").alias("SettingName"), "SettingValue"))
+    return seeds.seed_settings(mine)
+
+
+@query("s4_seed_policy_short_names", f"""
+    WITH p AS (SELECT DISTINCT policy_id AS id, PolicyName AS n FROM policies UNION ALL SELECT CAST(1000 + o_orderkey AS INTEGER), 'guest permissions' FROM orders WHERE o_orderkey < 3
+               UNION ALL SELECT CAST(2000 + p_size AS INTEGER), 'Database Auto Close' FROM (SELECT DISTINCT p_size FROM part) x),
+         s AS (SELECT p.id, v.sn FROM p JOIN (VALUES {_values(seeds.POLICY_SHORT_NAMES)}) v(n, sn) ON v.n = p.n)
+    SELECT coalesce(o.id, s.id) AS Policy_ID, coalesce(s.sn, o.sn) AS Policy_ShortName
+    FROM (SELECT id, 'old' AS sn FROM p WHERE id % 2 = 0) o FULL OUTER JOIN s ON s.id = o.id""")
+def _(t):
+    one = t.raw("orders").filter("o_orderkey < 3").select((1000 + F.col("o_orderkey")).cast("int").alias("policy_id"), F.lit("guest permissions").alias("PolicyName"))
+    two = t.raw("part").select((2000 + F.col("p_size")).cast("int").alias("policy_id"), F.lit("Database Auto Close").alias("PolicyName")).distinct()
+    here = t.policies.select("policy_id", "PolicyName").distinct().unionByName(one).unionByName(two)
+    stored = here.filter("policy_id % 2 = 0").select(F.col("policy_id").alias("Policy_ID"), F.lit("old").alias("Policy_ShortName"))
+    return seeds.seed_policy_short_names(stored, here)
+
+
+@query("s4_fresh_warehouse_hosts", f"""
+    WITH names AS (SELECT row_number() OVER () - 1 AS k, n FROM (VALUES {_values(seeds.OPERATING_SYSTEMS)}) s(n, sn))
+    SELECT ServerName, coalesce(n, 'Unknown') AS OperatingSystemName FROM servers LEFT JOIN names ON k = ServerID % 9""")
+def _(t):
+    """A warehouse that starts empty: seeds first, then hosts; the ninth part reports a system that no seed names."""
+    os = seeds.seed_operating_systems(seeds.empty_table(t.spark, tables.SCHEMAS["operating_systems"][1]))
+    names = F.array(*(F.lit(n) for n, _ in seeds.OPERATING_SYSTEMS), F.lit("Windows NT"))
+    feed = t.servers.select("ServerName", F.get(names, (F.col("ServerID") % 9).cast("int")).alias("OperatingSystemName"), "NumberOfCores")
+    hosts = merges.merge_servers(seeds.empty_table(t.spark, tables.SCHEMAS["servers"][1]), feed, os, AS_OF)
+    return hosts.join(os, "OperatingSystemID").select("ServerName", "OperatingSystemName")
+
+
+@query("s4_fresh_warehouse_versions", f"""
+    SELECT b.SQLInstanceID, coalesce((SELECT v.n FROM (VALUES {_values(seeds.SQL_VERSIONS)}) v(n, sn, a, b, c, e)
+        WHERE v.a = b.SQLBuild_Major AND v.b = b.SQLBuild_Minor AND v.c <= b.SQLBuild_Build ORDER BY v.c DESC, v.n LIMIT 1), 'Unknown') AS SQLVersion
+    FROM build_parts b""")
 def _(t):
-    return seeds.seed_operating_systems(t.operating_systems).withColumn("OperatingSystemID", F.col("OperatingSystemID").cast("bigint"))
+    versions = seeds.seed_versions(seeds.empty_table(t.spark, tables.SCHEMAS["sql_versions"][1]))
+    return merges.resolve_version(_build_parts(t), versions).select("SQLInstanceID", "SQLInstanceVersionID").join(
+        versions.select(F.col("SQLVersionID").alias("SQLInstanceVersionID"), "SQLVersion"), "SQLInstanceVersionID").select("SQLInstanceID", "SQLVersion")
 
 
 # ---- conformed views -----------------------------------------------------------
@@ -402,10 +477,13 @@ def _(t):
     return policy.shred_policy_errors(t.policy_history, t.policies)
 
 
-def _shown(df, id_col):
-    """Derived keys of new rows as null (the check SQL cannot derive them); a missing one is -1, so that it would not match."""
-    derived = F.abs(F.col(id_col).cast("bigint")) >= 1_000_000
-    return df.withColumn(id_col, F.when(F.col(id_col).isNull(), -1).when(~derived, F.col(id_col)).cast(df.schema[id_col].dataType))
+def _shown(df, id_col, stored):
+    """Ids of new rows as null, as the check SQL does not number them; -1 for a missing one and -2 for one that another row has."""
+    last = stored.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar()
+    alone = F.count(F.lit(1)).over(Window.partitionBy(id_col)) == 1
+    checked = df.withColumn("_alone", alone)
+    value = F.when(F.col(id_col).isNull(), -1).when(~F.col("_alone"), -2).when(F.col(id_col) <= last, F.col(id_col))
+    return checked.withColumn(id_col, value.cast(df.schema[id_col].dataType)).drop("_alone")
 
 
 # ---- upserts ---------------------------------------------------------------------
@@ -424,7 +502,7 @@ def _(t):
     SELECT t.ApplicationID, coalesce(t.ApplicationName, s.ApplicationName) AS ApplicationName, coalesce(s.o, t.ApplicationOwner) AS ApplicationOwner
     FROM application t FULL OUTER JOIN (SELECT ApplicationName, max(ApplicationOwner) AS o FROM application_feed GROUP BY 1) s ON s.ApplicationName = t.ApplicationName""")
 def _(t):
-    return _shown(merges.merge_applications(t.application, t.application_feed), "ApplicationID")
+    return _shown(merges.merge_applications(t.application, t.application_feed), "ApplicationID", t.application)
 
 
 @query("u2_databases", f"""
@@ -436,7 +514,7 @@ def _(t):
         FROM staged_databases f JOIN application a ON a.ApplicationName = f.ApplicationName) s
       ON s.SQLInstanceID = t.SQLInstanceID AND s.DatabaseName = t.DatabaseName""")
 def _(t):
-    return _shown(merges.merge_databases(t.databases, t.staged_databases, t.application, AS_OF), "DatabaseID")
+    return _shown(merges.merge_databases(t.databases, t.staged_databases, t.application, AS_OF), "DatabaseID", t.databases)
 
 
 @query("u3_database_size", f"""
@@ -478,7 +556,7 @@ def _replica_batch(t):
     SELECT AGID, AGName, AGGuid, DiscoveryOn, CASE WHEN (AGName, AGGuid) IN (SELECT (AGName, AGGuid) FROM replica_feed) THEN {D} ELSE LastUpdated END AS LastUpdated
     FROM availability_groups""")
 def _(t):
-    return _shown(merges.merge_availability_groups(t.availability_groups, t.replica_feed, AS_OF), "AGID")
+    return _shown(merges.merge_availability_groups(t.availability_groups, t.replica_feed, AS_OF), "AGID", t.availability_groups)
 
 
 @query("u6_ag_replicas", f"""
@@ -489,14 +567,14 @@ def _(t):
            CASE WHEN s.AGID IS NOT NULL THEN {D} ELSE t.LastUpdated END AS LastUpdated
     FROM ag_instances t FULL OUTER JOIN s ON s.AGID = t.AGID AND s.SQLInstanceID = t.SQLInstanceID""")
 def _(t):
-    return _shown(merges.merge_ag_replicas(t.ag_instances, _replica_batch(t), t.availability_groups, t.servers, t.sql_instances, AS_OF), "AGInstanceID")
+    return _shown(merges.merge_ag_replicas(t.ag_instances, _replica_batch(t), t.availability_groups, t.servers, t.sql_instances, AS_OF), "AGInstanceID", t.ag_instances)
 
 
 @query("u7_job_categories", """
     SELECT SQLJobCategoryName, SQLJobCategoryID FROM sql_job_categories
     UNION ALL SELECT DISTINCT CategoryName, CAST(NULL AS BIGINT) FROM staged_jobs WHERE CategoryName NOT IN (SELECT SQLJobCategoryName FROM sql_job_categories)""")
 def _(t):
-    return _shown(merges.merge_job_categories(t.sql_job_categories, t.staged_jobs), "SQLJobCategoryID")
+    return _shown(merges.merge_job_categories(t.sql_job_categories, t.staged_jobs), "SQLJobCategoryID", t.sql_job_categories)
 
 
 @query("u7_jobs", """
@@ -504,7 +582,7 @@ def _(t):
     FROM sql_jobs j LEFT JOIN (SELECT f.SQLInstanceID, f.JobName, max(c.SQLJobCategoryID) AS c FROM staged_jobs f
         JOIN sql_job_categories c ON c.SQLJobCategoryName = f.CategoryName GROUP BY 1, 2) s ON s.SQLInstanceID = j.SQLInstanceID AND s.JobName = j.SQLJobName""")
 def _(t):
-    return _shown(merges.merge_jobs(t.sql_jobs, t.staged_jobs, t.sql_job_categories, AS_OF), "SQLJobID")
+    return _shown(merges.merge_jobs(t.sql_jobs, t.staged_jobs, t.sql_job_categories, AS_OF), "SQLJobID", t.sql_jobs)
 
 
 @query("u8_job_history", """
@@ -537,7 +615,7 @@ def _(t):
 
 @query("u11_property_names", "SELECT ExtendedPropertyName, ExtendedPropertyID FROM property_names")
 def _(t):
-    return _shown(merges.merge_property_names(_property_names(t), t.property_feed), "ExtendedPropertyID")
+    return _shown(merges.merge_property_names(_property_names(t), t.property_feed), "ExtendedPropertyID", _property_names(t))
 
 
 @query("u11_property_values", f"""
@@ -556,12 +634,12 @@ _NEW_PRINCIPALS = """
 
 @query("u12_server_principals", _NEW_PRINCIPALS.format(dim="server_principals", n="LoginName", k="LoginType", feed="staged_server_membership"))
 def _(t):
-    return _shown(merges.merge_principals(t.server_principals, t.staged_server_membership, "LoginName", "LoginType"), "PrincipalID")
+    return _shown(merges.merge_principals(t.server_principals, t.staged_server_membership, "LoginName", "LoginType"), "PrincipalID", t.server_principals)
 
 
 @query("u12_database_principals", _NEW_PRINCIPALS.format(dim="database_principals", n="UserName", k="UserType", feed="staged_database_membership"))
 def _(t):
-    return _shown(merges.merge_principals(t.database_principals, t.staged_database_membership, "UserName", "UserType"), "PrincipalID")
+    return _shown(merges.merge_principals(t.database_principals, t.staged_database_membership, "UserName", "UserType"), "PrincipalID", t.database_principals)
 
 
 def _archive_sql(table: str, id_col: str, keys: list[str], source: str, scope: str, extra: str = "") -> str:
@@ -592,7 +670,7 @@ def _pid(dim: str, name: str, kind: str) -> str:
         {_pid('server_principals', 'LoginName', 'f.LoginType')} AS ServerLoginID FROM staged_server_membership f""", "staged_server_membership").replace(
     "CASE WHEN s.ServerLoginID IS NOT NULL", "CASE WHEN s.SQLInstanceID IS NOT NULL"))
 def _(t):
-    return _shown(merges.merge_server_memberships(t.server_principal_membership, t.staged_server_membership, t.server_principals, AS_OF), "MembershipID")
+    return _shown(merges.merge_server_memberships(t.server_principal_membership, t.staged_server_membership, t.server_principals, AS_OF), "MembershipID", t.server_principal_membership)
 
 
 @query("u14_database_memberships", _archive_sql(
@@ -601,19 +679,19 @@ def _(t):
         {_pid('database_principals', 'UserName', 'f.UserType')} AS DatabaseUserID, f.IsOrphaned FROM staged_database_membership f""",
     "staged_database_membership", "IsOrphaned").replace("CASE WHEN s.DatabaseUserID IS NOT NULL", "CASE WHEN s.DatabaseID IS NOT NULL"))
 def _(t):
-    return _shown(merges.merge_database_memberships(t.database_principal_membership, t.staged_database_membership, t.database_principals, AS_OF), "MembershipID")
+    return _shown(merges.merge_database_memberships(t.database_principal_membership, t.staged_database_membership, t.database_principals, AS_OF), "MembershipID", t.database_principal_membership)
 
 
 @query("u15_server_permissions", _archive_sql(
     "server_permission", "PermissionID", merges.SERVER_GRANT_KEYS, "SELECT * FROM staged_server_permission", "staged_server_permission"))
 def _(t):
-    return _shown(merges.merge_server_permissions(t.server_permission, t.staged_server_permission, AS_OF), "PermissionID")
+    return _shown(merges.merge_server_permissions(t.server_permission, t.staged_server_permission, AS_OF), "PermissionID", t.server_permission)
 
 
 @query("u16_database_permissions", _archive_sql(
     "database_permission", "PermissionID", merges.DATABASE_GRANT_KEYS, "SELECT * FROM staged_database_permission", "staged_database_permission"))
 def _(t):
-    return _shown(merges.merge_database_permissions(t.database_permission, t.staged_database_permission, AS_OF), "PermissionID")
+    return _shown(merges.merge_database_permissions(t.database_permission, t.staged_database_permission, AS_OF), "PermissionID", t.database_permission)
 
 
 @query("u17_policy_history_load", """
@@ -646,7 +724,7 @@ def _(t):
            CASE WHEN s.ServerName IS NOT NULL THEN {D} ELSE t.LastUpdated END AS LastUpdated
     FROM servers t FULL OUTER JOIN s ON s.ServerName = t.ServerName""")
 def _(t):
-    return _shown(merges.merge_servers(t.servers, t.staged_servers, t.operating_systems, AS_OF), "ServerID")
+    return _shown(merges.merge_servers(t.servers, t.staged_servers, t.operating_systems, AS_OF), "ServerID", t.servers)
 
 
 @query("u20_operating_systems", """
@@ -654,7 +732,7 @@ def _(t):
     UNION ALL SELECT DISTINCT CAST(NULL AS INTEGER), OperatingSystemName, replace(OperatingSystemName, 'Windows Server ', 'Windows ') FROM staged_servers
     WHERE OperatingSystemName NOT IN (SELECT OperatingSystemName FROM operating_systems)""")
 def _(t):
-    return _shown(merges.add_operating_systems(t.operating_systems, t.staged_servers), "OperatingSystemID")
+    return _shown(merges.add_operating_systems(t.operating_systems, t.staged_servers), "OperatingSystemID", t.operating_systems)
 
 
 @query("u20_clusters", f"""
@@ -663,7 +741,7 @@ def _(t):
     FROM s LEFT JOIN sql_clusters t ON t.SQLClusterName = s.n""")
 def _(t):
     names = t.staged_servers.select(F.col("OperatingSystemName").alias("SQLClusterName")).unionByName(t.sql_clusters.select("SQLClusterName"))
-    return _shown(merges.merge_clusters(t.sql_clusters, names, AS_OF), "SQLClusterID")
+    return _shown(merges.merge_clusters(t.sql_clusters, names, AS_OF), "SQLClusterID", t.sql_clusters)
 
 
 @query("u20_cluster_nodes", """
@@ -750,7 +828,7 @@ def _(t):
     FROM kept k FULL OUTER JOIN seen n ON lower(k.DiskVolumeName) = n.DiskVolumeName AND coalesce(k.ServerID, -1) = coalesce(n.ServerID, -1)
       AND coalesce(k.SQLClusterID, -1) = coalesce(n.SQLClusterID, -1)""")
 def _(t):
-    return _shown(merges.apply_volume_decisions(t.disk_volumes, _decisions(t), AS_OF), "DiskVolumeID")
+    return _shown(merges.apply_volume_decisions(t.disk_volumes, _decisions(t), AS_OF), "DiskVolumeID", t.disk_volumes)
 
 
 @query("u24_volume_space_daily", f"""

@@ -258,17 +258,17 @@ FLEET_SQL: dict[str, str] = {
         SELECT DISTINCT CAST(length(event_type) * 10 + ascii(event_type) % 10 AS INT) AS Policy_ID,
                'SRV1%' AS EvaluatedServer, 'Server/%' AS ObjectName
         FROM events WHERE event_type IN ('click', 'error')""",
-    # Prefixed and plain names, one to three details, repeats, CDATA, comments, self-closing and absent elements.
+    # Prefixed and plain names, one to three details, repeats, CDATA (with tags in it), comments, a processing instruction, quoted signs, self-closing and absent elements.
     "policy_history": """
         SELECT PolicyHistoryID, EvaluatedServer, EvaluationDateTime, EvaluatedPolicy,
                CASE WHEN value < 10 THEN concat('<', p, 'R', ns, '><!-- <EvaluationDetail/> --><', p, 'ServerInstance>', EvaluatedServer, '</', p, 'ServerInstance>', result, fault, '</', p, 'R>')
-                    ELSE concat('<', p, 'R', ns, '>', detail, CASE WHEN PolicyHistoryID % 5 = 0 THEN concat('<![CDATA[', object, ']]>') ELSE object END, named, result, fault,
-                                '<!-- <', p, 'Exception>none</', p, 'Exception> --><', p, 'ResultDetail>', EvaluatedPolicy, '</', p, 'ResultDetail></', p, 'EvaluationDetail>',
+                    ELSE concat('<?note <EvaluationDetail/> ?><', p, 'R', ns, '>', detail, CASE WHEN PolicyHistoryID % 5 = 0 THEN concat('<![CDATA[', object, ']]>') ELSE object END, named, result, fault,
+                                '<!-- <', p, 'Exception>none</', p, 'Exception> --><', p, 'ResultDetail>', CASE WHEN PolicyHistoryID % 7 = 0 THEN concat('<![CDATA[<a b="1">x</', p, 'EvaluationDetail>]]>') ELSE '' END, EvaluatedPolicy, '</', p, 'ResultDetail></', p, 'EvaluationDetail>',
                                 CASE PolicyHistoryID % 4 WHEN 1 THEN concat(detail, object, '&#47;db', named, '<', p, 'Result>FALSE</', p, 'Result></', p, 'EvaluationDetail>')
                                                          WHEN 2 THEN concat(detail, object, named, '<', p, 'Result>FALSE</', p, 'Result><', p, 'Exception>late</', p, 'Exception></', p, 'EvaluationDetail>')
                                                          ELSE '' END, '</', p, 'R>') END AS EvaluationResults
         FROM (
-            SELECT *, concat('<', p, 'EvaluationDetail><', p, 'ServerInstance>', EvaluatedServer, '</', p, 'ServerInstance><', p, 'TargetQueryExpression>') AS detail,
+            SELECT *, concat('<', p, 'EvaluationDetail', CASE WHEN PolicyHistoryID % 11 = 0 THEN ' note="a > b"' ELSE '' END, '><', p, 'ServerInstance>', EvaluatedServer, '</', p, 'ServerInstance><', p, 'TargetQueryExpression>') AS detail,
                    concat('</', p, 'TargetQueryExpression>') AS named, CASE WHEN p = '' THEN '' ELSE ' xmlns:p="urn:x"' END AS ns,
                    concat('<', p, 'Result>', CASE WHEN PolicyHistoryID % 3 = 0 THEN 'FALSE' ELSE 'TRUE' END, '</', p, 'Result>') AS result,
                    CASE PolicyHistoryID % 6 WHEN 0 THEN concat('<', p, 'Exception>timeout</', p, 'Exception>') WHEN 3 THEN concat('<', p, 'Exception/>')

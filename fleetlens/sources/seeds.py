@@ -145,14 +145,15 @@ POLICY_SHORT_NAMES = (
 
 def seed_dimension(
     target: DataFrame, seed: DataFrame, key: str | Sequence[str], update_cols: Sequence[str] = (), unknown_row: dict | None = None,
+    id_col: str | None = None,
 ) -> DataFrame:
     """Load seed rows so that a second run changes nothing.
 
     ``unknown_row`` (reserved id 1) is added only if its key is absent.  With ``update_cols`` existing
-    rows are refreshed; without, the seed is insert-only.
+    rows are refreshed; without, the seed is insert-only.  ``id_col`` of a new row is the next free number.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    out = upsert(target, seed, keys, update_cols) if update_cols else insert_missing(target, seed, keys)
+    out = upsert(target, seed, keys, update_cols, id_col=id_col) if update_cols else insert_missing(target, seed, keys, id_col=id_col)
     if unknown_row:
         one = target.sparkSession.createDataFrame([tuple(unknown_row.get(c) for c in target.columns)], target.schema)
         out = out.unionByName(one.join(target.select(*keys), keys, "left_anti").select(*target.columns))
@@ -164,7 +165,7 @@ def seed_operating_systems(target: DataFrame) -> DataFrame:
     seed = spark.createDataFrame(list(OPERATING_SYSTEMS), "OperatingSystemName string, OperatingSystemShortName string")
     return seed_dimension(
         target, seed, "OperatingSystemName", ["OperatingSystemShortName"],
-        {"OperatingSystemID": 1, "OperatingSystemName": "Unknown", "OperatingSystemShortName": "Unknown"})
+        {"OperatingSystemID": 1, "OperatingSystemName": "Unknown", "OperatingSystemShortName": "Unknown"}, "OperatingSystemID")
 
 
 def seed_versions(target: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ def seed_versions(target: DataFrame) -> DataFrame:
     return seed_dimension(
         target, seed, "SQLVersion", ["SQLVersionShortName", "SQLVersionSupportEndDate"],
         {"SQLVersionID": 1, "SQLVersion": "Unknown", "SQLVersionShortName": "Unknown", "SQLMajorVersion": 0, "SQLMinorVersion": 0,
-         "SQLBuild": 0, "SQLVersionSupportEndDate": dt.date(1900, 1, 1)})
+         "SQLBuild": 0, "SQLVersionSupportEndDate": dt.date(1900, 1, 1)}, "SQLVersionID")
 
 
 def seed_applications(target: DataFrame) -> DataFrame:
