@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.native import stored
+from fleetlens.llm.native import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,10 +33,12 @@ def components(edges: DataFrame) -> DataFrame:
     Each step is a written table, so lineage stays short and lost executors cost one step. An empty edge table gives an
     empty result; loops and repeated edges do no harm.
     """
-    current = stored(edges.filter("a <> b").distinct(), "edges")
+    steps = Scratch()
+    current = steps.stored(edges.filter("a <> b").distinct(), "edges")
     state = _state(current)
     while state[0]:
-        current = stored(_star(_star(current, True), False), "edges")
+        current = steps.stored(_star(_star(current, True), False), "edges")
+        steps.drop(keep_last=1)
         before, state = state, _state(current)
         if state == before:
             break

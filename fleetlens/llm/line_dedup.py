@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.native import keyed, stored, trimmed
+from fleetlens.llm.native import Scratch, keyed, stored, trimmed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
@@ -33,8 +33,8 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 class Runs:
     """The levelled runs; ``levels[i]`` lists the runs of level i."""
 
-    def __init__(self, fan: int = 2):
-        self.fan = fan
+    def __init__(self, fan: int = 2, scratch: Scratch | None = None):
+        self.fan, self.scratch = fan, scratch or Scratch()
         self.levels: list[list[DataFrame]] = [[]]
 
     def all(self) -> list[DataFrame]:
@@ -52,7 +52,7 @@ class Runs:
     def _put(self, run: DataFrame, level: int) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(stored(run.sortWithinPartitions(*KEY), "line-run"))
+        self.levels[level].append(self.scratch.stored(run.sortWithinPartitions(*KEY), "line-run"))
         if len(self.levels[level]) == self.fan:
             merged = self._merge(self.levels[level])
             self.levels[level] = []
@@ -74,15 +74,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     is one empty line. Rows that repeat an id count as one document. A row without id keeps all its lines and counts
     for no key. ``batches`` divides the id range; the result does not depend on it.
     """
-    keys = stored(line_keys(keyed(docs).filter("doc_id is not null"), min_chars), "line-keys")
+    scratch = Scratch()
+    keys = scratch.stored(line_keys(keyed(docs).filter("doc_id is not null"), min_chars), "line-keys")
     cuts = keys.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
-    runs, above = Runs(fan), None
+    runs, above = Runs(fan, scratch), None
     for low in [*sorted(set(cuts), reverse=True), None]:
         batch = keys if above is None else keys.filter(F.col("doc_id") <= above)
         runs.add(batch if low is None else batch.filter(F.col("doc_id") > low))
         above = low
-    drops = keys.join(stored(runs.frequent(min_docs), "frequent-lines"), KEY).filter("doc_id < last_doc")
-    drops = drops.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drops"))
+    drops = keys.join(scratch.stored(runs.frequent(min_docs), "frequent-lines"), KEY).filter("doc_id < last_doc")
+    drops = stored(drops.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drops")), "dropped-lines")
+    scratch.drop()
     return _without(docs, drops)
 
 

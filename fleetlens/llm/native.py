@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.sources.shared import shared_dir
+from fleetlens.sources.shared import delete_path, shared_dir
 
 #: The white space of all contracts, and its regular expression class.
 BLANKS = " \t\n\u000b\f\r"
@@ -35,19 +35,34 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def stored_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
     """Write to the shared folder and read again: cuts lineage and survives the loss of executors. Also returns the folder.
 
-    The shuffle files of the write are not needed once it is done; Spark is told to remove them with the execution.
+    The shuffle files of the write are not needed once it is done; Spark is told to remove them with the execution, and
+    keeps doing so in this session.
     """
     spark: SparkSession = df.sparkSession
     path = shared_dir(spark, f"llm-{purpose}")
-    before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Stored tables that go as soon as what is built on them is stored itself."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def stored(self, df: DataFrame, purpose: str) -> DataFrame:
+        out, path = stored_at(df, purpose)
+        self.paths.append((df.sparkSession, path))
+        return out
+
+    def drop(self, keep_last: int = 0) -> None:
+        """Delete all tables but the last ones; nothing that is still to be computed may read them."""
+        gone, self.paths = self.paths[: len(self.paths) - keep_last], self.paths[len(self.paths) - keep_last :]
+        for spark, path in gone:
+            delete_path(spark, path)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     return stored_at(df, purpose)[0]
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.components import components
-from fleetlens.llm.native import keyed, stored
+from fleetlens.llm.native import Scratch, keyed, stored
 from fleetlens.llm.texts import MIX, MIX2, ascii_lower, byte_blocks, scramble, span_hashes, word_spans
 
 GROUPS = 64
@@ -127,8 +127,14 @@ def window_length(percent: int) -> int:
 
 
 def window_keys(keys: np.ndarray, of: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of every window of ``window_length`` shingles, rings of sorted hashes, and the row each belongs to, sorted by row."""
-    length = window_length(percent)
+    """Join keys of windows of consecutive shingles in rings of sorted hashes, and the row each belongs to, sorted by row.
+
+    Let ``u`` be the size of the union of two sets that link. At most ``(100 - percent) u / 100`` of it are in one set only, and
+    each of those lies in ``length`` windows of the union's ring; the windows without any of them are windows of both
+    sets. So the sets share at least ``u (100 - length (100 - percent)) / 100`` windows, and of a set's windows in the order of their
+    hashes only the first ones are needed, all but one less than it is bound to share.
+    """
+    length = max(1, window_length(percent) - 1)
     inside = sizes[of] >= length
     keys, owner = keys[inside], of[inside]
     size = sizes[owner]
@@ -137,7 +143,10 @@ def window_keys(keys: np.ndarray, of: np.ndarray, sizes: np.ndarray, percent: in
     out = np.zeros(len(keys), np.uint64)
     for k in range(length):
         out = scramble(out * MIX + keys[first + (within + k) % size])
-    return out, owner
+    order = np.lexsort((out, owner))
+    shared = -(-size * (100 - length * (100 - percent)) // 100)
+    first_ones = within <= size - shared
+    return out[order][first_ones], owner[first_ones]
 
 
 def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -258,27 +267,30 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = 2
     if not 0 < percent <= 100:
         raise ValueError("percent must be above 0 and at most 100")
     docs = keyed(docs).select("doc_id", "text", "text_hash")
-    rows = stored(profiles(docs, width, percent), "profiles")
+    scratch = Scratch()
+    profile = scratch.stored(profiles(docs, width, percent), "profiles")
     name = ["s1", "s2", "n"]
-    classes = stored(rows.filter("n > 0").groupBy(*name).agg(F.min("doc_id").alias("rep")), "classes")
-    cells = rows.select(F.explode("keys").alias("key"), F.col("s1").alias("cls"))
+    rows = stored(profile.drop("keys"), "sizes")
+    classes = scratch.stored(rows.filter("n > 0").groupBy(*name).agg(F.min("doc_id").alias("rep")), "classes")
+    cells = profile.select(F.explode("keys").alias("key"), F.col("s1").alias("cls"))
     shared = cells.groupBy("key").agg(F.min("cls").alias("center"), F.max("cls").alias("top")).filter("center <> top").drop("top")
-    hits = stored(cells.join(stored(shared, "nodes"), "key").distinct(), "node-members")
+    hits = scratch.stored(cells.join(scratch.stored(shared, "nodes"), "key").distinct(), "node-members")
     involved = hits.select("cls").distinct()
     reps = classes.filter("rep is not null").join(involved.withColumnRenamed("cls", "s1"), "s1", "left_semi").select("rep").distinct()
     sets = sets_of(docs.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), width)
-    sets = stored(sets.drop("doc_id").dropDuplicates(["cls", "s2", "n"]), "sets")
+    sets = scratch.stored(sets.drop("doc_id").dropDuplicates(["cls", "s2", "n"]), "sets")
     # A 64-bit class name that two sets share only adds candidates: links are made between sets.
     sets = sets.withColumn("uid", F.xxhash64("cls", "s2", "n"))
     stars = _verified(hits.filter("cls <> center").select(F.col("cls").alias("x"), F.col("center").alias("y")).distinct(), sets, percent)
-    links = stored(stars, "links")
+    links = scratch.stored(stars, "links")
     roots = components(links)
-    links = links.unionAll(stored(_tile_links(hits, sets, roots, percent, tile), "links"))
+    links = links.unionAll(scratch.stored(_tile_links(hits, sets, roots, percent, tile, scratch), "links"))
     final = components(links)
     ids = classes.withColumn("uid", F.xxhash64("s1", "s2", "n")).join(final.withColumnRenamed("node", "uid"), "uid", "left")
     ids = ids.withColumn("root", F.coalesce("root", "uid"))
     least = ids.groupBy("root").agg(F.min("rep").alias("component_id"))
     member = stored(ids.select(*name, "root").join(least, "root").drop("root"), "components")
+    scratch.drop()
     out = rows.select("doc_id", "text_hash", *name).join(member, name, "left")
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -292,22 +304,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(bound >= F.col("need")).filter(F.size(F.array_intersect("ma", "mb")) >= F.col("need")).select("a", "b")
 
 
-def _tile_links(hits: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, tile: int) -> DataFrame:
+def _tile_links(hits: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, tile: int, scratch: Scratch) -> DataFrame:
     """Links between components that meet in a node without being connected yet."""
     spark = hits.sparkSession
     labelled = sets.select("cls", "uid").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     met = hits.select("key", "cls").join(labelled, "cls").groupBy("key", "root").agg(F.min("cls"))
     first = met.groupBy("key").agg(F.min("root").alias("b"), F.max("root").alias("top")).filter("b <> top").drop("top")
-    open_ = stored(met.join(first, "key").filter("root <> b").select(F.col("root").alias("a"), "b").distinct(), "open")
-    meta = stored(components(open_).select(F.col("node").alias("root"), F.col("root").alias("meta")), "meta")
-    members = stored(labelled.join(meta, "root").select("meta", "root", "uid").join(sets.select("uid", "n", "groups", "members"), "uid"), "open-sets")
+    open_ = scratch.stored(met.join(first, "key").filter("root <> b").select(F.col("root").alias("a"), "b").distinct(), "open")
+    meta = scratch.stored(components(open_).select(F.col("node").alias("root"), F.col("root").alias("meta")), "meta")
+    members = scratch.stored(labelled.join(meta, "root").select("meta", "root", "uid").join(sets.select("uid", "n", "groups", "members"), "uid"), "open-sets")
     # Tiles of about ``tile`` classes of a meta group, however large the group or one of its components is.
     sized = members.groupBy("meta").agg(F.count("*").alias("size"))
     tiles = members.join(sized, "meta").withColumn(
         "tile", F.pmod(F.xxhash64("uid"), F.ceil(F.col("size") / tile).cast("long")).cast("long")).drop("size")
     corners = tiles.select("meta", "tile", F.posexplode("groups").alias("axis", "v"), "n").groupBy("meta", "tile", "axis").agg(
         F.max("v").alias("v"), F.min("n").alias("n"))
-    boxes = stored(corners.groupBy("meta", "tile").agg(
+    boxes = scratch.stored(corners.groupBy("meta", "tile").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("axis", "v"))), lambda x: x["v"]).alias("corner"), F.min("n").alias("n")), "boxes")
     one, two = boxes.select("meta", F.col("tile").alias("i"), F.col("corner").alias("ci"), F.col("n").alias("ni")), boxes.select(
         "meta", F.col("tile").alias("j"), F.col("corner").alias("cj"), F.col("n").alias("nj"))

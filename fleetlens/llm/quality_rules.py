@@ -7,6 +7,8 @@ document is kept if no base rule fails and the score reaches a fixed threshold.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,29 +52,48 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def grams(docs: DataFrame, buckets: int) -> DataFrame:
-    """One row per hashed token unigram and bigram, in a column ``bucket`` (null for a document without tokens)."""
-    tokens = docs.withColumn("_t", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0))).drop("text")
-    pairs = tokens.select("*", F.inline_outer(F.arrays_zip(
-        F.col("_t").alias("a"), F.slice("_t", F.lit(2), F.size("_t")).alias("b"))).alias("_a", "_b")).drop("_t")
-    keys = F.array(F.xxhash64("_a"), F.when(F.col("_b").isNotNull(), F.xxhash64("_a", "_b")))
-    rows = pairs.select(*[c for c in pairs.columns if c not in ("_a", "_b")], F.col("_a").isNull().alias("_none"), F.explode(keys).alias("_h"))
-    return rows.filter("_h is not null").withColumn(
-        "bucket", F.when(~F.col("_none"), F.pmod("_h", F.lit(buckets)).cast("int"))).drop("_h", "_none")
+#: Trusted ids broadcast at once (8 bytes each and as much for their table), and blocks of them before a shuffle join is cheaper.
+BLOCK_IDS, MOST_BLOCKS = 2_000_000, 8
+
+
+def buckets_of(text: Column, buckets: int) -> Column:
+    """Buckets of the hashed token unigrams and bigrams of a text, as one array; empty for null or a text without tokens."""
+
+    def place(h: Column) -> Column:
+        return F.pmod(h, F.lit(buckets)).cast("int")
+
+    def both(t: Column) -> Column:
+        pairs = F.greatest(F.size(t) - 1, F.lit(0))
+        return F.concat(F.transform(t, lambda x: place(F.xxhash64(x))),
+                        F.zip_with(F.slice(t, F.lit(1), pairs), F.slice(t, F.lit(2), pairs), lambda x, y: place(F.xxhash64(x, y))))
+
+    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), both)
+
 
+def marked(docs: DataFrame, trusted: DataFrame, block_ids: int, most_blocks: int) -> DataFrame:
+    """``text, raw, good`` of documents: each row counts for the raw corpus once, and once as good if its id is trusted.
 
-def gram_model(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float) -> DataFrame:
+    The ids go out in blocks of ``block_ids`` hashed parts, so that no text is shuffled: the first block comes with the raw counts,
+    each further one takes a scan of its own. Beyond ``most_blocks`` an ordinary join takes their place.
+    """
+    ids = stored(trusted.select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct(), "trusted-ids")
+    blocks = max(1, -(-ids.count() // block_ids))
+    if blocks > most_blocks:
+        return docs.join(ids, docs.doc_id == ids["_id"], "left").select("text", F.lit(1).alias("raw"), F.when(F.col("_id").isNotNull(), 1).alias("good"))
+    parts = [F.broadcast(ids.filter(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == k)) for k in range(blocks)]
+    first = docs.join(parts[0], docs.doc_id == F.col("_id"), "left").select("text", F.lit(1).alias("raw"), F.when(F.col("_id").isNotNull(), 1).alias("good"))
+    more = [docs.join(part, docs.doc_id == F.col("_id")).select("text", F.lit(0), F.lit(1)) for part in parts[1:]]
+    return reduce(DataFrame.unionAll, [first, *more])
+
+
+def gram_model(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float, block_ids: int = BLOCK_IDS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """``bucket, weight``: the log ratio of each bucket, ``buckets`` rows whatever the corpus size.
 
-    ``trusted`` gives a ``doc_id`` per trusted document. All of them count, and the raw counts cover every document; Spark
-    chooses the join of documents and ids by their size.
+    ``trusted`` gives a ``doc_id`` per trusted document. All of them count, and the raw counts cover every document.
     """
-    spark = docs.sparkSession
-    ids = trusted.select("doc_id").filter("doc_id is not null").distinct()
-    marked = docs.select("doc_id", "text").join(ids.withColumn("_trusted", F.lit(1)), "doc_id", "left")
-    counts = grams(marked.drop("doc_id"), buckets).filter("bucket is not null").groupBy("bucket").agg(
-        F.count("*").alias("raw"), F.count("_trusted").alias("good"))
-    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+    each = marked(docs, trusted, block_ids, most_blocks).select("raw", "good", F.explode(buckets_of(F.col("text"), buckets)).alias("bucket"))
+    counts = each.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.count("good").alias("good"))
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(counts, "bucket", "left").fillna(0)
     whole = Window.partitionBy()
 
@@ -84,6 +105,22 @@ def gram_model(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: flo
     return full.select("bucket", weight.alias("weight"))
 
 
+def judged(docs: DataFrame, trusted: DataFrame, threshold: float = -0.3, buckets: int = 1 << 14, smoothing: float = 1.0) -> DataFrame:
+    """``row`` (the columns of ``docs`` as one struct), ``doc_id, text_hash``, the columns of ``base_rules``, ``score`` and ``kept`` of each row."""
+    docs = keyed(docs)
+    model = stored(gram_model(docs.select("doc_id", "text"), trusted.selectExpr("cast(doc_id as long) doc_id"), buckets, smoothing), "gram-model")
+    # ``buckets`` numbers in the order of the buckets: one value of fixed size, looked up in each row.
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "weight"))), lambda x: x["weight"])
+    rules = base_rules(docs).withColumn("_weights", model.agg(ordered.alias("weights")).scalar())
+
+    def mean(found: Column) -> Column:
+        return F.when(F.size(found) == 0, 0.0).otherwise(
+            F.aggregate(found, F.lit(0.0), lambda total, b: total + F.get(F.col("_weights"), b)) / F.size(found))
+
+    scored = rules.withColumn("score", let(buckets_of(F.col("text"), buckets), mean)).drop("text", "_weights")
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+
+
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.3, buckets: int = 1 << 14,
                   smoothing: float = 1.0) -> DataFrame:
     """Base counts, score and verdict per row: ``doc_id, text_hash``, the columns of ``base_rules``, ``score``, ``kept``.
@@ -91,10 +128,4 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.3,
     Rows pass through one by one, so null and repeated ids stay. Null or empty text has no words, fails the base rules and
     scores 0. Without trusted documents every score is 0 and the base rules alone decide. Further columns are ignored.
     """
-    docs = keyed(docs).drop("row")
-    model = stored(gram_model(docs, trusted.selectExpr("cast(doc_id as long) doc_id"), buckets, smoothing), "gram-model")
-    rules = base_rules(docs.withColumn("_row", F.monotonically_increasing_id()))
-    keep = [c for c in rules.columns if c not in ("text", "_row")]
-    scored = grams(rules, buckets).join(F.broadcast(model), "bucket", "left").groupBy("_row").agg(
-        *(F.first(c).alias(c) for c in keep), F.coalesce(F.sum("weight") / F.count("weight"), F.lit(0.0)).alias("score"))
-    return scored.drop("_row").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return judged(docs, trusted, threshold, buckets, smoothing).drop("row")
