@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages, each stored before the next one reads it.
 
-Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept. Verdicts are joined back by id and
-text hash (null-safe), so null and repeated ids are judged row by row.
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept. Rows are judged one by one: where a
+verdict does not come with its row, it is joined back by id and text hash (null-safe).
 """
 
 from __future__ import annotations
@@ -15,20 +15,13 @@ from fleetlens.llm.line_dedup import dedup_lines
 from fleetlens.llm.native import keyed, stored
 from fleetlens.llm.ngram_join import ngram_join
 from fleetlens.llm.queries import TOKENIZER, table
-from fleetlens.llm.quality_rules import quality_rules
-
-
-def _join_back(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (``row``, ``doc_id``, ``text_hash``) whose id and text hash are among the verdicts."""
-    v = verdicts.select(F.col("doc_id").alias("v_id"), F.col("text_hash").alias("v_hash")).distinct()
-    rows = keyed(docs)
-    return rows.join(v, rows.doc_id.eqNullSafe(v.v_id) & (rows.text_hash == v.v_hash), "left_semi")
+from fleetlens.llm.quality_rules import judged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    verdicts = quality_rules(docs, table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
-    return _join_back(docs, verdicts.filter("kept")).select("row.*")
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return judged(docs, trusted).filter("kept").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +49,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go; rows without an id stay."""
-    leaked = find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
+    """Documents that hold a benchmark passage go, with or without an id; rows that share an id are judged apart."""
+    leaked = find_leaks(docs, table(spark, sf_dir, "benchmark"), rows=True).select(
+        F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).distinct()
     rows = keyed(docs)
-    return rows.join(leaked, rows.doc_id == leaked.leak_id, "left_anti").select("row.*")
+    return rows.join(leaked, rows.doc_id.eqNullSafe(leaked.l_id) & (rows.text_hash == leaked.l_hash), "left_anti").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
