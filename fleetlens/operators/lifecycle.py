@@ -7,6 +7,7 @@ whole partitions when the table is partitioned by the purge column.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,6 +180,56 @@ def purge_expired(df: DataFrame, as_of: str, n: int = 91, unit: str = "days") ->
     return _keep(df, "LastUpdated", cut, inclusive=False)
 
 
+#: parent -> (key, children as (table, foreign key)); parents come before their children.
+CHILDREN: dict[str, tuple[str, tuple[tuple[str, str], ...]]] = {
+    "servers": ("ServerID", (("sql_instances", "ServerID"), ("disk_volumes", "ServerID"), ("sql_cluster_nodes", "SQLNodeID"), ("sql_services", "ServerID"))),
+    "sql_clusters": ("SQLClusterID", (("sql_instances", "SQLClusterID"), ("disk_volumes", "SQLClusterID"), ("sql_cluster_nodes", "SQLClusterID"))),
+    "disk_volumes": ("DiskVolumeID", (("disk_volume_space", "DiskVolumeID"), ("volume_monthly", "DiskVolumeID"))),
+    "availability_groups": ("AGID", (("ag_instances", "AGID"),)),
+    "sql_instances": ("SQLInstanceID", (
+        ("databases", "SQLInstanceID"), ("sql_error_log", "SQLInstanceID"), ("sql_jobs", "SQLInstanceID"), ("ag_instances", "SQLInstanceID"),
+        ("extended_property_values", "SQLInstanceID"), ("server_principal_membership", "SQLInstanceID"), ("server_permission", "SQLInstanceID"))),
+    "ag_instances": ("AGInstanceID", (("ag_databases", "AGInstanceID"),)),
+    "sql_jobs": ("SQLJobID", (("sql_job_history", "SQLJobID"),)),
+    "databases": ("DatabaseID", (
+        ("database_size", "DatabaseID"), ("database_monthly", "DatabaseID"), ("ag_databases", "DatabaseID"),
+        ("database_principal_membership", "DatabaseID"), ("database_permission", "DatabaseID"))),
+}
+#: The entities that expire by themselves.
+EXPIRING = ("servers", "sql_clusters", "disk_volumes", "availability_groups", "sql_instances", "databases")
+
+
+def foreign_keys(child: str) -> list[tuple[str, str, str]]:
+    """``(parent, parent's key, foreign key)`` of a table."""
+    return [(parent, key, fk) for parent, (key, children) in CHILDREN.items() for name, fk in children if name == child]
+
+
+def cascade_keys(tables: Mapping[str, DataFrame], expired: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Keys (one column ``k``) of the rows of every parent that go: its own expired ones, and those whose parent goes.
+
+    Parents are taken before their children, so a purged server takes its instances, their databases and so on down.
+    """
+    gone: dict[str, DataFrame] = {}
+    for parent, (key, _) in CHILDREN.items():
+        parts = [expired[parent].select(F.col(key).alias("k"))] if parent in expired else []
+        for above, _, fk in foreign_keys(parent):
+            if above in gone and parent in tables:
+                own = tables[parent].select(F.col(key).alias("_key"), F.col(fk).alias("k"))
+                parts.append(own.join(gone[above], "k", "left_semi").select(F.col("_key").alias("k")))
+        if parts:
+            gone[parent] = reduce(DataFrame.unionAll, parts).filter("k is not null").distinct()
+    return gone
+
+
+def cascade(name: str, rows: DataFrame, gone: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows of a table that stay: neither purged themselves nor of a purged parent. Purged keys are few, so Spark can broadcast them."""
+    keys = [(name, CHILDREN[name][0])] if name in CHILDREN else []
+    for parent, column in [*keys, *((p, fk) for p, _, fk in foreign_keys(name))]:
+        if parent in gone:
+            rows = rows.join(gone[parent].select(F.col("k").alias(column)), column, "left_anti").select(*rows.columns)
+    return rows
+
+
 # dataset -> (rule, enable setting, window setting, unit)
 RETENTION_RULES = {
     "run_log": (purge_run_log, "RunLog_CleanUp_Enabled", "RunLog_CleanUp_Retention_Days", "days"),

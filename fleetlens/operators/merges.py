@@ -285,8 +285,9 @@ def merge_instances(instances: DataFrame, feed: DataFrame, as_of: str) -> DataFr
 
 
 def set_monitoring(df: DataFrame, key: str, value, monitored: bool) -> DataFrame:
-    """Switch the monitoring flag of one entity."""
-    return df.withColumn("IsMonitored", F.when(F.col(key) == value, F.lit(monitored)).otherwise(F.col("IsMonitored")))
+    """Switch the monitoring flag of one entity; names compare without case and padding."""
+    same = ci_eq(key, value) if isinstance(value, str) else F.col(key) == value
+    return df.withColumn("IsMonitored", F.when(same, F.lit(monitored)).otherwise(F.col("IsMonitored")))
 
 
 # ---- volumes ---------------------------------------------------------------------
@@ -435,6 +436,18 @@ def volume_space_daily(space: DataFrame, readings: DataFrame, as_of: str) -> Dat
     return space.filter(F.col("DateCaptured") != day).unionByName(merged)
 
 
+def new_errors(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Errors of ``batch`` (SQLInstanceID, DateTime, ErrorMsg and more) beyond those that ``stored`` has.
+
+    If a machine has logged one message ``n`` times at one time and ``m`` are stored, ``n - m`` are added. Stored ones are counted, so only
+    one row per error meets the batch.
+    """
+    error = ["SQLInstanceID", "DateTime", "ErrorMsg"]
+    known = stored.groupBy(*error).agg(F.count(F.lit(1)).alias("_stored"))
+    numbered = batch.withColumn("_n", F.row_number().over(Window.partitionBy(*error).orderBy(F.lit(0))))
+    return numbered.join(known, error, "left").filter(F.col("_n") > F.coalesce("_stored", F.lit(0))).select(*batch.columns)
+
+
 # ---- high-water marks ------------------------------------------------------------
 
 def high_water_marks(facts: DataFrame, ts_col: str, key: str = "SQLInstanceID") -> DataFrame:

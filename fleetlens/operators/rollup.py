@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.columns import avg_big, date_lit, like_ci, ratio4, yyyymm
+from fleetlens.functions.columns import avg_big, date_lit, idiv, like_ci, ratio4, yyyymm
 from fleetlens.functions.windows import latest_by
 
 UNKNOWN_ID = 1  # fixed value: reserved key of the Unknown member of every seeded dimension
@@ -56,6 +56,27 @@ def monthly_volume_space(
         avg_big("SpaceUsed_mb").alias("SpaceUsed_mb"), avg_big("TotalSpace_mb").alias("TotalSpace_mb"))
 
 
+def month_sums(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Mergeable form of a monthly average: ``keys``, YearMonth, ``Days`` and the sum of each value; sums of parts add up to those of the whole."""
+    return rows.groupBy(*keys, yyyymm("DateCaptured").alias("YearMonth")).agg(
+        F.count(F.lit(1)).alias("Days"), *(F.sum(v).alias(v) for v in values))
+
+
+def changed_sums(sums: DataFrame, before: DataFrame, after: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Stored sums after some days came late or were corrected: ``before`` are the stored rows of those days, ``after`` the new ones.
+
+    Only the days that change are read, not their months. A key without any day left goes.
+    """
+    added, gone = month_sums(after, keys, values), month_sums(before, keys, values)
+    less = gone.select(*keys, "YearMonth", *((-F.col(c)).alias(c) for c in ("Days", *values)))
+    merged = sums.unionByName(added).unionByName(less).groupBy(*keys, "YearMonth").agg(*(F.sum(c).alias(c) for c in ("Days", *values)))
+    return merged.filter("Days > 0")
+
+
+def averages(sums: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    return sums.select(*keys, "YearMonth", *(idiv(F.col(v), F.col("Days")).alias(v) for v in values))
+
+
 def _alive(df: DataFrame, as_of: str) -> DataFrame:
     day = date_lit(as_of)
     return df.filter((F.col("DiscoveryOn") <= day) & (F.col("LastUpdated") >= F.date_sub(day, TREND_WINDOW_DAYS)))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import (
-    apply_filters, date_lit, idiv, instance_label, like_ci, percent_text,
+    apply_filters, ci_eq, date_lit, idiv, instance_label, like_ci, percent_text,
 )
+from fleetlens.sources.shared import delete_path, shared_dir
 
 NEVER_FULL = 99999.0  # fixed value: days-until-full of a volume that does not grow
 GROUP_PATH_CHARS = 75  # fixed value: stored length of a group path
@@ -86,47 +87,51 @@ def volume_forecast(space: DataFrame, volumes: DataFrame, servers: DataFrame, cl
     )
 
 
-def _expand_groups(groups: DataFrame, root: list[Column], step: list[Column], names: list[str]) -> DataFrame:
-    """Walk the parent/child table level by level with a recursive query.
+def walk_up(groups: DataFrame, own: Column, chars: int | None = None) -> DataFrame:
+    """``node, text, level`` of every group below a root: ``own`` of all groups from the root down to it, joined, and their number.
 
-    ``root`` gives the columns of a top group; ``step`` those of a child, with
-    the parent's columns available under ``p.``.
+    Path doubling: each row knows the ancestor it has been traced to and the text in between. A round joins the rows with each other,
+    which doubles all distances, so a tree of depth ``d`` takes ``log2(d)`` rounds, whatever its shape. Rounds are written tables, so
+    no plan grows. Groups under a parent that does not exist, or on a cycle, never reach a root and are left out; the
+    number of groups bounds the rounds. With ``chars`` only so many characters are kept, and at no time more.
     """
     spark = groups.sparkSession
-    listed = ", ".join(names)
-    return spark.sql(
-        f"WITH RECURSIVE walk({listed}) AS ("
-        f" SELECT {', '.join(root)} FROM {{g}} c WHERE parent_id IS NULL"
-        f" UNION ALL SELECT {', '.join(step)} FROM {{g}} c JOIN walk p ON c.parent_id = p.server_group_id)"
-        f" SELECT {listed} FROM walk",
-        g=groups,
-    )
+    cut = (lambda text: F.substring(text, 1, chars)) if chars else (lambda text: text)
+    state = groups.select(F.col("server_group_id").alias("node"), F.col("parent_id").alias("up"), cut(own).alias("text"), F.lit(1).alias("level"))
+    left, last = max(1, groups.count()).bit_length() + 1, None
+    while left:
+        path = shared_dir(spark, "walk")
+        state.write.parquet(path)
+        if last:
+            delete_path(spark, last)
+        state, last = spark.read.schema(state.schema).parquet(path), path
+        traced, going = state.filter("up is null"), state.filter("up is not null")
+        if going.isEmpty():
+            break
+        over = state.select(F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("text").alias("_text"), F.col("level").alias("_level"))
+        state = traced.unionByName(going.join(over, F.col("up") == F.col("_node")).select(
+            "node", F.col("_up").alias("up"), cut(F.concat("_text", "text")).alias("text"), (F.col("level") + F.col("_level")).alias("level")))
+        left -= 1
+    return state.filter("up is null").drop("up")
 
 
 def group_paths(groups: DataFrame, path_chars: int = GROUP_PATH_CHARS) -> DataFrame:
     """``Root\\Child\\...`` path of every group, cut to ``path_chars``, by default the stored path length.
 
-    Two long paths can become equal by the cut; joins therefore go by ``GroupID``. The recursion is Spark's, which stops with an
-    error beyond 100 levels or 1,000,000 groups unless its limits are raised.
+    Two long paths can become equal by the cut; joins therefore go by ``GroupID``.
     """
-    n = int(path_chars)
-    return _expand_groups(
-        groups,
-        ["c.server_group_id", f"substring(c.name, 1, {n})"],
-        ["c.server_group_id", f"substring(concat(p.GroupName, chr(92), c.name), 1, {n})"],
-        ["server_group_id", "GroupName"],
-    ).withColumnRenamed("server_group_id", "GroupID")
+    own = F.when(F.col("parent_id").isNull(), F.col("name")).otherwise(F.concat(F.lit("\\"), F.col("name")))
+    return walk_up(groups, own, int(path_chars)).select(F.col("node").alias("GroupID"), F.col("text").alias("GroupName"))
 
 
 def group_tree(groups: DataFrame) -> DataFrame:
     """Groups with level, indented name and a sort path; the root is shown as ALL."""
-    return _expand_groups(
-        groups,
-        ["c.parent_id", "c.server_group_id", "'ALL'", "1", "'ALL'", "''"],
-        ["c.parent_id", "c.server_group_id", "concat(repeat('  ', p.GroupLevel), c.name)",
-         "p.GroupLevel + 1", "concat(p.Sort, ' | ', c.name)", "c.name"],
-        ["parent_id", "server_group_id", "GroupName", "GroupLevel", "Sort", "GroupValue"],
-    )
+    top = F.col("parent_id").isNull()
+    walked = walk_up(groups, F.when(top, "ALL").otherwise(F.concat(F.lit(" | "), F.col("name"))))
+    rows = groups.select("parent_id", "server_group_id", "name").join(walked, F.col("server_group_id") == F.col("node"))
+    return rows.select(
+        "parent_id", "server_group_id", F.when(top, "ALL").otherwise(F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.col("name"))).alias("GroupName"),
+        F.col("level").alias("GroupLevel"), F.col("text").alias("Sort"), F.when(top, "").otherwise(F.col("name")).alias("GroupValue"))
 
 
 def group_list(paths: DataFrame, monitored: DataFrame, name_like: str | None = None) -> DataFrame:
@@ -158,8 +163,12 @@ def monitored_instances(
     )
 
 
-def group_instances(paths: DataFrame, registered: DataFrame, group: str = "") -> DataFrame:
-    """Instances of one exact group path, or of every group for ``''``."""
-    paths = apply_filters(paths, F.col("GroupName") == group if group else None)
+def group_instances(paths: DataFrame, registered: DataFrame, group: str = "", group_id: int | None = None) -> DataFrame:
+    """Instances of one group, or of every group.
+
+    ``group_id`` names a group for certain; a path may stand for several long ones, as it is cut, and compares without case.
+    """
+    chosen = F.col("GroupID") == group_id if group_id is not None else ci_eq("GroupName", group) if group else None
+    paths = apply_filters(paths, chosen)
     return registered.join(paths, registered["server_group_id"] == paths["GroupID"]).select(
         F.col("ServerInstance").alias("server_name"), "GroupName")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from fleetlens.plans import reports, snapshot
 from fleetlens.sources import seeds, tables
 from fleetlens.sources.fleet import AS_OF, EVENTS_AS_OF, SIZE_AS_OF, Fleet, spark_sql
 from fleetlens.sources.shared import shared_dir
-from fleetlens.streaming import incremental
+from fleetlens.streaming import backfill, incremental, ordered
 
 TREND_DAY = "2001-10-01"
 TREND_AS_OF = "2001-01-15"
@@ -864,6 +865,29 @@ def _(t):
     return rollup.monthly_database_size(t.database_size, existing=loaded)
 
 
+@query("a1_late_days", "SELECT * FROM database_monthly")
+def _(t):
+    """Stored sums without every ninth day and with wrong sizes on every eleventh; then those days come, late and corrected."""
+    keys, values = ["DatabaseID", "FileType"], ["FileSize_mb"]
+    day = F.datediff("DateCaptured", F.lit("1990-01-01").cast("date"))
+    size = t.database_size.select(*keys, "DateCaptured", "FileSize_mb")
+    late, wrong = day % 9 == 0, day % 11 == 0
+    first = size.filter(~late).withColumn("FileSize_mb", F.when(wrong, F.col("FileSize_mb") + 100).otherwise(F.col("FileSize_mb")))
+    sums = rollup.month_sums(first, keys, values)
+    changed = rollup.changed_sums(sums, first.filter(wrong), size.filter(late | wrong), keys, values)
+    return rollup.averages(changed, keys, values)
+
+
+@query("a2_late_days", "SELECT * FROM volume_monthly")
+def _(t):
+    """As a1_late_days, over the space of volumes; the last day of each month comes late."""
+    keys, values = ["DiskVolumeID"], ["SpaceUsed_mb", "TotalSpace_mb"]
+    space = t.disk_volume_space.select(*keys, "DateCaptured", *values)
+    late = F.last_day("DateCaptured") == F.col("DateCaptured")
+    sums = rollup.month_sums(space.filter(~late), keys, values)
+    return rollup.averages(rollup.changed_sums(sums, space.limit(0), space.filter(late), keys, values), keys, values)
+
+
 @query("a2_monthly_volume_space", "SELECT * FROM volume_monthly")
 def _(t):
     return _monthly_volumes(t)
@@ -996,6 +1020,41 @@ def _(t):
     return lifecycle.purge_expired(t.databases, AS_OF)
 
 
+_DEAD = f"""
+    WITH s AS (SELECT ServerID AS k FROM servers WHERE LastUpdated < {D} - 91), c AS (SELECT SQLClusterID AS k FROM sql_clusters WHERE LastUpdated < {D} - 91),
+    v AS (SELECT DiskVolumeID AS k FROM disk_volumes WHERE LastUpdated < {D} - 91 OR ServerID IN (SELECT k FROM s) OR SQLClusterID IN (SELECT k FROM c)),
+    g AS (SELECT AGID AS k FROM availability_groups WHERE LastUpdated < {D} - 91),
+    i AS (SELECT SQLInstanceID AS k FROM sql_instances WHERE LastUpdated < {D} - 91 OR ServerID IN (SELECT k FROM s) OR SQLClusterID IN (SELECT k FROM c)),
+    gi AS (SELECT AGInstanceID AS k FROM ag_instances WHERE AGID IN (SELECT k FROM g) OR SQLInstanceID IN (SELECT k FROM i)),
+    j AS (SELECT SQLJobID AS k FROM sql_jobs WHERE SQLInstanceID IN (SELECT k FROM i)),
+    d AS (SELECT DatabaseID AS k FROM databases WHERE LastUpdated < {D} - 91 OR SQLInstanceID IN (SELECT k FROM i))"""
+# Every table of the cascade with the conditions under which a row goes.
+_GOES = {
+    "servers": "ServerID IN s", "sql_clusters": "SQLClusterID IN c", "disk_volumes": "DiskVolumeID IN v", "availability_groups": "AGID IN g",
+    "sql_instances": "SQLInstanceID IN i", "ag_instances": "AGInstanceID IN gi", "sql_jobs": "SQLJobID IN j", "databases": "DatabaseID IN d",
+    "sql_cluster_nodes": "SQLNodeID IN s OR SQLClusterID IN c", "disk_volume_space": "DiskVolumeID IN v", "sql_error_log": "SQLInstanceID IN i",
+    "sql_job_history": "SQLJobID IN j", "ag_databases": "AGInstanceID IN gi OR DatabaseID IN d", "database_size": "DatabaseID IN d",
+    "server_principal_membership": "SQLInstanceID IN i", "server_permission": "SQLInstanceID IN i",
+    "database_principal_membership": "DatabaseID IN d", "database_permission": "DatabaseID IN d"}
+
+
+def _condition(text: str) -> str:
+    return " OR ".join("coalesce({0} IN (SELECT k FROM {2}), false)".format(*part.split()) for part in text.split(" OR "))
+
+
+@query("r8_cascade", _DEAD + " UNION ALL ".join(
+    f" SELECT '{name}' AS TableName, count(*) AS Kept, coalesce(CAST(sum({goes.split()[0]}) AS BIGINT), 0) AS KeySum FROM {name} WHERE NOT ({_condition(goes)})"
+    for name, goes in _GOES.items()))
+def _(t):
+    """Rows that stay in every table when the expired entities go with all that hangs on them."""
+    expired = {n: t[n].join(lifecycle.purge_expired(t[n], AS_OF).select(lifecycle.CHILDREN[n][0]), lifecycle.CHILDREN[n][0], "left_anti") for n in lifecycle.EXPIRING}
+    gone = lifecycle.cascade_keys({n: t[n] for n in lifecycle.CHILDREN}, expired)
+    kept = [lifecycle.cascade(name, t[name], gone).agg(
+        F.lit(name).alias("TableName"), F.count(F.lit(1)).alias("Kept"), F.coalesce(F.sum(goes.split()[0]), F.lit(0)).cast("bigint").alias("KeySum"))
+        for name, goes in _GOES.items()]
+    return reduce(DataFrame.unionAll, kept)
+
+
 @query("r9_apply_retention", f"SELECT * FROM disk_volume_space WHERE DateCaptured > {SIZE_DAY} - 45")
 def _(t):
     return lifecycle.apply_retention("raw_data", t.disk_volume_space, seeds.SETTINGS, SIZE_AS_OF)
@@ -1690,6 +1749,69 @@ def _(t):
     return t.spark.read.parquet(f"{root}/job_history").select("SQLJobID", "ExecutionDateTime", "Duration", "JobStatus")
 
 
+def _parts(lines: DataFrame) -> DataFrame:
+    """Lines with the week of their arrival: a third of a week's last day comes a week later, a few lines two weeks later, a fifth comes twice."""
+    day = F.dayofmonth("LogDate")
+    week = F.floor((day - 1) / 7).cast("int")
+    moved = F.when(F.col("LineNo") % 50 == 7, week + 2).when((F.col("LineNo") % 3 == 0) & ((day - 1) % 7 == 6), week + 1).otherwise(week)
+    again = F.when(F.col("LineNo") % 5 == 0, F.array(moved, moved + 1)).otherwise(F.array(moved))
+    return lines.withColumn("part", F.explode(again)).withColumn("part", F.least("part", F.lit(4)))
+
+
+@query("i3_ordered_errors", """
+    WITH a AS (SELECT *, CAST(floor((day(LogDate) - 1) / 7) AS INTEGER) AS week FROM log_lines),
+    m AS (SELECT *, CASE WHEN LineNo % 50 = 7 THEN week + 2 WHEN LineNo % 3 = 0 AND (day(LogDate) - 1) % 7 = 6 THEN week + 1 ELSE week END AS moved FROM a),
+    arrived AS (SELECT *, least(moved, 4) AS part FROM m UNION ALL SELECT *, least(moved + 1, 4) FROM m WHERE LineNo % 5 = 0),
+    seen AS (SELECT p.part, (SELECT date_trunc('hour', max(b.LogDate) - INTERVAL 30 HOUR) FROM arrived b WHERE b.part < p.part) AS cut FROM (SELECT DISTINCT part FROM arrived) p),
+    t AS (SELECT DISTINCT SQLInstanceID, LineNo, LogDate, Text FROM arrived JOIN seen USING (part) WHERE cut IS NULL OR LogDate >= cut),
+    h AS (SELECT *, regexp_matches(Text, '(?i)Error:\\s(\\d*).*Severity:\\s(\\d*).*State:\\s(\\d*)') AS hdr,
+                 regexp_extract(Text, '(?i)Error:\\s(\\d*).*Severity:\\s(\\d*).*State:\\s(\\d*)', 1) AS num FROM t),
+    p AS (SELECT *, lag(CASE WHEN hdr AND num NOT IN ('17187', '35262', '34052') THEN Text END) OVER (PARTITION BY SQLInstanceID ORDER BY LogDate, LineNo) AS prev FROM h)
+    SELECT SQLInstanceID, LogDate AS DateTimeCaptured, prev || ' | ' || Text AS Message FROM p WHERE prev IS NOT NULL
+    UNION ALL SELECT SQLInstanceID, LogDate, Text FROM p WHERE NOT hdr AND Text ILIKE 'Process ID%was killed by hostname%'""")
+def _(t):
+    """Five micro-batches with lines that are late, repeated and out of order; final errors and those of the open hours."""
+    root = shared_dir(t.spark, "ordered")
+    lines = _parts(t.log_lines)
+    for part in range(5):
+        lines.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{root}/landing")
+        stream = t.spark.readStream.schema(t.log_lines.schema).parquet(f"{root}/landing")
+        ordered.ordered_errors(stream, root).awaitTermination()
+    final = t.spark.read.parquet(f"{root}/errors").drop("batch_id")
+    return final.unionByName(ordered.open_errors(t.spark, root))
+
+
+@query("u25_sliced_backfill", """
+    WITH t AS (SELECT * FROM log_lines WHERE LogDate > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 30 HOUR AND LogDate <= TIMESTAMP '2024-01-20 12:00:00'),
+    h AS (SELECT *, regexp_matches(Text, '(?i)Error:\\s(\\d*).*Severity:\\s(\\d*).*State:\\s(\\d*)') AS hdr,
+                 regexp_extract(Text, '(?i)Error:\\s(\\d*).*Severity:\\s(\\d*).*State:\\s(\\d*)', 1) AS num FROM t),
+    p AS (SELECT *, lag(CASE WHEN hdr AND num NOT IN ('17187', '35262', '34052') THEN Text END) OVER (PARTITION BY SQLInstanceID ORDER BY LogDate, LineNo) AS prev FROM h)
+    SELECT SQLInstanceID, LogDate AS DateTimeCaptured, prev || ' | ' || Text AS Message FROM p WHERE prev IS NOT NULL
+    UNION ALL SELECT SQLInstanceID, LogDate, Text FROM p WHERE NOT hdr AND Text ILIKE 'Process ID%was killed by hostname%'""")
+def _(t):
+    """Collected in six-hour slices, stopped after the second one and started again."""
+    root, now = shared_dir(t.spark, "backfill"), "2024-01-20 12:00:00"
+    instances = t.log_lines.select("SQLInstanceID")
+    backfill.backfill_errors(t.log_lines, instances, root, now, slice_hours=6, rounds=2)
+    backfill.backfill_errors(t.log_lines, instances, root, now, slice_hours=6)
+    return backfill.collected(t.spark, root)
+
+
+@query("i2_folded_jobs", """
+    SELECT j.SQLJobID, f.ExecutionDateTime, (max((f.Duration, f.JobStatus)))[1] AS Duration, max(f.JobStatus) AS JobStatus
+    FROM staged_jobs f JOIN sql_jobs j ON j.SQLInstanceID = f.SQLInstanceID AND j.SQLJobName = f.JobName GROUP BY 1, 2""")
+def _(t):
+    """Four micro-batches, folded after each; every batch is delivered again with the next one."""
+    root = shared_dir(t.spark, "folded")
+    week = F.least(F.floor((F.dayofmonth("ExecutionDateTime") - 1) / 7), F.lit(3))
+    for part in range(4):
+        t.staged_jobs.filter(week.isin(part, part - 1)).write.mode("append").parquet(f"{root}/landing")
+        stream = t.spark.readStream.schema(t.staged_jobs.schema).parquet(f"{root}/landing")
+        incremental.incremental_jobs(stream, root, t.sql_jobs).awaitTermination()
+        incremental.fold_jobs(t.spark, root)
+    return incremental.job_history(t.spark, root).drop("run_date")
+
+
 # ---- stored batches and tables ------------------------------------------------------------------------
 
 _STAGED_JOBS = "SQLInstanceID bigint, JobName string, CategoryName string, ExecutionDateTime timestamp_ntz, Duration int, JobStatus string"

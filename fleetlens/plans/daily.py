@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.columns import date_lit, surrogate_id
+from fleetlens.functions.columns import date_lit, surrogate_id, yyyymm
 from fleetlens.operators import feeds, lifecycle, merges, policy, rollup
 from fleetlens.plans import snapshot
+from fleetlens.sources.shared import delete_path, shared_dir
 from fleetlens.sources.tables import PARTITIONED, Warehouse, write_partitioned
 
 
@@ -141,16 +143,18 @@ def run_day(store: Warehouse, feed: Mapping[str, DataFrame], as_of: str) -> None
 
 
 def collect_errors(store: Warehouse, lines: DataFrame) -> None:
-    """Extract errors of a landed log batch and append what is newer than the stored mark of its instance.
+    """Extract errors of a landed log batch and append those that are not stored yet, whenever they come.
 
-    Marks make a repeated run harmless and keep real repeats of a message within a batch.
+    An error is known by machine, time, message and how many equal ones came before it, so a repeated run adds nothing,
+    real repeats stay, and a late error or one of the time of the last stored one is not lost. Only the months of
+    the batch are read back.
     """
     new = feeds.extract_errors(lines).select(
         surrogate_id("SQLInstanceID", "DateTimeCaptured", "Message").alias("ErrorLogID"), "SQLInstanceID",
         F.col("DateTimeCaptured").alias("DateTime"), F.col("Message").alias("ErrorMsg"))
-    marks = merges.high_water_marks(store.sql_error_log, "DateTime")
-    known = F.col("DateTime") <= F.col("LastDateTimeCaptured")
-    store.append("sql_error_log", new.join(marks, "SQLInstanceID", "left").filter(~F.coalesce(known, F.lit(False))).drop("LastDateTimeCaptured"))
+    months = [r[0] for r in new.select(yyyymm("DateTime")).distinct().collect()]  # those of one batch
+    stored = store.sql_error_log.filter(F.col("yyyymm").isin(*months)).drop("yyyymm") if months else store.sql_error_log.drop("yyyymm").limit(0)
+    store.append("sql_error_log", merges.new_errors(stored, new))
 
 
 def publish_month(store: Warehouse, year: int, month: int) -> None:
@@ -258,6 +262,45 @@ def daily_maintenance(store: Warehouse, settings: Mapping[str, str], as_of: str)
         for period in stored:
             if first is None or period < first:
                 store.drop_period("run_log", period)
-    for name in ("databases", "disk_volumes", "sql_instances", "sql_clusters", "servers", "availability_groups"):
-        if str(settings.get("Expired_Objects_Enabled", "0")) == "1":
-            store.save(name, lifecycle.apply_retention("expired", store[name], settings, as_of))
+    if str(settings.get("Expired_Objects_Enabled", "0")) == "1":
+        purge_expired_objects(store, settings, as_of)
+
+
+def purge_expired_objects(store: Warehouse, settings: Mapping[str, str], as_of: str) -> None:
+    """Expired entities go with everything that hangs on them, children first, so that a run that stops leaves no orphan.
+
+    The purged keys are computed once, before anything is rewritten. Of a partitioned table only the periods that hold a
+    purged key are rewritten.
+    """
+    expired = {}
+    for name in lifecycle.EXPIRING:
+        key = lifecycle.CHILDREN[name][0]
+        expired[name] = store[name].join(lifecycle.apply_retention("expired", store[name], settings, as_of).select(key), key, "left_anti")
+    gone = {}
+    for name, keys in lifecycle.cascade_keys({n: store[n] for n in lifecycle.CHILDREN}, expired).items():
+        path = shared_dir(store.spark, f"purged-{name}")
+        keys.write.parquet(path)
+        gone[name] = store.spark.read.schema(keys.schema).parquet(path)
+    gone = {name: keys for name, keys in gone.items() if not keys.isEmpty()}
+    parents = list(lifecycle.CHILDREN)
+    children = dict.fromkeys(child for p in parents for child, _ in lifecycle.CHILDREN[p][1] if child not in parents)
+    for name in [*children, *reversed(parents)]:
+        touching = [(p, fk) for p, _, fk in lifecycle.foreign_keys(name) if p in gone]
+        touching += [(name, lifecycle.CHILDREN[name][0])] if name in gone else []
+        if not touching:
+            continue
+        if name not in PARTITIONED:
+            store.save(name, lifecycle.cascade(name, store[name], gone))
+            continue
+        period = PARTITIONED[name][0]
+        hit = reduce(DataFrame.unionAll, [
+            store[name].select(F.col(fk).alias("k"), period).join(gone[p], "k", "left_semi").select(period) for p, fk in touching]).distinct()
+        for value in [r[0] for r in hit.collect()]:  # a few dozen at most
+            left = lifecycle.cascade(name, store[name].filter(F.col(period) == value), gone)
+            left = left if period == "YearMonth" else left.drop(period)
+            if left.isEmpty():
+                store.drop_period(name, value)
+            else:
+                store.save(name, left)
+    for name, keys in gone.items():
+        delete_path(store.spark, keys.inputFiles()[0].rsplit("/", 1)[0])

@@ -12,9 +12,11 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from fleetlens.operators import feeds, merges
-from fleetlens.sources.shared import delete_path, path_exists
+from fleetlens.sources.shared import delete_path, list_names, path_exists
+from fleetlens.streaming.compaction import fold, read_folded
 
 LATE_AFTER = "30 hours"  # fixed value: older lines are never fetched
 SLICE = "1 hour"
@@ -130,7 +132,7 @@ def job_batch(batch: DataFrame, batch_id: int, root: str, jobs: DataFrame) -> No
         "SQLJobID", "ExecutionDateTime", "r.*").withColumn("run_date", F.to_date("ExecutionDateTime"))
     if path_exists(spark, target):
         days = [r[0] for r in [batch.agg(F.to_date(F.min("ExecutionDateTime"))).first()] if r[0] is not None]
-        stored = spark.read.parquet(target).filter(F.col("batch_id") != batch_id)
+        stored = job_history(spark, root, but=batch_id)
         if days:
             stored = stored.filter(F.col("run_date") >= F.lit(days[0]))
         rows = rows.join(stored.select("SQLJobID", "ExecutionDateTime"), ["SQLJobID", "ExecutionDateTime"], "left_anti")
@@ -140,6 +142,21 @@ def job_batch(batch: DataFrame, batch_id: int, root: str, jobs: DataFrame) -> No
     _save_state(merges.advance_marks(before, new) if before is not None else new, root, "job_marks", batch_id)
 
 
+RUNS = "SQLJobID bigint, ExecutionDateTime timestamp_ntz, Duration int, JobStatus string, run_date date"
+
+
+def job_history(spark: SparkSession, root: str, but: int | None = None) -> DataFrame:
+    """The stored runs, folded or not."""
+    return read_folded(spark, os.path.join(root, "job_history"), StructType.fromDDL(RUNS), but)
+
+
+def fold_jobs(spark: SparkSession, root: str) -> int:
+    """Fold all batches but the last, which may be repeated; returns how many folders hold the runs."""
+    folder = os.path.join(root, "state", "job_marks")
+    done = [int(n.removeprefix("batch=")) for n in list_names(spark, folder) if n.startswith("batch=")] if path_exists(spark, folder) else []
+    return fold(spark, os.path.join(root, "job_history"), StructType.fromDDL(RUNS), max(done) - 1, "run_date") if len(done) > 1 else len(done)
+
+
 def incremental_jobs(runs: DataFrame, root: str, jobs: DataFrame) -> StreamingQuery:
     """Continuous load of job runs into ``<root>/job_history``."""
     return (
