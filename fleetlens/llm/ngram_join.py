@@ -4,14 +4,14 @@ Shingles are hashed into groups, and a document is a point whose coordinates cou
 coordinate minima of two points, or of the corners of two boxes, bounds the overlap of the sets from above.
 
 1. Equal sets form one class; everything below works on classes.
-2. The first level of the tree cuts the groups of a size band into ``m`` slices, one more than two sets of that band that
-   link can differ in. So one slice of linked sets has equal counts in all groups (a node whose box is a point), and a hash
-   of the slice is a join key. A slice that holds hardly anything says little; it is joined with one half of the next
-   slice, which loses no link: were every equal slice light and followed by one with two differences, the differences
-   would outnumber the slices.
+2. The first level of the tree names nodes by what two sets that link are bound to share. From 90 % on it cuts the groups of a size
+   band into ``m`` slices, one more than two sets of that band that link can differ in, so one slice of both holds the same
+   shingles; a hash of the slice's shingles (and so of its counts) is the node. A slice that holds hardly anything says
+   little; it is joined with one half of the next slice, which loses no link: were every equal slice light and followed by
+   one with two differences, the differences would outnumber the slices. Below 90 % nodes are windows (see ``window_keys``).
 3. In each node every class is compared with the least one. Pairs whose bound allows a link are verified on the sets.
-4. Nodes whose classes are not yet connected are gathered, cut into tiles of bounded size, and all pairs of tiles whose
-   boxes allow a link are searched by a packed R-tree each, up to verified links. Pairs that are connected already are skipped.
+4. Nodes whose classes are not yet connected are gathered and cut by size and coordinates into tiles of bounded size; all pairs
+   of tiles whose boxes allow a link are searched by a packed R-tree each, up to verified links. Pairs that are connected already are skipped.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.components import components
 from fleetlens.llm.native import Scratch, keyed, stored
+from fleetlens.llm.ranks import ranked
 from fleetlens.llm.texts import MIX, MIX2, ascii_lower, byte_blocks, scramble, span_hashes, word_spans
 
 GROUPS = 64
@@ -314,16 +315,19 @@ def _tile_links(hits: DataFrame, sets: DataFrame, roots: DataFrame, percent: int
     meta = scratch.stored(components(open_).select(F.col("node").alias("root"), F.col("root").alias("meta")), "meta")
     members = scratch.stored(labelled.join(meta, "root").select("meta", "root", "uid").join(sets.select("uid", "n", "groups", "members"), "uid"), "open-sets")
     # Tiles of about ``tile`` classes of a meta group, however large the group or one of its components is.
-    sized = members.groupBy("meta").agg(F.count("*").alias("size"))
-    tiles = members.join(sized, "meta").withColumn(
-        "tile", F.pmod(F.xxhash64("uid"), F.ceil(F.col("size") / tile).cast("long")).cast("long")).drop("size")
+    # Sets that follow each other by size, then by coordinates, make a tile: its box is narrow in size, so tiles whose sizes are
+    # too far apart to link are not searched.
+    points = scratch.stored(members.select("meta", "uid", "n", "groups"), "points")
+    place = ranked(points, "meta", F.col("n"), F.col("groups"), F.col("uid"), scratch=scratch)
+    tiles = members.join(place.select("meta", "uid", F.expr(f"rank div {tile}").alias("tile")), ["meta", "uid"])
     corners = tiles.select("meta", "tile", F.posexplode("groups").alias("axis", "v"), "n").groupBy("meta", "tile", "axis").agg(
-        F.max("v").alias("v"), F.min("n").alias("n"))
+        F.max("v").alias("v"), F.min("n").alias("n"), F.max("n").alias("most"))
     boxes = scratch.stored(corners.groupBy("meta", "tile").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("axis", "v"))), lambda x: x["v"]).alias("corner"), F.min("n").alias("n")), "boxes")
-    one, two = boxes.select("meta", F.col("tile").alias("i"), F.col("corner").alias("ci"), F.col("n").alias("ni")), boxes.select(
-        "meta", F.col("tile").alias("j"), F.col("corner").alias("cj"), F.col("n").alias("nj"))
-    bound = F.aggregate(F.zip_with("ci", "cj", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
+        F.transform(F.sort_array(F.collect_list(F.struct("axis", "v"))), lambda x: x["v"]).alias("corner"), F.min("n").alias("n"), F.max("most").alias("most")), "boxes")
+    one, two = boxes.select("meta", F.col("tile").alias("i"), F.col("corner").alias("ci"), F.col("n").alias("ni"), F.col("most").alias("ti")), boxes.select(
+        "meta", F.col("tile").alias("j"), F.col("corner").alias("cj"), F.col("n").alias("nj"), F.col("most").alias("tj"))
+    # The size is one more coordinate: no overlap exceeds the largest set of either tile.
+    bound = F.least(F.aggregate(F.zip_with("ci", "cj", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v), "ti", "tj")
     pairs = one.join(two, "meta").filter("i <= j").filter(bound >= least_overlap(F.col("ni"), F.col("nj"), percent)).select("meta", "i", "j")
     ends = pairs.select("*", F.col("i").alias("tile"), F.lit(0).alias("side")).unionAll(
         pairs.filter("i < j").select("*", F.col("j").alias("tile"), F.lit(1).alias("side")))

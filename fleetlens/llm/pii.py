@@ -1,9 +1,11 @@
 """Personal data: base patterns, and a semi-Markov conditional random field for what they miss.
 
 The base patterns read greedily, so neighbouring entities (a phone number followed by a card number) can run into one
-match that fails its check. The field looks at such stretches of tokens again: every segment of at most ``LONGEST`` tokens is
-scored by features of the whole span for every type, and dynamic programming picks the best joint segmentation and typing.
-Base spans are fixed: no segment may touch one. Weights are fitted by maximum likelihood on generated labelled stretches.
+match that fails its check. The field looks at such stretches of tokens again: every segment that could be an entity is scored by
+features of the whole span for every type it may have, and dynamic programming picks the best joint segmentation and typing.
+A number has at most ``DIGITS`` digits and ``LONGEST`` tokens, which no entity of these kinds exceeds; an address with spelt-out signs
+has no bound. Base spans are fixed: no segment may touch one. Weights are fitted by maximum likelihood on generated labelled
+stretches. All steps are linear in the text.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import functools
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -19,16 +21,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 16
+#: Nineteen digits, each with one sign before it and one more around the number.
+DIGITS, LONGEST = 19, 40
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: Stretches that the field reads: numbers with their separators, and addresses with a spelt-out sign.
-NUMBERS = re.compile(r"(?<![0-9A-Za-z_])[+(]*[0-9][0-9 ().+-]*(?![0-9A-Za-z_])")
-SPELT = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]+(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]+)+")
-TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
+#: Runs that hold numbers with their separators.
+RUN = re.compile(r"[0-9 ().+-]+")
+#: A spelt-out sign in brackets, and what follows one: labels with dots, spelt or not.
+AT = re.compile(r" ?[\[({] ?at ?[\])}] ?")
+DOT = r" ?[\[({] ?dot ?[\])}] ?"
+LABELS = re.compile(rf"[A-Za-z0-9-]+(?:(?: ?\. ?|{DOT})[A-Za-z0-9-]+)+")
+SPELT = re.compile(rf"[A-Za-z0-9._%+-]+(?:{DOT}[A-Za-z0-9._%+-]+)*{AT.pattern}{LABELS.pattern}")
+BEFORE_DOT = re.compile(rf"{DOT}\Z")
+TOKEN = re.compile(rf"{AT.pattern}|{DOT}|[0-9]+|[A-Za-z]+|.", re.S)
 
 
 class Span(NamedTuple):
@@ -82,19 +90,107 @@ class Segment(NamedTuple):
     features: list[str]
 
 
+def is_local(c: str) -> bool:
+    return c in "._%+-" or (c.isascii() and c.isalnum())
+
+
+def spelt_stretches(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a spelt-out sign: the characters before it, with spelt dots in between, and the labels after it."""
+    done = 0
+    for at in AT.finditer(text):
+        start = at.start()
+        while start > done and is_local(text[start - 1]):
+            start -= 1
+        if start == at.start():
+            continue
+        # A spelt dot has at most eight characters, so only those before the run are looked at.
+        while dot := BEFORE_DOT.search(text[max(done, start - 8) : start]):
+            stop = max(done, start - 8) + dot.start()
+            further = stop
+            while further > done and is_local(text[further - 1]):
+                further -= 1
+            if further == stop:
+                break
+            start = further
+        labels = LABELS.match(text, at.end())
+        if labels:
+            yield start, labels.end()
+            done = labels.end()
+
+
+def number_stretches(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of digits, blanks and the signs of numbers, from a number that no letter touches on, with nine digits at least."""
+    for run in RUN.finditer(text):
+        start, end = run.span()
+        touches = lambda c: c.isascii() and (c.isalnum() or c == "_")
+        if end < len(text) and touches(text[end]):
+            while end > start and text[end - 1].isdigit():
+                end -= 1
+        first = start
+        if start and touches(text[start - 1]):
+            while first < end and text[first].isdigit():
+                first += 1
+        digit = first
+        while digit < end and not text[digit].isdigit():
+            digit += 1
+        low = digit
+        while low > first and text[low - 1] in "+(":
+            low -= 1
+        if low == start and low < digit and start and touches(text[start - 1]):
+            low += 1
+        while end > low and text[end - 1] in " ().+-":
+            end -= 1
+        if sum(map(str.isdigit, text[low:end])) >= 9:
+            yield low, end
+
+
 def segments(tokens: list[str], before: str, after: str, fixed: list[bool]) -> list[Segment]:
-    """Every candidate segment of a stretch with the features of its whole span; ``O`` covers one token."""
+    """Every candidate segment of a stretch with the features of its whole span; ``O`` covers one token.
+
+    A card has 13 to 19 digits that pass their check, a phone number starts with a plus or a bracket and has 9 to 15 digits, an
+    address has four parts of at most 255. Spelt addresses are tried from their start to each end at which one may stop.
+    """
     out = []
+
+    def add(i: int, j: int, kinds: Iterable[str]) -> None:
+        features = span_features(tokens[i:j], tokens[i - 1] if i else before, tokens[j] if j < len(tokens) else after)
+        out.extend(Segment(i, j, kind, [f"{kind}:{f}" for f in features]) for kind in kinds)
+
     for i, token in enumerate(tokens):
         out.append(Segment(i, i + 1, "O", ["O", f"O:{'d' + str(min(len(token), 8)) if token.isdigit() else token[:1] if not token.isalpha() else 'a'}"]))
-        if fixed[i] or not (token[0].isalnum() or token in "+("):
+        if fixed[i] or not (token.isdigit() or token in "+("):
             continue
+        digits, groups, joins = "", 0, set()
         for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
-            if fixed[j - 1]:
+            last = tokens[j - 1]
+            if fixed[j - 1] or last[0].isalpha() or last[-1].isalpha() or len(digits) > DIGITS:
                 break
-            if tokens[j - 1][0].isalnum():
-                features = span_features(tokens[i:j], tokens[i - 1] if i else before, tokens[j] if j < len(tokens) else after)
-                out += [Segment(i, j, kind, [f"{kind}:{f}" for f in features]) for kind in KINDS]
+            if not last.isdigit():
+                joins.add(last)
+                continue
+            digits, groups = digits + last, groups + 1
+            kinds = []
+            if 13 <= len(digits) <= 19 and token.isdigit() and joins <= {" ", "-"} and luhn(digits):
+                kinds.append("card")
+            if 9 <= len(digits) <= 15 and token in "+(":
+                kinds.append("phone")
+            if groups == 4 and j - i == 7 and joins == {"."} and octets([t for t in tokens[i:j] if t.isdigit()]):
+                kinds.append("ip")
+            if kinds:
+                add(i, j, kinds)
+    text = "".join(tokens)
+    if "at" in text:
+        edge = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
+        for start, end in spelt_stretches(text):
+            i, stop = (int(np.searchsorted(edge, p)) for p in (start, end))
+            if edge[i] != start or edge[stop] != end:
+                continue
+            # It may stop at any of the first labels, or at one of the last, before a sentence that goes on.
+            sign = next(k for k in range(i, stop) if AT.fullmatch(tokens[k]))
+            ends = [j for j in range(sign + 3, stop + 1) if tokens[j - 1].isalnum() and any(t == "." or "dot" in t for t in tokens[sign + 1 : min(j, sign + 4)])]
+            for j in sorted({*ends[:8], *ends[-3:], stop}):
+                if not any(fixed[i:j]):
+                    add(i, j, ["email"])
     return out
 
 
@@ -103,7 +199,7 @@ def span_features(tokens: list[str], before: str, after: str) -> list[str]:
     groups = [t for t in tokens if t.isdigit()]
     digits = "".join(groups)
     letters = any(t.isalpha() for t in tokens)
-    joins = "".join(sorted({t for t in tokens if not t[0].isalnum()}))
+    joins = "".join(sorted({t.strip()[:1] if len(t) > 1 else t for t in tokens if not t[0].isalnum()}))
     shape = "".join(f"d{min(len(t), 20)}" if t.isdigit() else "a" if t.isalpha() else t for t in tokens)
     out = ["bias", f"digits={min(len(digits), 20)}", f"groups={min(len(groups), 8)}", f"joins={joins}", f"letters={letters}"]
     if not letters:
@@ -116,7 +212,8 @@ def span_features(tokens: list[str], before: str, after: str) -> list[str]:
         if 9 <= len(digits) <= 15:
             out.append(f"phone length, plus={text[0] == '+'}, open={'(' in text}, balanced={balanced}, longest={min(max(map(len, groups)), 9)}")
     else:
-        out.append(f"spelt={bool(SPELT.fullmatch(text))}")
+        marks = [t for t in tokens if len(t) > 1 and not t.isalnum()]
+        out += [f"spelt={bool(marks)}", f"loose dot={'. ' in text or ' .' in text}", f"labels={min(sum(t.isalnum() for t in tokens), 8)}"]
     edge = lambda c: "end" if not c else "blank" if c.isspace() else "digit" if c[0].isdigit() else "letter" if c[0].isalpha() else c[0]
     return [*out, f"before={edge(before)}", f"after={edge(after)}"]
 
@@ -194,9 +291,13 @@ def training_stretches(count: int = 180, seed: int = 7) -> list[tuple[str, list[
         a, b, c, d = (number(n) for n in (1, 3, 3, 4))
         return rng.choice((f"+{a} ({b}) {c}-{d}", f"+{a} ({b}) {c}-{d}", f"+{a}-{b}-{c}-{d}", f"+{a} {b} {c} {d}", f"+4{a} {b} {c}{d}", f"({b}) {c}-{d}"))
 
+    def name() -> str:
+        return "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+
     def spelt() -> str:
-        name = "".join(rng.choice("abcdefgh") for _ in range(5))
-        return f"{name}{rng.choice((' [at] ', '(at)', ' (at) ', '{at}'))}mail{rng.choice(('.', ' [dot] ', '(dot)'))}com"
+        at, dot = rng.choice(((" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), ("{at}", "{dot}"), ("[at]", ".")))
+        person = rng.choice((".", dot, "_")).join(name() for _ in range(rng.randint(1, 2)))
+        return person + at + dot.join(name() for _ in range(rng.randint(2, 4)))
 
     makers = {
         "card": lambda: card(True), "phone": phone, "ip": lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)), "email": spelt,
@@ -213,6 +314,8 @@ def training_stretches(count: int = 180, seed: int = 7) -> list[tuple[str, list[
             if kind != "O":
                 spans.append(Span(kind, len(text), len(text) + len(item)))
             text += item
+            if kind == "email" and rng.random() < 0.3:  # the sentence goes on
+                text += f". {name().title()}"
         out.append((text, spans))
     return out
 
@@ -232,29 +335,32 @@ def trained() -> SemiCrf:
     return SemiCrf().fit(examples)
 
 
-def stretches(text: str) -> Iterator[tuple[int, int]]:
-    for m in NUMBERS.finditer(text):
-        if len(only_digits(m[0])) >= 9:
-            yield m.start(), m.start() + len(m[0].rstrip(" ().+-"))
-    if "at" in text:
-        yield from (m.span() for m in SPELT.finditer(text))
+def overlapping(spans: list[Span], stretches: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """Each stretch (ascending) with the parts of it that spans take; one pass over both."""
+    ordered, k, open_ = sorted((s.start, s.end) for s in spans), 0, []
+    for start, end in stretches:
+        while k < len(ordered) and ordered[k][0] < end:
+            open_.append(ordered[k])
+            k += 1
+        open_ = [s for s in open_ if s[1] > start]
+        yield start, end, [(max(a, start), min(b, end)) for a, b in open_ if a < end]
 
 
 def field_spans(text: str, base: list[Span], model: SemiCrf) -> list[Span]:
     """Spans that the field adds; none touches a base span."""
     out: list[Span] = []
-    for start, end in stretches(text):
-        taken = sorted((max(s.start, start), min(s.end, end)) for s in [*base, *out] if s.start < end and s.end > start)
-        if end - start - sum(b - a for a, b in taken) < 9:
-            continue
-        tokens = TOKEN.findall(text[start:end])
-        ends = start + np.cumsum([len(t) for t in tokens])
-        starts = ends - [len(t) for t in tokens]
-        fixed = np.zeros(len(tokens), bool)
-        for a, b in taken:
-            fixed |= (starts < b) & (ends > a)
-        segs = segments(tokens, text[start - 1 : start], text[end : end + 1], fixed.tolist())
-        out += [Span(s.kind, int(starts[s.start]), int(ends[s.end - 1])) for s in model.best(segs)]
+    for find in (number_stretches, spelt_stretches):
+        for start, end, taken in list(overlapping([*base, *out], find(text))):
+            if end - start - sum(b - a for a, b in taken) < 9:
+                continue
+            tokens = TOKEN.findall(text[start:end])
+            ends = start + np.cumsum([len(t) for t in tokens])
+            starts = ends - [len(t) for t in tokens]
+            fixed = np.zeros(len(tokens), bool)
+            for a, b in taken:
+                fixed[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b, side="left")] = True
+            segs = segments(tokens, text[start - 1 : start], text[end : end + 1], fixed.tolist())
+            out += [Span(s.kind, int(starts[s.start]), int(ends[s.end - 1])) for s in model.best(segs)]
     return out
 
 

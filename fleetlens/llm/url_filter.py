@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -35,34 +36,46 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 
-#: Small labelled table: 1 is to be blocked. Names are invented; none of them stands in the given tables as a whole.
-BAD_HOSTS = (
-    "casino-royal.example.com", "www.casino-bonus.example.net", "m.best-casino.example.com", "online-casino.example.org", "casino-win.test.net",
-    "free-bets.test.net", "m.sport-bets.example.net", "bets-online.example.com", "www.poker-bets.example.org", "free-spins.example.com",
-    "cheap-pills.test.org", "www.cheap-meds.example.com", "pills-online.example.net", "blue-pills.example.com", "cheap-watches.example.net",
-    "spam-farm.test.com", "link-farm.example.net", "www.spam-mail.example.com", "seo-farm.example.org", "click-farm.example.com",
-    "adult-x.test.com", "www.adult-chat.example.net", "adult-videos.example.com", "x-adult.example.org", "xxx-cams.example.com",
-    "ads-track.test.net", "www.ads-server.example.com", "track-ads.example.net", "m.ads-click.example.org", "tracker-pixel.example.com",
+#: Words of a small labelled table, from general knowledge of unwanted and of ordinary sites; the given tables had no part in it.
+BAD_WORDS = (
+    "casino", "poker", "roulette", "jackpot", "slots", "betting", "bets", "wager", "bingo", "lottery",
+    "pills", "meds", "viagra", "pharma", "steroids", "adult", "porn", "escort", "cams", "xxx",
+    "spam", "clickbait", "adserver", "ads", "tracker", "popup", "malware", "phishing", "warez", "crack", "loans", "replica",
 )
-GOOD_HOSTS = (
-    "www.reading.example.com", "blog.nation.example.net", "m.station.example.org", "thornton.example.com", "motion.example.net",
-    "www.theatre.example.org", "weather.example.com", "m.thinker.example.net", "the-hander.example.com", "rathonion.example.org",
-    "library.example.com", "www.history.example.net", "blog.cooking.example.com", "m.gardens.example.net", "science.example.org",
-    "news.example.com", "www.daily-news.example.net", "city-council.example.org", "open-source.example.com", "blog.travel-notes.example.net",
-    "museum.example.org", "www.university.example.com", "m.recipes.example.net", "thin-ice.example.com", "well-read.example.org",
-    "forum.example.com", "www.docs.example.net", "blog.maths.example.org", "ererth.example.com", "m.inthnd.example.net",
+GOOD_WORDS = (
+    "library", "museum", "school", "university", "garden", "weather", "recipe", "travel", "history", "science",
+    "council", "health", "music", "news", "forum", "theatre", "hospital", "bakery", "cycling", "physics",
+    "poetry", "market", "archive", "football", "harbour", "orchard", "bridge", "village", "farm", "track", "mail", "server",
 )
-PATHS = ("/en/{}", "/de/{}/", "/fr/{}.html", "/es/{}", "/en/{}/")
+#: What hosts of both kinds add to a word.
+BESIDE = ("best", "my", "the", "city", "daily", "north", "blue", "first", "online", "free", "world", "24", "365", "top", "win", "cheap")
+ENDINGS = ("com", "net", "org", "info", "io")
+PREFIXES = ("", "www.", "m.", "blog.", "shop.")
+PATHS = ("/en/{}", "/de/{}/", "/{}.html", "/es/{}", "/item/{}/", "/")
+
+
+def made_names(count: int, seed: int = 11) -> list[str]:
+    """Names without a meaning, as many ordinary sites have: syllables of a fixed generator."""
+    rng = random.Random(seed)
+    part = lambda: rng.choice("bcdfghklmnprstvwz") + rng.choice("aeiou") + rng.choice(("", "n", "r", "th", "l", "s"))
+    return ["".join(part() for _ in range(rng.randint(2, 4))) for _ in range(count)]
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """``(url, label)`` of the small training table: both labels share the paths and the prefixes of hosts."""
+    """``(url, label)`` of the small training table (640 rows); both labels share endings, prefixes, paths, hyphens and digits."""
     out = []
-    for hosts, label in ((BAD_HOSTS, 1), (GOOD_HOSTS, 0)):
-        for i, host in enumerate(hosts):
-            bare = host.removeprefix("www.").removeprefix("m.").removeprefix("blog.")
-            out += [(f"https://{prefix}{bare}{PATHS[(i + k) % len(PATHS)].format(1000 + 617 * ((i * 2 + k) % 13))}", label)
-                    for k, prefix in enumerate(("", "www.", "m.", "blog."))]
+
+    def add(name: str, label: int, k: int) -> None:
+        path = PATHS[k % len(PATHS)].format(1000 + 617 * (k % 13))
+        out.append((f"https://{PREFIXES[k % len(PREFIXES)]}{name}.{ENDINGS[k // 2 % len(ENDINGS)]}{path}", label))
+
+    for words, label in ((BAD_WORDS, 1), (GOOD_WORDS, 0)):
+        for i, word in enumerate(words):
+            beside = [BESIDE[(5 * i + 3 * k + label) % len(BESIDE)] for k in range(3)]
+            for k, name in enumerate((f"{word}-{beside[0]}", f"{beside[1]}{word}", f"{beside[2]}-{word}{i % 10}", word)):
+                add(name, label, 4 * i + k)
+    for k, name in enumerate(made_names(384)):
+        add(name if k % 3 else f"{name}-{BESIDE[k % len(BESIDE)]}", 0, k)
     return out
 
 
@@ -89,7 +102,7 @@ class GramModel:
 
     SIZES = (3, 4, 5)
 
-    def __init__(self, buckets: int = 1 << 14, penalty: float = 1e-4, steps: int = 400, rate: float = 8.0):
+    def __init__(self, buckets: int = 1 << 14, penalty: float = 1e-5, steps: int = 600, rate: float = 16.0):
         self.buckets, self.penalty, self.steps, self.rate = buckets, penalty, steps, rate
         self.weights, self.bias = np.zeros(buckets), 0.0
 
@@ -114,11 +127,12 @@ class GramModel:
         rows, cells = self.grams(block)
         y, size = np.array(labels, float), len(texts)
         norm = np.sqrt(np.maximum(np.bincount(rows, minlength=size), 1))
+        weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))  # both labels weigh the same, however many rows they have
         for _ in range(self.steps):
-            gap = 1 / (1 + np.exp(-self.values(rows, cells, size))) - y
-            step = np.bincount(cells, (gap / norm)[rows], minlength=self.buckets) / size + self.penalty * self.weights
+            gap = (1 / (1 + np.exp(-self.values(rows, cells, size))) - y) * weight
+            step = np.bincount(cells, (gap / norm)[rows], minlength=self.buckets) + self.penalty * self.weights
             self.weights -= self.rate * step
-            self.bias -= self.rate * gap.mean()
+            self.bias -= self.rate * gap.sum()
         return self
 
 

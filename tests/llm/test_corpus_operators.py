@@ -242,7 +242,7 @@ def test_planted_passages(spark):
     docs = [(d, " ".join(w)) for d, w in rows] + [(10, None), (11, ""), (None, " ".join(items[0])), (1, "again"), (12, " ".join(noise(30_000) + items[1]))]
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(8, None), (None, " ".join(items[0]))], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs_of(spark, docs, True), bench).collect()}
-    assert got == {(1, 0), (2, 0), (5, 1), (6, 2), (8, 0), (12, 1)}
+    assert got == {(1, 0), (2, 0), (5, 1), (6, 2), (7, 3), (8, 0), (12, 1)}  # the item of seven words is found as a whole
     assert got == {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs_of(spark, docs), bench, block_seeds=20).collect()}
     assert decontaminate.find_leaks(docs_of(spark, docs), bench.limit(0)).count() == 0
     assert decontaminate.find_leaks(docs_of(spark, []), bench).count() == 0
@@ -443,7 +443,7 @@ def test_field_finds_what_runs_together():
 
 def test_best_segmentation_is_the_maximum():
     model = pii.trained()
-    tokens = pii.TOKEN.findall("+1 (26) 5 41")
+    tokens = pii.TOKEN.findall("+1 (269) 555-3296 4111111111111111")
     segs = pii.segments(tokens, "", "", [False] * len(tokens))
 
     def ways(at):
