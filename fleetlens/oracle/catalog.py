@@ -1762,7 +1762,7 @@ def _parts(lines: DataFrame) -> DataFrame:
     WITH a AS (SELECT *, CAST(floor((day(LogDate) - 1) / 7) AS INTEGER) AS week FROM log_lines),
     m AS (SELECT *, CASE WHEN LineNo % 50 = 7 THEN week + 2 WHEN LineNo % 3 = 0 AND (day(LogDate) - 1) % 7 = 6 THEN week + 1 ELSE week END AS moved FROM a),
     arrived AS (SELECT *, least(moved, 4) AS part FROM m UNION ALL SELECT *, least(moved + 1, 4) FROM m WHERE LineNo % 5 = 0),
-    seen AS (SELECT p.part, (SELECT date_trunc('hour', max(b.LogDate) - INTERVAL 30 HOUR) FROM arrived b WHERE b.part < p.part) AS cut FROM (SELECT DISTINCT part FROM arrived) p),
+    seen AS (SELECT p.part, (SELECT time_bucket(INTERVAL 6 HOUR, max(b.LogDate) - INTERVAL 30 HOUR) FROM arrived b WHERE b.part < p.part) AS cut FROM (SELECT DISTINCT part FROM arrived) p),
     t AS (SELECT DISTINCT SQLInstanceID, LineNo, LogDate, Text FROM arrived JOIN seen USING (part) WHERE cut IS NULL OR LogDate >= cut),
     h AS (SELECT *, regexp_matches(Text, '(?i)Error:\\s(\\d*).*Severity:\\s(\\d*).*State:\\s(\\d*)') AS hdr,
                  regexp_extract(Text, '(?i)Error:\\s(\\d*).*Severity:\\s(\\d*).*State:\\s(\\d*)', 1) AS num FROM t),
@@ -1770,7 +1770,7 @@ def _parts(lines: DataFrame) -> DataFrame:
     SELECT SQLInstanceID, LogDate AS DateTimeCaptured, prev || ' | ' || Text AS Message FROM p WHERE prev IS NOT NULL
     UNION ALL SELECT SQLInstanceID, LogDate, Text FROM p WHERE NOT hdr AND Text ILIKE 'Process ID%was killed by hostname%'""")
 def _(t):
-    """Five micro-batches with lines that are late, repeated and out of order; final errors and those of the open hours."""
+    """Five micro-batches with lines that are late, repeated and out of order; final errors and those of the open blocks."""
     root = shared_dir(t.spark, "ordered")
     lines = _parts(t.log_lines)
     for part in range(5):

@@ -154,8 +154,8 @@ def test_lines_pair_up_in_any_order(spark, tmp_path):
     got = sorted(map(tuple, final.unionByName(ordered.open_errors(spark, root)).collect()))
     want = sorted(map(tuple, feeds.extract_errors(spark.createDataFrame(lines, LINES)).collect()))
     assert got == want and 0 < final.count() < len(want)
-    kept = [n for n in os.listdir(f"{root}/buffer") if n.startswith("hour_no=")]
-    assert len(kept) < 70  # hours that were final before the last batch are gone
+    kept = [n for n in os.listdir(f"{root}/buffer") if n.startswith("block_no=")]
+    assert len(kept) < 12  # blocks that were final before the last batch are gone
 
 
 def test_slices_can_stop_and_start_again(spark, tmp_path):
