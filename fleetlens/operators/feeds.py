@@ -14,6 +14,7 @@ BS = "\\"
 
 # fixed values: messages that are not worth reporting
 ERRORS_TO_SKIP = ("17187", "35262", "34052")
+# fixed value: form of an error header
 ERROR_HEADER = r"(?i)Error:\s(\d*).*Severity:\s(\d*).*State:\s(\d*)"
 # fixed values: stand-alone lines that are reported without a header
 STANDALONE_PATTERNS = (
@@ -33,10 +34,14 @@ PRODUCT_BY_MAJOR = {
 # fixed values: job run outcome by status code
 RUN_STATUS = {0: "Failed", 1: "Successful", 2: "Retrying", 3: "Cancelled", 4: "Running"}
 
+# fixed value: a database in no availability group
 NO_GROUP_GUID = "00000000-0000-0000-0000-000000000000"
+# fixed values: databases that every instance has
 SYSTEM_DATABASES = ("master", "model", "msdb", "SSISDB")
+# fixed values: properties of the machine, and how many of them must be there
 MACHINE_PROPERTIES = ("EnvironmentType", "MachineType", "ServerType", "ActiveNode")
 REQUIRED_PROPERTIES = 4
+# fixed values: keys of passive nodes
 PASSIVE_KEYS = ("PassiveNode", *(f"PassiveNode{i:02d}" for i in range(2, 9)))
 
 # fixed values: built-in logins and users that access audits leave out
@@ -56,7 +61,9 @@ SYSTEM_GRANTEES = (
     r"NT Service\MSSQLSERVER", r"NT SERVICE\SQLWriter", r"NT SERVICE\Winmgmt", "dbo", "##MS_AgentSigningCertificate##",
     "##MS_PolicyEventProcessingLogin##",
 )
+# fixed values: grants that everyone has
 SERVER_GRANTS_TO_SKIP = ("AUTHENTICATE SERVER", "CONNECT SQL", "CONNECT")
+# fixed values: roles that come with the product
 SYSTEM_ROLES = (
     "PolicyAdministratorRole", "SQLAgentOperatorRole", "UtilityIMRWriter", "UtilityCMRReader", "UtilityIMRReader",
     "TargetServersRole", "SQLAgentUserRole", "dc_operator", "dc_proxy", "dc_admin", "ServerGroupReaderRole",

@@ -106,9 +106,34 @@ def _error_marks(t):
 # ---- sources and sinks ---------------------------------------------------------
 
 @query("s1_read_table", """
-    SELECT DatabaseID, coalesce(FileType, '') AS FileType, DateCaptured, FileSize_mb FROM database_size""")
-def _(t):
-    return tables.conform(t.database_size, "database_size").select("DatabaseID", "FileType", "DateCaptured", "FileSize_mb")
+    SELECT DatabaseID, CASE WHEN DatabaseID % 3 = 0 THEN '' ELSE coalesce(FileType, '') END AS FileType, DateCaptured, FileSize_mb FROM database_size""")
+def _(t):
+    """Stored files of three kinds: without a column and with a narrower type; with more columns and padded text; CSV in another order with lines that cannot be read."""
+    root, size = shared_dir(t.spark, "drift"), t.database_size.select("DatabaseID", "FileType", "DateCaptured", "FileSize_mb")
+    third = F.col("DatabaseID") % 3
+    size.filter(third == 0).select(F.col("FileSize_mb").cast("int"), "DateCaptured", F.col("DatabaseID").cast("int")).write.parquet(f"{root}/one")
+    size.filter(third == 1).withColumns({"FileType": F.rpad("FileType", 12, " "), "Collector": F.lit("x")}).write.parquet(f"{root}/two")
+    size.filter(third == 2).select("DateCaptured", "FileSize_mb", "DatabaseID", "FileType", F.lit(1).alias("Extra")).write.option("header", "true").csv(f"{root}/csv")
+    header = "DateCaptured,FileSize_mb,DatabaseID,FileType,Extra"
+    bad = size.filter(third == 2).select(F.concat_ws(
+        "\n", F.lit(header), F.concat(F.lit("1998-01-01,many,"), "DatabaseID", F.lit(",Data,1")), F.concat(F.lit("1998-01-01,1,"), "DatabaseID", F.lit(",Data,1,2,3"))).alias("value"))
+    bad.write.mode("append").text(f"{root}/csv")
+    kinds = [tables.read_table(t.spark, "database_size", f"{root}/{part}", fmt) for part, fmt in (("one", "parquet"), ("two", "parquet"), ("csv", "csv"))]
+    return reduce(DataFrame.unionByName, kinds)
+
+
+@query("s2_read_versions", """
+    SELECT SQLInstanceID, JobName, CASE WHEN SQLInstanceID % 2 = 0 THEN 'none' ELSE CategoryName END AS CategoryName, ExecutionDateTime,
+           CAST(Duration AS BIGINT) AS Duration, JobStatus, CASE WHEN SQLInstanceID % 2 = 0 THEN 1 ELSE 2 END AS run_id FROM staged_jobs""")
+def _(t):
+    """Runs landed by collectors of two versions: the older one has no category, an int duration and a column that is gone now; run 2 was landed by both."""
+    root, even = shared_dir(t.spark, "versions"), F.col("SQLInstanceID") % 2 == 0
+    old = t.staged_jobs.drop("CategoryName").withColumn("Note", F.lit("old"))
+    tables.land_batch(old.filter(even), root, "jobs", 1, 1)
+    tables.land_batch(old.filter(~even), root, "jobs", 2, 1)
+    tables.land_batch(t.staged_jobs.filter(~even).withColumn("Duration", F.col("Duration").cast("bigint")), root, "jobs", 2, 2)
+    out = tables.read_versions(t.spark, root, "jobs", _STAGED_JOBS.replace("Duration int", "Duration bigint"), {"CategoryName": "none"})
+    return out.withColumn("run_id", F.col("run_id").cast("int"))
 
 
 def _values(rows) -> str:
@@ -695,6 +720,35 @@ def _(t):
     return _shown(merges.merge_database_permissions(t.database_permission, t.staged_database_permission, AS_OF), "PermissionID", t.database_permission)
 
 
+def _named(feed: DataFrame, principals: DataFrame) -> DataFrame:
+    """A grant feed as machines report it: names and types in place of ids, spelt in another way."""
+    for role in ("Grantee", "Grantor"):
+        names = principals.select(F.col("PrincipalID").alias(f"{role}ID"), F.concat(F.upper("PrincipalName"), F.lit(" ")).alias(f"{role}Name"),
+                                  F.col("PrincipalType").alias(f"{role}Type"))
+        feed = feed.join(names, f"{role}ID", "left").drop(f"{role}ID")
+    return feed
+
+
+def _by_name_sql(staged: str, principals: str) -> str:
+    """The staged grants with the least id of all principals of the same name and type."""
+    one = f"(SELECT PrincipalID, min(PrincipalID) OVER (PARTITION BY lower(trim(PrincipalName)), lower(PrincipalType)) AS k FROM {principals})"
+    return f"SELECT f.* REPLACE (a.k AS GranteeID, b.k AS GrantorID) FROM {staged} f LEFT JOIN {one} a ON a.PrincipalID = f.GranteeID LEFT JOIN {one} b ON b.PrincipalID = f.GrantorID"
+
+
+@query("u15_server_permissions_by_name", _archive_sql(
+    "server_permission", "PermissionID", merges.SERVER_GRANT_KEYS, _by_name_sql("staged_server_permission", "server_principals"), "staged_server_permission"))
+def _(t):
+    grants = merges.resolve_grants(_named(t.staged_server_permission, t.server_principals), t.server_principals)
+    return _shown(merges.merge_server_permissions(t.server_permission, grants, AS_OF), "PermissionID", t.server_permission)
+
+
+@query("u16_database_permissions_by_name", _archive_sql(
+    "database_permission", "PermissionID", merges.DATABASE_GRANT_KEYS, _by_name_sql("staged_database_permission", "database_principals"), "staged_database_permission"))
+def _(t):
+    grants = merges.resolve_grants(_named(t.staged_database_permission, t.database_principals), t.database_principals)
+    return _shown(merges.merge_database_permissions(t.database_permission, grants, AS_OF), "PermissionID", t.database_permission)
+
+
 @query("u17_policy_history_load", """
     SELECT * FROM policy_detail WHERE EvaluationDateTime >= TIMESTAMP '2024-01-16 00:00:00'""")
 def _(t):
@@ -1208,17 +1262,19 @@ def _(t):
 
 
 @query("q14_databases", """
-    WITH r AS (SELECT *, row_number() OVER (PARTITION BY DatabaseID, FileType ORDER BY DateCaptured DESC) AS rn FROM database_size),
-    x AS (SELECT i.ServerInstance, i.SQLInstanceEnviornment, v.SQLVersionShortName AS SQLVersion, i.SQLInstanceID, a.ApplicationID, a.ApplicationName, d.DatabaseID, d.DatabaseName,
-           d.DatabaseState, coalesce(r1.FileSize_mb, 0) AS DataFileSize_mb, coalesce(r2.FileSize_mb, 0) AS LogFileSize_mb, coalesce(r3.FileSize_mb, 0) AS pDataFileSize_mb,
-           coalesce(r4.FileSize_mb, 0) AS pLogFileSize_mb, g.AGID, g.AGName AS AvailabilityGroupName, d.DiscoveryOn, d.LastUpdated
-    FROM instance_view i JOIN databases d ON d.SQLInstanceID = i.SQLInstanceID
-    LEFT JOIN r r1 ON r1.DatabaseID = d.DatabaseID AND r1.FileType = 'Data' AND r1.rn = 1 LEFT JOIN r r2 ON r2.DatabaseID = d.DatabaseID AND r2.FileType = 'Log' AND r2.rn = 1
-    LEFT JOIN r r3 ON r3.DatabaseID = d.DatabaseID AND r3.FileType = 'Data' AND r3.rn = 2 LEFT JOIN r r4 ON r4.DatabaseID = d.DatabaseID AND r4.FileType = 'Log' AND r4.rn = 2
-    JOIN sql_versions v ON v.SQLVersionID = i.SQLInstanceVersionID LEFT JOIN application a ON a.ApplicationID = d.ApplicationID
-    LEFT JOIN ag_databases gd ON gd.DatabaseID = d.DatabaseID LEFT JOIN ag_instances gi ON gi.AGInstanceID = gd.AGInstanceID LEFT JOIN availability_groups g ON g.AGID = gi.AGID
-    WHERE NOT EXISTS (SELECT 1 FROM databases_exclusions e WHERE e.DatabaseID = d.DatabaseID AND e.SQLInstanceID = i.SQLInstanceID AND e.DatabaseName = d.DatabaseName))
-    SELECT *, DataFileSize_mb + LogFileSize_mb AS TotalSize_mb, DataFileSize_mb + LogFileSize_mb - pDataFileSize_mb - pLogFileSize_mb AS SizeChange_mb FROM x""")
+    WITH days AS (SELECT *, count(*) OVER (PARTITION BY DatabaseID, FileType ORDER BY DateCaptured DESC ROWS UNBOUNDED PRECEDING) AS back FROM database_size),
+    sizes AS (SELECT DatabaseID, max(FileSize_mb) FILTER (FileType = 'Data' AND back = 1) AS dn, max(FileSize_mb) FILTER (FileType = 'Log' AND back = 1) AS ln,
+                     max(FileSize_mb) FILTER (FileType = 'Data' AND back = 2) AS dp, max(FileSize_mb) FILTER (FileType = 'Log' AND back = 2) AS lp
+              FROM days WHERE back <= 2 GROUP BY 1),
+    groups AS (SELECT gd.DatabaseID, g.AGID, g.AGName FROM ag_databases gd LEFT JOIN ag_instances gi USING (AGInstanceID) LEFT JOIN availability_groups g USING (AGID))
+    SELECT i.ServerInstance, i.SQLInstanceEnviornment, v.SQLVersionShortName AS SQLVersion, i.SQLInstanceID, a.ApplicationID, a.ApplicationName, d.DatabaseID, d.DatabaseName,
+           d.DatabaseState, coalesce(dn, 0) AS DataFileSize_mb, coalesce(ln, 0) AS LogFileSize_mb, coalesce(dp, 0) AS pDataFileSize_mb, coalesce(lp, 0) AS pLogFileSize_mb,
+           x.AGID, x.AGName AS AvailabilityGroupName, d.DiscoveryOn, d.LastUpdated, coalesce(dn, 0) + coalesce(ln, 0) AS TotalSize_mb,
+           coalesce(dn, 0) + coalesce(ln, 0) - coalesce(dp, 0) - coalesce(lp, 0) AS SizeChange_mb
+    FROM databases d JOIN instance_view i ON i.SQLInstanceID = d.SQLInstanceID JOIN sql_versions v ON v.SQLVersionID = i.SQLInstanceVersionID
+    LEFT JOIN sizes z ON z.DatabaseID = d.DatabaseID LEFT JOIN application a ON a.ApplicationID = d.ApplicationID LEFT JOIN groups x ON x.DatabaseID = d.DatabaseID
+    LEFT JOIN databases_exclusions e ON e.DatabaseID = d.DatabaseID AND e.SQLInstanceID = i.SQLInstanceID AND e.DatabaseName = d.DatabaseName
+    WHERE e.DatabaseID IS NULL""")
 def _(t):
     return reports.report_databases(t)
 
@@ -1568,6 +1624,8 @@ class _Stored:
         self.sql_services = _stored_services(t)
         self.extended_properties = _property_names(t)
         self.extended_property_values = _property_values(t)
+        count = F.count(F.lit(1)).cast("string").alias("SettingValue")
+        self.settings = t.raw("events").groupBy(F.concat(F.lit("Events_"), F.col("event_type")).alias("SettingName")).agg(count)
 
     def __getattr__(self, name):
         return getattr(self._t, name)
@@ -1586,6 +1644,11 @@ def _(t):
     return reports.lookup(_Stored(t), "property", ExtendedPropertyName="machinetype")
 
 
+@query("q53_lookup_setting", "SELECT 'Events_' || event_type AS SettingName, CAST(count(*) AS VARCHAR) AS SettingValue FROM events WHERE event_type = 'click' GROUP BY 1")
+def _(t):
+    return reports.lookup(_Stored(t), "setting", SettingName="events_CLICK")
+
+
 @query("q53_lookup_error_mark", "SELECT SQLInstanceID, max(DateTime) AS LastDateTimeCaptured FROM sql_error_log GROUP BY 1")
 def _(t):
     return reports.lookup(t, "error_log_mark")
@@ -1721,7 +1784,7 @@ def _(t):
     return t.spark.read.parquet(f"{root}/errors").select("SQLInstanceID", "DateTimeCaptured", "Message")
 
 
-@query("i1_hourly_counts", """
+@query("i1_final_hours", """
     SELECT SQLInstanceID, date_trunc('hour', LogDate) AS HourStart, date_trunc('hour', LogDate) + INTERVAL 1 HOUR AS HourEnd, count(*) AS LineCount
     FROM log_lines WHERE date_trunc('hour', LogDate) + INTERVAL 1 HOUR <= (SELECT max(LogDate) FROM log_lines) - INTERVAL 30 HOUR GROUP BY 1, 2, 3""")
 def _(t):

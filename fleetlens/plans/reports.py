@@ -63,13 +63,31 @@ def report_application_totals(detail: DataFrame) -> DataFrame:
 
 # ---- configuration health ----------------------------------------------------------
 
+#: Characters at the start of a pattern by which results find it.
+PREFIX = 6
+
+
 def _without_exclusions(summary: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """Drop results whose server and object match an exclusion pattern of the same policy."""
+    """Drop results whose server and object match an exclusion pattern of the same policy.
+
+    Patterns are indexed by how they start: one whose server, else whose object, begins with ``PREFIX`` plain characters is
+    found by equality of policy and start, so a result meets only patterns that can match. Only patterns that
+    start with a wildcard on both sides meet every result of their policy.
+    """
+    def start(pattern: str) -> Column:
+        return F.substring(F.regexp_extract(F.lower(pattern), r"^([^%_\[]*)", 1), 1, PREFIX)
+
     x = exclusions.select(
-        F.col("Policy_ID").alias("_x_policy"), F.col("EvaluatedServer").alias("_x_server"), F.col("ObjectName").alias("_x_object"))
-    return summary.join(
-        x, (F.col("Policy_id") == F.col("_x_policy")) & like_ci("EvaluatedServer", F.col("_x_server"))
-        & like_ci("ObjectName", F.col("_x_object")), "left_anti")
+        F.col("Policy_ID").alias("_x_policy"), F.col("EvaluatedServer").alias("_x_server"), F.col("ObjectName").alias("_x_object"),
+        start("EvaluatedServer").alias("_x_by_server"), start("ObjectName").alias("_x_by_object"))
+    by_server, by_object = F.length("_x_by_server") == PREFIX, F.length("_x_by_object") == PREFIX
+    rows = summary
+    for own, column, key in (
+        (by_server, "EvaluatedServer", "_x_by_server"), (~by_server & by_object, "ObjectName", "_x_by_object"), (~by_server & ~by_object, None, None)):
+        same = F.col("Policy_id") == F.col("_x_policy")
+        same = same & (F.substring(F.lower(column), 1, PREFIX) == F.col(key)) if column else same
+        rows = rows.join(x.filter(own), same & like_ci("EvaluatedServer", F.col("_x_server")) & like_ci("ObjectName", F.col("_x_object")), "left_anti")
+    return rows
 
 
 def report_config_health(

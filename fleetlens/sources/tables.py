@@ -78,34 +78,70 @@ def table_path(root: str, name: str) -> str:
     return os.path.join(root, SCHEMAS[name][0], name)
 
 
-def conform(df: DataFrame, name: str) -> DataFrame:
-    """Cast to the declared schema, add absent columns, apply defaults and drop text padding."""
-    defaults = SCHEMAS[name][2]
+def conform(df: DataFrame, name: str, lenient: bool = False) -> DataFrame:
+    """Cast to the declared schema, add absent columns, apply defaults and drop text padding; ``lenient`` values that cannot be cast are null."""
+    return shaped(df, schema_of(name), SCHEMAS[name][2], lenient)
+
+
+def shaped(df: DataFrame, schema: StructType, defaults: Mapping[str, object], lenient: bool = False) -> DataFrame:
+    there = {c.lower(): c for c in df.columns}
 
     def column(field) -> Column:
-        value = F.col(field.name) if field.name in df.columns else F.lit(None)
-        value = value.cast(field.dataType)
+        value = F.col(f"`{there[field.name.lower()]}`") if field.name.lower() in there else F.lit(None)
+        value = value.try_cast(field.dataType) if lenient else value.cast(field.dataType)
         if field.name in PADDED:
             value = F.rtrim(value)
         if field.name in defaults:
             value = F.coalesce(value, F.lit(defaults[field.name]).cast(field.dataType))
         return value.alias(field.name)
 
-    return df.select(*[column(f) for f in schema_of(name).fields])
+    return df.select(*[column(f) for f in schema.fields])
+
+
+CORRUPT = "_corrupt_record"
+
+
+def _csv_text(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Columns of CSV files as text, by the names in their header, and the whole line of each that does not fit the header."""
+    names = spark.read.options(**options).option("header", "true").csv(path).columns
+    text = StructType.fromDDL(", ".join(f"`{n}` string" for n in (*names, CORRUPT)))
+    return spark.read.schema(text).options(**options).options(header="true", mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning="false").csv(path)
+
+
+def _unreadable(df: DataFrame, schema: StructType) -> Column:
+    """A line that does not fit, or a value that its column cannot hold."""
+    there = {c.lower(): c for c in df.columns}
+    bad = F.col(CORRUPT).isNotNull()
+    for field in schema.fields:
+        if field.name.lower() in there:
+            value = F.col(f"`{there[field.name.lower()]}`")
+            bad = bad | (value.isNotNull() & value.try_cast(field.dataType).isNull())
+    return bad
 
 
 def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """One table with its declared schema; never inferred.
+    """One table with its declared schema, from files that may lack columns, have more, or hold other types.
 
-    ``fmt="jdbc"`` pulls from an existing repository database; pass ``url``, ``dbtable`` and, for a
-    parallel read, ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions``.
+    Parquet files are read by their own schema, JSON by the declared one. CSV columns go by the names in the header; lines that
+    cannot be read are left out, see :func:`rejected_lines`. ``fmt="jdbc"`` pulls from an existing repository
+    database; pass ``url``, ``dbtable`` and, for a parallel read, ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions``.
     """
+    if fmt == "csv":
+        text = _csv_text(spark, path, **options)
+        return conform(text.filter(~_unreadable(text, schema_of(name))), name, lenient=True)
     reader = spark.read.format(fmt).options(**options)
-    if fmt == "jdbc":
-        return conform(reader.load(), name)
+    if fmt in ("jdbc", "parquet"):
+        return conform(reader.load(path) if fmt == "parquet" else reader.load(), name)
     return conform(reader.schema(schema_of(name)).load(path), name)
 
 
+def rejected_lines(spark: SparkSession, name: str, path: str, **options: str) -> DataFrame:
+    """Lines of CSV files that :func:`read_table` leaves out: ``line`` if it does not fit the header, else its ``fields`` as text."""
+    text = _csv_text(spark, path, **options)
+    fields = F.to_json(F.struct(*(F.col(f"`{c}`") for c in text.columns if c != CORRUPT)))
+    return text.filter(_unreadable(text, schema_of(name))).select(F.col(CORRUPT).alias("line"), fields.alias("fields"))
+
+
 # facts and roll-ups stored by period: table -> (partition column, date column it derives from)
 PARTITIONED: dict[str, tuple[str, str | None]] = {
     "database_size": ("yyyymm", "DateCaptured"),
@@ -264,6 +300,25 @@ def read_batch(
     return rows.filter(F.col("run_id") == run_id).drop("run_id")
 
 
+def read_versions(spark: SparkSession, root: str, dataset: str, schema: str, defaults: Mapping[str, object] | None = None, run_id: int | None = None) -> DataFrame:
+    """Staged rows of all schema versions in the present form: each version is read by its own files' schema, then conformed.
+
+    Columns that a version lacks get their default or null; those it alone has are dropped. Only the latest version of a run counts, as a
+    collector that is upgraded between two attempts of a run lands it again.
+    """
+    base = os.path.dirname(staging_path(root, dataset, 0))
+    versions = sorted(int(n.removeprefix("v=")) for n in list_names(spark, base) if n.startswith("v=")) if path_exists(spark, base) else []
+    typed = StructType.fromDDL(schema).add("run_id", LongType())
+    out = spark.createDataFrame([], typed)
+    for version in versions:
+        rows = spark.read.option("mergeSchema", "true").parquet(staging_path(root, dataset, version))
+        rows = rows if run_id is None else rows.filter(F.col("run_id") == run_id)
+        rows = shaped(rows, typed, defaults or {})
+        runs = rows.select("run_id").distinct()
+        out = out.join(runs, "run_id", "left_anti").select(*typed.names).unionByName(rows)
+    return out
+
+
 def clear_batch(spark: SparkSession, root: str, dataset: str, run_id: int, schema_version: int = 1) -> bool:
     """Drop one run's staged rows; other runs are untouched.  Returns whether there was something to drop."""
     return delete_path(spark, os.path.join(staging_path(root, dataset, schema_version), f"run_id={int(run_id)}"))
