@@ -118,7 +118,8 @@ def _(t):
     bad = size.filter(third == 2).select(F.concat_ws(
         "\n", F.lit(header), F.concat(F.lit("1998-01-01,many,"), "DatabaseID", F.lit(",Data,1")), F.concat(F.lit("1998-01-01,1,"), "DatabaseID", F.lit(",Data,1,2,3"))).alias("value"))
     bad.write.mode("append").text(f"{root}/csv")
-    kinds = [tables.read_table(t.spark, "database_size", f"{root}/{part}", fmt) for part, fmt in (("one", "parquet"), ("two", "parquet"), ("csv", "csv"))]
+    kinds = [tables.read_table(t.spark, "database_size", f"{root}/{part}", fmt, **options)
+             for part, fmt, options in (("one", "parquet", {}), ("two", "parquet", {}), ("csv", "csv", {"header": "true"}))]
     return reduce(DataFrame.unionByName, kinds)
 
 

@@ -17,7 +17,7 @@ from fleetlens.functions.columns import date_lit, surrogate_id, yyyymm
 from fleetlens.operators import feeds, lifecycle, merges, policy, rollup
 from fleetlens.plans import snapshot
 from fleetlens.sources.shared import delete_path, shared_dir
-from fleetlens.sources.tables import PARTITIONED, Warehouse, write_partitioned
+from fleetlens.sources.tables import DAILY, PARTITIONED, Warehouse, write_partitioned
 
 
 def previous_month(as_of: dt.date) -> tuple[int, int]:
@@ -29,12 +29,20 @@ def collect_databases(store: Warehouse, batch: DataFrame, as_of: str) -> None:
     """Merge one landed database batch: applications, databases, then sizes of the day."""
     store.save("application", merges.merge_applications(store.application, batch))
     store.save("databases", merges.merge_databases(store.databases, batch, store.application, as_of))
-    store.save("database_size", merges.merge_database_size(_this_month(store, "database_size", as_of), batch, store.databases, as_of))
+    store.save("database_size", merges.merge_database_size(_this_day(store, "database_size", as_of), batch, store.databases, as_of))
 
 
-def _this_month(store: Warehouse, name: str, as_of: str) -> DataFrame:
-    """The month of the day, which is all that a daily merge reads and rewrites."""
-    return store[name].filter(F.col("yyyymm") == int(as_of[:4]) * 100 + int(as_of[5:7])).drop("yyyymm")
+def _this_day(store: Warehouse, name: str, as_of: str) -> DataFrame:
+    """The day's folder, which is all that a daily merge reads and rewrites."""
+    month = F.col("yyyymm") == int(as_of[:4]) * 100 + int(as_of[5:7])
+    return store[name].filter(month & (F.col(DAILY[name]) == date_lit(as_of[:10]))).drop("yyyymm")
+
+
+def _periods_with(store: Warehouse, name: str, keys: list[tuple[DataFrame, str]]) -> list[int]:
+    """Periods of a table that hold one of the keys (tables of one column ``k``); a few dozen at most."""
+    period = PARTITIONED[name][0]
+    hit = [store[name].select(F.col(fk).alias("k"), period).join(k, "k", "left_semi").select(period) for k, fk in keys]
+    return [r[0] for r in reduce(DataFrame.unionAll, hit).distinct().collect()]
 
 
 def collect_hosts(store: Warehouse, feed: Mapping[str, DataFrame], as_of: str) -> None:
@@ -53,11 +61,12 @@ def collect_hosts(store: Warehouse, feed: Mapping[str, DataFrame], as_of: str) -
         decisions = merges.attribute_volumes(feed["volumes"], store.disk_volumes, store.sql_cluster_nodes, feed["folders"])
         dropped = merges.dropped_volumes(store.disk_volumes, decisions)
         for name in ("disk_volume_space", "volume_monthly"):
-            if store.periods(name) and not dropped.isEmpty():
-                store.save(name, merges.drop_volume_rows(store[name].drop("yyyymm"), dropped))
+            for period in _periods_with(store, name, [(dropped.select(F.col("DiskVolumeID").alias("k")), "DiskVolumeID")]):
+                rows = store[name].filter(F.col(PARTITIONED[name][0]) == period).drop("yyyymm")
+                store.rewrite_period(name, period, merges.drop_volume_rows(rows, dropped))
         store.save("disk_volumes", merges.apply_volume_decisions(store.disk_volumes, decisions, as_of))
     if "volume_space" in feed:
-        space = _this_month(store, "disk_volume_space", as_of)
+        space = _this_day(store, "disk_volume_space", as_of)
         store.save("disk_volume_space", merges.volume_space_daily(space, feed["volume_space"], as_of))
 
 
@@ -226,6 +235,13 @@ def purge_partitioned(store: Warehouse, name: str, dataset: str, settings: Mappi
     if key == "YearMonth" or cut not in store.periods(name):
         return
     date_col = PARTITIONED[name][1]
+    if name in DAILY:
+        days = store.days(name, cut)
+        kept = rule(store.spark.createDataFrame([(d,) for d in days], "d string").select(F.to_date("d").alias(date_col)), as_of, n, unit, date_col=date_col)
+        left = {str(r[0]) for r in kept.collect()}  # 31 at most
+        for gone in set(days) - left:
+            store.drop_day(name, cut, gone)
+        return
     rows = store[name].filter(F.col(key) == cut).drop(key)
     extra = {"date_col": date_col} if rule is lifecycle.purge_raw else {}
     survivors = rule(rows, as_of, n, unit, **extra)
@@ -293,14 +309,7 @@ def purge_expired_objects(store: Warehouse, settings: Mapping[str, str], as_of:
             store.save(name, lifecycle.cascade(name, store[name], gone))
             continue
         period = PARTITIONED[name][0]
-        hit = reduce(DataFrame.unionAll, [
-            store[name].select(F.col(fk).alias("k"), period).join(gone[p], "k", "left_semi").select(period) for p, fk in touching]).distinct()
-        for value in [r[0] for r in hit.collect()]:  # a few dozen at most
-            left = lifecycle.cascade(name, store[name].filter(F.col(period) == value), gone)
-            left = left if period == "YearMonth" else left.drop(period)
-            if left.isEmpty():
-                store.drop_period(name, value)
-            else:
-                store.save(name, left)
+        for value in _periods_with(store, name, [(gone[p], fk) for p, fk in touching]):
+            store.rewrite_period(name, value, lifecycle.cascade(name, store[name].filter(F.col(period) == value), gone).drop("yyyymm"))
     for name, keys in gone.items():
         delete_path(store.spark, keys.inputFiles()[0].rsplit("/", 1)[0])

@@ -101,11 +101,12 @@ def shaped(df: DataFrame, schema: StructType, defaults: Mapping[str, object], le
 CORRUPT = "_corrupt_record"
 
 
-def _csv_text(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Columns of CSV files as text, by the names in their header, and the whole line of each that does not fit the header."""
-    names = spark.read.options(**options).option("header", "true").csv(path).columns
+def _csv_text(spark: SparkSession, name: str, path: str, **options: str) -> DataFrame:
+    """Columns of CSV files as text, and the whole line of each that does not fit; named by the header if there is one, else as declared."""
+    named = str(options.get("header", "false")).lower() == "true"
+    names = spark.read.options(**options).csv(path).columns if named else schema_of(name).names
     text = StructType.fromDDL(", ".join(f"`{n}` string" for n in (*names, CORRUPT)))
-    return spark.read.schema(text).options(**options).options(header="true", mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning="false").csv(path)
+    return spark.read.schema(text).options(**options).options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning="false").csv(path)
 
 
 def _unreadable(df: DataFrame, schema: StructType) -> Column:
@@ -122,12 +123,12 @@ def _unreadable(df: DataFrame, schema: StructType) -> Column:
 def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """One table with its declared schema, from files that may lack columns, have more, or hold other types.
 
-    Parquet files are read by their own schema, JSON by the declared one. CSV columns go by the names in the header; lines that
-    cannot be read are left out, see :func:`rejected_lines`. ``fmt="jdbc"`` pulls from an existing repository
+    Parquet files are read by their own schema, JSON by the declared one. CSV columns go by the names in the header
+    (``header="true"``), else by their places; lines that cannot be read are left out, see :func:`rejected_lines`. ``fmt="jdbc"`` pulls from an existing repository
     database; pass ``url``, ``dbtable`` and, for a parallel read, ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions``.
     """
     if fmt == "csv":
-        text = _csv_text(spark, path, **options)
+        text = _csv_text(spark, name, path, **options)
         return conform(text.filter(~_unreadable(text, schema_of(name))), name, lenient=True)
     reader = spark.read.format(fmt).options(**options)
     if fmt in ("jdbc", "parquet"):
@@ -137,7 +138,7 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet",
 
 def rejected_lines(spark: SparkSession, name: str, path: str, **options: str) -> DataFrame:
     """Lines of CSV files that :func:`read_table` leaves out: ``line`` if it does not fit the header, else its ``fields`` as text."""
-    text = _csv_text(spark, path, **options)
+    text = _csv_text(spark, name, path, **options)
     fields = F.to_json(F.struct(*(F.col(f"`{c}`") for c in text.columns if c != CORRUPT)))
     return text.filter(_unreadable(text, schema_of(name))).select(F.col(CORRUPT).alias("line"), fields.alias("fields"))
 
@@ -160,6 +161,10 @@ PARTITIONED: dict[str, tuple[str, str | None]] = {
 }
 
 
+# daily facts: below its month each day has a folder of its own, so a day's merge rewrites that day and a purge drops folders
+DAILY: dict[str, str] = {"database_size": "DateCaptured", "disk_volume_space": "DateCaptured"}
+
+
 class Warehouse:
     """Stored tables as attributes, the form every report and merge accepts.
 
@@ -197,11 +202,11 @@ class Warehouse:
         return self[name]
 
     def save(self, name: str, df: DataFrame) -> None:
-        """Store a table; of a partitioned one only the periods that ``df`` contains."""
+        """Store a table; of a partitioned one only the periods, of a daily one only the days that ``df`` contains."""
         rows = conform(df, name)
         if name in PARTITIONED:
             key, date_col = PARTITIONED[name]
-            write_partitioned(rows, self.path(name), (key,), date_col or key)
+            write_partitioned(rows, self.path(name), (key, *filter(None, [DAILY.get(name)])), date_col or key)
         else:
             replace_table(rows, self.path(name))
 
@@ -220,8 +225,30 @@ class Warehouse:
             return []
         return sorted(int(d.removeprefix(key)) for d in list_names(self.spark, path) if d.startswith(key))
 
+    def days(self, name: str, period: int) -> list[str]:
+        """Stored days of a daily table's month, from the folder names."""
+        key, path = DAILY[name] + "=", self._period_path(name, period)
+        return sorted(d.removeprefix(key) for d in list_names(self.spark, path) if d.startswith(key)) if path_exists(self.spark, path) else []
+
+    def drop_day(self, name: str, period: int, day: str) -> None:
+        delete_path(self.spark, os.path.join(self._period_path(name, period), f"{DAILY[name]}={day}"))
+
+    def rewrite_period(self, name: str, period: int, rows: DataFrame) -> None:
+        """Replace all rows of a period by ``rows`` of it, which may be none."""
+        if rows.isEmpty():
+            self.drop_period(name, period)
+            return
+        left = {str(r[0]) for r in rows.select(DAILY[name]).distinct().collect()} if name in DAILY else set()  # 31 at most
+        self.save(name, rows)
+        for day in self.days(name, period) if name in DAILY else ():
+            if day not in left:
+                self.drop_day(name, period, day)
+
+    def _period_path(self, name: str, period: int) -> str:
+        return os.path.join(self.path(name), f"{PARTITIONED[name][0]}={int(period)}")
+
     def drop_period(self, name: str, period: int) -> None:
-        delete_path(self.spark, os.path.join(self.path(name), f"{PARTITIONED[name][0]}={int(period)}"))
+        delete_path(self.spark, self._period_path(name, period))
 
 
 # ---- writes ----------------------------------------------------------------------

@@ -190,3 +190,24 @@ def test_folds_are_few_and_readers_finish(spark, tmp_path):
     assert sorted(r.k for r in compaction.read_folded(spark, path, schema).collect()) == [b * 10 + i for b in range(20) for i in range(4)]
     assert most <= 8 and len([n for n in os.listdir(path) if n.startswith("batch_id=")]) <= 5
     assert incremental.job_history is not None and pytest is not None
+
+
+def test_a_day_rewrites_its_folder_only(spark, tmp_path):
+    store = tables.Warehouse(spark, str(tmp_path))
+    store.save("databases", spark.createDataFrame([(k, 1, f"d{k}", True) for k in (1, 2)], "DatabaseID bigint, SQLInstanceID bigint, DatabaseName string, IsMonitored boolean"))
+    feed = lambda mb: spark.createDataFrame([(1, f"d{k}", "Data", mb + k) for k in (1, 2)], "SQLInstanceID bigint, DatabaseName string, FileType string, FileSize_mb bigint")
+    save = lambda day, mb: store.save("database_size", merges.merge_database_size(daily._this_day(store, "database_size", day), feed(mb), store.databases, day))
+    for day, mb in (("2024-01-30", 10), ("2024-01-31", 20), ("2024-02-01", 30)):
+        save(day, mb)
+    folder = lambda day: os.path.join(store.path("database_size"), "yyyymm=202401", f"DateCaptured={day}")
+    before = sorted(os.listdir(folder("2024-01-30")))
+    save("2024-01-31", 50)
+    assert sorted(os.listdir(folder("2024-01-30"))) == before
+    assert sorted((r.DatabaseID, str(r.DateCaptured), r.FileSize_mb) for r in store.database_size.collect()) == [
+        (1, "2024-01-30", 11), (1, "2024-01-31", 51), (1, "2024-02-01", 31), (2, "2024-01-30", 12), (2, "2024-01-31", 52), (2, "2024-02-01", 32)]
+    plan = daily._this_day(store, "database_size", "2024-01-31")._jdf.queryExecution().executedPlan().toString()
+    assert "DateCaptured" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    daily.purge_partitioned(store, "database_size", "raw_data", {"RawData_CleanUp_Enabled": "1", "RawData_CleanUp_Retention_Days": "1"}, "2024-01-31")
+    assert store.days("database_size", 202401) == ["2024-01-31"] and store.database_size.count() == 4
+    store.rewrite_period("database_size", 202401, store.database_size.filter("yyyymm = 202401 and DatabaseID = 9").drop("yyyymm"))
+    assert store.periods("database_size") == [202402]
