@@ -52,8 +52,8 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-#: Trusted ids broadcast at once (8 bytes each and as much for their table), and blocks of them before a shuffle join is cheaper.
-BLOCK_IDS, MOST_BLOCKS = 2_000_000, 8
+#: Trusted ids broadcast at once (about 70 bytes each as a join table, so some 35 MB), and blocks of them before a shuffle join takes over.
+BLOCK_IDS, MOST_BLOCKS = 500_000, 16
 
 
 def buckets_of(text: Column, buckets: int) -> Column:

@@ -44,7 +44,7 @@ def plain_scores(rows, trusted):
         yield doc_id, sum(weight[b] for b in found) / len(found) if found else 0.0
 
 
-@pytest.mark.parametrize(("block_ids", "most_blocks"), [(2_000_000, 8), (7, 50), (7, 1)])
+@pytest.mark.parametrize(("block_ids", "most_blocks"), [(500_000, 16), (7, 50), (7, 1)])
 def test_scores_equal_a_plain_version(spark, monkeypatch, block_ids, most_blocks):
     from fleetlens.llm import quality_rules as module
 
