@@ -1,12 +1,12 @@
-"""Removal of repeated byte strings with a logarithmic family of sparse suffix arrays.
+"""Removal of repeated byte strings with a logarithmic family of indexes of minimiser units.
 
 Of every ``length`` bytes the least ``ANCHOR``-byte string by hash is the anchor, so equal strings of that length have equal
-anchors at equal places. The window starts that share an anchor form a unit. A suffix array here holds the units of a set of
-documents in the order of names (hashes of the anchor and of the unit's bytes, in the manner of Karp, Miller and Rosenberg)
-instead of byte order: equal strings are neighbours all the same, and an entry takes 24 bytes instead of the text.
+anchors at equal places. The window starts that share an anchor form a unit. An index holds the units of a set of
+documents by names (hashes of the anchor and of the unit's bytes), 24 bytes an entry. It takes the place of a suffix array: there
+are no suffixes, no byte order and no common-prefix lengths in it, and matches are found by equality of names.
 
-Documents come in batches of ascending ids. A batch gets its own suffix array, which is merge-scanned against the levels
-stored so far; what no level holds becomes a new array of level 0, and two arrays of one level are merged into one of the
+Documents come in batches of ascending ids. A batch gets its own index, which is joined with the levels stored so far;
+what no level holds becomes a new index of level 0, and two indexes of one level are merged into one of the
 next. A unit found before is removed with all its bytes. Where an anchor stands in different units, a match begins or ends
 inside a unit; the windows of these units are sorted and compared on their own: within one task for the units of an anchor,
 or, where an anchor has more than ``GROUP`` different units, spread over all tasks by the names of the windows.
@@ -125,7 +125,7 @@ def unit_table(docs: DataFrame, length: int) -> DataFrame:
 
 
 class Levels:
-    """The index family: at most one suffix array per level, each ``anchor, name, first, repeated`` sorted by names."""
+    """The index family: at most one index per level, each ``anchor, name, first, repeated``; each task's part is sorted by names."""
 
     def __init__(self) -> None:
         self.arrays: dict[int, tuple[DataFrame, str]] = {}
