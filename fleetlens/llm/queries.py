@@ -121,4 +121,49 @@ SELECT doc_id, count(*) AS n_lines, CAST(coalesce(sum(CASE WHEN gone THEN 1 END)
 FROM judged GROUP BY doc_id
 """
 
-ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL}
+OP11_SQL = """
+WITH RECURSIVE given AS (
+  SELECT doc_id, source, text, concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+    xor(list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda a, e: CASE WHEN xor(a, e) % 2 = 1 THEN xor(xor(a, e) // 2, 3988292384::UBIGINT) ELSE xor(a, e) // 2 END), 4294967295::UBIGINT) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN crc % 5 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS forged
+  FROM given),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n FROM leaves),
+nodes AS (
+  SELECT tree, 0 AS level, pos, leaf AS digest, n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 16),
+subroots AS (SELECT tree, digest AS subroot FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, tree AS pos, subroot AS digest, (SELECT count(*) FROM subroots) AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM tops WHERE n > 1 GROUP BY level, pos // 16),
+roots AS (SELECT digest AS root FROM tops WHERE n = 1),
+inner_steps AS (
+  SELECT p.tree, p.pos, l.level, coalesce(string_agg(k.digest, '' ORDER BY k.pos) FILTER (k.pos < p.pos // CAST(16 ** l.level AS BIGINT)), '') AS before,
+    coalesce(string_agg(k.digest, '' ORDER BY k.pos) FILTER (k.pos > p.pos // CAST(16 ** l.level AS BIGINT)), '') AS after
+  FROM placed p JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) l ON l.tree = p.tree
+  JOIN nodes k ON k.tree = p.tree AND k.level = l.level AND k.pos // 16 = p.pos // CAST(16 ** (l.level + 1) AS BIGINT) GROUP BY ALL),
+outer_steps AS (
+  SELECT s.tree, 100 + l.level AS level, coalesce(string_agg(k.digest, '' ORDER BY k.pos) FILTER (k.pos < s.tree // CAST(16 ** l.level AS BIGINT)), '') AS before,
+    coalesce(string_agg(k.digest, '' ORDER BY k.pos) FILTER (k.pos > s.tree // CAST(16 ** l.level AS BIGINT)), '') AS after
+  FROM subroots s CROSS JOIN (SELECT DISTINCT level FROM tops WHERE n > 1) l
+  JOIN tops k ON k.level = l.level AND k.pos // 16 = s.tree // CAST(16 ** (l.level + 1) AS BIGINT) GROUP BY s.tree, l.level),
+steps AS (
+  SELECT tree, pos, list(before || '|' || after ORDER BY level) AS ups, string_agg(before || after, '' ORDER BY level) AS proof
+  FROM (SELECT * FROM inner_steps UNION ALL SELECT o.tree, p.pos, o.level, o.before, o.after FROM outer_steps o JOIN placed p USING (tree)) x GROUP BY 1, 2),
+folded AS (
+  SELECT p.*, coalesce(s.proof, '') AS proof, list_reduce(list_concat([coalesce(forged, leaf)], coalesce(s.ups, [])),
+    lambda v, u: sha256(split_part(u, '|', 1) || v || split_part(u, '|', 2))) AS folded_root
+  FROM placed p LEFT JOIN steps s USING (tree, pos))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folded JOIN subroots USING (tree) CROSS JOIN roots
+"""
+
+ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op11_merkle_manifest": OP11_SQL}
