@@ -166,4 +166,31 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root,
 FROM folded JOIN subroots USING (tree) CROSS JOIN roots
 """
 
-ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op11_merkle_manifest": OP11_SQL}
+OP12_SQL = """
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents) r
+  WHERE length(run) >= 5 GROUP BY 1, 2),
+summed AS (
+  SELECT run, k, xor(list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(range(0, length(code), 2), lambda i: [
+      CAST('0x' || substring(code, i + 1, 2) AS UBIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, e: CASE WHEN xor(a, e) % 2 = 1 THEN xor(xor(a, e) // 2, 3988292384::UBIGINT) ELSE xor(a, e) // 2 END), 4294967295::UBIGINT) AS h
+  FROM (SELECT run, k, hex(encode(doc_id || ':' || run)) AS code FROM runs) x),
+words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT k, CASE WHEN h % 97 = 0 THEN substring(run, 1, CAST(h % length(run) AS BIGINT)) || substring(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM summed) x
+  WHERE length(word) >= 5 GROUP BY 1 HAVING sum(k) >= 3),
+cuts AS (SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words) x),
+pairs AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n FROM cuts a JOIN cuts b ON b.rest = a.rest AND b.i = a.i AND b.word <> a.word
+  UNION SELECT DISTINCT a.word, b.word, b.n FROM cuts a JOIN words b ON b.word = a.rest
+  UNION SELECT DISTINCT b.word, a.word, a.n FROM cuts a JOIN words b ON b.word = a.rest),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n FROM pairs GROUP BY 1),
+forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+chain AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.next)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM chain WHERE next IS NULL) c USING (word)
+"""
+
+ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op11_merkle_manifest": OP11_SQL, "op12_spelling_variants": OP12_SQL}
