@@ -193,4 +193,19 @@ chain AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT c.
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM chain WHERE next IS NULL) c USING (word)
 """
 
-ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op11_merkle_manifest": OP11_SQL, "op12_spelling_variants": OP12_SQL}
+OP7_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS words
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS shingles FROM split),
+each AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b ON b.shingle = a.shingle AND b.doc_id <> a.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reached AS (SELECT doc_id, doc_id AS node FROM sets UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.node)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id FROM sets JOIN (SELECT doc_id, min(node) AS component_id FROM reached GROUP BY 1) c USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op7_ngram_join": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op12_spelling_variants": OP12_SQL}
