@@ -44,8 +44,8 @@ def shapes(lengths: Sequence[int], share: float) -> list[tuple[int, str]]:
     return [*enumerate(MASKS), *short]
 
 
-def seeds(rows: DataFrame, masks: Sequence[tuple[int, str]]) -> DataFrame:
-    """One row per mask and position of the word hashes ``h``: ``seed``, ``shape``, ``at`` (0-based) and the words around as ``c0, c1, ...``.
+def seeds(rows: DataFrame, masks: Sequence[tuple[int, str]], named: bool = False) -> DataFrame:
+    """One row per mask and position of the word hashes ``h``: ``seed``, ``at`` (0-based) and the words around as ``c0, c1, ...``; with ``named`` also ``shape``.
 
     The context reaches from ``BEFORE`` words before the seed to ``WINDOW`` words after its start, null outside the text. It
     travels as plain columns, so that a row has a fixed size whatever the length of its text.
@@ -58,15 +58,20 @@ def seeds(rows: DataFrame, masks: Sequence[tuple[int, str]]) -> DataFrame:
     names = [f"c{k}" for k in range(REACH)]
     own = [c for c in rows.columns if c != "h"]
     spread = padded.select(*own, "words", F.inline(F.arrays_zip(*parts)).alias(*names, "at"))
-    keys = [F.when(F.col("at") + len(mask) <= F.col("words"), F.struct(
-        F.xxhash64(F.lit(name), *(f"c{BEFORE + k}" for k in range(len(mask)) if mask[k] == "1")).alias("seed"), F.lit(name).alias("shape")))
-        for name, mask in masks]
-    return spread.select(*own, "at", *names, F.explode(F.array(*keys)).alias("key")).filter("key is not null").select(*own, "at", *names, "key.*")
+
+    def key(name: int, mask: str) -> Column:
+        seed = F.xxhash64(F.lit(name), *(f"c{BEFORE + k}" for k in range(len(mask)) if mask[k] == "1"))
+        seed = F.struct(seed.alias("seed"), F.lit(name).alias("shape")) if named else seed
+        return seed if len(mask) == least else F.when(F.col("at") + len(mask) <= F.col("words"), seed)
+
+    keys = spread.select(*own, "at", *names, F.explode(F.array(*(key(*m) for m in masks))).alias("seed"))
+    keys = keys if all(len(mask) == least for _, mask in masks) else keys.filter("seed is not null")
+    return keys.select(*own, "at", *names, "seed.*") if named else keys
 
 
 def postings(items: DataFrame, masks: Sequence[tuple[int, str]]) -> DataFrame:
     """Seeds of the items ``item_id, h``; the context columns are ``i0, i1, ...``."""
-    found = seeds(items.withColumn("width", F.least(F.size("h"), F.lit(WINDOW))), masks)
+    found = seeds(items.withColumn("width", F.least(F.size("h"), F.lit(WINDOW))), masks, named=True)
     whole = (F.col("at") == 0) & (F.floor(F.col("shape") / 16) == F.col("width"))
     own = found.filter(F.when(F.col("width") < WINDOW, whole).otherwise(F.col("shape") < len(MASKS)))
     return own.select("seed", "item_id", "width", *(F.col(f"c{k}").alias(f"i{k}") for k in range(REACH))).distinct()
