@@ -397,6 +397,39 @@ def test_volume_ownership(make, rows):
     assert merges.drop_volume_rows(space, gone).count() == 1
 
 
+def join_rows(df):
+    """Rows out of the largest join of a query, as it ran."""
+    df.collect()
+    open_, most = [df._jdf.queryExecution().executedPlan()], 0
+    while open_:
+        node = open_.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            open_.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            open_.append(node.plan())
+        else:
+            open_ += [node.children().apply(i) for i in range(node.children().size())]
+            if "Join" in kind:
+                most = max(most, node.metrics().apply("numOutputRows").value())
+    return most
+
+
+def test_cluster_volumes_do_not_meet_all_nodes(make, rows):
+    n, old = 300, D(2001, 1, 1)
+    vol = "DiskVolumeID bigint, DiskVolumeName string, ServerID bigint, SQLClusterID int, IsMonitored boolean, DiscoveryOn date, LastUpdated date"
+    volumes = make([(i, f"v{i}:", None, 5, True, old, old) for i in range(n)] + [(n, "g:", None, 6, True, old, old)], vol)
+    nodes = make([(5, i) for i in range(n)] + [(6, 0), (6, 0)], "SQLClusterID int, SQLNodeID bigint")
+    feed = make([(i, 5, "C:") for i in range(n)] + [(i, 5, f"v{i}:") for i in range(n)] + [(0, 5, "G:\\"), (0, 6, "g:"), (1, 5, "g:"), (None, 6, "g:"), (0, None, "g:"), (0, 5, None)],
+                "ServerID bigint, SQLClusterID int, Name string")
+    decided = merges.attribute_volumes(feed, volumes, nodes, make([], "SQLClusterID int, FolderName string"))
+    assert join_rows(decided) <= feed.count()
+    out = rows(decided.filter("DiskVolumeName = 'g:' or DiskVolumeName is null"), "ServerID", "SQLClusterID", "DiskVolumeName", "Action")
+    assert out == [(0, 5, "g:", "skip"), (0, 5, None, "insert_server"), (0, 6, "g:", "keep_cluster"), (0, None, "g:", "insert_server"),
+                   (1, 5, "g:", "insert_server"), (None, 6, "g:", "keep_cluster")]
+    assert decided.filter("Action = 'keep_cluster'").count() == n + 2
+
+
 def test_space_blend(make, rows):
     space = make([(1, D(2001, 10, 15), 10, 100)], "DiskVolumeID bigint, DateCaptured date, SpaceUsed_mb bigint, TotalSpace_mb bigint")
     mb = 1024 * 1024
