@@ -430,6 +430,20 @@ def test_cluster_volumes_do_not_meet_all_nodes(make, rows):
     assert decided.filter("Action = 'keep_cluster'").count() == n + 2
 
 
+def test_volume_decisions_apply_without_meeting_all_nodes(make, rows):
+    n, old = 300, D(2001, 1, 1)
+    vol = "DiskVolumeID bigint, DiskVolumeName string, ServerID bigint, SQLClusterID int, IsMonitored boolean, DiscoveryOn date, LastUpdated date"
+    volumes = make([(i, f"v{i}:", None, 5, True, old, old) for i in range(n)], vol)
+    nodes = make([(5, i) for i in range(n)], "SQLClusterID int, SQLNodeID bigint")
+    feed = make([(i, 5, f"v{i + 1}:") for i in range(n)], "ServerID bigint, SQLClusterID int, Name string")
+    after = merges.apply_volume_decisions(
+        volumes, merges.attribute_volumes(feed, volumes, nodes, make([], "SQLClusterID int, FolderName string")), "2001-10-15")
+    assert join_rows(after) <= 2 * n
+    assert after.count() == n + 1
+    assert rows(after.filter("ServerID is not null"), "DiskVolumeName", "ServerID", "SQLClusterID") == [(f"v{n}:", n - 1, None)]
+    assert after.filter("LastUpdated = date '2001-10-15'").count() == n  # v0 was reported by nobody
+
+
 def test_space_blend(make, rows):
     space = make([(1, D(2001, 10, 15), 10, 100)], "DiskVolumeID bigint, DateCaptured date, SpaceUsed_mb bigint, TotalSpace_mb bigint")
     mb = 1024 * 1024
