@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.columns import (
     apply_filters, ci_eq, date_lit, edition_label, like_ci, ts_lit, unless_all, version_family, yyyymm,
 )
+from fleetlens.functions.shuffles import dealt
 from fleetlens.functions.windows import latest_by
 from fleetlens.operators import rollup, views
 from fleetlens.operators.licence import license_details
@@ -141,8 +142,15 @@ def report_database_growth_monthly(
 
 
 def pivot_file_types(growth: DataFrame, period: str) -> DataFrame:
-    """Data and log size side by side per database and period."""
-    return growth.groupBy("DatabaseID", period).pivot("FileType", ["Data", "Log"]).agg(F.sum("FileSize_mb"))
+    """Data and log size side by side per database and period.
+
+    Sums by condition: ``pivot`` would first aggregate per file type too, in hash tables of nearly every row.
+    There is about one row per file type and group, so rows are dealt before the sum.
+    """
+    def total(kind: str) -> Column:
+        return F.sum(F.when(F.col("FileType") == kind, F.col("FileSize_mb"))).alias(kind)
+
+    return dealt(growth, "DatabaseID", period).groupBy("DatabaseID", period).agg(total("Data"), total("Log"))
 
 
 def report_database_info(t, *, database_id: int | None = None) -> DataFrame:

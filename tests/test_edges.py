@@ -430,6 +430,23 @@ def test_cluster_volumes_do_not_meet_all_nodes(make, rows):
     assert decided.filter("Action = 'keep_cluster'").count() == n + 2
 
 
+def shuffled_before_aggregation(df):
+    """Whether nothing is aggregated ahead of a query's only shuffle; ``df`` must not have run."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange") == 1 and plan.rindex("Aggregate") < plan.rindex("Exchange")
+
+
+def test_growth_pivot_aggregates_once(make, rows):
+    a, b = D(2001, 1, 1), D(2001, 1, 2)
+    growth = make([(1, a, "Data", 5), (1, a, "Data", 2), (1, a, "Log", 3), (1, b, "Log", None), (2, a, "Index", 9), (None, a, "Log", 4), (2, None, "Data", 1),
+                   (3, a, None, 8)], "DatabaseID bigint, DateCaptured date, FileType string, FileSize_mb bigint")
+    out = reports.pivot_file_types(growth, "DateCaptured")
+    assert out.schema.simpleString() == "struct<DatabaseID:bigint,DateCaptured:date,Data:bigint,Log:bigint>"
+    assert rows(out, "DatabaseID", "DateCaptured", "Data", "Log") == [
+        (1, a, 7, 3), (1, b, None, None), (2, a, None, None), (2, None, 1, None), (3, a, None, None), (None, a, None, 4)]
+    assert shuffled_before_aggregation(out)
+
+
 def test_volume_decisions_apply_without_meeting_all_nodes(make, rows):
     n, old = 300, D(2001, 1, 1)
     vol = "DiskVolumeID bigint, DiskVolumeName string, ServerID bigint, SQLClusterID int, IsMonitored boolean, DiscoveryOn date, LastUpdated date"
