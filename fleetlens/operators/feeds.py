@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import DEFAULT_INSTANCE, apply_filters, as_col, ci, idiv, like_ci, ts_lit
+from fleetlens.functions.shuffles import dealt
 from fleetlens.functions.windows import hour_slice, month_slice, sliced_lag
 
 BS = "\\"
@@ -325,11 +326,12 @@ def pivot_properties(kv: DataFrame) -> DataFrame:
     """One row per instance: machine properties and custom ones as maps.
 
     ``IsComplete`` is false when fewer than four machine properties were found.
-    A property name occurs once per instance, so a map is bounded by the number of names.
+    A property name occurs once per instance, so a map is bounded by the number of names, and rows
+    are dealt by instance before anything is aggregated.
     """
     machine = is_machine_property(F.col("PropertyName"))
     entry = F.struct("PropertyName", "PropertyValue")
-    one = kv.groupBy("SQLInstanceID", "PropertyName").agg(F.max("PropertyValue").alias("PropertyValue"))
+    one = dealt(kv, "SQLInstanceID").groupBy("SQLInstanceID", "PropertyName").agg(F.max("PropertyValue").alias("PropertyValue"))
 
     def as_map(test: Column) -> Column:
         return F.map_from_entries(F.array_sort(F.collect_list(F.when(test, entry))))

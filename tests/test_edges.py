@@ -242,6 +242,17 @@ def test_incomplete_properties_and_passive_nodes(make):
     assert got == [(1, "n1.d", True), (2, "a.x", True), (2, "b.d", False)]
 
 
+KV = "SQLInstanceID bigint, PropertyName string, PropertyValue string"
+
+
+def test_properties_are_dealt_before_they_are_aggregated(make):
+    kv = make([(1, "ActiveNode", "a"), (1, "ActiveNode", "b"), (1, "Team", None), (1, None, "x"), (None, "ServerType", "s")], KV)
+    out = feeds.pivot_properties(kv.filter("PropertyName is not null"))
+    assert shuffled_before_aggregation(out)
+    got = {r.SQLInstanceID: (r.MachineProperties, r.CustomProperties, r.IsComplete) for r in out.collect()}
+    assert got == {1: ({"ActiveNode": "b"}, {"Team": None}, False), None: ({"ServerType": "s"}, {}, False)}
+
+
 # ---- policy documents -------------------------------------------------------------------
 
 HISTORY = f"PolicyHistoryID bigint, EvaluatedServer string, EvaluationDateTime {NTZ}, EvaluatedPolicy string, EvaluationResults string"
