@@ -253,6 +253,13 @@ def test_properties_are_dealt_before_they_are_aggregated(make):
     assert got == {1: ({"ActiveNode": "b"}, {"Team": None}, False), None: ({"ServerType": "s"}, {}, False)}
 
 
+def test_cluster_nodes_are_dealt_before_they_are_aggregated(make, rows):
+    kv = make([(1, "ActiveNode", "A"), (1, "PassiveNode", "B"), (1, "PassiveNode", "C"), (None, "ActiveNode", "z.y")], KV)
+    out = feeds.cluster_nodes(feeds.pivot_properties(kv), "d")
+    assert rows(out, "SQLInstanceID", "NodeName", "IsActiveNode") == [(1, "a.d", True), (1, "c.d", False), (None, "z.y", True)]
+    assert shuffled_before_aggregation(out)
+
+
 # ---- policy documents -------------------------------------------------------------------
 
 HISTORY = f"PolicyHistoryID bigint, EvaluatedServer string, EvaluationDateTime {NTZ}, EvaluatedPolicy string, EvaluationResults string"
