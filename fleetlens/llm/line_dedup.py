@@ -89,8 +89,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
 
 
 def _without(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    rows = keyed(docs)
-    joined = rows.join(drops, ["doc_id", "text_hash"], "left").withColumn("lines", F.split("text", "\n"))
+    """The rows of ``docs`` without the lines at the positions in ``drops``.
+
+    Texts are shuffled to their drops, once, within ``row``. The join is a merge join at every size, so that disk grows
+    with the input and not by a step where the drops get too large to broadcast.
+    """
+    rows = keyed(docs).select("row", "doc_id", "text_hash")
+    joined = rows.join(drops.hint("merge"), ["doc_id", "text_hash"], "left")
+    joined = joined.withColumn("text", F.coalesce(F.col("row")["text"], F.lit(""))).withColumn("lines", F.split("text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
     out = joined.select(
         "row",

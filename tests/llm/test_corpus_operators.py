@@ -187,6 +187,28 @@ def test_lines_equal_brute_force(spark, batches):
     assert set(got.columns) == {"doc_id", "text", *CLASHES, "n_lines", "n_dropped", "kept_text"}
 
 
+def test_texts_meet_dropped_lines_in_a_shuffle_at_any_size(spark):
+    line = "a line that is long enough"
+    docs = docs_of(spark, [(d, f"{line}\n{d}") for d in range(4)], True)
+    got = dedup_lines(docs)
+    open_, joins, shuffled = [got._jdf.queryExecution().executedPlan()], [], []
+    while open_:
+        node = open_.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            open_.append(node.executedPlan())
+            continue
+        open_ += [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in kind:
+            joins.append(kind)
+        if kind == "ShuffleExchangeExec":
+            shuffled.append({node.output().apply(i).name() for i in range(node.output().size())})
+    assert joins == ["SortMergeJoinExec"]
+    assert all(not {"row", "text"} <= names for names in shuffled)
+    assert sorted((r.doc_id, r.text, r.kept_text) for r in got.collect()) == [
+        (d, f"{line}\n{d}", f"{line}\n{d}" if d == 3 else str(d)) for d in range(4)]
+
+
 def test_runs_are_compacted(spark):
     runs = Runs(fan=2)
     for low in (30, 20, 10, 0):
